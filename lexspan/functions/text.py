@@ -131,7 +131,9 @@ def reachable_flag(cell: Column) -> Column:
 
 def mentions_word(text: Column, word: Column) -> Column:
     """Whole-word, case-insensitive mention; the word is taken literally."""
-    pattern = F.concat(F.lit(r"(?i)(?<!\w)\Q"), word, F.lit(r"\E(?!\w)"))
+    literal = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    literal = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit(r"(?i)(?<!\w)(?=\w)\Q"), literal, F.lit(r"\E(?<=\w)(?!\w)"))
     return F.regexp_like(text, pattern)
 
 
