@@ -140,17 +140,24 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     first = last = part = None
     user_first = user_last = None
     for batch in batches:
-        for user, rows in batch.groupby("user_id", sort=False):
-            part = int(batch["part"].iat[0])
-            if user_first is None:
-                user_first, first = user, BalanceMap()
-            if user != user_last:
-                user_last, last = user, BalanceMap() if user != user_first else first
-            for delta in rows["delta"].tolist():
+        if not len(batch):
+            continue
+        users, deltas = batch["user_id"].to_numpy(), batch["delta"].tolist()
+        part = int(batch["part"].iat[0])
+        if user_first is None:
+            user_first = user_last = users[0]
+            first = last = BalanceMap()
+        # Only the user carried in and the user carried out of a batch can sit on an edge.
+        head = int(np.argmax(users != user_last)) if (users != user_last).any() else len(users)
+        for delta in deltas[:head]:
+            last.add(delta)
+        if head < len(users):
+            user_last, last = users[-1], BalanceMap()
+            for delta in deltas[int(np.argmax(users == user_last)) :]:
                 last.add(delta)
     if part is None:
         return
-    found = [(part, user_first, 0, first)] + ([(part, user_last, 1, last)] if user_last != user_first else [])
+    found = [(part, user_first, 0, first)] + ([(part, user_last, 1, last)] if last is not first else [])
     yield pd.DataFrame(
         [(p, u, n, m.limits, m.ends, m.shift, m.top) for p, u, n, m in found],
         columns=["part", "user_id", "place", "limits", "ends", "shift", "top"],

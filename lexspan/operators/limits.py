@@ -35,7 +35,7 @@ def keyed_requests(requests: DataFrame, guest_limit: int = GUEST_LIMIT, user_lim
 
 def rolling_counts(keyed: DataFrame, span_us: int) -> DataFrame:
     """Requests of the same key in the span up to each request, itself included."""
-    probes = keyed.select("key", "at", F.col("id").alias("probe"))
+    probes = keyed.select("key", "at", "cap", F.col("id").alias("probe"))
     return counts_in_span(keyed.select("key", "at"), probes, ["key"], span_us, max(1, span_us // 24), "in_span")
 
 
@@ -65,7 +65,7 @@ def decide(keyed: DataFrame, span_us: int = DAY_US) -> DataFrame:
     which rolling counts settle without a fold. Only the other keys are read in order, as
     a sorted stream that remembers at most `cap` times per key.
     """
-    counted = keyed.join(rolling_counts(keyed, span_us).select(F.col("probe").alias("id"), "in_span"), "id")
+    counted = rolling_counts(keyed, span_us)
     busy = counted.filter(F.col("in_span") > F.col("cap")).select("key").distinct()
     folded = (
         keyed.join(busy, "key", "left_semi").select("key", "at", "id", "cap")
