@@ -89,6 +89,13 @@ JOIN {benchmark} b ON b.item_id = v.bid
 LEFT JOIN {zipf} z ON z.word = lower(CASE WHEN v.id % 3 = 0 THEN n.word ELSE v.word END)
 """
 
+# Each document next to one benchmark text.
+SQL["doc_items"] = """
+SELECT d.doc_id, d.text, b.item_id, b.text AS item_text
+FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM {benchmark}) AS bid FROM {documents}) d
+JOIN {benchmark} b ON b.item_id = d.bid
+"""
+
 # Word profiles: one per document; the words past the vocabulary are not indexed.
 SQL["profiles"] = """
 SELECT concat('p', CAST(d.doc_id AS STRING)) AS id, coalesce(v.word, concat('term', CAST(d.doc_id AS STRING))) AS word,

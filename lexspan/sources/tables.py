@@ -46,13 +46,13 @@ def draft_lines(draft: DataFrame) -> Column:
     """One tab-separated line per row; a missing Zipf is empty, a present one has three decimals."""
     cols = dict.fromkeys(DRAFT_COLUMNS, None)
     for name in cols:
-        value = F.format_number(F.col(name), "0.000") if name == "zipf" else F.col(name).cast("string")
+        value = F.format_number(F.col(name), 3) if name == "zipf" else F.col(name).cast("string")
         cols[name] = F.coalesce(value, F.lit(""))
     return F.concat_ws("\t", *cols.values())
 
 
 def write_draft(draft: DataFrame, path: str) -> None:
-    cols = [F.coalesce(F.format_number("zipf", "0.000"), F.lit("")).alias(c) if c == "zipf" else F.col(c) for c in DRAFT_COLUMNS]
+    cols = [F.coalesce(F.format_number("zipf", 3), F.lit("")).alias(c) if c == "zipf" else F.col(c) for c in DRAFT_COLUMNS]
     draft.select(*cols).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
 
 
@@ -67,7 +67,7 @@ def parse_counts(lines: DataFrame) -> DataFrame:
 
 def write_zipf(table: DataFrame, path: str) -> None:
     """Lemmas with a Zipf, three decimals; lemmas without one are left out."""
-    rows = table.filter("zipf is not null").select(F.concat_ws("\t", "word", F.format_number("zipf", "0.000")).alias("value"))
+    rows = table.filter("zipf is not null").select(F.concat_ws("\t", "word", F.format_number("zipf", 3)).alias("value"))
     rows.write.mode("overwrite").text(path)
 
 
