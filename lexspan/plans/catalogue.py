@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lexspan.plans import oracle_parts, pool_queries, search_queries, text_queries  # noqa: F401
+from lexspan.plans import audit_queries, oracle_parts, pool_queries, search_queries, text_queries  # noqa: F401
 from lexspan.plans.registry import ORACLES, QUERIES  # noqa: F401

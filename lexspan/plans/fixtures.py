@@ -71,7 +71,7 @@ FROM {freq} CROSS JOIN (SELECT CAST(sum(n) AS DOUBLE) AS total FROM {freq}) t
 """
 
 # One query per vocabulary word. Targets: the word itself, its neighbour, or an absent word.
-SQL["eval_set"] = """
+SQL["eval_core"] = """
 SELECT concat(CASE WHEN v.id % 40 = 0 THEN 'tripwire-' ELSE 'authored-' END, lpad(CAST(v.id AS STRING), 6, '0')) AS id,
        CASE WHEN v.id % 40 = 0 THEN 'gloss_tripwire' ELSE 'authored' END AS source,
        concat('a kind of ', n.word, ' ', b.text) AS query,
@@ -81,12 +81,15 @@ SELECT concat(CASE WHEN v.id % 40 = 0 THEN 'tripwire-' ELSE 'authored-' END, lpa
        CASE WHEN v.id % 6 = 0 THEN concat(' ', v.word, ',,', n.word) ELSE '' END AS acceptable_csv,
        CASE v.id % 4 WHEN 0 THEN 'abstract' WHEN 1 THEN 'concrete' WHEN 2 THEN 'functional' ELSE 'narrative' END AS style,
        CASE v.id % 5 WHEN 0 THEN 'animal' WHEN 1 THEN 'two words' ELSE 'tool' END AS sense_hint,
-       z.zipf AS zipf, v.id AS qvec_id, v.embedding AS qvec
+       v.id AS qvec_id, v.embedding AS qvec
 FROM (SELECT w.id, w.word, w.embedding, (w.id + 1) % (SELECT count(*) FROM {embeddings}) AS nid,
              w.id % (SELECT count(*) FROM {benchmark}) AS bid FROM {vocab} w) v
 JOIN {vocab} n ON n.id = v.nid
 JOIN {benchmark} b ON b.item_id = v.bid
-LEFT JOIN {zipf} z ON z.word = lower(CASE WHEN v.id % 3 = 0 THEN n.word ELSE v.word END)
+"""
+
+SQL["eval_set"] = """
+SELECT c.*, z.zipf FROM {eval_core} c LEFT JOIN {zipf} z ON z.word = lower(c.target)
 """
 
 # Each document next to one benchmark text.

@@ -61,8 +61,12 @@ def synset_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return C.collapse_synsets(cell, check=False), C.synset_members(cell)
 
 
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_core").select(F.col("id").alias("qid"), "qvec")
+
+
 def run_hits(spark: SparkSession, d: str, tag: str, k: int = DEPTH) -> DataFrame:
-    q = queries(spark, d).select("qid", "qvec")
+    q = query_vectors(spark, d)
     if tag == "lemma":
         return S.exact_topk(q, vectors(spark, d), k)
     if tag == "filtered":
@@ -77,9 +81,10 @@ TAGS = ["lemma", "filtered", "sense", "synset"]
 
 
 def results(spark: SparkSession, d: str, tags: list[str] = TAGS) -> DataFrame:
-    q = queries(spark, d).drop("qvec")
-    parts = [R.score_hits(run_hits(spark, d, t), q).withColumn("tag", F.lit(t)) for t in tags]
-    return reduce(DataFrame.unionByName, parts).drop("qid")
+    """Every run scored in one pass over the union of their hits."""
+    hits = reduce(DataFrame.unionByName, [run_hits(spark, d, t).withColumn("tag", F.lit(t)) for t in tags])
+    asked = queries(spark, d).drop("qvec").withColumn("tag", F.explode(F.array(*[F.lit(t) for t in tags])))
+    return R.score_hits(hits, asked, ["tag", "qid"]).drop("qid")
 
 
 # Configuration of the registered runs: index, exact scan, scale, variant, member order, set hash.

@@ -12,7 +12,7 @@ from lexspan.plans.registry import query
 
 
 def _q(spark, d):
-    return P.queries(spark, d).select("qid", "qvec")
+    return P.query_vectors(spark, d)
 
 
 _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1"
