@@ -177,9 +177,9 @@ def set_identity(runs: DataFrame, current: DataFrame) -> DataFrame:
 
 def pair_counts(sets: DataFrame, results: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows per dimension and value of each set: from the set, else from its fullest run."""
-    tags = results.groupBy("tag").agg(F.count("*").alias("rows"))
-    full = runs.join(tags, "tag").groupBy("set_name").agg(
-        F.max_by("tag", F.struct(F.col("rows"), F.col("tag"))).alias("tag"))
+    tags = results.groupBy("tag").agg(F.count("*").alias("scored"))
+    full = runs.select("tag", "set_name").join(tags, "tag").groupBy("set_name").agg(
+        F.max_by("tag", F.struct("scored", "tag")).alias("tag"))
     missing = full.join(sets.select("set_name").distinct(), "set_name", "left_anti")
     cols = ["source", "reachable", "lexical_overlap", "style", "token_count", "leakage"]
     rebuilt = results.join(missing, "tag").select("set_name", *cols, F.lit("run").alias("taken_from"))

@@ -1,4 +1,7 @@
 """All registered queries."""
 
-from lexspan.plans import audit_queries, oracle_parts, pool_queries, search_queries, text_queries  # noqa: F401
+from lexspan.plans import (  # noqa: F401
+    activity_queries, audit_queries, metric_queries, oracle_parts, pool_queries, search_queries, source_queries,
+    text_queries,
+)
 from lexspan.plans.registry import ORACLES, QUERIES  # noqa: F401

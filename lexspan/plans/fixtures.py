@@ -168,5 +168,5 @@ def oracle(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text).strip()
     ctes = [f"{n} AS ({plain(extra.get(n) or SQL[n])})" for n in names]
-    recursive = "RECURSIVE " if "{recursive}" in body else ""
+    recursive = "RECURSIVE " if any(re.search(rf"\b(FROM|JOIN) {n}\b", extra.get(n, "")) for n in names) else ""
     return (f"WITH {recursive}" + ",\n".join(ctes) + "\n" if ctes else "") + plain(body)
