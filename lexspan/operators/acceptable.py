@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexspan.functions import text as X
+from lexspan.operators.cells import refuse_if_any
 
 
 def _distinct_members(glosses: DataFrame) -> DataFrame:
@@ -93,30 +94,48 @@ def report_totals(review: DataFrame) -> DataFrame:
                       *[F.sum(n).alias(n) for n in names])
 
 
-def merge_accepted(draft: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Append accepted candidates that are new in any case. Running it twice changes nothing.
+MAX_CELL = 10_000
 
-    `draft`: target, acceptable (text). `proposals`: target, position, candidate, all accepted.
-    One list per target, bounded by the candidates a person accepted for it.
+
+def merge_entries(draft: DataFrame, proposals: DataFrame, key: str = "position") -> DataFrame:
+    """Existing entries of each draft row, then accepted candidates that are new in any case.
+
+    `draft`: a unique `key`, target, acceptable (text). `proposals`: target, position,
+    candidate, all accepted. One row per entry: key, part (0 kept, 1 added), place, entry.
+    Running the merge on its own result adds nothing.
     """
+    names = draft.select(key, X.strip(F.col("target")).alias("target"), "acceptable")
+    kept = names.select(
+        key, F.lit(0).alias("part"), F.posexplode(X.split_csv(F.col("acceptable"))).alias("place", "entry"))
     first = proposals.groupBy("target", F.lower("candidate").alias("low")).agg(
-        F.min(F.struct("position", "candidate")).alias("p")
-    )
-    lists = first.groupBy("target").agg(F.array_sort(F.collect_list("p")).alias("_p"))
-    rows = draft.withColumn("_t", X.strip(F.col("target"))).join(
-        lists.withColumnRenamed("target", "_t"), "_t", "left"
+        F.min(F.struct(F.col("position").alias("place"), "candidate")).alias("p"))
+    have = kept.select(key, F.lower("entry").alias("low")).distinct()
+    fresh = names.select(key, "target").join(first, "target").join(have, [key, "low"], "left_anti")
+    return kept.withColumn("place", F.col("place").cast("long")).unionByName(fresh.select(
+        key, F.lit(1).alias("part"), F.col("p.place").cast("long").alias("place"), F.col("p.candidate").alias("entry")))
+
+
+def merge_accepted(draft: DataFrame, proposals: DataFrame, key: str = "position") -> DataFrame:
+    """The draft with merged cells, and how many entries were added and kept per row.
+
+    A cell is one text, so a row with more than MAX_CELL entries is refused; its entries
+    stay available as rows from `merge_entries`.
+    """
+    entries = merge_entries(draft, proposals, key)
+    sizes = entries.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("part") == 1).alias("_added"))
+    refuse_if_any(sizes.filter(F.col("n") > MAX_CELL), f"rows with more than {MAX_CELL} entries")
+    changed = entries.join(sizes.filter("_added > 0").select(key), key, "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "place", "entry")))
+    cells = changed.groupBy(key).agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), ", ").alias("_cell"))
+    offered = proposals.select(F.col("target").alias("_t"), F.lit(True).alias("_offered")).distinct()
+    rows = (
+        draft.withColumn("_t", X.strip(F.col("target"))).join(offered, "_t", "left")
+        .join(sizes.select(key, "_added"), key, "left").join(cells, key, "left")
     )
-    existing = X.split_csv(F.col("acceptable"))
-    lowered = F.transform(existing, F.lower)
-    offered = F.transform(F.coalesce("_p", F.array().cast("array<struct<position:bigint,candidate:string>>")),
-                          lambda p: p["candidate"])
-    added = F.filter(offered, lambda c: ~F.array_contains(F.col("_low"), F.lower(c)))
-    rows = rows.withColumn("_old", existing).withColumn("_low", lowered).withColumn("_new", added)
-    merged = F.when(F.size("_new") > 0, F.array_join(F.concat("_old", "_new"), ", ")).otherwise(F.col("acceptable"))
     return rows.select(
-        *[c for c in draft.columns if c != "acceptable"], merged.alias("acceptable"),
-        F.size("_new").alias("added"), F.when(F.col("_p").isNotNull(), F.size("_old")).otherwise(0).alias("kept"),
-    )
+        *[c for c in draft.columns if c != "acceptable"], F.coalesce("_cell", "acceptable").alias("acceptable"),
+        F.coalesce("_added", F.lit(0)).alias("added"),
+        F.when(F.col("_offered"), F.size(X.split_csv(F.col("acceptable")))).otherwise(0).alias("kept"))
 
 
 def merge_summary(merged: DataFrame) -> DataFrame:

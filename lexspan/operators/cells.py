@@ -118,9 +118,7 @@ def backfill_verdicts(meta: DataFrame, expected: DataFrame, pool_rows: DataFrame
 
     `expected`: variant, want. `pool_rows`: representation, want_rows.
     """
-    joined = meta.join(F.broadcast(pool_rows), "representation", "left").join(
-        F.broadcast(expected), "variant", "left"
-    )
+    joined = meta.join(pool_rows, "representation", "left").join(expected, "variant", "left")
     same_pool = F.coalesce(F.col("rows") == F.col("want_rows"), F.lit(False))
     verdict = (
         F.when(~same_pool, "different pool")
@@ -149,10 +147,9 @@ def pool_identity(cells: DataFrame, meta: DataFrame, pool: DataFrame, expected:
     per_cell = words.join(in_pool, "word", "left").groupBy("cell").agg(
         F.count("*").alias("words"), F.count("pooled").alias("pooled")
     )
-    size = pool.agg(F.countDistinct("word").alias("pool_words"))
     joined = (
-        meta.select("cell", "inputs_sha256").join(per_cell, "cell", "left")
-        .join(expected, "cell", "left").join(F.broadcast(size))
+        meta.select("cell", "inputs_sha256").join(per_cell, "cell", "left").join(expected, "cell", "left")
+        .withColumn("pool_words", pool.agg(F.countDistinct("word")).scalar())
     )
     same = (F.col("words") == F.col("pooled")) & (F.col("pooled") == F.col("pool_words"))
     verdict = (

@@ -77,7 +77,7 @@ def query_lengths(annotated: DataFrame) -> DataFrame:
     lengths = annotated.filter("reachable").select(X.word_count(F.col("query")).alias("words"))
     middle = order_statistics(lengths, [], "words", {"p50": part_pick(1, 2)})
     ends = lengths.agg(F.min("words").alias("shortest"), F.max("words").alias("longest"))
-    return ends.join(F.broadcast(middle.select("p50")))
+    return ends.withColumn("p50", middle.select("p50").scalar())
 
 
 def authored_rows(tsv: DataFrame, zipf: DataFrame) -> DataFrame:
@@ -153,4 +153,4 @@ def stratified_targets(
     cell = W.partitionBy("band", "tokens").orderBy(X.hash_order(seed, F.col("word")), "word")
     picked = rows.withColumn("place", F.row_number().over(cell)).filter(F.col("place") <= n)
     pool = rows.groupBy("band", "tokens").agg(F.count("*").alias("pool"))
-    return picked.join(F.broadcast(pool), ["band", "tokens"])
+    return picked.join(pool, ["band", "tokens"])

@@ -13,13 +13,44 @@ BLOCK = 4096
 
 
 def _fold(df: DataFrame, group: list[str]) -> DataFrame:
-    """Hash of up to BLOCK consecutive pieces per block; pieces are joined in row order."""
+    """Hash of up to BLOCK consecutive hashes, joined in row order."""
     block = F.floor(F.col("row") / BLOCK).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct("row", "piece")))
     joined = F.array_join(F.transform(ordered, lambda e: e["piece"]), "")
     return df.groupBy(*group, block.alias("row")).agg(F.sha2(joined, 256).alias("piece"))
 
 
+def _hash_blocks(df: DataFrame, group: list[str]) -> DataFrame:
+    """SHA-256 of each block of BLOCK consecutive texts, streamed: no block is held as a whole."""
+    keys = [*group, "block"]
+    placed = (
+        df.select(*group, F.floor(F.col("row") / BLOCK).cast("long").alias("block"), "row", "text")
+        .repartition(*keys).sortWithinPartitions(*keys, "row")
+    )
+    schema = T.StructType([*placed.select(*keys).schema.fields, T.StructField("piece", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{**dict(zip(keys, key)), "piece": digest.hexdigest()}], batch_schema)
+
+        for batch in batches:
+            batch_schema = pa.schema([*[batch.schema.field(k) for k in keys], pa.field("piece", pa.string())])
+            found = zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column("text").to_pylist())
+            for at, text in found:
+                if at != key:
+                    if key is not None:
+                        yield done()
+                    key, digest = at, hashlib.sha256()
+                digest.update((text or "").encode())
+                digest.update(b"\0")
+        if key is not None:
+            yield done()
+
+    return placed.mapInArrow(run, schema).withColumnRenamed("block", "row")
+
+
 def levels_for(rows: int) -> int:
     levels, reach = 1, BLOCK
     while reach < rows:
@@ -32,12 +63,11 @@ def texts_digest(rows: DataFrame, levels: int, group: list[str] | None = None) -
 
     Up to BLOCK rows it is the plain SHA-256 of the stream. Above that it is a tree:
     block hashes are hashed again, BLOCK at a time, so no task ever holds more than
-    BLOCK pieces. `levels` comes from `levels_for` on the row count.
+    BLOCK hashes. `levels` comes from `levels_for` on the row count.
     """
     group = group or []
-    out = rows.select(*group, F.col("row").cast("long").alias("row"),
-                      F.concat(F.col("text"), F.lit("\0")).alias("piece"))
-    for _ in range(levels):
+    out = _hash_blocks(rows, group)
+    for _ in range(levels - 1):
         out = _fold(out, group)
     return out.select(*group, F.col("piece").alias("sha256"))
 

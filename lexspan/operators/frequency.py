@@ -9,9 +9,9 @@ from lexspan.functions import bands as B
 
 def zipf_table(counts: DataFrame) -> DataFrame:
     """Zipf of each counted word. A word listed twice keeps its larger count for the scale."""
-    total = counts.agg(F.sum("n").alias("total"))
+    total = counts.agg(F.sum("n")).scalar()
     words = counts.groupBy("word").agg(F.max("n").alias("n"))
-    return words.join(F.broadcast(total)).select("word", B.zipf_of(F.col("n"), F.col("total")).alias("zipf"))
+    return words.select("word", B.zipf_of(F.col("n"), total).alias("zipf"))
 
 
 def lemma_zipf(lemmas: DataFrame, table: DataFrame) -> DataFrame:
@@ -26,8 +26,7 @@ def lemma_zipf(lemmas: DataFrame, table: DataFrame) -> DataFrame:
 def band_distribution(lemmas: DataFrame) -> DataFrame:
     """Words per band; a missing Zipf counts as rare. `lemmas`: word, zipf."""
     rows = lemmas.groupBy(B.band(F.col("zipf")).alias("band")).agg(F.count("*").alias("n"))
-    total = lemmas.agg(F.count("*").alias("total"))
-    return rows.join(F.broadcast(total)).select("band", "n", (F.col("n") / F.col("total")).alias("share"))
+    return rows.select("band", "n", (F.col("n") / lemmas.agg(F.count("*")).scalar()).alias("share"))
 
 
 def override_zipf(rows: DataFrame, table: DataFrame) -> DataFrame:

@@ -17,9 +17,16 @@ from lexspan.operators.blocks import matrix
 MAX_LISTS = 65_536
 
 
-def train_centroids(vectors: DataFrame, lists: int = S.LISTS, seed: int = 7, rounds: int = 20) -> DataFrame:
-    """Centroids by cosine k-means: `list_id, centroid`."""
-    features = vectors.select(array_to_vector(V.as_double(F.col("vec"))).alias("features"))
+def train_centroids(
+    vectors: DataFrame, lists: int = S.LISTS, seed: int = 7, rounds: int = 20, fraction: float = 1.0
+) -> DataFrame:
+    """Centroids by cosine k-means: `list_id, centroid`.
+
+    Training reads the vectors once per round; `fraction` trains on a part of a large
+    table. Only the placing of the lists depends on it: every vector is assigned to one.
+    """
+    rows = vectors if fraction >= 1 else vectors.sample(fraction, seed)
+    features = rows.select(array_to_vector(V.as_double(F.col("vec"))).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(features)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "list_id long, centroid array<double>")

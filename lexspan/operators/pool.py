@@ -74,7 +74,7 @@ def sense_stats(pool: DataFrame, glosses: DataFrame) -> DataFrame:
         F.sum("n").alias("gloss_rows"), F.max("n").alias("max_senses"), F.sum("shown").alias("with_examples"),
         F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("max_senses_word"),
     )
-    return totals.crossJoin(pool.agg(F.count("*").alias("pool_words"))).select(
+    return totals.withColumn("pool_words", pool.agg(F.count("*")).scalar()).select(
         "pool_words", "gloss_rows", (F.col("gloss_rows") / F.col("pool_words")).alias("mean_senses"),
         "max_senses", "max_senses_word", "with_examples",
         (F.col("with_examples") / F.col("gloss_rows")).alias("example_share"),

@@ -85,7 +85,8 @@ def margins(hits: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFram
     )
     of_targets = miss_classes(hits, queries, targets).agg(
         F.avg("target_sim").alias("target_sim"), F.avg("margin").alias("mean_margin"))
-    both = of_hits.crossJoin(of_targets)
+    both = of_hits.select(
+        "*", of_targets.select("target_sim").scalar().alias("target_sim"), of_targets.select("mean_margin").scalar().alias("mean_margin"))
     return both.withColumn("echo_gap", F.col("echo_sim") - F.col("target_sim")).withColumn(
         "other_gap", F.col("other_sim") - F.col("target_sim")
     ).withColumn("verdict", D.margin_verdict(F.col("echo_gap")))
@@ -102,5 +103,5 @@ def representation(probe: DataFrame) -> DataFrame:
         F.min("lemma").alias("min"), F.avg("lemma").alias("mean"), F.max("lemma").alias("max"),
         F.avg("description").alias("description_mean"),
     )
-    return agg.join(F.broadcast(middle)).withColumn(
+    return agg.withColumn("p50", middle.scalar()).withColumn(
         "verdict", D.representation_verdict(F.col("mean"), F.col("description_mean")))

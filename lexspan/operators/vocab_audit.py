@@ -129,7 +129,7 @@ def joinable_pairs(saves: DataFrame, lookups: DataFrame, span_us: int = SAVE_SPA
     per_save = saves_after_lookup(saves, lookups, span_us).agg(
         F.count("*").alias("saves"), F.coalesce(F.sum("lookups"), F.lit(0)).cast("long").alias("pairs")
     )
-    return per_save.crossJoin(lookups.agg(F.count("*").alias("lookups")))
+    return per_save.withColumn("lookups", lookups.agg(F.count("*")).scalar())
 
 
 def games_played(rounds: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def vocabulary_shape(vocab: DataFrame) -> DataFrame:
         F.count_if(F.contains("word", F.lit(" "))).alias("multiword"),
         F.count_if(F.col("word").rlike("^[A-Z]")).alias("capitalised"),
     )
-    return shape.crossJoin(collisions(vocab).agg(F.count("*").alias("lower_collisions")))
+    return shape.withColumn("lower_collisions", collisions(vocab).agg(F.count("*")).scalar())
 
 
 def saved_words(saves: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -351,7 +351,7 @@ def proposals(spark, d):
  LEFT JOIN (SELECT target, list(candidate ORDER BY position) AS cands FROM (SELECT target, arg_min(candidate, position) AS candidate, min(position) AS position FROM {{proposals}} GROUP BY target, lower(candidate)) GROUP BY target) p ON p.target = e.target""")
 def g12(spark, d):
     rows = table(spark, d, "eval_core").select("id", "target", F.col("acceptable_csv").alias("acceptable"))
-    return A.merge_accepted(rows, proposals(spark, d))
+    return A.merge_accepted(rows, proposals(spark, d), "id")
 
 
 @query("g12_unmatched", "SELECT DISTINCT target FROM {proposals} WHERE target NOT IN (SELECT target FROM {eval_core})")

@@ -66,8 +66,8 @@ SELECT split_part(p_name, ' ', 1) AS word, count(*) * 5000 AS n FROM {part} GROU
 """
 
 SQL["zipf"] = """
-SELECT word, round(log10(n / t.total * 1e9), 3) AS zipf
-FROM {freq} CROSS JOIN (SELECT CAST(sum(n) AS DOUBLE) AS total FROM {freq}) t
+SELECT word, round(log10(n / (SELECT CAST(sum(n) AS DOUBLE) FROM {freq}) * 1e9), 3) AS zipf
+FROM {freq}
 """
 
 # One query per vocabulary word. Targets: the word itself, its neighbour, or an absent word.
