@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexspan.operators import acceptable as A, coverage as V, evalset as G, frequency as Z, vocab_audit as U
 from lexspan.plans import frames as P, oracle_parts as O, text_queries as TQ
 from lexspan.plans.fixtures import table
-from lexspan.plans.pool_queries import pool_glosses, targets
+from lexspan.plans.pool_queries import pool_glosses, target_words
 from lexspan.plans.registry import SHARED, query
 
 SHARED["cats"] = f"SELECT id, word, {TQ._CATS} FROM {{vocab}}"
@@ -299,19 +299,15 @@ SHARED["worklist"] = """SELECT m.word AS target, m.sense_key, s.n - 1 AS mates F
  WHERE m.word IN (SELECT word FROM {targets} WHERE word IS NOT NULL)"""
 
 
-def _target_words(spark, d):
-    return targets(spark, d).filter("word is not null").select("word").distinct()
-
-
 @query("g10_worklist", "SELECT target, sense_key, mates, CASE split_part(sense_key, ':', 1) WHEN 'noun' THEN 'n.' WHEN 'verb' THEN 'v.' WHEN 'adj' THEN 'adj.' ELSE 'adv.' END AS pos FROM {worklist}")
 def g10(spark, d):
-    return A.worklist_entries(pool_glosses(spark, d), _target_words(spark, d))
+    return A.worklist_entries(pool_glosses(spark, d), target_words(spark, d))
 
 
 @query("g10_worklist_members", "SELECT DISTINCT sense_key, word FROM {gloss_rows} WHERE sense_key IN (SELECT sense_key FROM {worklist})")
 def g10_members(spark, d):
     glosses = pool_glosses(spark, d)
-    return A.worklist_members(glosses, A.worklist_entries(glosses, _target_words(spark, d)))
+    return A.worklist_members(glosses, A.worklist_entries(glosses, target_words(spark, d)))
 
 
 SHARED["mates"] = "SELECT w.target, w.sense_key, g.word FROM {worklist} w JOIN (SELECT DISTINCT sense_key, word FROM {gloss_rows}) g ON g.sense_key = w.sense_key AND g.word <> w.target"
@@ -323,13 +319,13 @@ SHARED["case_groups"] = """SELECT target, sense_key, lower(word) AS base, count(
  coalesce(sum(variants) FILTER (own), 0) AS target_case_variants, coalesce(sum(variants - 1) FILTER (NOT own AND NOT symbol), 0) AS case_duplicates,
  count(*) FILTER (NOT own AND symbol) AS symbol_forms FROM {case_groups} GROUP BY target, sense_key""")
 def g11(spark, d):
-    return A.review_entries(pool_glosses(spark, d), _target_words(spark, d))
+    return A.review_entries(pool_glosses(spark, d), target_words(spark, d))
 
 
 @query("g11_candidates", """SELECT DISTINCT sense_key, kept AS candidate FROM (SELECT sense_key, lower(word) AS base, coalesce(max(CASE WHEN word = lower(word) THEN word END), min(word)) AS kept,
  length(lower(word)) <= 3 AND bool_and(regexp_matches(word, '[A-Z]')) AS symbol FROM (SELECT DISTINCT sense_key, word FROM {gloss_rows} WHERE sense_key IN (SELECT sense_key FROM {worklist})) GROUP BY sense_key, lower(word)) WHERE NOT symbol""")
 def g11_candidates(spark, d):
-    return A.review_candidates(pool_glosses(spark, d), _target_words(spark, d))
+    return A.review_candidates(pool_glosses(spark, d), target_words(spark, d))
 
 
 # Proposals: every gloss mate, offered to the draft of its target, in the order of its rows.

@@ -143,13 +143,22 @@ def _deps(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", SQL[name])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A raw table or a derived input as a DataFrame."""
-    if name in RAW:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(SQL[name], **{d: table(spark, sf_dir, d) for d in set(_deps(name))})
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A raw table or a derived input as a DataFrame.
+
+    Plans are kept by application: reading a schema costs a job, and many queries start
+    from the same inputs. No rows are kept.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        if name in RAW:
+            _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            _TABLES[key] = spark.sql(SQL[name], **{d: table(spark, sf_dir, d) for d in set(_deps(name))})
+    return _TABLES[key]
 
 
 def oracle(body: str, extra: dict[str, str] | None = None) -> str:

@@ -40,15 +40,15 @@ def h2(spark, d):
 def h3(spark, d):
     from lexspan.operators.scale import order_statistics, percentile_pick
 
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     return order_statistics(docs, ["lang"], "n_chars", {f"p{p}": percentile_pick(p) for p in (50, 95, 100)})
 
 
 @query("h4_mcnemar", f"""SELECT source, b, c, round({O.mcnemar('b', 'c')}, 8) AS p FROM (
  SELECT d.source, count(*) FILTER (l.quality = 1) AS b, count(*) FILTER (l.toxic = 1) AS c FROM {{documents}} d JOIN {{labels}} l ON l.doc_id = d.doc_id GROUP BY d.source)""")
 def h4(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
-    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    labels = table(spark, d, "labels")
     counts = docs.join(labels, "doc_id").groupBy("source").agg(
         F.count_if(F.col("quality") == 1).alias("b"), F.count_if(F.col("toxic") == 1).alias("c"))
     return counts.withColumn("p", F.round(D.mcnemar_p(F.col("b"), F.col("c")), 8))
@@ -127,8 +127,8 @@ _DELTA = "(avg(l.quality) - avg(l.toxic))"
 @query("h10_verdicts", f"""SELECT source, CASE WHEN delta >= 0.06 AND p < 0.05 THEN 'WIN' WHEN delta >= 0.06 THEN 'above threshold, not significant' WHEN delta > 0 THEN 'null result' WHEN p < 0.05 THEN 'significant regression' ELSE 'no difference' END AS verdict
  FROM (SELECT source, delta, {O.mcnemar('b', 'c')} AS p FROM (SELECT d.source, {_DELTA} AS delta, count(*) FILTER (l.quality = 1) AS b, count(*) FILTER (l.toxic = 1) AS c FROM {{documents}} d JOIN {{labels}} l ON l.doc_id = d.doc_id GROUP BY d.source))""")
 def h10(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
-    counts = docs.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("source").agg(
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    counts = docs.join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(
         (F.avg("quality") - F.avg("toxic")).alias("delta"), F.count_if(F.col("quality") == 1).alias("b"), F.count_if(F.col("toxic") == 1).alias("c"))
     return counts.select("source", D.verdict(F.col("delta"), D.mcnemar_p(F.col("b"), F.col("c"))).alias("verdict"))
 
@@ -181,7 +181,7 @@ def h15(spark, d):
     "recorded": "SELECT source AS set_name, concat(source, '-', lang) AS tag, CASE WHEN source = 'src0' THEN lang WHEN source = 'src1' THEN NULL WHEN source = 'src2' THEN 'old' ELSE source END AS set_sha256 FROM {documents} GROUP BY source, lang",
     "current": "SELECT DISTINCT source AS set_name, source AS sha256 FROM {documents} WHERE source <> 'src3'"})
 def h16(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     src = F.col("source")
     runs = docs.select("source", "lang").distinct().select(
         src.alias("set_name"), F.concat_ws("-", "source", "lang").alias("tag"),
@@ -214,7 +214,7 @@ SHARED["timings"] = "SELECT event_type AS tag, event_type = 'error' AS is_local,
  SELECT tag, part, count(*) AS n, list_sort(list(ms)) AS v FROM (SELECT tag, 'embed' AS part, embed_ms AS ms FROM {timings} WHERE NOT is_local UNION ALL
  SELECT tag, 'search', search_ms FROM {timings} WHERE NOT is_local UNION ALL SELECT tag, 'total', embed_ms + search_ms FROM {timings} WHERE NOT is_local) GROUP BY tag, part)""")
 def h19(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
+    e = table(spark, d, "events")
     return M.latency(e.select(F.col("event_type").alias("tag"), (F.col("event_type") == "error").alias("is_local"),
                               F.col("value").alias("embed_ms"), (F.col("event_id") % 100).cast("double").alias("search_ms")))
 
@@ -284,8 +284,8 @@ def h24(spark, d):
 
 @query("h25_margin_verdicts", "SELECT source, CASE WHEN gap > 0.12 THEN 'structural' WHEN gap > 0.03 THEN 'mixed' ELSE 'ordering' END AS verdict FROM (SELECT d.source, avg(l.quality) - avg(l.toxic) - 0.3 AS gap FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source)")
 def h25(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source")
-    gaps = docs.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("source").agg(
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    gaps = docs.join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(
         (F.avg("quality") - F.avg("toxic") - 0.3).alias("gap"))
     return gaps.select("source", D.margin_verdict(F.col("gap")).alias("verdict"))
 

@@ -27,21 +27,33 @@ def lemma_senses(spark, d):
     return P.senses_by_lemma(R.synsets(spark, d))
 
 
-def eligible(spark, d):
-    return P.eligible_words(table(spark, d, "vocab").select("word"), lemma_senses(spark, d))
+def eligible(spark, d, lemmas=None):
+    return P.eligible_words(table(spark, d, "vocab").select("word"), lemmas or lemma_senses(spark, d))
 
 
-def targets(spark, d):
-    return P.resolve_targets(table(spark, d, "eval_set"), eligible(spark, d))
+def targets(spark, d, words=None):
+    return P.resolve_targets(table(spark, d, "eval_core"), words or eligible(spark, d))
 
 
-def pooled(spark, d):
-    found = targets(spark, d).filter("word is not null").select("word").distinct()
-    return P.lay_out(found, P.distractors(eligible(spark, d), found, SEED), LAYOUT)
+def target_words(spark, d, words=None):
+    return targets(spark, d, words).filter("word is not null").select("word").distinct()
+
+
+def pooled(spark, d, lemmas=None):
+    words = eligible(spark, d, lemmas)
+    found = target_words(spark, d, words)
+    return P.lay_out(found, P.distractors(words, found, SEED), LAYOUT)
+
+
+def pool_with_glosses(spark, d):
+    """(pool, its gloss rows)."""
+    lemmas = lemma_senses(spark, d)
+    pool = pooled(spark, d, lemmas)
+    return pool, P.gloss_rows(pool, lemmas)
 
 
 def pool_glosses(spark, d):
-    return P.gloss_rows(pooled(spark, d), lemma_senses(spark, d))
+    return pool_with_glosses(spark, d)[1]
 
 
 @query("d1_senses_by_lemma", "SELECT lemma_lower, sense_key, md5(gloss) AS gloss FROM {lemma_senses}")
@@ -66,8 +78,8 @@ def d3_dropped(spark, d):
 
 @query("d4_distractors", f"""SELECT word FROM {{pool_words_all}} WHERE NOT is_target ORDER BY md5(concat('{SEED}', word)), word LIMIT 50""")
 def d4(spark, d):
-    found = targets(spark, d).filter("word is not null").select("word").distinct()
-    return P.distractors(eligible(spark, d), found, SEED, 50)
+    words = eligible(spark, d)
+    return P.distractors(words, target_words(spark, d, words), SEED, 50)
 
 
 @query("d5_layout", "SELECT word, is_target, row FROM {pool}")
@@ -92,7 +104,7 @@ def d7(spark, d):
  FROM (SELECT word, count(*) AS n, count(*) FILTER (ex1 IS NOT NULL OR ex2 IS NOT NULL) AS shown FROM {gloss_rows} GROUP BY word) g
  CROSS JOIN (SELECT count(*) AS n FROM {pool}) w GROUP BY w.n""")
 def d8(spark, d):
-    stats = P.sense_stats(pooled(spark, d), pool_glosses(spark, d))
+    stats = P.sense_stats(*pool_with_glosses(spark, d))
     return stats.withColumn("mean_senses", F.round("mean_senses", 9)).withColumn("example_share", F.round("example_share", 9))
 
 
@@ -115,13 +127,13 @@ def _tree(source: str) -> str:
 
 @query("d10_texts_digest", _tree("SELECT doc_id AS row, text FROM {documents}"))
 def d10(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("row"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row"), "text")
     return H.texts_digest(docs, H.levels_for(docs.count()))
 
 
 @query("d10_texts_digest_by_language")
 def d10_lang(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.col("doc_id").alias("row"), "text")
+    docs = table(spark, d, "documents").select("lang", F.col("doc_id").alias("row"), "text")
     return H.texts_digest(docs, 2, ["lang"])
 
 
@@ -169,7 +181,7 @@ def d14(spark, d):
 
 @query("d14_derived_meta", "SELECT concat(lang, '_h32') AS cell, lang AS source_cell, 'float16' AS precision, 32 AS dim, count(*) AS rows, round(count(*) * 32 * 2 / 1e6, 6) AS payload_mb FROM {documents} GROUP BY lang")
 def d14_meta(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     meta = docs.groupBy(F.col("lang").alias("cell")).agg(F.count("*").alias("rows"))
     return C.derived_meta(meta, 32, True).withColumn("payload_mb", F.round("payload_mb", 6))
 
@@ -190,7 +202,7 @@ SHARED["cell_meta"] = """SELECT source || '-' || lang AS cell, CASE WHEN source
 
 
 def _expected(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     from lexspan.operators.scale import number_by_order
 
     numbered = docs.select("lang", "doc_id", "text")
@@ -202,7 +214,7 @@ def _expected(spark, d):
 
 
 def _cell_meta(spark, d, expected):
-    cells = spark.read.parquet(f"{d}/documents.parquet").select("source", "lang").distinct()
+    cells = table(spark, d, "documents").select("source", "lang").distinct()
     rows = cells.join(expected, F.col("lang") == F.col("variant"))
     return rows.select(
         F.concat_ws("-", "source", "lang").alias("cell"),
@@ -227,7 +239,7 @@ def d16(spark, d):
  LEFT JOIN (SELECT d.source AS cell, count(DISTINCT v.word) AS words, count(DISTINCT CASE WHEN d.source = 'src0' THEN v.word END) AS pooled FROM {documents} d JOIN {vocab} v ON v.id = d.doc_id GROUP BY d.source) w ON w.cell = c.cell
  CROSS JOIN (SELECT count(DISTINCT v.word) AS n FROM {documents} d JOIN {vocab} v ON v.id = d.doc_id WHERE d.source = 'src0') p""")
 def d17(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     vocab = table(spark, d, "vocab")
     cells = docs.join(vocab, docs["doc_id"] == vocab["id"]).select(F.col("source").alias("cell"), "word")
     pool = cells.filter("cell = 'src0'").select("word")

@@ -19,14 +19,14 @@ _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS
 
 
 def _pairs(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    e = table(spark, d, "embeddings")
     b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     return e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, F.col("b") == F.col("a") + 1)
 
 
 @query("b1_encode")
 def b1(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     vec = E.encode_column(F.col("text"), lambda: E.HashingEncoder(64))
     return docs.select("doc_id", vec.alias("vec")).select("doc_id", F.size("vec").alias("dim"), F.round(V.norm(F.col("vec")), 4).alias("length"))
 
@@ -43,7 +43,7 @@ def b3(spark, d):
 
 @query("b4_normalise", f"SELECT vec_id, round(sqrt({O.dot('embedding', 'embedding')}), 9) AS length, CAST(1.0 AS DOUBLE) AS unit FROM {{embeddings}}")
 def b4(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    e = table(spark, d, "embeddings")
     return e.select("vec_id", F.round(V.norm(F.col("embedding")), 9).alias("length"),
                     F.round(V.norm(V.normalise(F.col("embedding"))), 9).alias("unit"))
 
@@ -55,7 +55,7 @@ def _cut(vec: str, n: int) -> str:
 
 @query("b5_truncate", f"SELECT vec_id, u.i AS dim, round(u.x, 9) AS x FROM (SELECT vec_id, unnest(list_zip(range(0, 32), {_cut('embedding', 32)})) AS p FROM {{embeddings}}) t, LATERAL (SELECT p[1] AS i, p[2] AS x) u")
 def b5(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    e = table(spark, d, "embeddings")
     return e.select("vec_id", F.posexplode(V.truncate(F.col("embedding"), 32)).alias("dim", "x")).select(
         "vec_id", "dim", F.round("x", 9).alias("x"))
 
@@ -68,7 +68,7 @@ def _half(x: str) -> str:
 @query("b6_round_half", f"SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: {_half('x')} * 1048576)) AS total FROM {{embeddings}}")
 def b6(spark, d):
     # Rounded components are multiples of 2**-24, so their sums are exact in any order.
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    e = table(spark, d, "embeddings")
     total = F.aggregate(V.round_half(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * 1048576)
     return e.select("vec_id", total.alias("total"))
 
@@ -76,7 +76,7 @@ def b6(spark, d):
 @query("b7_drift", f"""SELECT round(max(err), 12) AS max_component_error, count(*) AS rows FROM (
   SELECT list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs({_half('x')} - x))) AS err FROM {{embeddings}})""")
 def b7(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    e = table(spark, d, "embeddings")
     err = V.max_abs_diff(V.round_half(F.col("embedding")), F.col("embedding"))
     return e.agg(F.round(F.max(err), 12).alias("max_component_error"), F.count("*").alias("rows"))
 
@@ -87,7 +87,7 @@ SELECT e.id AS qid, c.label, round(list_sum(list_transform(CASE WHEN c.label % 2
 FROM {{eval_set}} e JOIN (SELECT DISTINCT label FROM {{embeddings}}) c ON c.label = e.qvec_id % 10""")
 def b8(spark, d):
     q = table(spark, d, "eval_set").select("id", "qvec_id", "qvec")
-    meta = spark.read.parquet(f"{d}/embeddings.parquet").select("label").distinct().select(
+    meta = table(spark, d, "embeddings").select("label").distinct().select(
         "label", F.when(F.col("label") % 2 == 0, 32).otherwise(64).alias("dim"),
         F.when(F.col("label") % 3 == 0, "float16").otherwise("float32").alias("precision"))
     rows = q.join(meta, F.col("qvec_id") % 10 == F.col("label"))
@@ -97,7 +97,7 @@ def b8(spark, d):
 
 @query("b9_parse_literal", "SELECT vec_id, 64 AS n, CAST(true AS BOOLEAN) AS same FROM {embeddings}")
 def b9(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
     text = F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x.cast("string")), ","), F.lit("]"))
     back = V.parse_literal(text)
     return e.select("vec_id", F.size(back).alias("n"), (back == F.col("v")).alias("same"))
@@ -222,7 +222,7 @@ def c13(spark, d):
 @query("c14_request_check", """SELECT doc_id AS id, 10 AS k, CASE WHEN text IS NULL OR text = '' THEN 'query is required and must be a string'
  WHEN length(text) > 500 THEN 'query too long (max 500 characters)' END AS reason FROM {documents}""")
 def c14(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), F.lit(S.DEFAULT_K).alias("k"), X.request_rejection(F.col("text")).alias("reason"))
 
 

@@ -91,7 +91,7 @@ def a8(spark, d):
 
 def _index_lines(spark, d):
     words = table(spark, d, "vocab").select(F.concat(F.replace("word", F.lit(" "), F.lit("_")), F.lit(" n 1 2 @ ~ 1 0 00001740")).alias("line"))
-    licence = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("  1 "), "source").alias("line"))
+    licence = table(spark, d, "documents").select(F.concat(F.lit("  1 "), "source").alias("line"))
     return words.unionByName(licence)
 
 
@@ -145,7 +145,7 @@ def a12(spark, d):
 @query("a13_pool_store", "SELECT p.word, p.row, p.is_target, count(g.word) AS senses FROM {pool} p JOIN {gloss_rows} g ON g.word = p.word GROUP BY p.word, p.row, p.is_target")
 def a13(spark, d):
     path = scratch(spark)
-    pool, glosses = PQ.pooled(spark, d), PQ.pool_glosses(spark, d)
+    pool, glosses = PQ.pool_with_glosses(spark, d)
     T.write_pool(pool, glosses, Q.layout_check(pool), path)
     words = spark.read.parquet(f"{path}/words")
     counts = spark.read.parquet(f"{path}/glosses").groupBy("word").agg(F.count("*").alias("senses"))

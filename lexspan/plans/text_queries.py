@@ -12,7 +12,7 @@ from lexspan.plans.registry import query
 
 
 def _docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return table(spark, d, "documents")
 
 
 def _joined(tokens: Column) -> Column:
