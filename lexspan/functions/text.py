@@ -32,7 +32,8 @@ DERIVATIONS = [
 MAX_QUERY_CHARS = 500
 
 # White space as a browser sees it: ASCII, no-break, zero-width mark and the Unicode spaces.
-_SPACE = r"[\s\x0B ﻿  -     　]"
+SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[{SPACES}]"
 
 
 def _literals(values: list[str]) -> Column:
@@ -40,7 +41,7 @@ def _literals(values: list[str]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def norm(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexspan.functions import text as X
 from lexspan.operators import cells as C, ranks as R, search as S
 from lexspan.plans.fixtures import table
+from lexspan.session import freeze
 
 DEPTH = S.RANK_DEPTH
 
@@ -65,8 +66,8 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_core").select(F.col("id").alias("qid"), "qvec")
 
 
-def run_hits(spark: SparkSession, d: str, tag: str, k: int = DEPTH) -> DataFrame:
-    q = query_vectors(spark, d)
+def run_hits(spark: SparkSession, d: str, tag: str, k: int = DEPTH, asked: DataFrame | None = None) -> DataFrame:
+    q = query_vectors(spark, d) if asked is None else asked.select("qid", "qvec")
     if tag == "lemma":
         return S.exact_topk(q, vectors(spark, d), k)
     if tag == "filtered":
@@ -82,9 +83,15 @@ TAGS = ["lemma", "filtered", "sense", "synset"]
 
 def results(spark: SparkSession, d: str, tags: list[str] = TAGS) -> DataFrame:
     """Every run scored in one pass over the union of their hits."""
-    hits = reduce(DataFrame.unionByName, [run_hits(spark, d, t).withColumn("tag", F.lit(t)) for t in tags])
-    asked = queries(spark, d).drop("qvec").withColumn("tag", F.explode(F.array(*[F.lit(t) for t in tags])))
-    return R.score_hits(hits, asked, ["tag", "qid"]).drop("qid")
+    asked = freeze(queries(spark, d))
+    hits = reduce(DataFrame.unionByName, [run_hits(spark, d, t, asked=asked).withColumn("tag", F.lit(t)) for t in tags])
+    rows = asked.drop("qvec").withColumn("tag", F.explode(F.array(*[F.lit(t) for t in tags])))
+    return R.score_hits(hits, rows, ["tag", "qid"]).drop("qid")
+
+
+def saved_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results written once, for queries that read them more than once."""
+    return freeze(results(spark, d))
 
 
 # Configuration of the registered runs: index, exact scan, scale, variant, member order, set hash.

@@ -62,21 +62,21 @@ _DIMS = {"style": "style", "length": O.length_bucket("query"), "tokens": "token_
 @query("h5_slices", f"SELECT tag, 'source' AS dimension, source AS value, {_METRICS} FROM {{routed}} GROUP BY tag, source" + "".join(
     f" UNION ALL SELECT tag, '{n}', {v}, {_METRICS} FROM {{routed}} WHERE in_scope AND {v} IS NOT NULL GROUP BY tag, {v}" for n, v in _DIMS.items()))
 def h5(spark, d):
-    return _round(M.slices(P.results(spark, d)), *M.METRIC_NAMES)
+    return _round(M.slices(P.saved_results(spark, d)), *M.METRIC_NAMES)
 
 
 @query("h6_terciles", """SELECT r.tag, r.id, c.lo, c.hi, CASE WHEN coalesce(c.n, 0) < 3 OR r.zipf IS NULL THEN 'unknown' WHEN r.zipf < c.lo THEN 'low' WHEN r.zipf < c.hi THEN 'mid' ELSE 'high' END AS third
  FROM {routed} r LEFT JOIN (SELECT tag, count(*) AS n, list_sort(list(zipf))[count(*) // 3 + 1] AS lo, list_sort(list(zipf))[2 * count(*) // 3 + 1] AS hi FROM {routed} WHERE in_scope AND zipf IS NOT NULL GROUP BY tag) c ON c.tag = r.tag
  WHERE r.in_scope""")
 def h6(spark, d):
-    return M.terciles(P.results(spark, d)).select("tag", "id", "lo", "hi", "third")
+    return M.terciles(P.saved_results(spark, d)).select("tag", "id", "lo", "hi", "third")
 
 
 @query("h6_tercile_scores", f"""SELECT tag, third, {_METRICS} FROM (SELECT r.*, CASE WHEN coalesce(c.n, 0) < 3 OR r.zipf IS NULL THEN 'unknown' WHEN r.zipf < c.lo THEN 'low' WHEN r.zipf < c.hi THEN 'mid' ELSE 'high' END AS third
  FROM {{routed}} r LEFT JOIN (SELECT tag, count(*) AS n, list_sort(list(zipf))[count(*) // 3 + 1] AS lo, list_sort(list(zipf))[2 * count(*) // 3 + 1] AS hi FROM {{routed}} WHERE in_scope AND zipf IS NOT NULL GROUP BY tag) c ON c.tag = r.tag
  WHERE r.in_scope) GROUP BY tag, third""")
 def h6_scores(spark, d):
-    return _round(M.score(M.terciles(P.results(spark, d)), ["tag", "third"]), *M.METRIC_NAMES)
+    return _round(M.score(M.terciles(P.saved_results(spark, d)), ["tag", "third"]), *M.METRIC_NAMES)
 
 
 _HEAD = "source = 'authored' AND reachable"
@@ -105,7 +105,7 @@ _LW, _LL = f"(NOT {_one('len_a')} AND {_one('len_b')})", f"({_one('len_a')} AND
  SELECT a, b, count(*) AS n, {_hit('rank_a', 1)} AS recall1_a, {_hit('rank_b', 1)} AS recall1_b, {_hit('rank_a', 10)} AS recall10_a, {_hit('rank_b', 10)} AS recall10_b,
  count(*) FILTER ({_W}) AS wins, count(*) FILTER ({_L}) AS regressions, round(avg(echo_b) - avg(echo_a), 9) AS echo_delta FROM {{paired}} GROUP BY a, b)""")
 def h8(spark, d):
-    r = P.results(spark, d)
+    r = P.saved_results(spark, d)
     out = K.strict_comparison(r, _pairs(spark, d, r))
     return _round(_round(out, "recall1_a", "recall1_b", "recall10_a", "recall10_b", "echo_delta"), "p", digits=8)
 
@@ -116,7 +116,7 @@ def h8(spark, d):
  FROM (SELECT a, b, count(*) AS n, {_hit('len_a', 1)} AS lenient_a, {_hit('len_b', 1)} AS lenient_b, count(*) FILTER ({_LW}) AS wins, count(*) FILTER ({_LL}) AS regressions,
  count(*) FILTER ({_W}) AS strict_wins, count(*) FILTER ({_L}) AS strict_regressions FROM {{paired}} WHERE {_HEAD} GROUP BY a, b)""")
 def h9(spark, d):
-    r = P.results(spark, d)
+    r = P.saved_results(spark, d)
     out = _round(_round(K.comparison(r, _pairs(spark, d, r)), "lenient_a", "lenient_b"), "p", "strict_p", digits=8)
     return out.select("a", "b", "slice", "n", "lenient_a", "lenient_b", "wins", "regressions", "strict_wins", "strict_regressions", "p", "strict_p", "verdict")
 
@@ -155,7 +155,7 @@ def h12(spark, d):
  SELECT *, row_number() OVER (PARTITION BY a, b, kind ORDER BY id) AS place, count(*) OVER (PARTITION BY a, b, kind) AS total FROM (
  SELECT *, CASE WHEN {_W} THEN 'win' WHEN {_L} THEN 'regression' END AS kind FROM {{paired}}) WHERE kind IS NOT NULL) WHERE place <= 25""")
 def h13(spark, d):
-    r = P.results(spark, d)
+    r = P.saved_results(spark, d)
     return K.changes(r, _pairs(spark, d, r))
 
 
@@ -163,7 +163,7 @@ def h13(spark, d):
  round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS gap, round(avg(CASE WHEN rank > 10 THEN 1.0 ELSE 0.0 END), 9) AS beyond10, 100 AS depth
  FROM {{routed}} WHERE in_scope GROUP BY tag, has_authored""")
 def h14(spark, d):
-    r = P.results(spark, d)
+    r = P.saved_results(spark, d)
     return _round(M.headroom(r, P.runs(spark, d, r)), "recall1", "recall10", "gap", "beyond10")
 
 
@@ -172,7 +172,7 @@ def h14(spark, d):
  abs(avg(CASE WHEN b.rank = 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN a.rank = 1 THEN 1.0 ELSE 0.0 END)) <= 0.02 AND avg(CASE WHEN lower(coalesce(a.top1, '')) = lower(coalesce(b.top1, '')) THEN 1.0 ELSE 0.0 END) >= 0.95 AS consistent
  FROM {routed} a JOIN {routed} b ON b.id = a.id WHERE a.in_scope AND b.in_scope AND a.tag IN ('lemma', 'filtered') AND b.tag = 'sense' GROUP BY a.tag, b.tag""")
 def h15(spark, d):
-    r = P.results(spark, d)
+    r = P.saved_results(spark, d)
     return _round(K.cross_validation(r, P.runs(spark, d, r)), "agreement", "delta_r1")
 
 
@@ -197,7 +197,7 @@ _PC = {"source": "source", "reachable": "CASE WHEN NOT reachable THEN 'false' EL
 @query("h17_pair_counts", " UNION ALL ".join(f"SELECT 'set1' AS set_name, 'run' AS taken_from, '{n}' AS dimension, {v} AS value, count(*) AS n FROM {{queries}} GROUP BY {v}" for n, v in _PC.items()))
 def h17(spark, d):
     none = F.lit(None).cast("string")
-    r = P.results(spark, d).withColumn("leakage", none)
+    r = P.saved_results(spark, d).withColumn("leakage", none)
     sets = r.filter("false").withColumn("set_name", F.lit("gone"))
     return K.pair_counts(sets, r, P.runs(spark, d, r))
 

@@ -135,7 +135,7 @@ def a11(spark, d):
 
 @query("a12_run_store", "SELECT tag, id, rank FROM {results} WHERE tag <> 'lemma'")
 def a12(spark, d):
-    results = P.results(spark, d)
+    results = P.saved_results(spark, d)
     runs = P.runs(spark, d, results).withColumn("ran_at", F.when(F.col("tag") != "lemma", F.col("ran_at")))
     path = scratch(spark)
     T.write_run(results.select("tag", "id", "rank"), runs, path)
