@@ -33,11 +33,7 @@ MAX_QUERY_CHARS = 500
 
 # White space as a browser sees it: ASCII, no-break, zero-width mark and the Unicode spaces.
 SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
-_SPACE = f"[{SPACES}]"
-
-
-def _literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+_SPACE = "[\\s\\x0b\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def strip(text: Column) -> Column:
@@ -51,28 +47,29 @@ def norm(text: Column) -> Column:
 slug = norm
 
 
-def letter_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: t != "")
-
-
 def content_tokens(query: Column) -> Column:
-    stop = _literals(STOPWORDS)
-    return F.filter(
-        letter_tokens(query), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)
-    )
+    """Runs of at least three letters that are no stopwords."""
+    runs = F.regexp_extract_all(F.lower(query), F.lit("[a-z]{3,}"), F.lit(0))
+    return F.filter(runs, lambda t: ~t.isin(STOPWORDS))
 
 
 def _stems(tokens: Column) -> Column:
     return F.transform(F.filter(tokens, lambda t: F.length(t) >= 4), lambda t: F.substring(t, 1, 4))
 
 
+def word_stems(word: Column) -> Column:
+    """First four letters of each run of at least four letters."""
+    return F.transform(
+        F.regexp_extract_all(F.lower(word), F.lit("[a-z]{4,}"), F.lit(0)), lambda t: F.substring(t, 1, 4))
+
+
 def query_stems(query: Column) -> Column:
     """First four letters of each content token; compute once per query, not per hit."""
     return F.array_distinct(_stems(content_tokens(query)))
 
 
 def echoes_stems(word: Column, stems: Column) -> Column:
-    return F.arrays_overlap(_stems(letter_tokens(word)), stems)
+    return F.arrays_overlap(word_stems(word), stems)
 
 
 def echoes(word: Column, query: Column) -> Column:
@@ -102,12 +99,9 @@ def lexical_overlap(query: Column, target: Column) -> Column:
     )
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(strip(text), f"{_SPACE}+"), lambda t: t != "")
-
-
 def word_count(text: Column) -> Column:
-    return F.size(words_of(text))
+    trimmed = strip(text)
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{_SPACE}+")))
 
 
 def length_bucket(query: Column) -> Column:

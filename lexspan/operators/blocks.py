@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _RESCORE = 4096
+_QUERIES_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
@@ -84,35 +85,57 @@ class TopK:
             if probing is not None:
                 self._add(table.filter(pa.array(ids == list_id)), probing)
 
+    def _thin(self, table: pa.Table, x: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+        """Of many copies of one vector, only the first k by the tie keys can be returned."""
+        if len(x) <= self.k or self.queries.exclude is not None:
+            return table, x
+        x = np.ascontiguousarray(x)
+        _, code, count = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True, return_counts=True)
+        if count.max() <= self.k:
+            return table, x
+        keyed = table.append_column("code", pa.array(code)).append_column("at", pa.array(np.arange(len(x))))
+        keyed = keyed.select(["code", "word", "sense_key", "row", "at"]).sort_by(
+            [(c, "ascending") for c in ("code", "word", "sense_key", "row")])
+        if self.by_word:
+            keyed = _leading(keyed, ["code", "word"], 1)
+        at = np.sort(_leading(keyed, ["code"], self.k)["at"].to_numpy())
+        return table.take(pa.array(at)), x[at]
+
     def _add(self, table: pa.Table, chosen: np.ndarray) -> None:
-        x, q = matrix(table["vec"]), self.queries.vectors[chosen]
-        if x.shape[1] != q.shape[1]:
-            raise ValueError(f"vectors have {x.shape[1]} components, queries {q.shape[1]}")
-        scores = x @ q.T
+        table, x = self._thin(table, matrix(table["vec"]))
+        if x.shape[1] != self.queries.vectors.shape[1]:
+            raise ValueError(f"vectors have {x.shape[1]} components, queries {self.queries.vectors.shape[1]}")
+        for i in range(0, len(chosen), _QUERIES_AT_ONCE):
+            self._match(table, x, chosen[i : i + _QUERIES_AT_ONCE])
+
+    def _match(self, table: pa.Table, x: np.ndarray, chosen: np.ndarray) -> None:
+        q = self.queries.vectors[chosen]
+        scores = q @ x.T
         if self.queries.exclude is not None:
             # The excluded word must not take one of the k places.
-            word_codes = pc.index_in(table["word"], value_set=self.queries.exclude.take(pa.array(chosen)))
-            at = word_codes.to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(~np.isnan(at.astype(float)))
-            if len(hit):
-                names = self.queries.exclude.take(pa.array(chosen)).to_numpy(zero_copy_only=False)
-                words = table["word"].to_numpy()
-                for r in hit:
-                    scores[r, names == words[r]] = -np.inf
+            names = self.queries.exclude.take(pa.array(chosen))
+            at = pc.index_in(table["word"], value_set=names).is_valid().to_numpy()
+            words, names = table["word"].to_numpy(), names.to_numpy(zero_copy_only=False)
+            for r in np.flatnonzero(at):
+                scores[names == words[r], r] = -np.inf
         margin = 8 * x.shape[1] * np.finfo(float).eps * max(1e-300, np.sqrt((x**2).sum(axis=1)).max())
         slack = margin * self.lengths[chosen]
 
-        if self.by_word:
-            codes = pc.dictionary_encode(table["word"].combine_chunks()).indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
-            units = np.maximum.reduceat(scores[order], starts, axis=0)
-        else:
-            units = scores
         low = self.floor[chosen]
-        if len(units) > self.k:
-            low = np.maximum(low, np.partition(units, len(units) - self.k, axis=0)[len(units) - self.k])
-        rows, cols = np.nonzero((scores >= low - slack) & (scores > -np.inf))
+        able = scores >= (low - slack)[:, None]
+        if np.count_nonzero(able) > 4 * self.k * len(chosen):
+            # Few rows pass once the running floor is high; until then the block sets its own.
+            units = scores
+            if self.by_word:
+                codes = pc.dictionary_encode(table["word"].combine_chunks()).indices.to_numpy()
+                order = np.argsort(codes, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+                units = np.maximum.reduceat(scores[:, order], starts, axis=1)
+            n = units.shape[1]
+            if n > self.k:
+                low = np.maximum(low, np.partition(units, n - self.k, axis=1)[:, n - self.k])
+                able = scores >= (low - slack)[:, None]
+        cols, rows = np.nonzero(able & (scores > -np.inf))
         if len(rows) == 0:
             return
 

@@ -131,7 +131,8 @@ def d10(spark, d):
     return H.texts_digest(docs, H.levels_for(docs.count()))
 
 
-@query("d10_texts_digest_by_language")
+@query("d10_texts_digest_by_language", """SELECT lang, sha256(string_agg(piece, '' ORDER BY row)) AS sha256 FROM (
+ SELECT lang, doc_id // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY doc_id)) AS piece FROM {documents} GROUP BY lang, doc_id // 4096) GROUP BY lang""")
 def d10_lang(spark, d):
     docs = table(spark, d, "documents").select("lang", F.col("doc_id").alias("row"), "text")
     return H.texts_digest(docs, 2, ["lang"])
