@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,21 +40,41 @@ def rolling_counts(keyed: DataFrame, span_us: int) -> DataFrame:
     return counts_in_span(keyed.select("key", "at"), probes, ["key"], span_us, max(1, span_us // 24), "in_span")
 
 
+def _allow(at: np.ndarray, cap: int, span_us: int, recent: deque) -> np.ndarray:
+    """Which of a key's sorted requests are allowed; `recent` carries the allowed times on.
+
+    While the limit is used up, everything before the oldest allowed time leaves the span
+    is refused, so the search jumps there instead of looking at each request.
+    """
+    out = np.zeros(len(at), dtype=bool)
+    i = 0
+    while i < len(at):
+        while recent and recent[0] <= at[i] - span_us:
+            recent.popleft()
+        free = cap - len(recent)
+        if free <= 0:
+            i = int(np.searchsorted(at, recent[0] + span_us)) if recent else len(at)
+            continue
+        out[i : i + free] = True
+        recent.extend(at[i : i + free].tolist())
+        i += free
+    return out
+
+
 def _fold(span_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, recent = None, deque()
         for batch in batches:
-            allowed = []
-            for k, at, cap in zip(batch["key"].tolist(), batch["at"].tolist(), batch["cap"].tolist()):
-                if k != key:
-                    key, recent = k, deque()
-                while recent and recent[0] <= at - span_us:
-                    recent.popleft()
-                ok = len(recent) < cap
-                if ok:
-                    recent.append(at)
-                allowed.append(ok)
-            yield batch[["id"]].assign(allowed=allowed)
+            if not len(batch):
+                continue
+            keys, at, caps = batch["key"].to_numpy(), batch["at"].to_numpy(), batch["cap"].to_numpy()
+            allowed = np.zeros(len(batch), dtype=bool)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(batch)]):
+                if keys[lo] != key:
+                    key, recent = keys[lo], deque()
+                allowed[lo:hi] = _allow(at[lo:hi], int(caps[lo]), span_us, recent)
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "allowed": allowed})
 
     return run
 
@@ -62,8 +83,9 @@ def decide(keyed: DataFrame, span_us: int = DAY_US) -> DataFrame:
     """Allowed or refused, where only allowed requests use up the limit.
 
     A key that never has more requests in a span than its limit is allowed throughout,
-    which rolling counts settle without a fold. Only the other keys are read in order, as
-    a sorted stream that remembers at most `cap` times per key.
+    which rolling counts settle without a fold. A decision of any other key depends on
+    the decisions before it, so each such key is one sorted stream of times. A task
+    remembers at most `cap` of them and jumps over the stretches it must refuse.
     """
     counted = rolling_counts(keyed, span_us)
     busy = counted.filter(F.col("in_span") > F.col("cap")).select("key").distinct()
