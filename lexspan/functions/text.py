@@ -32,8 +32,8 @@ DERIVATIONS = [
 MAX_QUERY_CHARS = 500
 
 # White space as a browser sees it: ASCII, no-break, zero-width mark and the Unicode spaces.
-SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
-_SPACE = "[\\s\\x0b\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_RARE_SPACES = "\u00a0\ufeff\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = " \t\n\x0b\f\r" + _RARE_SPACES
 
 
 def strip(text: Column) -> Column:
@@ -100,16 +100,19 @@ def lexical_overlap(query: Column, target: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    trimmed = strip(text)
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{_SPACE}+")))
+    plain = strip(F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES)))
+    # An empty text splits into one empty piece.
+    return F.size(F.split(plain, r"\s+")) - (plain == "").cast("int")
+
+
+# Query length classes by word count.
+LENGTHS = ["<=8 words", "9-12 words", "13-16 words", "17+ words"]
 
 
 def length_bucket(query: Column) -> Column:
-    n = word_count(query)
-    return (
-        F.when(n <= 8, "<=8 words").when(n <= 12, "9-12 words")
-        .when(n <= 16, "13-16 words").otherwise("17+ words")
-    )
+    """Class of at most 8, 12, 16 or more words. A lookup by count, so the count is taken once."""
+    by_count = [LENGTHS[(n > 8) + (n > 12) + (n > 16)] for n in range(18)]
+    return F.element_at(F.array(*[F.lit(label) for label in by_count]), F.least(word_count(query), F.lit(17)) + 1)
 
 
 def token_class(target: Column) -> Column:
