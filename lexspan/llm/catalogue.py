@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from lexspan.llm import mixing, secret_scan  # noqa: F401
+from lexspan.llm import bag_minhash, chat_format, language_id, mixing, pii, quality_rules, secret_scan  # noqa: F401
 from lexspan.llm.common import ORACLES, QUERIES  # noqa: F401
