@@ -30,6 +30,7 @@ from lexspan.llm.common import learn_fold, query, table
 SIZE = 300
 MAX_ROWS = 20_000
 UNKNOWN = "und"
+LEAST_SCORE = 0.2
 _SHIFT = np.int64(21)  # a code point has at most 21 bits, so three fit a signed 64-bit code
 _BLANK = 0x20
 _letters: np.ndarray | None = None
@@ -153,6 +154,22 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return rows.mapInArrow(_predictor(profiles), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _keeper(profiles: Profiles, least: float) -> Callable:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.nearest(text.as_py()) for text in batch["text"]]
+            at = batch.schema.names.index("lang")
+            named = batch.set_column(at, batch.schema.field(at), pa.array([lang for lang, _ in found], batch.schema.field(at).type))
+            yield named.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return keep
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose language is known with a score of `least` or more; `lang` becomes it."""
+    return docs.mapInArrow(_keeper(profiles, least), docs.schema)
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""

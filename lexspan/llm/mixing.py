@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from lexspan.llm.common import WORD, landed, query, table
+from lexspan.llm.common import SPACE, WORD, landed, query, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -101,8 +101,11 @@ def take(docs: DataFrame, seed: int = 0) -> DataFrame:
     return taken(sized, seed)
 
 
-def taken(sized: DataFrame, seed: int = 0) -> DataFrame:
-    """As `take`, from rows doc_id, source, size and any others, which are kept."""
+def taken(sized: DataFrame, seed: int = 0, ties: tuple[str, ...] = ()) -> DataFrame:
+    """As `take`, from rows doc_id, source, size and any others, which are kept.
+
+    Rows of a source with equal id and size are ordered by `ties`.
+    """
     goals = targets(sized)
     awarded = quotas(goals).groupBy(F.col("source").alias("_s")).agg(
         F.max("block").alias("_block"), F.max("seats").alias("_seats"))
@@ -117,7 +120,7 @@ def taken(sized: DataFrame, seed: int = 0) -> DataFrame:
     ahead = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offset = totals.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"),
                            F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("source", "_bucket").orderBy("_code", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_bucket").orderBy("_code", "size", *ties).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offset, F.equal_null("source", F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     # A row per source, of which there are few beside documents: Spark broadcasts it if small.
@@ -130,6 +133,32 @@ def taken(sized: DataFrame, seed: int = 0) -> DataFrame:
     return out.select(*sized.columns, "source_size", "target", "taken")
 
 
+def leading_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.split(text, rf"(?<=[^{SPACE}])(?=[{SPACE}])", -1)
+    return F.array_join(F.slice(pieces, F.lit(1), n), "")
+
+
+def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mixed documents, with the columns of the input: a row for every use of a document.
+
+    A document at the cut of its source is shortened to the words that the mix takes;
+    `n_chars`, where present, follows the text. Documents without words are left out.
+    """
+    numbered = landed(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), "numbered")
+    sized = landed(numbered.select(
+        "id", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"),
+        word_count(F.col("row.text")).alias("size"), F.md5("row.text").alias("tie")), "sizes")
+    plan = taken(sized, seed, ("tie", "id")).filter("taken > 0").select(
+        "id", F.floor(F.col("taken") / F.col("size")).cast("int").alias("full"), (F.col("taken") % F.col("size")).cast("int").alias("rest"))
+    used = numbered.join(plan, "id")
+    part = F.when(F.col("rest") > 0, F.array(leading_words(F.col("row.text"), F.col("rest")))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("full")), part)
+    rows = used.select("row", F.explode(texts).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 _SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

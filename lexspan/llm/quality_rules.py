@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.llm import textkit as tk
-from lexspan.llm.common import learn_fold, query, sample_rows, table
+from lexspan.llm.common import query, table, training_rows
 
 BITS = 15
 BINS = 1 << BITS
@@ -153,14 +153,6 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, label, text of at most `max_rows` labelled documents outside the held-out fold."""
-    wanted = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learn_fold(F.col("doc_id")))
-    wanted = sample_rows(wanted.select("doc_id", F.col("quality").cast("int").alias("label")).distinct(), F.col("doc_id"), max_rows)
-    # At most `max_rows` pairs of numbers: a proven bound for the broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rounds: int = 150) -> Model:
     """Train on labelled rows; every fifth of them, by hash, calibrates instead."""
     rows = training_rows(docs, labels, max_rows).mapInArrow(
