@@ -9,8 +9,9 @@ spans are always kept; a selected candidate is added if it overlaps no base span
 overlapping candidates the best stays.
 
 Nobody has marked spans, so the trees learn from the base formats: candidates inside base
-spans are positive, other candidates negative, and every base span is also rewritten into
-other ways to write the same thing, in its own context. At most `max_docs` documents are
+spans are positive, other candidates negative, and every base span is also rewritten, in its
+own context, into other ways to write the same thing (positive) and into dates, amounts and
+book numbers with its digits (negative). At most `max_docs` documents are
 used for that, chosen by hash; candidates, not texts, reach the driver. Finding is one scan
 without a shuffle.
 
@@ -36,7 +37,7 @@ from lexspan.llm.common import query, table
 BASE = ("email", "ip", "card", "phone")
 MAX_DOCS = 3000
 PRECISION = 0.98
-ROUNDS, DEPTH, BINS = 40, 3, 16
+ROUNDS, DEPTH, BINS = 60, 3, 16
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -126,6 +127,8 @@ def features(text: str, span: tuple[int, str, int], near: int) -> list[float]:
         bool(digits) and luhn(digits), max(parts, default=-1), len(set(digits)), s.count("."),
         bool(re.search(r"[\[(]\x20?(?:at|dot)", s)), " at " in s, bool(re.search(r"\.[a-z]{2,6}$", s)), bool(re.search(r"(?:dot|\])\x20?\)?\x20?[a-z]{2,4}$", s)),
         bool(before) and not before[-1].isspace(), bool(after) and not after[0].isspace(), before[-1:] in ".-/:=#$", after[:1] in "/-:%",
+        bool(re.search(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}", s)), s.startswith(("978", "979")),
+        len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, s.startswith(("00", "(")), len(groups) > 2 and len(set(map(len, groups[1:]))) == 1,
         bool(_HINTS.search(before)), bool(_ODD.search(before)), sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), min(near, 5),
     ]
 
@@ -191,8 +194,10 @@ def rewritten(kind: str, value: str) -> list[str]:
     """Other ways to write the value of a base span."""
     digits = _digits(value)
     if kind == "email":
-        local, _, host = value.partition("@")
-        return [f"{local} [at] {host.replace('.', ' [dot] ')}", f"{local} (at) {host}", f"{local}(at){host.replace('.', '(dot)')}", f"{local} @ {host}"]
+        # With its digits, and with letters instead.
+        named = [v.partition("@")[::2] for v in (value, re.sub("[0-9]", lambda m: "abcdefghij"[int(m[0])], value))]
+        return [form for local, host in named for form in (
+            f"{local} [at] {host.replace('.', ' [dot] ')}", f"{local} (at) {host}", f"{local}(at){host.replace('.', '(dot)')}", f"{local} @ {host}")]
     if kind == "phone":
         d = digits[-10:]
         return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:-10]} {d[:3]} {d[3:6]} {d[6:]}"]
@@ -201,6 +206,16 @@ def rewritten(kind: str, value: str) -> list[str]:
     return [value.replace(".", " . "), value.replace(".", ", ")]
 
 
+def ordinary(value: str) -> list[str]:
+    """Texts with the digits of a base span that are no personal data."""
+    d = (_digits(value) * 16)[:16]
+    year, month, day = f"20{d[2:4]}", f"{int(d[4:6]) % 12 + 1:02}", f"{int(d[6:8]) % 28 + 1:02}"
+    clock = f"{int(d[8:10]) % 24:02}:{int(d[10:12]) % 60:02}"
+    return [f"{year}-{month}-{day} {clock}", f"{day}.{month}.{year} {clock}", f"{year}/{month}/{day} {day}", f"{d[0]},{d[1:4]},{d[4:7]},{d[7:10]}",
+            f"{d[0:2]} {d[2:5]} {d[5:8]} {d[8:11]}", f"978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]}", f"{year}-{int(year) + 5} {day} {month}",
+            f"{year}{month}{day}{d[8:12]}", f"{d[0]}.{d[1:4]}.{d[4:7]}.{d[7:10]}.{d[10:13]}"]
+
+
 def _examples(text: str) -> Iterator[tuple[list[float], int]]:
     """Features and label of every candidate of a text and of its rewritten base spans."""
     base = base_spans(text)
@@ -222,6 +237,13 @@ def _examples(text: str) -> Iterator[tuple[list[float], int]]:
             for c in spans:
                 if WIDER[c[1]][1] == kind and c[0] < end and start < c[2]:
                     yield features(changed, c, near(spans, c)), 1
+        for form in ordinary(text[s:e]) if _digits(text[s:e]) else ():
+            changed = text[max(0, s - 80) : s] + form + text[e : e + 80]
+            start, end = min(s, 80), min(s, 80) + len(form)
+            spans, plain = candidates(changed), base_spans(changed)
+            for c in spans:
+                if c[0] < end and start < c[2] and not any(b[0] < c[2] and c[0] < b[2] for b in plain):
+                    yield features(changed, c, near(spans, c)), 0
 
 
 def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

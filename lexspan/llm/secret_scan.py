@@ -70,7 +70,13 @@ def find(docs: DataFrame) -> DataFrame:
                               for k, (p, _, _) in {**BASE, **WIDER}.items()])
     rows = rows.select("doc_id", "owner", "repo", *[_candidates("_text", k).alias(k) for k in KINDS])
     rows = rows.select("doc_id", "owner", "repo", F.array_sort(F.concat(*BASE)).alias("base"), F.concat(*WIDER).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+    def meets(a: Column, b: Column) -> Column:
+        return (b["start"] < a["end"]) & (a["start"] < b["end"])
+
+    # A wider candidate gives way to base spans, and the least specific kind to all others.
+    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: meets(m, b)) & ~(
+        (m["kind"] == "opaque") & F.exists("more", lambda b: (b["kind"] != "opaque") & meets(m, b))))
     hashed = [F.transform(c, lambda x: F.struct(x["start"], x["order"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("hash")))
               for c in (F.col("base"), apart)]
     return rows.select("doc_id", "owner", "repo", hashed[0].alias("base"), hashed[1].alias("more"))
@@ -157,7 +163,7 @@ WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, sourc
 found AS ({" UNION ALL ".join(parts)}),
 kept AS (
   SELECT f.*, d.owner, f.kind IN ({base}) AS is_base FROM found f JOIN docs d USING (rid)
-  WHERE f.kind IN ({base}) OR NOT EXISTS (SELECT 1 FROM found b WHERE b.rid = f.rid AND b.kind IN ({base})
+  WHERE f.kind IN ({base}) OR NOT EXISTS (SELECT 1 FROM found b WHERE b.rid = f.rid AND (b.kind IN ({base}) OR (f.kind = 'opaque' AND b.kind <> 'opaque'))
     AND b."start" < f."end" AND f."start" < b."end")),
 owned AS (SELECT value, count(DISTINCT owner) + max((owner IS NULL)::INT) AS owners FROM kept GROUP BY value),
 spans AS (

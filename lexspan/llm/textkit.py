@@ -71,7 +71,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
     """Blocks of about `limit` bytes with their row range. A null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if n == 0:
         return
