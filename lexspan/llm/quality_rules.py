@@ -30,7 +30,7 @@ from lexspan.llm.common import query, table, training_rows
 
 BITS = 15
 BINS = 1 << BITS
-MAX_ROWS = 4000
+MAX_ROWS = 2500
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 KEEP_FROM = 0.5
