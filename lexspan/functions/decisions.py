@@ -21,21 +21,34 @@ NOT_LEMMA = 0.7
 def mcnemar_p(losses: Column, wins: Column) -> Column:
     """Exact two-sided paired test: twice the lower binomial tail at one half, at most 1."""
     n = (losses + wins).cast("double")
-    low = F.least(losses, wins).cast("int")
-    start = F.struct(F.lit(0.0).alias("logc"), F.lit(0.0).alias("total"))
+    low = F.least(losses, wins).cast("double")
+    largest = log_gamma(n + 1) - log_gamma(low + 1) - log_gamma(n - low + 1) + n * math.log(0.5)
+    # From the largest term down; below 12 square roots of n the rest is under e ** -288.
+    reach = F.least(low, F.ceil(12 * F.sqrt(n)) + 40).cast("long")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, i: Column) -> Column:
-        x = i.cast("double")
-        logc = F.when(i == 0, F.lit(0.0)).otherwise(acc["logc"] + F.log((n - x + 1) / x))
-        return F.struct(
-            logc.alias("logc"),
-            (acc["total"] + F.exp(logc + n * math.log(0.5))).alias("total"),
-        )
+        smaller = acc["term"] * (low - i) / (n - low + i + 1)
+        return F.struct(smaller.alias("term"), (acc["total"] + acc["term"]).alias("total"))
 
-    tail = F.aggregate(F.sequence(F.lit(0), low), start, step)["total"]
+    tail = F.exp(largest) * F.aggregate(F.sequence(F.lit(0).cast("long"), reach), start, step)["total"]
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail * 2))
 
 
+# Lanczos' coefficients for g = 7.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+            12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x of 1 or more."""
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:]):
+        series = series + c / (x + i)
+    t = x + 6.5
+    return 0.5 * math.log(2 * math.pi) + (x - 0.5) * F.log(t) - t + F.log(series)
+
+
 def verdict(delta: Column, p: Column) -> Column:
     """The rule agreed beforehand: small gains are a null result even when significant."""
     return (

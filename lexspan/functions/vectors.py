@@ -23,8 +23,10 @@ def norm(vec: Column) -> Column:
 
 def normalise(vec: Column) -> Column:
     """Unit vector; the zero vector stays as it is."""
-    length = norm(vec)
-    return F.when(length > 0, F.transform(as_double(vec), lambda x: x / length)).otherwise(as_double(vec))
+    # The length is one argument, computed once; inside the lambda it would be computed again
+    # for every component.
+    same = F.array_repeat(norm(vec), F.size(vec))
+    return F.zip_with(as_double(vec), same, lambda x, length: F.when(length > 0, x / length).otherwise(x))
 
 
 def cosine(a: Column, b: Column) -> Column:

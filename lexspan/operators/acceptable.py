@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexspan.functions import text as X
-from lexspan.operators.cells import refuse_if_any
 
 
 def _distinct_members(glosses: DataFrame) -> DataFrame:
@@ -88,6 +87,28 @@ def review_removals(glosses: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("rule", rule).filter("rule is not null").select("sense_key", "word", "kept", "rule")
 
 
+def target_variants(glosses: DataFrame, targets: DataFrame) -> DataFrame:
+    """Spellings of the target itself that clean-up drops from its own list: target, sense_key, word."""
+    entries = worklist_entries(glosses, targets)
+    members = worklist_members(glosses, entries).withColumn("base", F.lower("word"))
+    same = entries.select("target", "sense_key", F.lower("target").alias("base"))
+    return members.join(same, ["sense_key", "base"]).filter("word <> target").select("target", "sense_key", "word")
+
+
+def mates_of(glosses: DataFrame, targets: DataFrame, target: str) -> DataFrame:
+    """One target's worklist: its mates in each synset, in string order."""
+    entries = worklist_entries(glosses, targets.filter(F.col("word") == target))
+    members = worklist_members(glosses, entries).filter(F.col("word") != target)
+    return members.select(F.lit(target).alias("target"), "sense_key", F.col("word").alias("mate")).orderBy("sense_key", "mate")
+
+
+def candidates_of(glosses: DataFrame, targets: DataFrame, target: str) -> DataFrame:
+    """One target's review list: surviving candidates of each synset without its own case group, in string order."""
+    mine = targets.filter(F.col("word") == target)
+    kept = review_candidates(glosses, mine).filter(F.lower("candidate") != target.lower())
+    return kept.select(F.lit(target).alias("target"), "sense_key", "candidate").orderBy("sense_key", "candidate")
+
+
 def report_totals(review: DataFrame) -> DataFrame:
     names = ["before", "after", "target_case_variants", "case_duplicates", "symbol_forms"]
     return review.agg(F.countDistinct("target").alias("targets"), F.count("*").alias("groups"),
@@ -118,12 +139,12 @@ def merge_entries(draft: DataFrame, proposals: DataFrame, key: str = "position")
 def merge_accepted(draft: DataFrame, proposals: DataFrame, key: str = "position") -> DataFrame:
     """The draft with merged cells, and how many entries were added and kept per row.
 
-    A cell is one text, so a row with more than MAX_CELL entries is refused; its entries
-    stay available as rows from `merge_entries`.
+    A cell is one text. A row with more than MAX_CELL entries keeps its cell here and counts
+    nothing as added; `overlong_entries` gives its merged entries as rows.
     """
     entries = merge_entries(draft, proposals, key)
     sizes = entries.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("part") == 1).alias("_added"))
-    refuse_if_any(sizes.filter(F.col("n") > MAX_CELL), f"rows with more than {MAX_CELL} entries")
+    sizes = sizes.filter(F.col("n") <= MAX_CELL)
     changed = entries.join(sizes.filter("_added > 0").select(key), key, "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("part", "place", "entry")))
     cells = changed.groupBy(key).agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), ", ").alias("_cell"))
@@ -138,6 +159,13 @@ def merge_accepted(draft: DataFrame, proposals: DataFrame, key: str = "position"
         F.when(F.col("_offered"), F.size(X.split_csv(F.col("acceptable")))).otherwise(0).alias("kept"))
 
 
+def overlong_entries(draft: DataFrame, proposals: DataFrame, key: str = "position") -> DataFrame:
+    """Merged entries, as rows, of the draft rows that are too long for one cell."""
+    entries = merge_entries(draft, proposals, key)
+    long = entries.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > MAX_CELL).select(key)
+    return entries.join(long, key, "left_semi")
+
+
 def merge_summary(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if(F.col("added") > 0).alias("rows_changed"), F.sum("added").alias("entries_added"),
                       F.sum("kept").alias("entries_kept"))

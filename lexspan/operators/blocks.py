@@ -32,10 +32,22 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
+    if len(np.unique(column.value_lengths().to_numpy(zero_copy_only=False))) > 1:
+        raise ValueError("vectors of unequal length")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
+def sound(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Which rows are vectors of `dim` finite components; the others cannot be scored."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    bad = ~np.isfinite(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    spoilt = np.bincount(np.repeat(np.arange(len(column)), lengths), weights=bad, minlength=len(column)) > 0
+    return (lengths == dim) & ~spoilt
+
+
 def left_to_right(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise dot products, each summed in component order."""
     out = np.empty(len(a))
@@ -73,9 +85,22 @@ class TopK:
         self.kept: pa.Table | None = None
 
     def add(self, table: pa.Table) -> None:
-        """`table`: word, sense_key, row, vec and, for list search, list_id."""
+        """`table`: word, sense_key, row, vec and, for list search, list_id.
+
+        Rows that are not vectors of the queries' length with finite components take no part;
+        `search.unusable` lists them.
+        """
         if table.num_rows == 0 or len(self.queries.vectors) == 0:
             return
+        dim = self.queries.vectors.shape[1]
+        fine = sound(table["vec"], dim)
+        if not fine.all():
+            lengths = table["vec"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            if not (lengths == dim).any():
+                raise ValueError(f"vectors have {lengths[0]} components, queries {dim}")
+            table = table.filter(pa.array(fine))
+            if table.num_rows == 0:
+                return
         if self.queries.lists is None:
             self._add(table, np.arange(len(self.queries.vectors)))
             return
@@ -113,11 +138,10 @@ class TopK:
         scores = q @ x.T
         if self.queries.exclude is not None:
             # The excluded word must not take one of the k places.
-            names = self.queries.exclude.take(pa.array(chosen))
-            at = pc.index_in(table["word"], value_set=names).is_valid().to_numpy()
-            words, names = table["word"].to_numpy(), names.to_numpy(zero_copy_only=False)
-            for r in np.flatnonzero(at):
-                scores[names == words[r], r] = -np.inf
+            names = self.queries.exclude.take(pa.array(chosen)).dictionary_encode()
+            code = pc.index_in(table["word"].combine_chunks(), value_set=names.dictionary).fill_null(-1).to_numpy()
+            mine = names.indices.fill_null(-2).to_numpy()
+            scores[mine[:, None] == code[None, :]] = -np.inf
         margin = 8 * x.shape[1] * np.finfo(float).eps * max(1e-300, np.sqrt((x**2).sum(axis=1)).max())
         slack = margin * self.lengths[chosen]
 

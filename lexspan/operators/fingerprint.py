@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lexspan.operators.scale import number_by_order
+from lexspan.session import freeze
+
 BLOCK = 4096
 
 
@@ -51,25 +54,37 @@ def _hash_blocks(df: DataFrame, group: list[str]) -> DataFrame:
     return placed.mapInArrow(run, schema).withColumnRenamed("block", "row")
 
 
-def levels_for(rows: int) -> int:
-    levels, reach = 1, BLOCK
-    while reach < rows:
-        levels, reach = levels + 1, reach * BLOCK
-    return levels
+def _dense(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with `row` replaced by its dense number in its group, from 0.
+
+    Only keys and numbers are sorted and numbered; the texts meet them in a join.
+    """
+    placed = number_by_order(rows.select(*keys, "row"), [*keys, "row"], "_at")
+    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    same = F.struct(*keys)
+    numbered = placed.withColumn("_k", same).join(first.select(same.alias("_k"), "_first"), "_k").select(
+        F.struct(*keys, "row").alias("_k"), (F.col("_at") - F.col("_first")).alias("_row"))
+    return rows.withColumn("_k", F.struct(*keys, "row")).join(numbered, "_k").select(*keys, F.col("_row").alias("row"), "text")
 
 
-def texts_digest(rows: DataFrame, levels: int, group: list[str] | None = None) -> DataFrame:
-    """Fingerprint of `text` in `row` order (dense, from 0), each text ended by a NUL.
+def texts_digest(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Fingerprint of `text` in the order of a unique `row`: one digest per group at any size.
 
-    Up to BLOCK rows it is the plain SHA-256 of the stream. Above that it is a tree:
-    block hashes are hashed again, BLOCK at a time, so no task ever holds more than
-    BLOCK hashes. `levels` comes from `levels_for` on the row count.
+    Rows are numbered densely in each group. Blocks of BLOCK texts, each ended by a NUL, are
+    hashed; block hashes are hashed again, BLOCK at a time, at least once and until one is
+    left. No task ever holds more than BLOCK hashes.
     """
-    group = group or []
-    out = _hash_blocks(rows, group)
-    for _ in range(levels - 1):
-        out = _fold(out, group)
-    return out.select(*group, F.col("piece").alias("sha256"))
+    keys = ["_all", *(group or [])]
+    pieces = _fold(_hash_blocks(_dense(rows.withColumn("_all", F.lit(0)), keys), keys), keys)
+    while True:
+        pieces = freeze(pieces)
+        counts = pieces.groupBy(*keys).agg(F.count("*").alias("_n"))
+        if counts.filter("_n > 1").isEmpty():
+            return pieces.select(*(group or []), F.col("piece").alias("sha256"))
+        same = F.struct(*keys)
+        marked = pieces.withColumn("_k", same).join(counts.select(same.alias("_k"), "_n"), "_k")
+        cols = pieces.columns
+        pieces = marked.filter("_n = 1").select(*cols).unionByName(_fold(marked.filter("_n > 1").select(*cols), keys).select(*cols))
 
 
 def vector_bytes_hash(df: DataFrame, keep: list[str], vec: str = "vec") -> DataFrame:
@@ -90,7 +105,7 @@ def vector_bytes_hash(df: DataFrame, keep: list[str], vec: str = "vec") -> DataF
     return src.mapInArrow(run, schema)
 
 
-def vectors_digest(cell: DataFrame, levels: int, group: list[str] | None = None) -> DataFrame:
+def vectors_digest(cell: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Fingerprint of a cell's vectors in row order: the tree over per-vector hashes."""
     group = group or []
-    return texts_digest(vector_bytes_hash(cell, [*group, "row"]), levels, group)
+    return texts_digest(vector_bytes_hash(cell, [*group, "row"]), group)

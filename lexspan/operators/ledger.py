@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ SAVE_CREDITS = 2
 SHARE_CREDITS = 3
 MIN_BET, MAX_BET = 10, 500
 LEADERS = 10
+MAX_AWARD = 1e15
 ANONYMOUS = "Anonymous"
 
 
@@ -38,7 +40,9 @@ def settle_events(rounds: DataFrame) -> DataFrame:
 def award_events(awards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Awards split into accepted ledger events and rejected rows. `awards`: amount as text, reason."""
     amount = F.col("amount").cast("string").try_cast("double")
-    ok = F.coalesce(amount > 0, F.lit(False))
+    # Whole numbers that a double holds exactly; fractions, NaN and infinities are refused.
+    whole = (amount > 0) & (amount <= MAX_AWARD) & (amount == F.floor(amount))
+    ok = F.coalesce(whole & ~F.isnan(amount), F.lit(False))
     good = awards.filter(ok).select(
         "user_id", "ts", "id", F.lit("award").alias("kind"), amount.cast("long").alias("delta"))
     bad = awards.filter(~ok).select("id", "amount", F.lit("Invalid amount").alias("error"))
@@ -87,81 +91,109 @@ def fixed_awards(events: DataFrame, kind: str, amount: int) -> DataFrame:
     return events.select("user_id", "ts", "id", F.lit(kind).alias("kind"), F.lit(amount).cast("long").alias("delta"))
 
 
-def ledger_events(lookups: DataFrame, saves: DataFrame, shares: DataFrame, rounds: DataFrame) -> DataFrame:
-    """All balance changes of all users."""
+def ledger_events(lookups: DataFrame, saves: DataFrame, shares: DataFrame, rounds: DataFrame, awards: DataFrame) -> DataFrame:
+    """All balance changes of all users. Refused awards change nothing."""
     daily = daily_awards(lookups).select(
         "user_id", "ts", "id", F.lit("lookup").alias("kind"), F.col("award").cast("long").alias("delta"))
     return (
         settle_events(rounds).unionByName(daily)
         .unionByName(fixed_awards(save_transitions(saves), "save", SAVE_CREDITS))
         .unionByName(fixed_awards(shares, "share", SHARE_CREDITS))
+        .unionByName(award_events(awards)[0])
     )
 
 
-class BalanceMap:
-    """What a run of events does to any positive starting balance.
+def balance_map(deltas: np.ndarray, bound: int) -> tuple[list[int], list[int], int, int]:
+    """What a run of events does to a starting balance of 1 to `bound`: limits, ends, shift, top.
 
-    Starts up to `limits[i]` go bankrupt in the run and end at `ends[i]`; larger starts
-    are shifted by `shift`. Neighbouring pieces with equal ends are merged, so the map
-    stays short: after a reset the starts no longer matter.
+    Starts up to `limits[i]` (and above the limit before) end at `ends[i]`; starts above `top`
+    never go bankrupt and end at start + `shift`. A start goes bankrupt first where the running
+    sum first falls that low, and from there on it no longer matters: the end after a reset at
+    one place is the end after the next place where the sum has lost BANKRUPT_CREDITS more.
+    So there are at most `bound` limits, whatever the number of events.
     """
+    sums = np.cumsum(deltas)
+    lows = np.minimum.accumulate(sums)
+    shift, top = int(sums[-1]), max(0, -int(lows[-1]))
+    resets = np.flatnonzero((lows < 0) & (lows < np.r_[0, lows[:-1]]))
+    resets = resets[np.r_[True, -lows[resets][:-1] < bound]] if len(resets) else resets
+    if len(resets) == 0:
+        return [], [], shift, top
+    # Ends after a reset, from the last event back. `later` holds places in the order of rising
+    # sums, each lower than all between it and the current one.
+    ends, height, place = {}, [], []
+    values, wanted = sums.tolist(), set(resets.tolist())
+    following = {}
+    for i in range(len(values) - 1, int(resets[0]) - 1, -1):
+        at = bisect.bisect_right(height, values[i] - BANKRUPT_CREDITS)
+        following[i] = place[at - 1] if at else -1
+        while height and height[-1] >= values[i]:
+            height.pop(), place.pop()
+        height.append(values[i]), place.append(i)
+        ends[i] = ends[following[i]] if following[i] >= 0 else BANKRUPT_CREDITS + shift - values[i]
+    limits, out = [], []
+    for i in sorted(wanted):
+        if out and out[-1] == ends[i]:
+            limits[-1] = -values[i]
+        else:
+            limits.append(-values[i]), out.append(ends[i])
+    return limits, out, shift, top
 
-    def __init__(self) -> None:
-        self.limits: list[int] = []
-        self.ends: list[int] = []
-        self.shift = 0
-        self.top = 0
-
-    def add(self, delta: int) -> None:
-        self.ends = [e + delta if e + delta > 0 else BANKRUPT_CREDITS for e in self.ends]
-        self.shift += delta
-        if -self.shift > self.top:
-            self.top = -self.shift
-            self.limits.append(self.top)
-            self.ends.append(BANKRUPT_CREDITS)
-        if len(self.ends) > 1 and any(a == b for a, b in zip(self.ends, self.ends[1:])):
-            keep = [i for i in range(len(self.ends)) if i + 1 == len(self.ends) or self.ends[i] != self.ends[i + 1]]
-            self.limits = [self.limits[i] for i in keep]
-            self.ends = [self.ends[i] for i in keep]
-
-    def __call__(self, start: int) -> int:
-        for limit, end in zip(self.limits, self.ends):
-            if start <= limit:
-                return end
-        return start + self.shift
-
-
-_PLACED = "user_id long, ts timestamp, id long, kind string, delta long, part int"
-_EDGE = "part int, user_id long, place int, limits array<long>, ends array<long>, shift long, top long"
-
-
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Balance maps of the first and the last user of a partition."""
-    first = last = part = None
-    user_first = user_last = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        users, deltas = batch["user_id"].to_numpy(), batch["delta"].tolist()
-        part = int(batch["part"].iat[0])
-        if user_first is None:
-            user_first = user_last = users[0]
-            first = last = BalanceMap()
-        # Only the user carried in and the user carried out of a batch can sit on an edge.
-        head = int(np.argmax(users != user_last)) if (users != user_last).any() else len(users)
-        for delta in deltas[:head]:
-            last.add(delta)
-        if head < len(users):
-            user_last, last = users[-1], BalanceMap()
-            for delta in deltas[int(np.argmax(users == user_last)) :]:
-                last.add(delta)
-    if part is None:
-        return
-    found = [(part, user_first, 0, first)] + ([(part, user_last, 1, last)] if last is not first else [])
-    yield pd.DataFrame(
-        [(p, u, n, m.limits, m.ends, m.shift, m.top) for p, u, n, m in found],
-        columns=["part", "user_id", "place", "limits", "ends", "shift", "top"],
-    )
+
+def mapped(start: int, limits: list[int], ends: list[int], shift: int) -> int:
+    at = bisect.bisect_left(limits, start)
+    return ends[at] if at < len(limits) else start + shift
+
+
+_EDGE = "part int, user_id long, place int, gains long, limits array<long>, ends array<long>, shift long, top long"
+
+
+def _edges(bounds: dict[int, int] | None):
+    """The first and the last user of a partition: their gains or, with `bounds` (the largest
+    balance with which each partition can be entered), their balance maps."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: list[np.ndarray] = []
+        last: list[np.ndarray] = []
+        part = user_first = user_last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            users, deltas = batch["user_id"].to_numpy(), batch["delta"].to_numpy()
+            part = int(batch["part"].iat[0])
+            if user_first is None:
+                user_first = user_last = users[0]
+                last = first
+            # Only the user carried in and the user carried out of a batch can sit on an edge.
+            head = int(np.argmax(users != user_last)) if (users != user_last).any() else len(users)
+            last.append(deltas[:head])
+            if head < len(users):
+                user_last, last = users[-1], [deltas[int(np.argmax(users == users[-1])) :]]
+        if part is None:
+            return
+        rows = []
+        for user, place, parts in [(user_first, 0, first)] + ([(user_last, 1, last)] if last is not first else []):
+            deltas = np.concatenate(parts)
+            gains = int(deltas[deltas > 0].sum())
+            # The last user starts here, with a known balance.
+            found = ([], [], 0, 0) if bounds is None else balance_map(deltas, bounds[part] if place == 0 else START_CREDITS)
+            rows.append((part, user, place, gains, *found))
+        yield pd.DataFrame(rows, columns=["part", "user_id", "place", "gains", "limits", "ends", "shift", "top"])
+
+    return run
+
+
+def _bounds(edges: list) -> dict[int, int]:
+    """The largest balance with which each partition's first user can enter it."""
+    out: dict[int, int] = {}
+    user, most = None, START_CREDITS
+    for row in sorted(edges, key=lambda r: (r["part"], r["place"])):
+        if row["user_id"] != user:
+            user, most = row["user_id"], START_CREDITS
+        if row["place"] == 0:
+            out[row["part"]] = most
+        # A reset can lift a balance, but never above BANKRUPT_CREDITS.
+        most = max(most, BANKRUPT_CREDITS) + row["gains"]
+    return out
 
 
 def _carry(edges: list) -> dict[int, tuple[int, int]]:
@@ -173,9 +205,7 @@ def _carry(edges: list) -> dict[int, tuple[int, int]]:
             starts[row["part"]] = (user, balance)
         else:
             user, balance = row["user_id"], START_CREDITS
-        m = BalanceMap()
-        m.limits, m.ends, m.shift, m.top = list(row["limits"]), list(row["ends"]), row["shift"], row["top"]
-        balance = m(balance)
+        balance = mapped(balance, row["limits"], row["ends"], row["shift"])
     return starts
 
 
@@ -183,8 +213,10 @@ def settle(events: DataFrame) -> DataFrame:
     """Balance after every event: add the change, and reset to the bankrupt balance at or below 0.
 
     Events are sorted by user and time over range partitions, so a busy user spans many
-    partitions. A first pass sums up what a partition does to its first and last user
-    (two rows per partition reach the driver), a second pass replays with known starts.
+    partitions. One pass adds up the gains of each partition's first and last user, which
+    bounds the balance it can be entered with; the next sums up what it does to balances up
+    to that bound (two rows per partition reach the driver each time); the last replays with
+    known starts.
     """
     slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["user_id", "ts", "id", "kind"]
@@ -193,7 +225,8 @@ def settle(events: DataFrame) -> DataFrame:
         .repartitionByRange(slots, *order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
     )
-    starts = _carry(placed.mapInPandas(_edges, _EDGE).collect())
+    bounds = _bounds(placed.mapInPandas(_edges(None), _EDGE).collect())
+    starts = _carry(placed.mapInPandas(_edges(bounds), _EDGE).collect())
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, balance = None, START_CREDITS

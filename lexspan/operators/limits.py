@@ -20,6 +20,7 @@ NO_ADDRESS = "127.0.0.1"
 # What a refused caller is told.
 GUEST_MESSAGE = "Daily limit of 50 free lookups reached. Sign in for 200 lookups/day."
 USER_MESSAGE = "Daily limit of 200 lookups reached. Try again tomorrow."
+GAME_MESSAGE = "Too many games. Please wait before playing again."
 
 
 def keyed_requests(requests: DataFrame, guest_limit: int = GUEST_LIMIT, user_limit: int = USER_LIMIT) -> DataFrame:
@@ -34,6 +35,12 @@ def keyed_requests(requests: DataFrame, guest_limit: int = GUEST_LIMIT, user_lim
     )
 
 
+def keyed_games(rounds: DataFrame, limit: int = GAME_LIMIT) -> DataFrame:
+    """Games with their user and the hourly limit."""
+    return rounds.select("id", micros(F.col("ts")).alias("at"), F.concat(F.lit("user:"), F.col("user_id")).alias("key"),
+                         F.lit(limit).alias("cap"), F.lit(GAME_MESSAGE).alias("message"))
+
+
 def rolling_counts(keyed: DataFrame, span_us: int) -> DataFrame:
     """Requests of the same key in the span up to each request, itself included."""
     probes = keyed.select("key", "at", "cap", F.col("id").alias("probe"))

@@ -7,14 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lexspan.functions import vectors as V
 from lexspan.operators import search as S
 from lexspan.operators.blocks import matrix
 
-MAX_LISTS = 65_536
+_SCORES = 4_000_000
 
 
 def train_centroids(
@@ -34,18 +35,18 @@ def train_centroids(
 
 def mean_centroids(vectors: DataFrame) -> DataFrame:
     """Mean vector of each existing list."""
-    parts = vectors.select("list_id", F.posexplode(V.as_double(F.col("vec"))).alias("dim", "x"))
-    means = parts.groupBy("list_id", "dim").agg(F.avg("x").alias("x"))
-    # One entry per dimension, so the array is as long as a vector, however many rows averaged.
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy("list_id").agg(F.transform(ordered, lambda e: e["x"]).alias("centroid"))
+    rows = vectors.select("list_id", array_to_vector(V.as_double(F.col("vec"))).alias("vec"))
+    return rows.groupBy("list_id").agg(Summarizer.mean(F.col("vec")).alias("mean")).select(
+        "list_id", vector_to_array("mean").alias("centroid"))
 
 
 def nearest_lists(df: DataFrame, centroids: DataFrame, column: str, m: int) -> DataFrame:
-    """The m nearest lists of each row, by cosine, as an array column `lists`."""
-    table = centroids.orderBy("list_id").limit(MAX_LISTS + 1).toArrow()
-    if table.num_rows > MAX_LISTS:
-        raise ValueError(f"more than {MAX_LISTS} lists")
+    """The m nearest lists of each row, by cosine, as an array column `lists`.
+
+    Every list has one centroid, so what is shared grows with the number of lists and not
+    with the vectors; scores are kept for a bounded part of a batch at a time.
+    """
+    table = centroids.orderBy("list_id").toArrow()
     ids = table["list_id"].to_numpy().astype(np.int64)
     centres = matrix(table["centroid"])
     lengths = np.sqrt((centres**2).sum(axis=1, keepdims=True))
@@ -58,12 +59,16 @@ def nearest_lists(df: DataFrame, centroids: DataFrame, column: str, m: int) -> D
             if batch.num_rows == 0:
                 continue
             x = matrix(batch.column(column))
-            # Component by component, so equal vectors always choose equal lists.
-            score = np.zeros((len(x), len(ids)))
-            for j in range(x.shape[1]):
-                score += np.outer(x[:, j], centres[:, j])
             take = min(m, len(ids))
-            order = np.argsort(-score, axis=1, kind="stable")[:, :take]
+            order = np.empty((len(x), take), dtype=np.int64)
+            step = max(1, _SCORES // max(1, len(ids)))
+            for i in range(0, len(x), step):
+                part = x[i : i + step]
+                # Component by component, so equal vectors always choose equal lists.
+                score = np.zeros((len(part), len(ids)))
+                for j in range(x.shape[1]):
+                    score += np.outer(part[:, j], centres[:, j])
+                order[i : i + step] = np.argsort(-score, axis=1, kind="stable")[:, :take]
             flat = pa.array(ids[order].ravel())
             offsets = pa.array(np.arange(0, take * len(x) + 1, take, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(

@@ -94,7 +94,10 @@ def order_statistics(
     out = hit.groupBy(key, "n").agg(
         *[F.max(F.when(F.col("pick") == name, F.col("v"))).alias(name) for name in picks]
     )
-    return out.select(*[F.col(f"{key}.{g}").alias(g) for g in groups], "n", *picks)
+    # A position that no value hits would be a wrong bracket; that fails instead of losing the group.
+    checked = stats.select(key, "n").join(out.drop("n"), key, "left")
+    found = [F.coalesce(F.col(name), F.raise_error(F.lit(f"no value at the position of {name}"))).alias(name) for name in picks]
+    return checked.select(*[F.col(f"{key}.{g}").alias(g) for g in groups], "n", *found)
 
 
 def percentile_pick(p: float) -> tuple[float, Column]:

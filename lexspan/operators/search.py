@@ -43,6 +43,16 @@ def _vectors(df: DataFrame, lists: bool) -> DataFrame:
     return df.filter("vec is not null").select(*cols)
 
 
+def unusable(vectors: DataFrame, dim: int) -> DataFrame:
+    """Rows that no search can score, with the reason; searches leave them out."""
+    vec = F.col("vec")
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    reason = (
+        F.when(vec.isNull(), "no vector").when(F.size(vec) != dim, "wrong length").when(~finite, "not finite")
+    )
+    return vectors.withColumn("reason", reason).filter("reason is not null").drop("vec")
+
+
 def _queries(df: DataFrame) -> DataFrame:
     cols = ["qid", V.as_double(F.col("qvec")).alias("qvec")]
     cols += [c for c in ("exclude", "list_id") if c in df.columns]

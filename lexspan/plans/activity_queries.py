@@ -17,7 +17,9 @@ SHARED["daily"] = """SELECT user_id, day, ts, id, streak, 10 + least(5 * streak,
  SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM {days}))"""
 SHARED["transitions"] = """SELECT user_id, word_id, ts, id FROM (SELECT *, lag(action) OVER (PARTITION BY user_id, word_id ORDER BY ts, id) AS before FROM {saves}) WHERE action = 'save' AND (before IS NULL OR before <> 'save')"""
 SHARED["ledger"] = """SELECT user_id, ts, id, kind, delta FROM {settled} UNION ALL SELECT user_id, ts, id, 'lookup', CAST(award AS BIGINT) FROM {daily}
- UNION ALL SELECT user_id, ts, id, 'save', 2 FROM {transitions} UNION ALL SELECT user_id, ts, id, 'share', 3 FROM {shares}"""
+ UNION ALL SELECT user_id, ts, id, 'save', 2 FROM {transitions} UNION ALL SELECT user_id, ts, id, 'share', 3 FROM {shares}
+ UNION ALL SELECT user_id, ts, id, 'award', delta FROM {granted}"""
+SHARED["granted"] = """SELECT id, user_id, ts, CAST(a AS BIGINT) AS delta FROM (SELECT *, TRY_CAST(amount AS DOUBLE) AS a FROM {awards}) WHERE a > 0 AND a <= 1e15 AND NOT isnan(a) AND a = floor(a)"""
 SHARED["ordered"] = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id, kind) AS rn FROM {ledger}"
 SHARED["folds"] = """SELECT user_id, list_transform(list(delta ORDER BY rn), lambda x: {'b': x, 'n': CAST(0 AS BIGINT)}) AS steps FROM {ordered} GROUP BY user_id"""
 SHARED["credits"] = """SELECT u.user_id, coalesce(f.r.b, 100) AS credits, coalesce(f.r.n, 0) AS bankruptcies FROM (SELECT DISTINCT user_id FROM {events}) u LEFT JOIN (
@@ -26,7 +28,7 @@ SHARED["credits"] = """SELECT u.user_id, coalesce(f.r.b, 100) AS credits, coales
 
 
 def events(spark, d):
-    return L.ledger_events(*[table(spark, d, t) for t in ("lookups", "saves", "shares", "game_rounds")])
+    return L.ledger_events(*[table(spark, d, t) for t in ("lookups", "saves", "shares", "game_rounds", "awards")])
 
 
 def _users(spark, d):
@@ -49,20 +51,14 @@ def i2(spark, d):
     return credits(spark, d)
 
 
-_AMOUNT = "CASE event_id % 4 WHEN 0 THEN CAST(event_id % 50 AS STRING) WHEN 1 THEN '-5' WHEN 2 THEN event_type ELSE '7' END"
-
-
-@query("i3_awards", f"SELECT event_id AS id, user_id, CAST({_AMOUNT} AS BIGINT) AS delta FROM {{events}} WHERE coalesce(TRY_CAST({_AMOUNT} AS DOUBLE), 0) > 0")
+@query("i3_awards", "SELECT id, user_id, delta FROM {granted}")
 def i3(spark, d):
-    e = table(spark, d, "events")
-    good, _ = L.award_events(e.select("user_id", "ts", F.col("event_id").alias("id"), F.expr(_AMOUNT).alias("amount")))
-    return good.select("id", "user_id", "delta")
+    return L.award_events(table(spark, d, "awards"))[0].select("id", "user_id", "delta")
 
 
-@query("i3_rejected_awards", f"SELECT event_id AS id, {_AMOUNT} AS amount, 'Invalid amount' AS error FROM {{events}} WHERE NOT coalesce(TRY_CAST({_AMOUNT} AS DOUBLE), 0) > 0")
+@query("i3_rejected_awards", "SELECT id, amount, 'Invalid amount' AS error FROM {awards} WHERE id NOT IN (SELECT id FROM {granted})")
 def i3_rejected(spark, d):
-    e = table(spark, d, "events")
-    return L.award_events(e.select("user_id", "ts", F.col("event_id").alias("id"), F.expr(_AMOUNT).alias("amount")))[1]
+    return L.award_events(table(spark, d, "awards"))[1]
 
 
 # The balance after every event; the recursion steps through each user's events in order.
@@ -143,6 +139,30 @@ def i11_tight(spark, d):
     return M.decide(M.keyed_requests(table(spark, d, "requests"), 5, 2)).select("id", "key", "allowed", "message")
 
 
+_HOUR = "INTERVAL 1 HOUR"
+# Games count per user and hour; a purchase is a game that was started.
+SHARED["game_keys"] = "SELECT id, ts, concat('user:', user_id) AS key FROM {game_rounds}"
+
+
+def _games(cap: int) -> tuple[str, dict[str, str]]:
+    ok = f"len(list_filter(r.times, lambda t: t > o.ts - {_HOUR})) < {cap}"
+    return "SELECT id, key, allowed, CASE WHEN NOT allowed THEN 'Too many games. Please wait before playing again.' END AS message FROM {replay}", {
+        "lined": "SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS rn FROM {game_keys}",
+        "replay": f"""SELECT o.key, o.rn, o.id, true AS allowed, [o.ts] AS times FROM {{lined}} o WHERE o.rn = 1 UNION ALL
+ SELECT o.key, o.rn, o.id, {ok}, CASE WHEN {ok} THEN list_append(list_filter(r.times, lambda t: t > o.ts - {_HOUR}), o.ts) ELSE r.times END
+ FROM replay r JOIN {{lined}} o ON o.key = r.key AND o.rn = r.rn + 1"""}
+
+
+@query("i11_games", *_games(M.GAME_LIMIT))
+def i11_games(spark, d):
+    return M.decide(M.keyed_games(table(spark, d, "game_rounds")), M.HOUR_US).select("id", "key", "allowed", "message")
+
+
+@query("i11_games_tight", *_games(1))
+def i11_games_tight(spark, d):
+    return M.decide(M.keyed_games(table(spark, d, "game_rounds"), 1), M.HOUR_US).select("id", "key", "allowed", "message")
+
+
 SHARED["saved"] = """SELECT s.user_id, s.word_id, min(s.ts) AS saved_at FROM {saves} s LEFT JOIN (SELECT user_id, word_id, max({'t': ts, 'i': id}) AS gone FROM {saves} WHERE action = 'unsave' GROUP BY user_id, word_id) g
  ON g.user_id = s.user_id AND g.word_id = s.word_id WHERE s.action = 'save' AND (g.gone IS NULL OR {'t': s.ts, 'i': s.id} > g.gone) GROUP BY s.user_id, s.word_id"""
 

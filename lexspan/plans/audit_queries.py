@@ -81,10 +81,12 @@ def f9(spark, d):
     return V.presence_by_pos(P.lemmas(spark, d), _vocab(spark, d)).withColumn("rate", F.round("rate", 9))
 
 
-@query("f10_unlisted_words", "SELECT DISTINCT lower(word) AS word FROM {vocab} WHERE lower(word) NOT IN (SELECT lower(word) FROM {profiles} WHERE part_of_speech = 'noun')")
+# The index here: the words, of all parts of speech, of synsets whose document is marked as good.
+@query("f10_unlisted_words", "SELECT DISTINCT lower(word) AS word FROM {vocab} WHERE lower(word) NOT IN (SELECT lower(word) FROM {senses} WHERE row_id // 4 IN (SELECT doc_id FROM {labels} WHERE quality = 1))")
 def f10(spark, d):
-    nouns = table(spark, d, "profiles").filter("part_of_speech = 'noun'").select(F.col("word").alias("lemma"))
-    return V.unlisted_words(nouns, _vocab(spark, d))
+    good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("syn"))
+    senses = table(spark, d, "senses").withColumn("syn", F.floor(F.col("row_id") / 4))
+    return V.unlisted_words(senses.join(good, "syn", "left_semi").select(F.col("word").alias("lemma")), _vocab(spark, d))
 
 
 @query("f11_presence_without_digits", f"SELECT pos, {_RATE} FROM {{marked}} WHERE NOT regexp_matches(lemma, '[0-9]') GROUP BY pos")
@@ -328,6 +330,36 @@ def g11_candidates(spark, d):
     return A.review_candidates(pool_glosses(spark, d), target_words(spark, d))
 
 
+SHARED["synset_groups"] = """SELECT sense_key, lower(word) AS base, coalesce(max(CASE WHEN word = lower(word) THEN word END), min(word)) AS kept,
+ length(lower(word)) <= 3 AND bool_and(regexp_matches(word, '[A-Z]')) AS symbol FROM {listed} GROUP BY sense_key, lower(word)"""
+SHARED["listed"] = "SELECT DISTINCT sense_key, word FROM {gloss_rows} WHERE sense_key IN (SELECT sense_key FROM {worklist})"
+
+
+@query("g11_removals", """SELECT m.sense_key, m.word, g.kept, CASE WHEN g.symbol THEN 'symbol form' ELSE 'case duplicate' END AS rule
+ FROM {listed} m JOIN {synset_groups} g ON g.sense_key = m.sense_key AND g.base = lower(m.word) WHERE g.symbol OR m.word <> g.kept""")
+def g11_removals(spark, d):
+    return A.review_removals(pool_glosses(spark, d), target_words(spark, d))
+
+
+@query("g11_target_variants", "SELECT target, sense_key, word FROM {mates} WHERE lower(word) = lower(target)")
+def g11_target_variants(spark, d):
+    return A.target_variants(pool_glosses(spark, d), target_words(spark, d))
+
+
+_ONE_TARGET = "lemb"
+
+
+@query("g10_mates_of_target", f"SELECT target, sense_key, word AS mate FROM {{mates}} WHERE target = '{_ONE_TARGET}'")
+def g10_mates(spark, d):
+    return A.mates_of(pool_glosses(spark, d), target_words(spark, d), _ONE_TARGET)
+
+
+@query("g11_candidates_of_target", f"""SELECT w.target, w.sense_key, g.kept AS candidate FROM {{worklist}} w JOIN {{synset_groups}} g ON g.sense_key = w.sense_key
+ WHERE w.target = '{_ONE_TARGET}' AND NOT g.symbol AND lower(g.kept) <> lower(w.target)""")
+def g11_candidates_of(spark, d):
+    return A.candidates_of(pool_glosses(spark, d), target_words(spark, d), _ONE_TARGET)
+
+
 # Proposals: every gloss mate, offered to the draft of its target, in the order of its rows.
 SHARED["proposals"] = "SELECT v.word AS target, s.row_id AS position, s.word AS candidate FROM {senses} s JOIN {vocab} v ON v.id = (s.row_id // 4) % (SELECT count(*) FROM {embeddings}) WHERE s.member_pos > 0"
 

@@ -57,9 +57,8 @@ SQL["freq"] = """
 SELECT split_part(lower(v.word), ' ', -1) AS word,
        CAST(sum(CAST(l.l_quantity AS BIGINT) * CASE v.id % 7 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 100
             WHEN 3 THEN 1000 WHEN 4 THEN 10000 WHEN 5 THEN 100000 ELSE 1000000 END) AS BIGINT) AS n
-FROM {lineitem} l
-JOIN {vocab} v ON v.id = l.l_partkey
-WHERE v.label <> 9
+FROM (SELECT l_quantity, l_partkey % (SELECT count(*) FROM {embeddings}) AS vid FROM {lineitem}) l
+JOIN {vocab} v ON v.id = l.vid
 GROUP BY split_part(lower(v.word), ' ', -1)
 UNION ALL
 SELECT split_part(p_name, ' ', 1) AS word, count(*) * 5000 AS n FROM {part} GROUP BY split_part(p_name, ' ', 1)
@@ -114,7 +113,7 @@ LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 SQL["lookups"] = "SELECT event_id AS id, user_id, ts FROM {events} WHERE event_type = 'click'"
 
 SQL["saves"] = """
-SELECT event_id AS id, user_id, event_id % 25 AS word_id,
+SELECT event_id AS id, user_id, (event_id * 7919 + user_id) % (SELECT count(*) FROM {documents}) AS word_id,
        CASE WHEN event_type = 'view' THEN 'save' ELSE 'unsave' END AS action, ts
 FROM {events} WHERE event_type IN ('view', 'error')
 """
@@ -130,6 +129,26 @@ SELECT event_id AS id, user_id,
 FROM {events} WHERE event_type = 'purchase'
 """
 
+# Awards as callers send them: amounts as text, some of them no valid amount.
+SQL["awards"] = """
+SELECT event_id AS id, user_id, ts,
+       CASE event_id % 6 WHEN 0 THEN CAST(event_id % 50 AS STRING) WHEN 1 THEN '-5' WHEN 2 THEN event_type WHEN 3 THEN '2.5'
+                         WHEN 4 THEN 'NaN' ELSE '7' END AS amount
+FROM {events}
+"""
+
+# One logged run per source of the documents, its configuration from what the source holds.
+SQL["run_log"] = """
+SELECT source AS tag, CASE WHEN max(doc_id) % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('hash', CAST(min(n_chars) % 3 AS STRING)) END AS set_sha256,
+       concat('set', CAST(count(*) % 2 AS STRING)) AS set_name, concat(CASE WHEN min(doc_id) % 2 = 0 THEN 'file:' ELSE '' END, min(lang), '_cell') AS index_name,
+       min(doc_id) % 3 = 0 AS exact, CASE max(doc_id) % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'sampled' END AS pool_scale,
+       CASE WHEN count(*) % 3 = 0 THEN 'gloss_synset' ELSE 'lemma' END AS cell_variant, CASE WHEN min(n_chars) % 2 = 0 THEN 'wordnet' END AS expansion_order,
+       concat(max(lang), ' (served)') AS model, concat('2024-01-', lpad(CAST(1 + max(n_chars) % 28 AS STRING), 2, '0')) AS ran_at,
+       CASE WHEN min(n_chars) % 5 > 0 THEN concat('n', CAST(min(n_chars) % 2 AS STRING)) END AS preregistered,
+       CASE WHEN max(doc_id) % 2 = 0 THEN 'note' END AS note, max(n_chars) % 2 = 0 AS filter_junk, 5 + count(*) % 10 AS probes
+FROM {documents} GROUP BY source
+"""
+
 # Lookup requests: signed-in users by id, guests by the forwarded addresses they came through.
 SQL["requests"] = """
 SELECT event_id AS id, ts,

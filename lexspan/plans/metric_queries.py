@@ -133,10 +133,13 @@ def h10(spark, d):
     return counts.select("source", D.verdict(F.col("delta"), D.mcnemar_p(F.col("b"), F.col("c"))).alias("verdict"))
 
 
-@query("h11_pairs", """SELECT r.tag AS a, o.tag AS b, 'the earliest run on this set' AS why FROM (SELECT * FROM {runs} QUALIFY row_number() OVER (PARTITION BY coalesce(set_sha256, set_name) ORDER BY ran_at) = 1) r
- JOIN {runs} o ON coalesce(o.set_sha256, o.set_name) = coalesce(r.set_sha256, r.set_name) AND o.tag <> r.tag""")
+SHARED["log_pairs"] = """SELECT r.tag AS a, o.tag AS b, 'the earliest run on this set' AS why FROM (SELECT * FROM {run_log} QUALIFY row_number() OVER (PARTITION BY coalesce(set_sha256, set_name) ORDER BY ran_at, tag) = 1) r
+ JOIN {run_log} o ON coalesce(o.set_sha256, o.set_name) = coalesce(r.set_sha256, r.set_name) AND o.tag <> r.tag"""
+
+
+@query("h11_pairs", """SELECT * FROM {log_pairs}""")
 def h11(spark, d):
-    return K.reference_pairs(P.runs(spark, d))
+    return K.reference_pairs(table(spark, d, "run_log"))
 
 
 def _all_pairs(spark, d, runs):
@@ -144,11 +147,14 @@ def _all_pairs(spark, d, runs):
     return runs.filter("tag <> 'lemma'").select(F.lit("lemma").alias("a"), F.col("tag").alias("b"))
 
 
-@query("h12_comparability", """SELECT a.tag AS a, b.tag AS b, coalesce(a.pool_scale <> b.pool_scale, false) AS cross_scale, a.cell_variant = 'gloss_synset' OR b.cell_variant = 'gloss_synset' AS tie_differs
- FROM {runs} a JOIN {runs} b ON b.tag <> a.tag WHERE a.tag = 'sense'""")
+_TIE = "CASE WHEN {0}.cell_variant = 'gloss_synset' THEN coalesce({0}.expansion_order, 'unknown') ELSE 'alphabetical' END"
+
+
+@query("h12_comparability", f"""SELECT p.a, p.b, coalesce(a.pool_scale <> b.pool_scale, false) AS cross_scale, {_TIE.format('a')} <> {_TIE.format('b')} AS tie_differs
+ FROM {{log_pairs}} p JOIN {{run_log}} a ON a.tag = p.a JOIN {{run_log}} b ON b.tag = p.b""")
 def h12(spark, d):
-    runs = P.runs(spark, d)
-    return K.comparability(runs, runs.filter("tag <> 'sense'").select(F.lit("sense").alias("a"), F.col("tag").alias("b")))
+    runs = table(spark, d, "run_log")
+    return K.comparability(runs, K.reference_pairs(runs).select("a", "b"))
 
 
 @query("h13_changes", f"""SELECT a, b, kind, place, id, target, top1_a, rank_a, top1_b, rank_b, greatest(total - 25, 0) AS more FROM (
@@ -202,6 +208,14 @@ def h17(spark, d):
     return K.pair_counts(sets, r, P.runs(spark, d, r))
 
 
+@query("h17_set_counts", " UNION ALL ".join(f"SELECT 'set1' AS set_name, 'set' AS taken_from, '{n}' AS dimension, {v} AS value, count(*) AS n FROM {{queries}} GROUP BY {v}" for n, v in _PC.items()))
+def h17_set(spark, d):
+    """Counts from the set itself; its runs are not needed then."""
+    q = P.queries(spark, d).withColumn("set_name", F.lit("set1")).withColumn("leakage", F.lit(None).cast("string"))
+    runs = spark.createDataFrame([("any", "set1")], "tag string, set_name string")
+    return K.pair_counts(q, q.drop("set_name").withColumn("tag", F.lit("any")), runs)
+
+
 @query("h18_coverage", "SELECT tag, count(*) FILTER (NOT reachable) AS unreachable, count(*) FILTER (NOT reachable AND rank IS NOT NULL) AS found FROM {results} GROUP BY tag")
 def h18(spark, d):
     return M.coverage_slice(P.results(spark, d))
@@ -220,14 +234,14 @@ def h19(spark, d):
 
 
 @query("h20_provenance", """SELECT tag, ran_at, model, index_name, CASE WHEN exact THEN 'exact scan' WHEN starts_with(index_name, 'file:') THEN 'exact (brute force)' ELSE concat('probes=', probes) END AS search,
- CASE WHEN filter_junk THEN 'junk filtered' ELSE 'unfiltered' END AS pool FROM {runs}""")
+ CASE WHEN filter_junk THEN 'junk filtered' ELSE 'unfiltered' END AS pool FROM {run_log}""")
 def h20(spark, d):
-    return K.provenance(P.runs(spark, d))
+    return K.provenance(table(spark, d, "run_log"))
 
 
-@query("h20_warnings", "SELECT count(DISTINCT CASE WHEN note IS NOT NULL THEN coalesce(pool_scale, 'unrecorded') END) > 1 AS mixed_scales, count(DISTINCT preregistered) > 1 AS mixed_notes FROM {runs}")
+@query("h20_warnings", "SELECT count(DISTINCT CASE WHEN note IS NOT NULL THEN coalesce(pool_scale, 'unrecorded') END) > 1 AS mixed_scales, count(DISTINCT preregistered) > 1 AS mixed_notes FROM {run_log}")
 def h20_warnings(spark, d):
-    return K.provenance_warnings(P.runs(spark, d))
+    return K.provenance_warnings(table(spark, d, "run_log"))
 
 
 SHARED["ties"] = f"""SELECT tag, qid, source, reachable, returned, g, strict, lenient, CASE WHEN target_in > 0 THEN 1.0 / g ELSE 0.0 END AS strict_neutral, acceptable_in / g AS lenient_neutral FROM (

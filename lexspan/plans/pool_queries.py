@@ -121,26 +121,33 @@ def d9(spark, d):
 
 
 def _tree(source: str) -> str:
-    block = f"SELECT row // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY row)) AS piece FROM ({source}) GROUP BY row // 4096"
-    return f"SELECT CASE WHEN count(*) = 1 THEN min(piece) ELSE sha256(string_agg(piece, '' ORDER BY row)) END AS sha256 FROM ({block})"
+    dense = f"SELECT row_number() OVER (ORDER BY row) - 1 AS row, text FROM ({source})"
+    block = f"SELECT row // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY row)) AS piece FROM ({dense}) GROUP BY row // 4096"
+    return f"SELECT sha256(string_agg(piece, '' ORDER BY row)) AS sha256 FROM ({block})"
 
 
 @query("d10_texts_digest", _tree("SELECT doc_id AS row, text FROM {documents}"))
 def d10(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row"), "text")
-    return H.texts_digest(docs, H.levels_for(docs.count()))
+    return H.texts_digest(table(spark, d, "documents").select(F.col("doc_id").alias("row"), "text"))
 
 
 @query("d10_texts_digest_by_language", """SELECT lang, sha256(string_agg(piece, '' ORDER BY row)) AS sha256 FROM (
- SELECT lang, doc_id // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY doc_id)) AS piece FROM {documents} GROUP BY lang, doc_id // 4096) GROUP BY lang""")
+ SELECT lang, pos // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY pos)) AS piece FROM (
+ SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM {documents}) GROUP BY lang, pos // 4096) GROUP BY lang""")
 def d10_lang(spark, d):
     docs = table(spark, d, "documents").select("lang", F.col("doc_id").alias("row"), "text")
-    return H.texts_digest(docs, 2, ["lang"])
+    return H.texts_digest(docs, ["lang"])
 
 
-@query("d11_vectors_digest")
+# The little-endian bytes of each 32-bit float, from its bits.
+_HEX = "hex(CAST(CAST(CAST(x AS FLOAT) AS BIT) AS BLOB))"
+_BYTES = "substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)"
+_VECTOR_HASH = f"sha256(unhex(array_to_string(list_transform(list_transform(embedding, lambda x: {_HEX}), lambda h: {_BYTES}), '')))"
+
+
+@query("d11_vectors_digest", _tree(f"SELECT id AS row, {_VECTOR_HASH} AS text FROM {{vocab}}"))
 def d11(spark, d):
-    return H.vectors_digest(R.vectors(spark, d), 1)
+    return H.vectors_digest(R.vectors(spark, d))
 
 
 @query("d12_synset_collapse", "SELECT sense_key, word, row_id AS row FROM {collapsed}")
@@ -206,14 +213,9 @@ SHARED["cell_meta"] = """SELECT source || '-' || lang AS cell, CASE WHEN source
 
 def _expected(spark, d):
     docs = table(spark, d, "documents")
-    from lexspan.operators.scale import number_by_order
-
-    numbered = docs.select("lang", "doc_id", "text")
-    placed = number_by_order(numbered, ["lang", "doc_id"], "g")
-    first = placed.groupBy("lang").agg(F.min("g").alias("f"), F.count("*").alias("want_rows"))
-    rows = placed.join(first, "lang").select("lang", (F.col("g") - F.col("f")).alias("row"), "text")
-    digests = H.texts_digest(rows, max(2, H.levels_for(placed.count())), ["lang"])
-    return digests.join(first, "lang").select(F.col("lang").alias("variant"), F.col("sha256").alias("want"), "want_rows")
+    digests = H.texts_digest(docs.select("lang", F.col("doc_id").alias("row"), "text"), ["lang"])
+    counts = docs.groupBy("lang").agg(F.count("*").alias("want_rows"))
+    return digests.join(counts, "lang").select(F.col("lang").alias("variant"), F.col("sha256").alias("want"), "want_rows")
 
 
 def _cell_meta(spark, d, expected):

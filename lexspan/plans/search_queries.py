@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as X, vectors as V
-from lexspan.operators import encode as E, lists as L, ranks as R, search as S
+from lexspan.operators import cells as C, encode as E, lists as L, ranks as R, search as S
 from lexspan.plans import frames as P, oracle_parts as O
 from lexspan.plans.fixtures import table
 from lexspan.plans.registry import query
@@ -73,6 +73,19 @@ def b6(spark, d):
     return e.select("vec_id", total.alias("total"))
 
 
+_UNIT = "list_transform({0}, lambda x: x / sqrt(list_inner_product({0}, {0})))"
+
+
+@query("b7_drift_cosines", f"""SELECT round(max(err), 12) AS max_component_error, round(avg(cos), 9) AS mean_cosine, round(min(cos), 9) AS min_cosine, count(*) AS rows FROM (
+ SELECT list_max(list_transform(list_zip(q, c), lambda p: abs(p[1] - p[2]))) AS err, list_inner_product(q, c) / sqrt(list_inner_product(q, q)) AS cos FROM (
+ SELECT c, list_transform(c, lambda x: {_half('x')}) AS q FROM (SELECT {_UNIT.format('v')} AS c FROM (SELECT CAST(embedding AS DOUBLE[])[1:32] AS v FROM {{embeddings}}))))""")
+def b7_cosines(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("embedding").alias("vec"))
+    drift = C.drift(C.derive_vectors(e, 32))
+    return drift.select(F.round("max_component_error", 12).alias("max_component_error"), F.round("mean_cosine", 9).alias("mean_cosine"),
+                        F.round("min_cosine", 9).alias("min_cosine"), "rows")
+
+
 @query("b7_drift", f"""SELECT round(max(err), 12) AS max_component_error, count(*) AS rows FROM (
   SELECT list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs({_half('x')} - x))) AS err FROM {{embeddings}})""")
 def b7(spark, d):
@@ -128,11 +141,12 @@ def c2(spark, d):
     return L.probed_topk(_q(spark, d), listed, L.mean_centroids(listed), 10, 3)
 
 
-@query("c2_trained_lists")
+# All lists probed: the same as the exact search, whatever the training found.
+@query("c2_trained_lists", "SELECT qid, rank, word, sim FROM {hits_lemma} WHERE rank <= 10")
 def c2_trained(spark, d):
     vectors = P.vectors(spark, d)
     centroids = L.train_centroids(vectors, 22)
-    return L.probed_topk(_q(spark, d), L.assign_lists(vectors, centroids), centroids, 10, 10)
+    return L.probed_topk(_q(spark, d), L.assign_lists(vectors, centroids), centroids, 10, 22)
 
 
 @query("c2_all_lists_equal_exact", "SELECT qid, rank, word, sim FROM {hits_lemma} WHERE rank <= 10")

@@ -35,14 +35,14 @@ def a3(spark, d):
     return R.read_set(spark, path).select("id", "target", "token_count", "zipf")
 
 
-@query("a4_set_fingerprint", "SELECT sha256(string_agg(concat_ws('|', id, query, target, source, reachable) || chr(0), '' ORDER BY id)) AS sha256 FROM {eval_core}")
+@query("a4_set_fingerprint", """SELECT sha256(string_agg(piece, '' ORDER BY row)) AS sha256 FROM (
+ SELECT pos // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY pos)) AS piece FROM (
+ SELECT row_number() OVER (ORDER BY id) - 1 AS pos, concat_ws('|', id, query, target, source, reachable) AS text FROM {eval_core}) GROUP BY pos // 4096)""")
 def a4(spark, d):
-    from lexspan.operators.fingerprint import levels_for, texts_digest
-    from lexspan.operators.scale import number_by_order
+    from lexspan.operators.fingerprint import texts_digest
 
-    rows = number_by_order(table(spark, d, "eval_core").drop("qvec"), ["id"])
     text = F.concat_ws("|", "id", "query", "target", "source", F.col("reachable").cast("string"))
-    return texts_digest(rows.select("row", text.alias("text")), levels_for(rows.count()))
+    return texts_digest(table(spark, d, "eval_core").select(F.col("id").alias("row"), text.alias("text")))
 
 
 def _draft_lines(spark, d):

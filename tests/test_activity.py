@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,14 +39,34 @@ def test_balance_map_equals_replay():
     rnd = random.Random(2)
     for _ in range(200):
         deltas = [rnd.randrange(-80, 70) for _ in range(rnd.randrange(1, 60))]
-        m = L.BalanceMap()
-        for d in deltas:
-            m.add(d)
+        limits, ends, shift, _ = L.balance_map(np.array(deltas), 6000)
         for start in (1, 5, 25, 60, 100, 500, 5000):
             b = start
             for d in deltas:
                 b = b + d if b + d > 0 else 25
-            assert m(start) == b
+            assert L.mapped(start, limits, ends, shift) == b
+
+
+def test_balance_map_of_many_equal_losses_is_short():
+    limits, ends, shift, top = L.balance_map(np.full(100_000, -10), 100)
+    assert len(limits) <= 11 and shift == -1_000_000 and top == 1_000_000
+    for start in (1, 10, 11, 99, 100):
+        b = start
+        for _ in range(100_000):
+            b = b - 10 if b > 10 else 25
+        assert L.mapped(start, limits, ends, shift) == b
+
+
+def test_a_busy_user_over_many_partitions(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds("id").alias("ts"), "id", F.lit("round").alias("kind"),
+                               F.when(F.col("id") % 50 == 0, 200).otherwise(-10).cast("long").alias("delta"))
+    b = 100
+    for i in range(n):
+        b += 200 if i % 50 == 0 else -10
+        b = b if b > 0 else 25
+    got = L.settle(df.repartition(5)).agg(F.count("*").alias("n"), F.max_by("balance", "id").alias("last")).first()
+    assert (got["n"], got["last"]) == (n, b)
 
 
 def test_bankruptcy_resets(spark):
@@ -77,9 +98,9 @@ def test_save_awards_on_transitions_only(spark):
 
 
 def test_awards_reject_bad_amounts(spark):
-    df = spark.createDataFrame([(1, at(0), i, a) for i, a in enumerate(["5", "0", "-1", "x", None])], "user_id long, ts timestamp, id long, amount string")
+    df = spark.createDataFrame([(1, at(0), i, a) for i, a in enumerate(["5", "0", "-1", "x", None, "2.7", "NaN", "Infinity", "1e30"])], "user_id long, ts timestamp, id long, amount string")
     good, bad = L.award_events(df)
-    assert rows(good, "id", "delta") == [(0, 5)] and rows(bad, "id") == [(1,), (2,), (3,), (4,)]
+    assert rows(good, "id", "delta") == [(0, 5)] and rows(bad, "id") == [(i,) for i in range(1, 9)]
 
 
 def test_bets(spark):

@@ -45,24 +45,32 @@ def test_synset_collapse_and_its_guard(spark):
     assert (report["rows"], report["synsets"], report["divergent_synsets"], report["rows_saved"]) == (5, 2, 1, 3)
 
 
-def test_fingerprint_is_the_stream_hash_and_sees_order(spark):
-    texts = [f"text {i}\nwith line" for i in range(300)]
-    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    want = hashlib.sha256(b"".join(t.encode() + b"\0" for t in texts)).hexdigest()
-    assert H.texts_digest(df.repartition(7), H.levels_for(300)).first()[0] == want
-    swapped = df.withColumn("row", F.when(F.col("row") == 3, 4).when(F.col("row") == 4, 3).otherwise(F.col("row")))
-    assert H.texts_digest(swapped, 1).first()[0] != want
+def tree(texts, block=4096):
+    level = [hashlib.sha256(b"".join(t.encode() + b"\0" for t in texts[i : i + block])).hexdigest() for i in range(0, len(texts), block)]
+    while True:
+        level = [hashlib.sha256("".join(level[i : i + block]).encode()).hexdigest() for i in range(0, len(level), block)]
+        if len(level) == 1:
+            return level[0]
+
+
+@pytest.mark.parametrize("n, step", [(300, 1), (5000, 1), (5, 5000)])
+def test_fingerprint_is_one_tree_at_any_size_and_sees_order(spark, n, step):
+    texts = [f"text {i}\nwith line" for i in range(n)]
+    df = spark.createDataFrame([(i * step, t) for i, t in enumerate(texts)], "row long, text string")
+    found = H.texts_digest(df.repartition(7)).collect()
+    assert [r[0] for r in found] == [tree(texts)]
+    swapped = df.withColumn("row", F.when(F.col("row") == 3 * step, 4 * step).when(F.col("row") == 4 * step, 3 * step).otherwise(F.col("row")))
+    assert H.texts_digest(swapped).first()[0] != tree(texts)
 
 
 def test_fingerprint_tree(spark, monkeypatch):
     monkeypatch.setattr(H, "BLOCK", 4)
     texts = [f"t{i}" for i in range(37)]
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(5)
-    level = [hashlib.sha256(b"".join(t.encode() + b"\0" for t in texts[i : i + 4])).hexdigest() for i in range(0, 37, 4)]
-    while len(level) > 1:
-        level = [hashlib.sha256("".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
-    assert H.levels_for(37) == 3
-    assert H.texts_digest(df, 3).first()[0] == level[0]
+    assert H.texts_digest(df).first()[0] == tree(texts, 4)
+    # A group's digest does not depend on how large the other groups are.
+    both = df.withColumn("g", F.lit("a")).unionByName(df.filter("row < 3").withColumn("g", F.lit(None).cast("string")))
+    assert {r["g"]: r["sha256"] for r in H.texts_digest(both, ["g"]).collect()} == {"a": tree(texts, 4), None: tree(texts[:3], 4)}
 
 
 def test_vector_bytes_hash(spark):

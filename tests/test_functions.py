@@ -103,6 +103,20 @@ def test_mcnemar(spark, b, c, p):
     assert math.isclose(got, p, abs_tol=5e-6)
 
 
+def test_mcnemar_of_a_million_pairs(spark):
+    from statistics import NormalDist
+
+    n, low = 1_000_000, 498_600
+    got = spark.createDataFrame([(low, n - low), (0, 2000), (500_000, 500_000)], "b long, c long").select(D.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()
+    near = 2 * NormalDist().cdf((low + 0.5 - n / 2) / math.sqrt(n / 4))
+    assert math.isclose(got[0]["p"], near, rel_tol=1e-3) and got[1]["p"] == 0.0 and got[2]["p"] == 1.0
+
+
+def test_normalise_is_linear_in_width_and_keeps_zero(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(V.normalise(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
 def test_verdicts(spark):
     df = spark.createDataFrame([(0.129, 0.001), (0.07, 0.2), (0.045, 0.029), (0.0, 1.0), (-0.1, 0.01)], "d double, p double")
     assert [r[0] for r in df.select(D.verdict(F.col("d"), F.col("p"))).collect()] == [

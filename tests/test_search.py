@@ -123,6 +123,25 @@ def test_no_queries_no_vectors(data, spark):
     assert S.exact_topk(q, v.filter("false"), 5).count() == 0
 
 
+def test_bad_vectors_take_no_part_and_are_listed(spark):
+    nan = float("nan")
+    data = [(f"w{i}", [1.0, i / 100]) for i in range(60)] + [(f"n{i}", [nan, 1.0]) for i in range(6)] + [("short", [1.0]), ("none", None), ("hole", [1.0, None])]
+    v = spark.createDataFrame(data, "word string, vec array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<double>")
+    assert [r["word"] for r in S.exact_topk(q, v, 3).orderBy("rank").collect()] == ["w0", "w1", "w10"]
+    assert sorted(tuple(r) for r in S.unusable(v, 2).collect()) == sorted(
+        [(f"n{i}", "not finite") for i in range(6)] + [("short", "wrong length"), ("none", "no vector"), ("hole", "not finite")])
+
+
+def test_vectors_of_unequal_length_are_never_cut_anew():
+    import pyarrow as pa
+
+    from lexspan.operators.blocks import matrix
+
+    with pytest.raises(ValueError):
+        matrix(pa.array([[1.0, 2.0, 3.0], [4.0]]))
+
+
 def test_answers(spark):
     hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d"), (2, 1, "x")], "qid int, rank int, word string")
     assert rows(S.answers(hits)) == [(1, "a", ["b", "c"]), (2, "x", [])]
