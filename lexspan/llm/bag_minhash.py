@@ -12,9 +12,11 @@ costs little more than one point per shingle.
 Signatures are cut into bands. Equal texts are one node. In every bucket of a band each node
 is first paired with the bucket's pivot, a linear number of pairs; pairs that the signatures
 do not rule out are checked exactly on the whole bags. Links make components. Buckets that
-still hold several components are compared block against block across components, without
-writing out the pairs the signatures rule out, and what passes is checked the same way.
-So no bucket is capped, and a hot group of copies costs linear work.
+still hold several components are compared block against block across components: texts
+that have a close signature in another component are brought together by block and compared
+exactly, and only links that join components are written. So no bucket is capped, no pair is
+written that is not a link, and a hot group of copies around one text costs linear work. (A
+group of texts that are all close but not similar enough has to be compared in full.)
 
 Defined cases: a null text equals an empty one; texts without words are only alike if equal;
 texts of one to four words are one shingle; repeated rows are copies; a class is named by the
@@ -39,7 +41,7 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 # Signatures estimate with a deviation of 0.032 at 0.8; a pair this far below is ruled out.
 FLOOR = SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
-BLOCK_NODES = 256
+BLOCK_NODES = 1024
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -177,6 +179,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows.append_column("similarity", pa.array(alike)).filter(pa.array(alike >= SIMILAR))
 
 
+def texts_of(keys: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, text: one row of each wanted text, a row with the smallest id."""
+    wanted = keys.join(nodes.select("key", "doc_id"), "key")
+    found = rows.withColumnRenamed("key", "k").withColumnRenamed("doc_id", "d").join(
+        wanted, (F.col("k") == F.col("key")) & F.equal_null("d", F.col("doc_id")))
+    return landed(found.select("key", "text").dropDuplicates(["key"]), "texts")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs a, b of text keys whose bags have a similarity of SIMILAR or more.
 
@@ -189,11 +199,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a binary, b binary")
     )
     close = landed(close, "close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "doc_id"), "key")
-    # One row of each wanted text: the one with the smallest id.
-    texts = rows.withColumnRenamed("key", "k").withColumnRenamed("doc_id", "d").join(
-        wanted, (F.col("k") == F.col("key")) & F.equal_null("d", F.col("doc_id")))
-    texts = landed(texts.select("key", "text").dropDuplicates(["key"]), "texts")
+    texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, rows)
     return (
         close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
@@ -221,36 +227,93 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(key: tuple, data: pa.Table) -> pa.Table:
-    """Pairs of one block pair that lie in different components and are close by signature."""
-    _, i, j = (v.as_py() for v in key)
-    data = data.combine_chunks()
+def _pending(data: pa.Table, h: int, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of chunk i, the rows of chunk j it must be compared with in this bucket.
+
+    Those are in another component and close by signature, and have no earlier band in
+    common, so that a pair is looked at in one bucket only.
+    """
     sig = np.frombuffer(b"".join(data["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    bands = data["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     top = np.unique(np.array(data["top"].to_pylist(), dtype=object), return_inverse=True)[1]
     chunk = data["chunk"].to_numpy()
-    first, second = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    left, right = [], []
-    for x in first:
+    second = np.flatnonzero(chunk == j)
+    for x in np.flatnonzero(chunk == i):
         rest = second[second > x] if i == j else second
         rest = rest[top[rest] != top[x]]
-        near = rest[(sig[rest] == sig[x]).mean(axis=1) >= FLOOR]
-        left.append(np.full(len(near), x)), right.append(near)
-    none = np.zeros(0, np.int64)
-    return pa.table({"a": data["key"].take(pa.array(np.concatenate([none, *left]))),
-                     "b": data["key"].take(pa.array(np.concatenate([none, *right])))})
+        rest = rest[(sig[rest] == sig[x]).mean(axis=1) >= FLOOR]
+        if len(rest):
+            common = (bands[rest] == bands[x]).argmax(axis=1)
+            yield x, rest[bands[x][common] == h]
+
+
+def _involved(key: tuple, data: pa.Table) -> pa.Table:
+    """The rows of a block that have a pair to be checked."""
+    data = data.combine_chunks()
+    asked = np.zeros(data.num_rows, dtype=bool)
+    for x, rest in _pending(data, *(v.as_py() for v in key)):
+        asked[rest] = True
+        asked[x] |= len(rest) > 0
+    return data.filter(pa.array(asked))
 
 
-def _residual(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Close pairs across components in buckets of three or more nodes."""
+def _linked(key: tuple, data: pa.Table) -> pa.Table:
+    """Links of one block that join components, by exact comparison of the bags."""
+    data = data.combine_chunks()
+    parts = [bags(block) for _, _, block in tk.blocks(data["text"])]
+    sizes = [block.texts for _, _, block in tk.blocks(data["text"])]
+    text = np.concatenate([t + n for (t, _, _), n in zip(parts, np.cumsum([0, *sizes[:-1]]))])
+    code, weight = np.concatenate([c for _, c, _ in parts]), np.concatenate([w for _, _, w in parts])
+    columns, column = np.unique(code, return_inverse=True)
+    first = np.searchsorted(text, np.arange(data.num_rows + 1))
+    total = np.bincount(text, weights=weight, minlength=data.num_rows)
+    root = {}
+
+    def find(x: object) -> object:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    tops = data["top"].to_pylist()
+    mine = np.zeros(len(columns), dtype=np.int64)
+    a, b, alike = [], [], []
+    for x, rest in _pending(data, *(v.as_py() for v in key)):
+        held = slice(first[x], first[x + 1])
+        mine[column[held]] = weight[held]
+        step = max(1, int(2_000_000 // max(1, (first[rest + 1] - first[rest]).max(initial=1))))
+        for k in range(0, len(rest), step):
+            some = rest[k : k + step]
+            n = first[some + 1] - first[some]
+            at = np.repeat(first[some] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            both = np.bincount(np.repeat(np.arange(len(some)), n), weights=np.minimum(mine[column[at]], weight[at]), minlength=len(some))
+            share = both / np.maximum(total[x] + total[some] - both, 1)
+            for y, s in zip(some[share >= SIMILAR], share[share >= SIMILAR]):
+                if find(tops[x]) != find(tops[y]):
+                    root[find(tops[x])] = find(tops[y])
+                    a.append(x), b.append(y), alike.append(s)
+        mine[column[held]] = 0
+    index = [pa.array(v, pa.int64()) for v in (a, b)]
+    return pa.table({"a": data["key"].take(index[0]), "b": data["key"].take(index[1]), "similarity": pa.array(alike, pa.float64())})
+
+
+def _residual(members: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links across components in buckets of three or more nodes, as many as join them.
+
+    Blocks of signatures say which nodes have a pair to check; only their texts are brought
+    together, and no pair is written that is not a link.
+    """
     marked = members.filter("n > 2").join(labels, "key", "left").withColumn("top", F.coalesce("top", "key"))
     mixed = marked.groupBy("h").agg(F.min("top").alias("least"), F.max("top").alias("most")).filter("least <> most").select("h")
-    held = marked.join(mixed, "h").join(nodes.select("key", "sig"), "key")
+    held = marked.join(mixed, "h").join(nodes.select("key", "sig", "bands"), "key")
     chunks = F.ceil(F.col("n") / BLOCK_NODES)
     held = held.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks))
     other = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
     held = held.withColumn("other", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    return held.select("h", "i", "j", "chunk", "key", "top", "sig").groupBy("h", "i", "j").applyInArrow(
-        _across, "a binary, b binary").distinct()
+    held = held.select("h", "i", "j", "chunk", "key", "top", "sig", "bands")
+    asked = landed(held.groupBy("h", "i", "j").applyInArrow(_involved, held.schema), "asked")
+    texts = texts_of(asked.select("key").distinct(), nodes, rows)
+    return asked.join(texts, "key").groupBy("h", "i", "j").applyInArrow(_linked, "a binary, b binary, similarity double")
 
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,12 +328,10 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     starred = members.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     links = landed(confirmed(starred, nodes, rows), "links")
     labels = components(links)
-    more = landed(_residual(members, labels, nodes), "residual")
+    more = landed(_residual(members, labels, nodes, rows), "links")
     if not more.isEmpty():
-        found = landed(confirmed(more, nodes, rows), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+        links = links.union(more)
+        labels = components(links)
     classed = nodes.select("key", "doc_id", "copies").join(labels, "key", "left").withColumn("top", F.coalesce("top", "key"))
     classed = landed(classed, "classed")
     per = classed.groupBy("top").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
