@@ -51,6 +51,7 @@ def log_gamma(x: Column) -> Column:
 
 def verdict(delta: Column, p: Column) -> Column:
     """The rule agreed beforehand: small gains are a null result even when significant."""
+    # The verdicts and their thresholds.
     return (
         F.when((delta >= DECISION_DELTA) & (p < SIGNIFICANCE), "WIN")
         .when(delta >= DECISION_DELTA, "above threshold, not significant")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Function words that carry no retrieval signal.
+# Words that are left out before a query is compared with a text.
 STOPWORDS = (
     "a an the of to in on at for from by with and or but not no is are was were be been "
     "being it its that this these those you your they them their he she his her i we our "
@@ -130,7 +130,6 @@ def reachable_flag(cell: Column) -> Column:
 def mentions_word(text: Column, word: Column) -> Column:
     """Whole-word, case-insensitive mention; the word is taken literally."""
     literal = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    literal = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     pattern = F.concat(F.lit(r"(?i)(?<!\w)(?=\w)\Q"), literal, F.lit(r"\E(?<=\w)(?!\w)"))
     return F.regexp_like(text, pattern)
 
@@ -194,6 +193,7 @@ def hash_order(seed: str, word: Column) -> Column:
 
 def request_rejection(query: Column) -> Column:
     """Reason a lookup is refused, null when it is fine."""
+    # The two messages.
     return (
         F.when(query.isNull() | (query == ""), "query is required and must be a string")
         .when(F.length(query) > MAX_QUERY_CHARS, "query too long (max 500 characters)")

@@ -20,6 +20,7 @@ def violations(draft: DataFrame) -> DataFrame:
     first = draft.groupBy(F.lower("target").alias("_t")).agg(F.min("position").alias("_first"))
     rows = draft.join(first, F.lower(draft["target"]) == F.col("_t"))
     words, hints = X.word_count(F.col("query")), X.word_count(F.col("hint"))
+    # The wording of the reasons.
     reasons = F.array(
         F.when(F.col("position") > F.col("_first"), F.lit("duplicate target")),
         F.when(words < 3, F.concat(F.lit("query is only "), words, F.lit(" words"))),

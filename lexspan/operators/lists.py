@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -100,25 +101,23 @@ def probed_topk(
         *base.columns, F.explode("lists").alias("list_id")
     )
     schema = S._hit_schema(base)
-    head = probing.limit(S.BROADCAST_QUERIES * probes + 1).toArrow()
-    if head.num_rows <= S.BROADCAST_QUERIES * probes:
-        found = _scan_lists(listed, head, k, schema)
+    head = base.limit(S.BROADCAST_QUERIES + 1).toArrow()
+    if head.num_rows <= S.BROADCAST_QUERIES:
+        # Each query vector once, and the lists as pairs of ids.
+        found = _scan_lists(listed, head, probing.select("qid", "list_id").toArrow(), k, schema)
     else:
         found = S._meet(S._vectors(listed, True), probing, k, False, schema)
     return S.rank_hits(found, k, S._order()).select("qid", "rank", "word", "sim")
 
 
-def _scan_lists(listed: DataFrame, probing: pa.Table, k: int, schema: T.StructType) -> DataFrame:
+def _scan_lists(listed: DataFrame, queries: pa.Table, probing: pa.Table, k: int, schema: T.StructType) -> DataFrame:
     wanted = sorted(set(probing["list_id"].to_pylist()))
-    codes = probing["qid"].combine_chunks().dictionary_encode()
-    where = codes.indices.to_numpy()
-    _, first = np.unique(where, return_index=True)
-    one_each = probing.take(pa.array(first))
+    where = pc.index_in(probing["qid"].combine_chunks(), value_set=queries["qid"].combine_chunks()).to_numpy()
     lists: dict[int, np.ndarray] = {}
     ids = probing["list_id"].to_numpy()
     for list_id in wanted:
         lists[int(list_id)] = np.unique(where[ids == list_id])
-    block = S._block(one_each, lists)
+    block = S._block(queries, lists)
     # A literal list filter: folders of other lists are not read at all.
     vectors = S._vectors(listed, True).filter(F.col("list_id").isin([int(i) for i in wanted]))
     return S._scan(vectors, block, k, False, schema)
