@@ -42,6 +42,7 @@ REGISTERS = BANDS * ROWS
 # Signatures estimate with a deviation of 0.032 at 0.8; a pair this far below is ruled out.
 FLOOR = SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 BLOCK_NODES = 1024
+NARROW = 16  # rows of keys and numbers against rows of texts
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -184,7 +185,7 @@ def texts_of(keys: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = keys.join(nodes.select("key", "doc_id"), "key")
     found = rows.withColumnRenamed("key", "k").withColumnRenamed("doc_id", "d").join(
         wanted, (F.col("k") == F.col("key")) & F.equal_null("d", F.col("doc_id")))
-    return landed(found.select("key", "text").dropDuplicates(["key"]), "texts")
+    return landed(found.select("key", "text").dropDuplicates(["key"]), "texts", 4)
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         .join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a binary, b binary")
     )
-    close = landed(close, "close")
+    close = landed(close, "close", NARROW)
     texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, rows)
     return (
         close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -213,15 +214,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest neighbouring label and then the label's own label; labels
     are written, so no round repeats the ones before.
     """
-    ends = landed(links.select("a", "b").union(links.select("b", "a")), "ends")
-    labels = landed(ends.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("top")), "labels")
+    ends = landed(links.select("a", "b").union(links.select("b", "a")), "ends", NARROW)
+    labels = landed(ends.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("top")), "labels", NARROW)
     while True:
         near = ends.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("top").alias("near"))
         lower = labels.join(near, "key").select("key", F.col("top").alias("was"), F.least("top", "near").alias("top"))
         up = labels.select(F.col("key").alias("k"), F.col("top").alias("over"))
         jumped = lower.join(up, F.col("top") == F.col("k"), "left").select(
             "key", "was", F.least("top", F.coalesce("over", F.col("top"))).alias("top"))
-        moved = landed(jumped, "labels")
+        moved = landed(jumped, "labels", NARROW)
         labels = moved.select("key", "top")
         if moved.filter("top <> was").isEmpty():
             return labels
@@ -311,7 +312,7 @@ def _residual(members: DataFrame, labels: DataFrame, nodes: DataFrame, rows: Dat
     other = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
     held = held.withColumn("other", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     held = held.select("h", "i", "j", "chunk", "key", "top", "sig", "bands")
-    asked = landed(held.groupBy("h", "i", "j").applyInArrow(_involved, held.schema), "asked")
+    asked = landed(held.groupBy("h", "i", "j").applyInArrow(_involved, held.schema), "asked", 4)
     texts = texts_of(asked.select("key").distinct(), nodes, rows)
     return asked.join(texts, "key").groupBy("h", "i", "j").applyInArrow(_linked, "a binary, b binary, similarity double")
 
@@ -321,10 +322,10 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     signed = landed(rows.mapInArrow(_sign, "doc_id long, key binary, bands array<long>, sig binary"), "signed")
     nodes = landed(signed.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes", 4)
     banded = nodes.select("key", F.explode("bands").alias("h"))
     pivots = banded.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = landed(banded.join(pivots, "h"), "members")
+    members = landed(banded.join(pivots, "h"), "members", 4)
     starred = members.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     links = landed(confirmed(starred, nodes, rows), "links")
     labels = components(links)
@@ -333,7 +334,7 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = links.union(more)
         labels = components(links)
     classed = nodes.select("key", "doc_id", "copies").join(labels, "key", "left").withColumn("top", F.coalesce("top", "key"))
-    classed = landed(classed, "classed")
+    classed = landed(classed, "classed", NARROW)
     per = classed.groupBy("top").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     named = classed.join(per, "top").join(degree, "key", "left").select(
@@ -356,7 +357,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     _, named = _analysed(docs)
     # Of a class: its smallest id, and of several texts with that id the smallest key.
     best = named.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("b"))
-    stays = landed(named.join(best, "class_key").filter(F.col("key") == F.col("b.key")).select("key", F.col("doc_id").alias("id"), "copies"), "stays")
+    stays = landed(named.join(best, "class_key").filter(F.col("key") == F.col("b.key")).select("key", F.col("doc_id").alias("id"), "copies"), "stays", NARROW)
     packed = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("k"))
     kept = packed.join(stays, (F.col("k") == F.col("key")) & F.equal_null(F.col("row.doc_id").cast("long"), F.col("id")))
     # Only a text with copies can still have several rows here.

@@ -33,13 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
+def landed(df: DataFrame, name: str, thinner: int = 1) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back.
 
     Later steps then start from files that every executor can read, not from a lineage
-    that a lost executor would make Spark run again.
+    that a lost executor would make Spark run again. `thinner` says how many times narrower
+    than texts the rows are: that much fewer partitions, and files, are written.
     """
     spark = df.sparkSession
+    if thinner > 1:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // thinner))
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
