@@ -113,6 +113,19 @@ def test_nearest_with_odd_vectors_and_copies(spark, monkeypatch):
     assert set(got) <= {0, 250, 1000}
 
 
+def test_repeated_rows_of_one_id_leave_room_for_the_others(spark):
+    """A near vec_id repeated 50 times, as equal rows or as rows that differ, takes one place."""
+    def at(angle, length=1.0):
+        return [length * float(np.cos(angle)), length * float(np.sin(angle))]
+
+    others = [(i, at(0.02 * i)) for i in range(2, 10)]
+    for copies in ([(1, at(0.01))] * 50, [(1, at(0.01 + 1e-5 * i)) for i in range(50)], [(1, at(0.01, 2.0**i)) for i in range(50)]):
+        vectors = spark.createDataFrame([(0, at(0.0)), *copies, *others], "vec_id long, embedding array<double>")
+        got = cross_polytope.nearest(vectors, vectors.filter("vec_id = 0")).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+        assert got[0].score == pytest.approx(np.cos(0.01), abs=1e-12)
+
+
 def test_rotation_keeps_lengths_and_first_probe_is_the_bucket():
     x = np.random.default_rng(0).normal(size=(50, 48))
     x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
