@@ -5,9 +5,9 @@ padded by one blank), most frequent first. A text is ranked the same way and goe
 language with the smallest out-of-place distance: the sum, over the text's n-grams, of how
 far each one's rank is from its rank in the profile, and the profile's size if it is absent.
 
-Profiles are counted in the cluster from labelled documents outside the held-out fold, at
-most about `max_rows` of them (a bounded sample, chosen by hash); each task adds up its own
-counts before the shuffle. Only the profiles (`size` n-grams per language) reach the driver.
+Profiles are counted in the cluster from all labelled documents outside the held-out fold, so
+the learned languages do not depend on the size of the table; each task adds up its own counts
+before the shuffle, in bounded memory. Only the profiles (`size` n-grams per language) reach the driver.
 Prediction is one scan without a shuffle.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from lexspan.llm.common import learn_fold, query, table
 
 SIZE = 300
-MAX_ROWS = 20_000
 UNKNOWN = "und"
 LEAST_SCORE = 0.2
 _SHIFT = np.int64(21)  # a code point has at most 21 bits, so three fit a signed 64-bit code
 _BLANK = 0x20
+_PENDING, _HELD = 1 << 20, 1 << 22  # codes of a task that wait to be counted, and counted ones that it keeps
 _letters: np.ndarray | None = None
 
 
@@ -67,27 +67,37 @@ def ranked(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each language's n-grams over one task."""
+    """Counts of each language's n-grams over one task; a code may come more than once."""
     held: dict[str, list[np.ndarray]] = {}
     totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def fold(lang: str) -> None:
-        code, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-        if lang in totals:
-            old, counted = totals[lang]
-            code, at = np.unique(np.concatenate([old, code]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([counted, n])).astype(np.int64)
-        totals[lang] = code, n
+    pending = 0
+
+    def fold() -> None:
+        for lang in list(held):
+            code, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
+            if lang in totals:
+                old, counted = totals[lang]
+                code, at = np.unique(np.concatenate([old, code]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([counted, n])).astype(np.int64)
+            totals[lang] = code, n
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for lang, (code, n) in totals.items():
+            yield pa.record_batch({"lang": pa.array([lang] * len(code)), "code": pa.array(code), "n": pa.array(n.astype(np.int64))})
+        totals.clear()
 
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            held.setdefault(lang, []).append(ngrams(text))
-            if sum(map(len, held[lang])) > 1 << 20 or len(held[lang]) >= 200:
-                fold(lang)
-    for lang in list(held):
-        fold(lang)
-    for lang, (code, n) in totals.items():
-        yield pa.record_batch({"lang": pa.array([lang] * len(code)), "code": pa.array(code), "n": pa.array(n.astype(np.int64))})
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            codes = ngrams(text.as_py())
+            held.setdefault(lang, []).append(codes)
+            pending += len(codes)
+            if pending > _PENDING:
+                fold()
+                pending = 0
+                if sum(len(code) for code, _ in totals.values()) > _HELD:
+                    yield from counts()
+    fold()
+    yield from counts()
 
 
 @dataclass(frozen=True)
@@ -114,17 +124,14 @@ class Profiles:
         return self.langs[best], 1.0 - float(distance[best]) / (self.size * len(mine))
 
 
-def learn(docs: DataFrame, max_rows: int = MAX_ROWS, size: int = SIZE) -> Profiles:
-    """Profiles from rows doc_id, text, lang whose id is outside the held-out fold."""
+def learn(docs: DataFrame, size: int = SIZE) -> Profiles:
+    """Profiles from all rows doc_id, text, lang whose id is outside the held-out fold."""
     able = docs.filter(F.col("lang").isNotNull() & learn_fold(F.col("doc_id")))
-    share = max_rows / max(1, able.select("lang").count())
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = able.filter(place < int(min(1.0, share) * (1 << 30))) if share < 1 else able
-    counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
+    counted = able.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     total = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    # `size` rows per language.
-    top = total.withColumn("rank", rank).filter(F.col("rank") < size).toArrow()
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    # `size` rows per language; the filter lets each task drop the others before the window's shuffle.
+    top = total.withColumn("place", place).filter(F.col("place") <= size).select("lang", "code", (F.col("place") - 1).alias("rank")).toArrow()
     lang, code, rank_of = (np.asarray(top[c].to_pylist()) for c in ("lang", "code", "rank"))
     langs = tuple(sorted(set(lang.tolist())))
     codes = np.unique(code.astype(np.int64)) if len(code) else np.zeros(0, np.int64)

@@ -122,3 +122,29 @@ def test_language_on_held_out_rows(spark):
     spoken = {r.doc_id: r.lang for r in docs.collect()}
     rows = language_id.predict(docs, language_id.learn(docs)).filter("held_out").collect()
     assert np.mean([r.lang_pred == spoken[r.doc_id] for r in rows]) > 0.97
+
+
+def test_rare_languages_are_learned_beside_many_rows(spark):
+    """One learnable row each of eight languages beside 90,000 rows of another."""
+    many = spark.range(1000, 91_000).selectExpr("id AS doc_id", "'the cat and the dog' AS text", "'en' AS lang")
+    ids = [i for i in range(40) if not held_out(i)][:8]
+    rare = {f"x{i}": "abcdefgh"[i] * 3 + " " + "stuvwxyz"[i] * 3 for i in range(8)}
+    few = spark.createDataFrame([(i, text, lang) for i, (lang, text) in zip(ids, rare.items())], "doc_id long, text string, lang string")
+    profiles = language_id.learn(many.unionByName(few))
+    assert profiles.langs == ("en", *rare)
+    assert all(profiles.nearest(text)[0] == lang for lang, text in rare.items())
+
+
+def test_counts_are_whole_when_a_task_gives_them_in_parts(monkeypatch):
+    rows = [("en", "the cat"), ("de", "der hund"), ("en", "a dog"), ("en", None), ("de", "die katze")] * 3
+    batches = [pa.record_batch({"lang": [lang for lang, _ in rows], "text": pa.array([t for _, t in rows])})]
+    seen = []
+    for limit in (language_id._PENDING, 5):
+        monkeypatch.setattr(language_id, "_PENDING", limit)
+        monkeypatch.setattr(language_id, "_HELD", limit)
+        total = Counter()
+        for part in language_id._count(iter(batches)):
+            for r in part.to_pylist():
+                total[r["lang"], r["code"]] += r["n"]
+        seen.append(total)
+    assert seen[0] == seen[1] and sum(seen[0].values()) == sum(len(language_id.ngrams(t)) for _, t in rows)
