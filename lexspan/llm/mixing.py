@@ -3,6 +3,8 @@
 Sources are given integer numbers of equal-token blocks: each block goes to the source with
 the highest quotient target / (2 * held + 1). The sequence of awards is cut into shards, so
 every shard has an integer quota per source and any run of shards is mixed to the weights.
+Whole blocks are too coarse for small sources: one whose cap is under WHOLE_BLOCKS blocks gets
+its target to the word, as one block of its own length, and the others share what is left.
 Inside a source the documents stand in a seeded order; its blocks are consecutive words of
 that order, which starts again from the front when it has been used up. Shard after shard
 takes the next blocks of the order.
@@ -26,6 +28,7 @@ SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 1024
 LEAST_BLOCKS = 4096
+WHOLE_BLOCKS = 128
 SHARD_BLOCKS = 4096
 _BUCKET_DIGITS = 3
 
@@ -70,10 +73,13 @@ def quotas(goals: DataFrame, share: float = SHARE, most: int = MOST, shard_block
 
     Exact highest quotients without a row per block: the divisor total / house bounds every
     source's seats within its part of twice the number of sources, so only quotients in that
-    window are ranked. A source has no more seats than its words allow.
+    window are ranked. A source has no more seats than its words allow. Goals with a column
+    `block` keep their block.
     """
     k = F.count("*").over(W.partitionBy())
-    rows = goals.withColumn("k", k).withColumn("block", block_words(F.col("all_words")))
+    rows = goals.withColumn("k", k)
+    if "block" not in goals.columns:
+        rows = rows.withColumn("block", block_words(F.col("all_words")))
     rows = rows.withColumn("room", F.floor(most * F.col("source_size") / F.col("block")))
     rows = rows.withColumn("blocks", F.floor(share * F.col("all_words") / F.col("block") + 0.5))
     last = F.ceil(F.col("blocks") / shard_blocks)
@@ -95,6 +101,23 @@ def quotas(goals: DataFrame, share: float = SHARE, most: int = MOST, shard_block
     return held.withColumn("quota", F.col("seats") - earlier)
 
 
+def owed(goals: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """source, source_size, target and the words that the mix takes of each source.
+
+    A small source gets its target, rounded to a word; the others get whole blocks by highest
+    quotients, in a house of the words that the small ones leave.
+    """
+    rows = goals.withColumn("block", block_words(F.col("all_words")))
+    rows = rows.withColumn("small", most * F.col("source_size") < WHOLE_BLOCKS * F.col("block"))
+    rows = rows.withColumn("spared", F.sum(F.when(F.col("small"), F.col("target")).otherwise(0)).over(W.partitionBy()))
+    large = rows.filter(~F.col("small")).withColumn("all_words", F.col("all_words") - F.col("spared") / share)
+    awarded = quotas(large, share, most).groupBy(F.col("source").alias("_s")).agg(
+        (F.max("block") * F.max("seats")).alias("_awarded"))
+    words = F.when(F.col("small"), F.floor(F.col("target") + 0.5)).otherwise(F.coalesce("_awarded", F.lit(0)))
+    return rows.join(awarded, F.equal_null("source", F.col("_s")), "left").select(
+        "source", "source_size", "target", words.cast("long").alias("words"))
+
+
 def take(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of doc_id, source, text."""
     sized = landed(sizes(docs), "sizes")
@@ -106,12 +129,8 @@ def taken(sized: DataFrame, seed: int = 0, ties: tuple[str, ...] = ()) -> DataFr
 
     Rows of a source with equal id and size are ordered by `ties`.
     """
-    goals = targets(sized)
-    awarded = quotas(goals).groupBy(F.col("source").alias("_s")).agg(
-        F.max("block").alias("_block"), F.max("seats").alias("_seats"))
-    plan = goals.join(awarded, F.equal_null("source", F.col("_s")), "left").select(
-        F.col("source").alias("_source"), "source_size", "target",
-        F.coalesce(F.col("_block") * F.col("_seats"), F.lit(0)).alias("_words"))
+    plan = owed(targets(sized)).select(
+        F.col("source").alias("_source"), "source_size", "target", F.col("words").alias("_words"))
 
     # Words of the source before each row in the seeded order, by totals of hash buckets.
     code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))

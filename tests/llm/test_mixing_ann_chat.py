@@ -55,6 +55,24 @@ def test_targets_are_reshared_and_quotas_are_highest_quotients(spark):
     assert all(per[s] == 500 for s in list(sorted(per))[:-1])
 
 
+def test_small_sources_get_their_targets_beside_millions_of_words(spark):
+    """Sources under a block, of some blocks, and many small ones, where a block has 1,024 words."""
+    sizes = {"a": [5_000_000], "b": [300], "c": [100] * 7, "d": [1500, 1501], "e": [0], "f": [2_600_000], None: [77]}
+    many = {f"g{i}": [500] for i in range(3000)}
+    for more in ({}, many):
+        rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, ns in (sizes | more).items() for n in ns)]
+        sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+        got, want, whole = defaultdict(int), {}, defaultdict(int)
+        for r in mixing.taken(sized).collect():
+            assert 0 <= r.taken <= 2 * r.size
+            got[r.source] += r.taken
+            want[r.source], whole[r.source] = r.target, r.source_size
+        small = [s for s in want if 2 * whole[s] < mixing.WHOLE_BLOCKS * 1024]
+        assert {"b", "c", "d", "e", None} <= set(small) and all(abs(got[s] - want[s]) <= 0.5 for s in small)
+        assert got["b"] == 600 and got["d"] == 6002
+        assert all(abs(got[s] - want[s]) <= 1024 for s in want)
+
+
 def test_taken_words_come_near_targets(spark, small):
     rows = mixing.take(table(spark, small, "documents")).collect()
     got, want = defaultdict(int), {}
