@@ -139,12 +139,11 @@ def merge_entries(draft: DataFrame, proposals: DataFrame, key: str = "position")
 def merge_accepted(draft: DataFrame, proposals: DataFrame, key: str = "position") -> DataFrame:
     """The draft with merged cells, and how many entries were added and kept per row.
 
-    A cell is one text. A row with more than MAX_CELL entries keeps its cell here and counts
-    nothing as added; `overlong_entries` gives its merged entries as rows.
+    A cell is one text and holds all merged entries, however many; `overlong_entries` gives
+    those of long cells as rows, too.
     """
     entries = merge_entries(draft, proposals, key)
-    sizes = entries.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("part") == 1).alias("_added"))
-    sizes = sizes.filter(F.col("n") <= MAX_CELL)
+    sizes = entries.groupBy(key).agg(F.count_if(F.col("part") == 1).alias("_added"))
     changed = entries.join(sizes.filter("_added > 0").select(key), key, "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("part", "place", "entry")))
     cells = changed.groupBy(key).agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), ", ").alias("_cell"))
@@ -160,7 +159,7 @@ def merge_accepted(draft: DataFrame, proposals: DataFrame, key: str = "position"
 
 
 def overlong_entries(draft: DataFrame, proposals: DataFrame, key: str = "position") -> DataFrame:
-    """Merged entries, as rows, of the draft rows that are too long for one cell."""
+    """Merged entries, as rows, of the draft rows with more than MAX_CELL of them."""
     entries = merge_entries(draft, proposals, key)
     long = entries.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > MAX_CELL).select(key)
     return entries.join(long, key, "left_semi")

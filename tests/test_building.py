@@ -141,6 +141,17 @@ def test_merge_is_idempotent(spark):
     assert rows(A.unmatched_targets(draft, props)) == [("gone",)]
 
 
+def test_merge_of_a_long_cell_loses_no_entry(spark, monkeypatch):
+    monkeypatch.setattr(A, "MAX_CELL", 3)
+    draft = spark.createDataFrame([(1, "hat", "cap"), (2, "dog", "")], "position long, target string, acceptable string")
+    props = spark.createDataFrame([("hat", i, f"w{i}") for i in range(12)] + [("dog", 1, "hound")], "target string, position long, candidate string")
+    merged = A.merge_accepted(draft, props)
+    cell = ", ".join(["cap", *(f"w{i}" for i in range(12))])
+    assert rows(merged, "position", "acceptable", "added", "kept") == [(1, cell, 12, 1), (2, "hound", 1, 0)]
+    assert rows(A.merge_summary(merged)) == [(2, 13, 1)]
+    assert A.overlong_entries(draft, props).count() == 13
+
+
 def test_review_counts_equal_a_replay(spark):
     syn = {"k1": ["sin", "SIN", "Sin", "wickedness", "ev"], "k2": ["CD", "Cd", "candle", "sin"], "k3": ["Mar", "mar", "flaw"], "k4": ["alone"]}
     glosses = spark.createDataFrame([(k, w) for k, ws in syn.items() for w in ws], "sense_key string, word string")
