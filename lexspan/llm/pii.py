@@ -11,9 +11,10 @@ overlapping candidates the best stays.
 Nobody has marked spans, so the trees learn from the base formats: candidates inside base
 spans are positive, other candidates negative, and every base span is also rewritten, in its
 own context, into other ways to write the same thing (positive) and into dates, amounts and
-book numbers with its digits (negative). At most `max_docs` documents are
-used for that, chosen by hash; candidates, not texts, reach the driver. Finding is one scan
-without a shuffle.
+book numbers with its digits (negative). A scan of all documents chooses at most `per_kind`
+documents with each base kind, and twice as many without any, by hash; candidates, not texts,
+reach the driver. A quarter of all documents is kept out of that, and the thresholds come from
+counts over the whole quarter. Finding is one scan without a shuffle.
 
 Defined cases: a null text is empty; equal starts are ordered by kind as listed; repeated
 rows give repeated results; with too few positive candidates to learn from nothing is added;
@@ -30,12 +31,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lexspan.llm.common import query, table
 
 BASE = ("email", "ip", "card", "phone")
-MAX_DOCS = 3000
+PER_KIND = 1000
+_SCORES = 4096  # steps of the scores that are counted for a threshold
 PRECISION = 0.98
 ROUNDS, DEPTH, BINS = 60, 3, 16
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -258,30 +260,69 @@ def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch({"key": pa.array(key, pa.int64()), "x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.int32())})
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS, precision: float = PRECISION) -> Trees:
-    """Fit trees and thresholds on about `max_docs` documents that hold a digit or an at sign."""
-    able = docs.filter(F.col("text").rlike("[0-9@]"))
-    # A share of the hash range: bounded in expectation, and no text moves for it.
-    share = max_docs / max(1, able.count())
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    chosen = able if share >= 1 else able.filter(place < int(share * (1 << 30)))
-    rows = chosen.select("text").mapInArrow(_example_rows, "key long, x array<double>, y int").toPandas()
-    if len(rows) == 0:
-        return Trees()
-    rows = rows.assign(v=rows.x.map(tuple)).sort_values(["key", "v", "y"])
-    x, y, key = np.array(rows.v.tolist()), rows.y.to_numpy().astype(float), rows.key.to_numpy()
-    held = key % 4 == 0
-    if min(y[~held].sum(), (1 - y[~held]).sum()) < 10 or y[held].sum() < 5:
+def _chooser(per_kind: int) -> Callable:
+    most = {**dict.fromkeys(BASE, per_kind), "": 2 * per_kind}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The smallest hashes of one task's documents with each base kind, and without any ("")."""
+        held: dict[str, set[int]] = {kind: set() for kind in most}
+        for batch in batches:
+            for h, text in zip(batch["h"].to_pylist(), batch["text"]):
+                for kind in {k for _, k, _ in base_spans(text.as_py())} or {""}:
+                    held[kind].add(h)
+            for kind, n in most.items():
+                if len(held[kind]) > n:
+                    held[kind] = set(sorted(held[kind])[:n])
+        for kind, hashes in held.items():
+            yield pa.record_batch({"kind": pa.array([kind] * len(hashes), pa.string()), "h": pa.array(sorted(hashes), pa.int64())})
+
+    return choose
+
+
+def _score_counts(model: Trees) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Examples, and positive ones, by wider kind and step of the score, over one task."""
+        seen = np.zeros((2, len(WIDER) * _SCORES), dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                found = list(_examples(text.as_py()))
+                if found:
+                    x = np.array([row for row, _ in found], dtype=float)
+                    step = np.minimum((model.score(x) * _SCORES).astype(np.int64), _SCORES - 1)
+                    at = x[:, 0].astype(np.int64) * _SCORES + step
+                    np.add.at(seen[0], at, 1)
+                    np.add.at(seen[1], at, [label for _, label in found])
+        used = np.flatnonzero(seen[0])
+        yield pa.record_batch({"kind": pa.array(used // _SCORES), "step": pa.array(used % _SCORES), "n": pa.array(seen[0, used]), "positive": pa.array(seen[1, used])})
+
+    return count
+
+
+def learn(docs: DataFrame, per_kind: int = PER_KIND, precision: float = PRECISION) -> Trees:
+    """Fit trees on chosen documents with a digit or an at sign, and thresholds on all that are kept out."""
+    able = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    kept_out = F.crc32("text") % 4 == 0
+    fits = able.filter(~kept_out)
+    place = F.row_number().over(W.partitionBy("kind").orderBy("h"))
+    best = fits.mapInArrow(_chooser(per_kind), "kind string, h long").distinct().withColumn("place", place)
+    chosen = best.filter(F.col("place") <= F.when(F.col("kind") == "", 2 * per_kind).otherwise(per_kind)).filter(F.col("place") <= 2 * per_kind)
+    # At most six times `per_kind` numbers: a proven bound for the broadcast.
+    texts = fits.join(F.broadcast(chosen.select("h").distinct()), "h").dropDuplicates(["h"])
+    rows = texts.select("text").mapInArrow(_example_rows, "key long, x array<double>, y int").toPandas()
+    y = rows.y.to_numpy().astype(float)
+    if min(y.sum(), (1 - y).sum()) < 10:
         return Trees()
-    model = boost(x[~held], y[~held])
-    p = model.score(x[held])
+    x = np.stack(rows.x.to_numpy())
+    order = np.lexsort((y, *x.T[::-1], rows.key.to_numpy()))
+    model = boost(x[order], y[order])
+    counts = able.filter(kept_out).select("text").mapInArrow(_score_counts(model), "kind long, step long, n long, positive long")
+    steps = counts.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toPandas()
     for i, kind in enumerate(WIDER):
-        mine = x[held][:, 0] == i
-        order = np.argsort(-p[mine], kind="stable")
-        right = np.cumsum(y[held][mine][order])
-        good = np.flatnonzero(right >= precision * np.arange(1, len(order) + 1))
+        mine = steps[steps.kind == i].sort_values("step", ascending=False)
+        right = np.cumsum(mine.positive.to_numpy())
+        good = np.flatnonzero(right >= precision * np.cumsum(mine.n.to_numpy()))
         if len(good) and right[good[-1]] >= 5:
-            model.threshold[kind] = max(0.5, float(p[mine][order][good[-1]]))
+            model.threshold[kind] = max(0.5, float(mine.step.to_numpy()[good[-1]]) / _SCORES)
     return model
 
 

@@ -79,3 +79,13 @@ def test_selection_keeps_base_spans_and_clean_texts(spark):
 
 def test_masking_merges_overlaps():
     assert pii.masked("ab 123456 cd", [(3, "card", 7), (5, "phone", 9)]) == "ab <CARD> cd"
+
+
+def test_rare_personal_data_is_learned_beside_many_clean_documents(spark):
+    """24 documents with an address beside 60,000 that hold digits only."""
+    few = [(i, f"please write to {'abcdefgh'[i % 8]}oe.{'klm'[i // 8]}{i}@mail{i}.example.org before noon") for i in range(24)]
+    clean = spark.range(1000, 61_000).selectExpr("id AS doc_id", "concat('count 12 345 ', id, ' 678 of the year') AS text")
+    model = pii.learn(spark.createDataFrame(few, "doc_id long, text string").unionByName(clean))
+    assert "wide_email" in model.threshold
+    text = "please write to jane.roe [at] post [dot] example [dot] org before noon"
+    assert [k for _, k, _ in pii.spans(text, model)[1]] == ["wide_email"]
