@@ -16,7 +16,7 @@ def table(columns, rows):
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = catalogue.QUERIES[name](spark, SMALL)
     want = con.sql(catalogue.ORACLES[name])
@@ -24,4 +24,4 @@ def test_equals_duckdb(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.QUERIES) == list(range(1, 14))
