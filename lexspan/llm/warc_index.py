@@ -11,11 +11,12 @@ by bisection, reads the range of one block, searches its lines by bisection, and
 ranges of the records. Bulk lookups deal the keys out by index file, and the records they find by
 stretches of archive files, so every block and every stretch is read once, in order.
 
-Payloads meet by digest only as narrow rows. Digests that hold more than a thousandth of all
-pages are at most a thousand, so they are broadcast; the others are joined by shuffle. Texts are
-joined with their verdict by a unique row number. Files get a name of their own per task attempt
-and count only if the task's rows are committed, so a lost executor leaves no damage. They
-are written and read through Arrow's file systems, in the shared checkpoint folder.
+Payloads meet by digest only as narrow rows, one per page and payload. Digests that hold more than
+a thousandth of all pages are at most a thousand, so they are broadcast; the others are joined by
+shuffle. Texts are joined with their verdict by page and payload, and are shuffled once. Files get
+a name of their own per task attempt and count only if the task's rows are committed, so a lost
+executor leaves no damage. They are written and read through Arrow's file systems, in the shared
+checkpoint folder.
 
 Defined cases: a null html is the empty payload; a null url is empty, as is its key; a null
 page_id is smaller than all others; of repeated rows with the largest page_id one is the
@@ -37,14 +38,16 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lexspan.llm.common import landed, query, table
 from lexspan.session import ensure_checkpoint_dir
 
 LINES = 1000
+FILE_LINES = 2_000_000
 FILE_BYTES = 1 << 30
 READ_BYTES = 8 << 20
+TASK_BYTES = 512 << 20
 LEAST_REVISIT = 0
 HOT_SHARE = 1000
 DATE = "2000-01-01T00:00:00Z"
@@ -69,40 +72,43 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 # Writing -----------------------------------------------------------------------------------------
 
 
-def verdicts(captures: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """uid and the page_id and uid of the response that it revisits, null where it is one itself.
+# A page, its id as text so that null is a value, and its payload: the SHA-1, and a second hash beside it.
+_PAGE = ["page", "digest", "check"]
 
-    Of rows uid, page_id, digest, check, bytes; `digest` and `check` together identify a payload.
+
+def verdicts(held: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """The page_id that holds the payload of each distinct row page, digest, check, page_id, bytes, n.
+
+    Null where the payload stands alone or is shorter than `least`.
     """
-    same = captures.filter(F.col("bytes") >= least).groupBy("digest", "check").agg(
-        F.count("*").alias("n"), F.max(F.struct("page_id", "uid")).alias("first"))
-    groups = landed(same.filter("n > 1"), "payload-groups")
-    bound = captures.count() / HOT_SHARE
-    own = F.when(F.col("first.uid") != F.col("uid"), F.col("first"))
-    few, many = groups.filter(F.col("n") > bound), groups.filter(F.col("n") <= bound)
+    same = held.filter(F.col("bytes") >= least).groupBy("digest", "check").agg(
+        F.sum("n").alias("of"), F.count("*").alias("rows"), F.max("page_id").alias("holder"))
+    groups = landed(same.filter("of > 1"), "payload-groups")
+    bound = held.count() / HOT_SHARE
+    few, many = (groups.filter(c).select("digest", "check", F.struct("holder").alias("group")) for c in (F.col("rows") > bound, F.col("rows") <= bound))
     # Fewer than HOT_SHARE groups can each hold more than this part of all rows.
-    hot = captures.join(F.broadcast(few.select("digest", "check", "first")), ["digest", "check"], "left")
-    rest = hot.filter(F.col("first").isNull()).drop("first").join(many.select("digest", "check", "first"), ["digest", "check"], "left")
-    return hot.filter(F.col("first").isNotNull()).select("uid", own.alias("refers")).unionByName(rest.select("uid", own.alias("refers")))
+    hot = held.join(F.broadcast(few), ["digest", "check"], "left")
+    rest = hot.filter(F.col("group").isNull()).drop("group").join(many, ["digest", "check"], "left")
+    return hot.filter(F.col("group").isNotNull()).unionByName(rest).select(*_PAGE, "group")
 
 
-def record_id(page_id: int | None, uid: int) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{uid}>"
+def record_id(page_id: int | None, check: int, copy: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{check & 0xFFFFFFFFFFFFFFFF:016x}:{copy}>"
 
 
 def page_of(record: str | None) -> int | None:
     """The page_id in a record id."""
-    found = re.fullmatch(r"<urn:page:(-?[0-9]*):[0-9]+>", record or "")
+    found = re.fullmatch(r"<urn:page:(-?[0-9]*):[0-9a-f]{16}:[0-9]+>", record or "")
     return int(found[1]) if found and found[1] else None
 
 
-def build_record(page_id: int | None, uid: int, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
+def build_record(name: str, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
     """A WARC record; one that refers to another keeps the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers else http + payload
     target = re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", url)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {record_id(page_id, uid)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {target}"] if target else []), f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Refers-To: {refers}", f"WARC-Profile: {_PROFILE}"] if refers else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
@@ -111,9 +117,9 @@ def build_record(page_id: int | None, uid: int, url: str, payload: bytes, digest
 
 
 _CAPTURE = pa.schema([
-    ("key", pa.string()), ("page_id", pa.int64()), ("uid", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()),
+    ("key", pa.string()), ("page_id", pa.int64()), ("record", pa.string()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()),
     ("length", pa.int64()), ("kind", pa.string()), ("digest", pa.string())])
-_CAPTURE_DDL = "key string, page_id long, uid long, url string, file string, offset long, length long, kind string, digest string"
+_CAPTURE_DDL = "key string, page_id long, record string, url string, file string, offset long, length long, kind string, digest string"
 
 
 def _writer(folder: str, file_bytes: int):
@@ -122,7 +128,7 @@ def _writer(folder: str, file_bytes: int):
         out, name, at = None, "", 0
         for batch in batches:
             rows = []
-            for key, page_id, uid, url, html, refers in zip(*(batch[c].to_pylist() for c in ("key", "page_id", "uid", "url", "html", "refers"))):
+            for key, page_id, check, copy, url, html, group in zip(*(batch[c].to_pylist() for c in ("key", "page_id", "check", "copy", "url", "html", "group"))):
                 if out is None or at >= file_bytes:
                     if out is not None:
                         out.close()
@@ -130,10 +136,13 @@ def _writer(folder: str, file_bytes: int):
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
                 payload = html.encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                to = record_id(refers["page_id"], refers["uid"]) if refers else None
-                member = gzip.compress(build_record(page_id, uid, url, payload, digest, to), mtime=0)
+                # The first copy of the page that holds the payload is the response.
+                own = group is None or (group["holder"] == page_id and copy == 1)
+                to = None if own else record_id(group["holder"], check, 1)
+                record = record_id(page_id, check, copy)
+                member = gzip.compress(build_record(record, url, payload, digest, to), mtime=0)
                 out.write(member)
-                rows.append((key, page_id, uid, url, name, at, len(member), "revisit" if to else "response", digest))
+                rows.append((key, page_id, record, url, name, at, len(member), "revisit" if to else "response", digest))
                 at += len(member)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CAPTURE)] if rows else [pa.array([], f.type) for f in _CAPTURE], schema=_CAPTURE)
         if out is not None:
@@ -144,22 +153,29 @@ def _writer(folder: str, file_bytes: int):
 
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
     """Folder of the archives and one row per capture, from rows page_id, url, html."""
-    numbered = landed(pages.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
-        F.coalesce("html", F.lit("")).alias("html")), "pages")
-    payload = F.col("html").cast("binary")
-    told = verdicts(landed(numbered.select("uid", "page_id", F.sha1(payload).alias("digest"), F.xxhash64("html").alias("check"),
-                                           F.octet_length("html").alias("bytes")), "payloads"), least)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("check", F.xxhash64("html"))
+    rows = rows.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    held = rows.groupBy(*_PAGE).agg(F.max("page_id").alias("page_id"), F.max(F.octet_length("html")).alias("bytes"), F.count("*").alias("n"))
+    told = verdicts(landed(held, "payloads"), least)
+    copy = F.row_number().over(W.partitionBy(*_PAGE).orderBy("url"))
+    # The join has dealt the pages out as the numbering of their copies needs them.
+    placed = rows.join(told, _PAGE).withColumn("copy", copy)
     folder = f"{ensure_checkpoint_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
     system, base = opened(folder)
     system.create_dir(base)
-    rows = numbered.join(told, "uid").select(reversed_host_key(F.col("url")).alias("key"), "page_id", "uid", "url", "html", "refers")
-    return folder, landed(rows.mapInArrow(_writer(folder, file_bytes), _CAPTURE_DDL), "captures")
+    records = placed.select(reversed_host_key(F.col("url")).alias("key"), "page_id", "check", "copy", "url", "html", "group")
+    return folder, landed(records.mapInArrow(_writer(folder, file_bytes), _CAPTURE_DDL), "captures")
 
 
 # Index -------------------------------------------------------------------------------------------
 
 
+def _tasks(spark: SparkSession, work: int, most: int) -> int:
+    """Tasks for an amount of work that rows' own bytes do not show: at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, -(-work // most))
+
+
 @dataclass(frozen=True)
 class IndexFile:
     """Bounds of one index file and the byte range of its directory."""
@@ -214,8 +230,8 @@ _FILE = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.st
 
 def write_index(folder: str, captures: DataFrame, lines: int = LINES) -> Index:
     """Sorted, compressed blocks of captures with a directory per file, written beside the archives."""
-    order = ["key", "page_id", "uid"]
-    placed = captures.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["key", "page_id", "record"]
+    placed = captures.repartitionByRange(_tasks(captures.sparkSession, captures.count(), FILE_LINES), *order).sortWithinPartitions(*order)
     files = landed(placed.mapInArrow(_index_writer(folder, lines), "first string, last string, file string, offset long, length long"), "index-files")
     # One row per partition of the sort.
     found = [IndexFile(r.first.encode(), r.last.encode(), r.file, r.offset, r.length) for r in files.collect()]
@@ -288,7 +304,7 @@ def _searcher(index: Index):
 def lookup(index: Index, keys: DataFrame) -> DataFrame:
     """All captures of the keys in column `key`."""
     asked = keys.select("key").distinct().mapInArrow(_locator(index), "part int, key string")
-    dealt = asked.repartition("part").sortWithinPartitions("part", "key")
+    dealt = asked.repartition(max(1, len(index.files)), "part").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(_searcher(index), _CAPTURE_DDL)
 
 
@@ -365,7 +381,9 @@ def _reader(folder: str, payload: bool):
 def fetch(index: Index, captures: DataFrame, payload: bool = True) -> DataFrame:
     """Records of captures, read by byte range; a revisit has the length and digest of the full payload."""
     stretch = F.floor(F.col("offset") / (8 * READ_BYTES))
-    placed = captures.select("file", "offset", "length", "url").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    found = landed(captures.select("file", "offset", "length", "url"), "found")
+    tasks = _tasks(found.sparkSession, found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], TASK_BYTES)
+    placed = found.repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_reader(index.folder, payload), "page_id long, url string, record_type string, refers_to long, "
                              "payload_bytes long, payload_digest string, payload binary")
 
