@@ -24,6 +24,7 @@ class QueryBlock:
     vectors: np.ndarray
     exclude: pa.Array | None = None
     lists: dict | None = None  # list id -> positions of the queries that probe it
+    floor: np.ndarray | None = None  # a similarity that the k-th best is known to reach
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -80,7 +81,7 @@ class TopK:
 
     def __init__(self, queries: QueryBlock, k: int, by_word: bool):
         self.queries, self.k, self.by_word = queries, k, by_word
-        self.floor = np.full(len(queries.vectors), -np.inf)
+        self.floor = np.full(len(queries.vectors), -np.inf) if queries.floor is None else queries.floor.copy()
         self.lengths = np.sqrt((queries.vectors**2).sum(axis=1)) if len(queries.vectors) else np.zeros(0)
         self.kept: pa.Table | None = None
 
@@ -163,9 +164,14 @@ class TopK:
         if len(rows) == 0:
             return
 
+        sims = self._exact(x, q, rows, cols)
+        reach = sims >= self.floor[chosen[cols]]
+        if not reach.any():
+            return
+        rows, cols, sims = rows[reach], cols[reach], sims[reach]
         found = table.select(["word", "sense_key", "row"]).take(pa.array(rows))
         found = found.append_column("q", pa.array(chosen[cols].astype(np.int64)))
-        found = found.append_column("sim", pa.array(self._exact(x, q, rows, cols)))
+        found = found.append_column("sim", pa.array(sims))
         self._merge(found)
 
     @staticmethod

@@ -3,21 +3,30 @@
 Vectors: `word, vec`, and where they apply `sense_key`, `row`, `list_id`. Queries:
 `qid, qvec`, and optionally `exclude` (a word that may not be returned).
 
-A query set under `BROADCAST_QUERIES` rows, which is checked before use, goes to every
-task and the vectors are scanned where they lie: no shuffle of the large side. A larger
-query set is matched block against block. Both sides are salted into bounded blocks, each
-pair of blocks meets in one task, and each task returns k rows per query.
+A query set of bounded rows and bytes, which is checked before use, goes to every task and
+the vectors are scanned where they lie: no shuffle of the large side. A larger query set is
+matched block against block: both sides are salted into bounded blocks, and each pair of
+blocks meets in one task.
+
+Alone, each task returns k rows per query. Where that is much, the search goes over growing
+shares of the rows, chosen by hash: the k-th best of what has been seen is a lower bound of
+the final k-th best, so only rows that reach it leave a task of the next share. A share
+`r` times the one before returns about r * k rows per query, however many tasks scan it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lexspan.functions import vectors as V
 from lexspan.operators.blocks import QueryBlock, TopK, matrix
+from lexspan.session import freeze
 
 DEFAULT_K = 10
 OVERFETCH = 12
@@ -27,8 +36,15 @@ PROBES = 10
 LISTS = 150
 
 BROADCAST_QUERIES = 8192
+BROADCAST_BYTES = 64 << 20
 VECTORS_PER_BLOCK = 100_000
 QUERIES_PER_BLOCK = 8192
+# Rows that one task may hold for its queries.
+HELD_ROWS = 2_000_000
+# Rows per task from which bounds pay: about 2 % of what a task reads.
+FLOOR_ROWS = 50_000
+# Ends of the shares, in 64ths of all rows.
+SHARES = (2, 16, 64)
 
 
 def _vectors(df: DataFrame, lists: bool) -> DataFrame:
@@ -71,7 +87,8 @@ def _hit_schema(queries: DataFrame) -> T.StructType:
 
 def _block(table: pa.Table, lists: dict | None = None) -> QueryBlock:
     exclude = table["exclude"].combine_chunks() if "exclude" in table.column_names else None
-    return QueryBlock(table["qid"].combine_chunks(), matrix(table["qvec"]), exclude, lists)
+    floor = table["floor"].to_numpy() if "floor" in table.column_names else None
+    return QueryBlock(table["qid"].combine_chunks(), matrix(table["qvec"]), exclude, lists, floor)
 
 
 def _scan(vectors: DataFrame, block: QueryBlock, k: int, by_word: bool, schema) -> DataFrame:
@@ -94,7 +111,7 @@ def _meet(vectors: DataFrame, queries: DataFrame, k: int, by_word: bool, schema)
         F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("v_blocks")
     )
     q_blocks = queries.groupBy("list_id").agg(
-        F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("q_blocks")
+        F.ceil(F.count("*") / max(1, min(QUERIES_PER_BLOCK, HELD_ROWS // max(1, k)))).cast("int").alias("q_blocks")
     )
     # One row per list. Lists probed by nobody and lists without vectors fall out here.
     plan = v_blocks.join(q_blocks, "list_id")
@@ -122,13 +139,60 @@ def _meet(vectors: DataFrame, queries: DataFrame, k: int, by_word: bool, schema)
     return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def _leaders(found: DataFrame, k: int, by_word: bool) -> DataFrame:
+    """Best k rows, or rows of the best k words, per query."""
+    if by_word:
+        found = found.groupBy("qid", "word").agg(F.max(F.struct("sim", "sense_key", "row")).alias("x")).select(
+            "qid", "word", "x.sense_key", "x.row", "x.sim")
+    return rank_hits(found, k, _order()).drop("rank")
+
+
+def _by_shares(vectors: DataFrame, k: int, by_word: bool, search: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """Candidates of passes over growing shares, each above the bounds `qid, floor` found so far."""
+    share = F.pmod(F.xxhash64("word", "sense_key", "row", "vec"), F.lit(SHARES[-1]))
+    found, floors, low = None, None, 0
+    for high in SHARES:
+        part = vectors.filter((share >= low) & (share < high))
+        # The first share has no bounds yet, so it is gathered into few tasks.
+        hits = search(part.hint("rebalance") if floors is None else part, floors)
+        found = hits if found is None else found.unionByName(hits)
+        if high < SHARES[-1]:
+            found = freeze(_leaders(found, k, by_word))
+            floors = found.groupBy("qid").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).filter(F.col("n") >= k).drop("n")
+        low = high
+    return found
+
+
+def bounded_queries(queries: DataFrame, k: int) -> pa.Table | None:
+    """The query set, if it is small enough for every task in rows, in bytes and in the rows it asks for."""
+    most = min(BROADCAST_QUERIES, HELD_ROWS // max(1, k))
+    head = queries.limit(most + 1).toArrow()
+    return head if head.num_rows <= most and head.nbytes <= BROADCAST_BYTES else None
+
+
 def _candidates(queries: DataFrame, vectors: DataFrame, k: int, by_word: bool) -> DataFrame:
     schema = _hit_schema(queries)
-    head = queries.limit(BROADCAST_QUERIES + 1).toArrow()
-    if head.num_rows <= BROADCAST_QUERIES:
-        return _scan(vectors, _block(head), k, by_word, schema)
+    head = bounded_queries(queries, k)
+    if head is not None:
+        block = _block(head)
+
+        def scan(part: DataFrame, floors: DataFrame | None) -> DataFrame:
+            if floors is None:
+                return _scan(part, block, k, by_word, schema)
+            known = floors.toArrow()  # a row per query at most
+            at = pc.index_in(block.ids, value_set=known["qid"].combine_chunks()).fill_null(-1).to_numpy(zero_copy_only=False)
+            floor = np.append(known["floor"].to_numpy(), -np.inf)[at]
+            return _scan(part, replace(block, floor=floor), k, by_word, schema)
+
+        return _by_shares(vectors, k, by_word, scan) if head.num_rows * k > FLOOR_ROWS else scan(vectors, None)
     one = F.lit(0).cast("long").alias("list_id")
-    return _meet(vectors.select("*", one), queries.select("*", one), k, by_word, schema)
+    asked = queries.select("*", one)
+
+    def meet(part: DataFrame, floors: DataFrame | None) -> DataFrame:
+        bounded = asked if floors is None else asked.join(floors, "qid", "left").fillna(float("-inf"), ["floor"])
+        return _meet(part.select("*", one), bounded, k, by_word, schema)
+
+    return _by_shares(vectors, k, by_word, meet)
 
 
 def rank_hits(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:

@@ -85,6 +85,43 @@ def test_lists_store(data, spark, tmp_path):
     assert rows(L.probed_topk(q, stored, centroids, 5, 4)) == rows(S.exact_topk(q, v, 5))
 
 
+def test_two_levels_find_the_same_lists():
+    """Clustered centroids, ties, a zero vector; groups that cannot reach the bound are not compared."""
+    rng = np.random.default_rng(3)
+    heads = rng.normal(size=(12, 16))
+    centres = L._unit(np.repeat(heads, 20, axis=0) + 0.1 * rng.normal(size=(240, 16)))
+    centres[7] = centres[3]
+    group = np.repeat(np.arange(12), 20)
+    sums = np.zeros((12, 16))
+    np.add.at(sums, group, centres)
+    flat = L.Centroids(np.arange(240), centres, np.zeros(240, dtype=int), L._unit(centres.sum(axis=0)[None]))
+    two = L.Centroids(np.arange(240), centres, group, L._unit(sums))
+    x = np.concatenate([rng.normal(size=(200, 16)), np.zeros((1, 16)), 5 * heads])
+    for m in (1, 3, 30, 240, 500):
+        assert (L.nearest(x, two, m) == L.nearest(x, flat, m)).all()
+    compared = []
+    scores = L._scores
+    L._scores = lambda a, b: compared.append(len(a) * len(b)) or scores(a, b)
+    try:
+        L.nearest(5 * heads, two, 3)
+    finally:
+        L._scores = scores
+    assert sum(compared) < 0.6 * len(heads) * 240
+
+
+def test_a_stored_index_reads_the_folders_of_its_lists_only(data, spark, tmp_path):
+    _, _, v, q = data
+    centroids = L.grouped(L.train_centroids(v, 9))
+    L.store_lists(L.assign_lists(v, centroids), centroids, str(tmp_path / "index"))
+    index = L.open_lists(spark, str(tmp_path / "index"))
+    assert rows(L.stored_topk(q, index, 10, 9)) == rows(S.exact_topk(q, v, 10))
+    one = L.stored_topk(q.filter("qid = 3"), index, 5, 2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_id" in plan
+    assert one.count() == 5
+    assert L.stored_topk(q.filter("qid < 0"), index).count() == 0
+
+
 def test_neighbours_leave_out_the_word_itself(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("A", [1.0, 0.0]), ("c", [0.0, 1.0])], "word string, vec array<double>")
     slugs = spark.createDataFrame([("a",), ("unknown",)], "slug string")
@@ -151,3 +188,42 @@ def test_plan_prunes_before_the_shuffle(data, spark):
     _, _, v, q = data
     plan = S.exact_topk(q, v, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("by_word", [False, True])
+def test_only_rows_that_reach_the_bounds_leave_a_task(spark, monkeypatch, by_word):
+    """32 tasks return a few times k rows per query, not 32 * k."""
+    rng = np.random.default_rng(9)
+    n, k, asked, tasks = 16_000, 10, 20, 32
+    rows_ = [(f"w{i % 9000}", f"s{i}", i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 8)))]
+    v = spark.createDataFrame(rows_, "word string, sense_key string, row long, vec array<float>").repartition(tasks)
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(asked)], "qid long, qvec array<float>")
+    plain = S._candidates(S._queries(q), S._vectors(v, False), k, by_word)
+    assert plain.count() == tasks * k * asked
+    want = rows((S.best_sense_topk if by_word else S.exact_rows)(q, v, k))
+    passes = []
+    monkeypatch.setattr(S, "FLOOR_ROWS", 0)
+    scan = S._scan
+    monkeypatch.setattr(S, "_scan", lambda *a: passes.append(scan(*a)) or passes[-1])
+    got = rows((S.best_sense_topk if by_word else S.exact_rows)(q, v, k))
+    assert got == want and len(passes) == len(S.SHARES)
+    assert passes[-1].count() < 6 * k * asked
+    assert sum(p.count() for p in passes[1:]) < 16 * k * asked
+
+
+def test_bounds_with_ties_repeated_queries_and_few_rows(data, path, monkeypatch):
+    """A third of all rows tie; queries without an id, and more wanted than there are."""
+    monkeypatch.setattr(S, "FLOOR_ROWS", 0)
+    out, queries, v, q = data
+    for k in (10, 250, 1000):
+        assert rows(S.exact_rows(q, v, k), *COLS) == brute(out, queries, k)
+    assert rows(S.best_sense_topk(q, v, 40)) == brute(out, queries, 40, by_word=True)
+
+
+def test_wide_queries_go_by_blocks(data, monkeypatch):
+    out, queries, v, q = data
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 10)
+    assert rows(S.exact_rows(q, v, 5), *COLS) == brute(out, queries, 5)
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "HELD_ROWS", 50)
+    assert rows(S.exact_rows(q, v, 5), *COLS) == brute(out, queries, 5)
