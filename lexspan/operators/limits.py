@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexspan.functions import text as X
 from lexspan.operators.scale import counts_in_span, micros
+from lexspan.session import freeze
 
 DAY_US = 24 * 3600 * 1_000_000
 HOUR_US = 3600 * 1_000_000
@@ -47,7 +48,7 @@ def rolling_counts(keyed: DataFrame, span_us: int) -> DataFrame:
     return counts_in_span(keyed.select("key", "at"), probes, ["key"], span_us, max(1, span_us // 24), "in_span")
 
 
-def _allow(at: np.ndarray, cap: int, span_us: int, recent: deque) -> np.ndarray:
+def allow(at: np.ndarray, cap: int, span_us: int, recent: deque) -> np.ndarray:
     """Which of a key's sorted requests are allowed; `recent` carries the allowed times on.
 
     While the limit is used up, everything before the oldest allowed time leaves the span
@@ -69,36 +70,74 @@ def _allow(at: np.ndarray, cap: int, span_us: int, recent: deque) -> np.ndarray:
 
 
 def _fold(span_us: int):
+    """Decisions of sorted stretches; `known` rows only tell what was allowed before a stretch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, recent = None, deque()
+        current, recent = None, deque()
         for batch in batches:
             if not len(batch):
                 continue
-            keys, at, caps = batch["key"].to_numpy(), batch["at"].to_numpy(), batch["cap"].to_numpy()
+            keys, cuts, known = batch["key"].to_numpy(), batch["cut"].to_numpy(), batch["known"].to_numpy()
+            at, caps = batch["at"].to_numpy(), batch["cap"].to_numpy()
             allowed = np.zeros(len(batch), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (cuts[1:] != cuts[:-1])])
             for lo, hi in zip(starts, np.r_[starts[1:], len(batch)]):
-                if keys[lo] != key:
-                    key, recent = keys[lo], deque()
-                allowed[lo:hi] = _allow(at[lo:hi], int(caps[lo]), span_us, recent)
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "allowed": allowed})
+                if (keys[lo], cuts[lo]) != current:
+                    current, recent = (keys[lo], cuts[lo]), deque()
+                first = lo + int(np.count_nonzero(known[lo:hi]))
+                recent.extend(at[lo:first].tolist())
+                allowed[first:hi] = allow(at[first:hi], int(caps[lo]), span_us, recent)
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[~known], "allowed": allowed[~known]})
 
     return run
 
 
+def stretches(counted: DataFrame, span_us: int = DAY_US) -> DataFrame:
+    """Rolling counts as requests key, at, id, cap with the `cut` that their stretch begins at and `known`.
+
+    A request with no more than `cap` requests in its span is allowed whatever came before. At an
+    instant whose whole span holds only such requests, what is allowed is thus known without the
+    past, and a key can be cut: the stretch from there starts with the requests of the span
+    before as `known` rows, at most `cap` of them. Each span of time gives a key at most one cut.
+    """
+    unsure = counted.filter(F.col("in_span") > F.col("cap")).select("key", "at")
+    probes = counted.select("key", "at", "probe")
+    quiet = counts_in_span(unsure, probes, ["key"], span_us, max(1, span_us // 24), "doubts").filter("doubts = 0")
+    slot = F.floor(F.col("at") / span_us)
+    cuts = quiet.groupBy("key", slot.alias("slot")).agg(F.min("at").alias("own"))
+
+    # A row per key and span of time: its own cut, the last one before, the one of the next slot.
+    slots = counted.select("key", slot.alias("slot")).distinct().join(cuts, ["key", "slot"], "left")
+    order = W.partitionBy("key").orderBy("slot")
+    following = F.when(F.lead("slot").over(order) == F.col("slot") + 1, F.lead("own").over(order))
+    earlier = F.last("own", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    slots = slots.select("key", "slot", "own", F.coalesce(earlier, F.lit(_BEGINNING)).alias("earlier"), following.alias("following"))
+
+    rows = counted.select("key", "at", F.col("probe").alias("id"), "cap", slot.alias("slot")).join(slots, ["key", "slot"])
+    here = F.when(F.col("at") >= F.col("own"), F.col("own")).otherwise(F.col("earlier"))
+    # A request of the span before a cut is repeated as a known row of the stretch that begins there.
+    places = F.filter(F.array(
+        F.struct(here.alias("cut"), F.lit(False).alias("known")),
+        *[F.struct(F.when((F.col("at") < F.col(c)) & (F.col("at") > F.col(c) - span_us), F.col(c)).alias("cut"), F.lit(True).alias("known"))
+          for c in ("own", "following")]), lambda p: p["cut"].isNotNull())
+    return rows.select("key", "at", "id", "cap", F.explode(places).alias("p")).select("key", "p.cut", "p.known", "at", "id", "cap")
+
+
+_BEGINNING = -(1 << 62)
+
+
 def decide(keyed: DataFrame, span_us: int = DAY_US) -> DataFrame:
     """Allowed or refused, where only allowed requests use up the limit.
 
-    A key that never has more requests in a span than its limit is allowed throughout,
-    which rolling counts settle without a fold. A decision of any other key depends on
-    the decisions before it, so each such key is one sorted stream of times. A task
-    remembers at most `cap` of them and jumps over the stretches it must refuse.
+    A key that never has more requests in a span than its limit is allowed throughout, which
+    rolling counts settle without a fold. Any other key is cut into stretches that are folded
+    side by side; a stretch is a sorted stream of times of which a task remembers at most `cap`,
+    and it jumps over what it must refuse.
     """
-    counted = rolling_counts(keyed, span_us)
-    busy = counted.filter(F.col("in_span") > F.col("cap")).select("key").distinct()
+    counted = freeze(rolling_counts(keyed, span_us))
+    busy = freeze(counted.filter(F.col("in_span") > F.col("cap")).select("key").distinct())
     folded = (
-        keyed.join(busy, "key", "left_semi").select("key", "at", "id", "cap")
-        .repartition("key").sortWithinPartitions("key", "at", "id")
+        stretches(counted.join(busy, "key", "left_semi"), span_us).repartition("key", "cut")
+        .sortWithinPartitions("key", "cut", F.desc("known"), "at", "id")
         .mapInPandas(_fold(span_us), "id long, allowed boolean")
     )
     decided = folded.unionByName(keyed.join(busy, "key", "left_anti").select("id", F.lit(True).alias("allowed")))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspan.operators import ledger as L, limits as M, saves as V, vocab_audit as U
+from lexspan.session import freeze
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -136,6 +137,39 @@ def test_limits_count_allowed_requests_only(spark):
     assert got.filter("not allowed and message is null").count() == 0
 
 
+@pytest.mark.parametrize("gap", [0, 40, 400])
+def test_stretches_of_a_busy_key_decide_as_one_stream(spark, gap):
+    """Quiet times of several lengths, equal instants, and two requests at the edge of the span."""
+    rnd = random.Random(gap)
+    reqs, now = [], 0
+    for i in range(1500):
+        now += rnd.choice([0, 0, 1, 3]) if rnd.random() < 0.97 else gap
+        reqs.append(("hot" if i % 5 else "other", now, i))
+    reqs += [("edge", t, 2000 + i) for i, t in enumerate((0, 0, 50, 50, 100, 100, 149, 150, 151))]
+    df = spark.createDataFrame(reqs, "key string, at long, id long").withColumn("cap", F.lit(3)).withColumn("message", F.lit("no"))
+    assert rows(M.decide(df.repartition(5), 50), "id", "allowed") == greedy(reqs, 3, 50)
+
+
+def test_a_key_with_a_million_requests_is_many_tasks(spark):
+    """A day of rush and three quiet days in turn: stretches of a bounded part of the key, folded apart."""
+    day = 1000
+    n = 1_000_000
+    at = "CAST((id DIV 25000) * 4000 + (id % 25000) * 0.04 AS long)"
+    df = spark.range(n).selectExpr("'hot' AS key", f"{at} AS at", "id", "50 AS cap", "'no' AS message")
+    quiet = spark.range(n, n + 5400).selectExpr("'hot' AS key", f"(id - {n}) * 30 AS at", "id", "50 AS cap", "'no' AS message")
+    both = df.unionByName(quiet)
+    cut = freeze(M.stretches(freeze(M.rolling_counts(both, day)), day))
+    sizes = [r["count"] for r in cut.groupBy("cut").count().collect()]
+    assert len(sizes) >= 40 and max(sizes) < n / 8
+    assert cut.filter("known").groupBy("cut").count().agg(F.max("count")).first()[0] <= 50
+    assert cut.filter("not known").count() == both.count()
+    spread = cut.repartition(16, "key", "cut").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread >= 8
+    times = np.sort(both.select("at").toPandas()["at"].to_numpy())
+    want = int(M.allow(times, 50, day, M.deque()).sum())
+    assert M.decide(both, day).filter("allowed").count() == want
+
+
 def test_guest_key(spark):
     df = spark.createDataFrame([(1, at(0), None, " 1.2.3.4 , 5.6.7.8"), (2, at(0), None, None), (3, at(0), "u", None)], "id long, ts timestamp, user_id string, forwarded string")
     got = rows(M.keyed_requests(df), "id", "key", "cap")
