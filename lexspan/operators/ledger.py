@@ -103,6 +103,31 @@ def ledger_events(lookups: DataFrame, saves: DataFrame, shares: DataFrame, round
     )
 
 
+def replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Balance after each event of one user, and which events were bankruptcies.
+
+    Between resets a balance is a running sum; the next reset is the first place where the sum
+    falls low enough, looked for in steps that double, so the work is linear.
+    """
+    sums = np.cumsum(deltas, dtype=np.int64)
+    out, broke = np.empty(len(sums), dtype=np.int64), np.zeros(len(sums), dtype=bool)
+    i, balance, base = 0, start, 0
+    while i < len(sums):
+        at, step, hit = i, 16, False
+        while at < len(sums) and not hit:
+            low = sums[at : at + step] <= base - balance
+            place = int(low.argmax())
+            hit = bool(low[place])
+            at += place if hit else len(low)
+            step *= 2
+        out[i:at] = sums[i:at] + (balance - base)
+        if hit:
+            out[at], broke[at] = BANKRUPT_CREDITS, True
+            balance, base = BANKRUPT_CREDITS, int(sums[at])
+        i = at + 1
+    return out, broke
+
+
 def balance_map(deltas: np.ndarray, bound: int) -> tuple[list[int], list[int], int, int]:
     """What a run of events does to a starting balance of 1 to `bound`: limits, ends, shift, top.
 
@@ -228,24 +253,25 @@ def settle(events: DataFrame) -> DataFrame:
     bounds = _bounds(placed.mapInPandas(_edges(None), _EDGE).collect())
     starts = _carry(placed.mapInPandas(_edges(bounds), _EDGE).collect())
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, balance = None, START_CREDITS
         for batch in batches:
+            if not len(batch):
+                continue
             out, broke = np.empty(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=bool)
-            part = int(batch["part"].iat[0]) if len(batch) else -1
-            for i, (who, delta) in enumerate(zip(batch["user_id"].tolist(), batch["delta"].tolist())):
-                if who != user:
-                    carried = starts.get(part)
-                    fresh = user is None and carried is not None and carried[0] == who
-                    user, balance = who, carried[1] if fresh else START_CREDITS
-                balance += delta
-                if balance <= 0:
-                    balance, broke[i] = BANKRUPT_CREDITS, True
-                out[i] = balance
+            users, deltas = batch["user_id"].to_numpy(), batch["delta"].to_numpy()
+            heads = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+            for lo, hi in zip(heads, np.r_[heads[1:], len(users)]):
+                if users[lo] != user:
+                    carried = starts.get(int(batch["part"].iat[0])) if user is None else None
+                    user = users[lo]
+                    balance = carried[1] if carried is not None and carried[0] == user else START_CREDITS
+                out[lo:hi], broke[lo:hi] = replay(balance, deltas[lo:hi])
+                balance = int(out[hi - 1])
             yield batch.drop(columns=["part"]).assign(balance=out, bankrupt=broke)
 
     schema = "user_id long, ts timestamp, id long, kind string, delta long, balance long, bankrupt boolean"
-    return placed.mapInPandas(replay, schema)
+    return placed.mapInPandas(run, schema)
 
 
 def balances(ledger: DataFrame, users: DataFrame, awards: DataFrame | None = None) -> DataFrame:

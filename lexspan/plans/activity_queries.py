@@ -220,11 +220,21 @@ def i15(spark, d):
 # -- streams --------------------------------------------------------------------------------
 
 
-def _stream(spark, df):
-    """A table as a stream: written once to the shared scratch folder and read back as files."""
+_SLICES = 4
+
+
+def _stream(spark, df, at=None):
+    """A table as a stream over files in the shared scratch folder; with `at`, in micro-batches of rising times."""
     path = J.scratch(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    if at is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    J.write_in_time(df, path, at, _SLICES)
+    return J.read_in_time(spark, path, df.schema)
+
+
+def _ts():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def _drain(spark, stream):
@@ -234,12 +244,12 @@ def _drain(spark, stream):
 @query("j1_stream_limits", _DECIDED.replace(", CASE WHEN NOT allowed THEN CASE WHEN guest THEN 'Daily limit of 50 free lookups reached. Sign in for 200 lookups/day.' ELSE 'Daily limit of 200 lookups reached. Try again tomorrow.' END END AS message", ""), _replay(5, 2))
 def j1(spark, d):
     keyed = M.keyed_requests(table(spark, d, "requests"), 5, 2)
-    return _drain(spark, J.limit_requests(_stream(spark, keyed))).select("id", "key", "allowed")
+    return _drain(spark, J.limit_requests(_stream(spark, keyed, F.col("at")))).select("id", "key", "allowed")
 
 
 @query("j2_stream_streaks", "SELECT user_id, id, strftime(day, '%Y-%m-%d') AS day, streak, award FROM {daily}")
 def j2(spark, d):
-    out = _drain(spark, J.daily_streaks(_stream(spark, table(spark, d, "lookups"))))
+    out = _drain(spark, J.daily_streaks(_stream(spark, table(spark, d, "lookups"), _ts())))
     return out.filter("award > 0").select("user_id", "id", F.col("day").cast("string").alias("day"), "streak", "award")
 
 
@@ -247,12 +257,12 @@ def j2(spark, d):
     "replay": """SELECT o.user_id, o.rn, o.id, o.kind, CASE WHEN 100 + o.delta <= 0 THEN 25 ELSE 100 + o.delta END AS balance, 100 + o.delta <= 0 AS bankrupt FROM {ordered} o WHERE o.rn = 1
  UNION ALL SELECT o.user_id, o.rn, o.id, o.kind, CASE WHEN r.balance + o.delta <= 0 THEN 25 ELSE r.balance + o.delta END, r.balance + o.delta <= 0 FROM replay r JOIN {ordered} o ON o.user_id = r.user_id AND o.rn = r.rn + 1"""})
 def j3(spark, d):
-    return _drain(spark, J.credit_ledger(_stream(spark, events(spark, d)))).select("user_id", "id", "kind", "balance", "bankrupt")
+    return _drain(spark, J.credit_ledger(_stream(spark, events(spark, d), _ts()))).select("user_id", "id", "kind", "balance", "bankrupt")
 
 
 @query("j4_stream_saves", "SELECT user_id, word_id, id FROM {transitions}")
 def j4(spark, d):
-    out = _drain(spark, J.saved_words(_stream(spark, table(spark, d, "saves"))))
+    out = _drain(spark, J.saved_words(_stream(spark, table(spark, d, "saves"), _ts())))
     return out.filter("newly").select("user_id", "word_id", "id")
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexspan.operators import search as S
 from lexspan.operators.limits import DAY_US
@@ -13,32 +14,38 @@ from lexspan.session import ensure_checkpoint_dir
 from lexspan.streaming import state as P
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+LATE = "1 hour"
 
 
-def _stateful(stream: DataFrame, keys: list[str], processor) -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="None")
+def _stateful(stream: DataFrame, keys: list[str], processor, late: str, *columns: str) -> DataFrame:
+    """Rows of each key go through a processor; `ts` sets the watermark, `at` is its microsecond.
 
+    The engine would drop rows behind the watermark unseen. It does not know that `at` is a time,
+    so they reach the processor, which hands them on marked as late.
+    """
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select(*keys, *columns, F.unix_micros("ts").alias("at"))
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime")
 
-def limit_requests(keyed: DataFrame, span_us: int = DAY_US) -> DataFrame:
+
+def limit_requests(keyed: DataFrame, span_us: int = DAY_US, late: str = LATE) -> DataFrame:
     """`keyed`: key, id, at, cap."""
-    return _stateful(keyed.select("key", "id", "at", "cap"), ["key"], P.RequestLimiter(span_us))
+    timed = keyed.withColumn("ts", F.timestamp_micros("at"))
+    return _stateful(timed, ["key"], P.RequestLimiter(span_us), late, "id", "cap")
 
 
-def daily_streaks(lookups: DataFrame) -> DataFrame:
-    rows = lookups.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"))
-    return _stateful(rows, ["user_id"], P.DailyStreak())
+def daily_streaks(lookups: DataFrame, late: str = LATE) -> DataFrame:
+    return _stateful(lookups, ["user_id"], P.DailyStreak(), late, "id")
 
 
-def credit_ledger(events: DataFrame) -> DataFrame:
-    rows = events.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"), "kind", "delta")
-    return _stateful(rows, ["user_id"], P.CreditLedger())
+def credit_ledger(events: DataFrame, late: str = LATE) -> DataFrame:
+    return _stateful(events, ["user_id"], P.CreditLedger(), late, "id", "kind", "delta")
 
 
-def saved_words(actions: DataFrame) -> DataFrame:
-    rows = actions.select("user_id", "word_id", "id", F.col("ts").cast("timestamp").alias("ts"), "action")
-    return _stateful(rows, ["user_id", "word_id"], P.SavedWord())
+def saved_words(actions: DataFrame, late: str = LATE) -> DataFrame:
+    return _stateful(actions, ["user_id", "word_id"], P.SavedWord(), late, "id", "action")
 
 
 def saves_after_lookups(saves: DataFrame, lookups: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
@@ -63,11 +70,39 @@ def scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for streams started inside; the session keeps its own."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+
+
+def write_in_time(df: DataFrame, path: str, at: Column, slices: int) -> None:
+    """Rows in files of rising times: a slice of the times is written after the one before it."""
+    timed = df.withColumn("_at", at)
+    cuts = timed.agg(F.percentile_approx("_at", [i / slices for i in range(1, slices)], 1000)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = timed if low is None else timed.filter(F.col("_at") >= low)
+        part = part if high is None else part.filter(F.col("_at") < high)
+        part.drop("_at").coalesce(1).write.mode("append").parquet(path)
+
+
+def read_in_time(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
+    """A stream over such files, a few of them in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def drain(stream: DataFrame, out: str, state: str) -> DataFrame:
     """Run a stream over everything available and read back what it wrote."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
-        availableNow=True).start()
-    query.awaitTermination()
+    with state_store(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 

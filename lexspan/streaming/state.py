@@ -1,129 +1,210 @@
-"""Stateful processors for the activity stream. Rows of a key are applied in time order."""
+"""Stateful processors for the activity stream.
+
+Rows of a key are applied in time order. Each processor marks a row as `late` and leaves the
+state alone if the row is older than the watermark or than what its key has applied before, so
+a decision that has been given out is never changed by what arrives after it. State that can
+no longer matter is dropped by an event-time timer.
+"""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from lexspan.operators import ledger as L
-from lexspan.operators.limits import DAY_US
+from lexspan.operators.limits import DAY_US, allow
 
+MICROS_PER_DAY = 86_400_000_000
 
-def in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """One micro-batch of one key, sorted."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), ignore_index=True)
 
+def _long(name: str) -> StructType:
+    return StructType([StructField(name, LongType())])
 
-class RequestLimiter(StatefulProcessor):
-    """Allows a request while fewer than `cap` allowed ones lie in the span before it."""
 
-    OUT = "key string, id long, at long, allowed boolean"
+class InTime(StatefulProcessor):
+    """Splits the rows of a key into late ones and the rest, in time order; `at` is in microseconds.
 
-    def __init__(self, span_us: int = DAY_US):
-        self.span_us = span_us
+    `seen` holds the time of the last row applied. Subclasses say how to apply rows.
+    """
+
+    ORDER = ("at", "id")
+    GRAIN = 1  # rows of the same grain of time may come in any order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("at", LongType())]), ttlDurationMs=None)
+        self.handle = handle
+        self.seen = handle.getValueState("seen", _long("at"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, "at", "id")
-        recent = [t[0] for t in self.times.get()]
-        allowed = []
-        for at, cap in zip(batch["at"].tolist(), batch["cap"].tolist()):
-            recent = [t for t in recent if t > at - self.span_us]
-            ok = len(recent) < cap
-            if ok:
-                recent.append(at)
-            allowed.append(ok)
-        self.times.put([(int(t),) for t in recent]) if recent else self.times.clear()
-        yield pd.DataFrame({"key": key[0], "id": batch["id"], "at": batch["at"], "allowed": allowed})
+        # A row per event of one key in one micro-batch, whose size the source's options bound.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.ORDER), ignore_index=True)
+        seen = self.seen.get()[0] if self.seen.exists() else -(1 << 62)
+        late = ((batch["at"] < seen // self.GRAIN * self.GRAIN) | (batch["at"] < timerValues.getCurrentWatermarkInMs() * 1000)).to_numpy()
+        fresh = batch[~late].reset_index(drop=True)
+        if late.any():
+            yield self.refused(key, batch[late].reset_index(drop=True))
+        if len(fresh):
+            out = self.apply(key, fresh)
+            self.seen.update((int(fresh["at"].iloc[-1]),))
+            self.keep(int(fresh["at"].iloc[-1]))
+            yield out
+
+    def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def keep(self, last: int) -> None:
+        """Set a timer for when the state no longer matters; by default it always does."""
+
+    def expire_at(self, at: int) -> None:
+        """One timer per key: at the given microsecond, rounded up to a millisecond."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(-(-at // 1000))
 
     def close(self) -> None:
         pass
 
 
-class DailyStreak(StatefulProcessor):
-    """Award on the first lookup of a day. Lookups of an earlier day are marked late, not applied."""
+class RequestLimiter(InTime):
+    """Allows a request while fewer than `cap` allowed ones lie in the span before it.
 
-    OUT = "user_id long, id long, day date, streak int, award int, late boolean"
+    The times of a key are dropped once the watermark is a span past its last request.
+    """
+
+    OUT = "key string, id long, at long, allowed boolean, late boolean"
+
+    def __init__(self, span_us: int = DAY_US):
+        self.span_us = span_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [StructField("day", LongType()), StructField("streak", IntegerType())]
-        self.last = handle.getValueState("last", StructType(fields))
+        super().init(handle)
+        self.times = handle.getListState("times", _long("at"))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, "ts", "id")
-        day, streak = self.last.get() if self.last.exists() else (None, 0)
-        out = []
-        for event, ts in zip(batch["id"].tolist(), batch["ts"]):
-            today = ts.value // 86_400_000_000_000
-            if day is not None and today < day:
-                out.append((event, ts.date(), None, 0, True))
-            elif today == day:
-                out.append((event, ts.date(), streak, 0, False))
-            else:
-                streak = streak + 1 if day is not None and today == day + 1 else 1
-                day = today
-                award = L.DAILY_BASE + min(L.STREAK_STEP * streak, L.STREAK_CAP)
-                out.append((event, ts.date(), streak, award, False))
-        if day is not None:
-            self.last.update((int(day), int(streak)))
-        frame = pd.DataFrame(out, columns=["id", "day", "streak", "award", "late"])
-        frame["streak"] = frame["streak"].astype("Int32")
-        frame.insert(0, "user_id", key[0])
-        yield frame
+    def _frame(self, key, batch: pd.DataFrame, allowed, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "id": batch["id"], "at": batch["at"], "allowed": pd.array(allowed, "boolean"), "late": late})
 
-    def close(self) -> None:
-        pass
+    def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        return self._frame(key, batch, [None] * len(batch), True)
+
+    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        at = batch["at"].to_numpy()
+        recent = deque(t[0] for t in self.times.get())
+        allowed = np.zeros(len(at), dtype=bool)
+        caps = batch["cap"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, caps[1:] != caps[:-1]])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(at)]):
+            allowed[lo:hi] = allow(at[lo:hi], int(caps[lo]), self.span_us, recent)
+        live = [(int(t),) for t in recent if t > at[-1] - self.span_us]
+        self.times.put(live) if live else self.times.clear()
+        return self._frame(key, batch, allowed, False)
+
+    def keep(self, last: int) -> None:
+        self.expire_at(last + self.span_us)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        self.seen.clear()
+        return iter(())
 
 
-class CreditLedger(StatefulProcessor):
-    """Running balance; at or below zero it is reset and the event is marked bankrupt."""
+class DailyStreak(InTime):
+    """Award on the first lookup of a day. A lookup is late if its day is before the last one applied.
 
-    OUT = "user_id long, id long, kind string, balance long, bankrupt boolean"
+    A streak that the next day cannot continue is dropped when the watermark passes that day.
+    """
+
+    OUT = "user_id long, id long, day date, streak int, award int, late boolean"
+    GRAIN = MICROS_PER_DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balance = handle.getValueState("balance", StructType([StructField("value", LongType())]))
+        super().init(handle)
+        self.last = handle.getValueState("last", StructType([StructField("day", LongType()), StructField("streak", IntegerType())]))
+
+    def _frame(self, key, days: np.ndarray, ids, streak, award, late: bool) -> pd.DataFrame:
+        dates = pd.to_datetime(pd.Series(days), unit="D").dt.date
+        return pd.DataFrame({"user_id": key[0], "id": ids, "day": dates, "streak": pd.array(streak, "Int32"), "award": award, "late": late})
+
+    def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        days = batch["at"].to_numpy() // MICROS_PER_DAY
+        return self._frame(key, days, batch["id"], [None] * len(batch), 0, True)
+
+    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        days = batch["at"].to_numpy() // MICROS_PER_DAY
+        before, streak = self.last.get() if self.last.exists() else (None, 0)
+        own, place = np.unique(days, return_inverse=True)
+        news = own != before if before is not None else np.ones(len(own), dtype=bool)
+        # A run of following days counts up from the streak it continues, or from one.
+        follows = np.r_[before is not None and own[0] - before <= 1, np.diff(own) == 1]
+        heads = np.maximum.accumulate(np.where(follows, 0, np.arange(len(own))))
+        lead = streak + own - (before if before is not None else own[0])
+        length = np.where(follows[0] & (heads == 0), lead, np.arange(len(own)) - heads + 1)
+        length = length.astype(np.int64)
+        first = np.r_[True, days[1:] != days[:-1]] & news[place]
+        reward = L.DAILY_BASE + np.minimum(L.STREAK_STEP * length, L.STREAK_CAP)
+        self.last.update((int(own[-1]), int(length[-1])))
+        return self._frame(key, days, batch["id"], length[place], np.where(first, reward[place], 0), False)
+
+    def keep(self, last: int) -> None:
+        self.expire_at((last // MICROS_PER_DAY + 2) * MICROS_PER_DAY)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        self.seen.clear()
+        return iter(())
+
+
+class CreditLedger(InTime):
+    """Running balance; at or below zero it is reset and the event is marked bankrupt.
+
+    A late event comes out unapplied. A balance never expires.
+    """
+
+    OUT = "user_id long, id long, kind string, balance long, bankrupt boolean, late boolean"
+    ORDER = ("at", "id", "kind")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, "ts", "id", "kind")
-        value = self.balance.get()[0] if self.balance.exists() else L.START_CREDITS
-        after, broke = [], []
-        for delta in batch["delta"].tolist():
-            value += delta
-            broke.append(value <= 0)
-            value = value if value > 0 else L.BANKRUPT_CREDITS
-            after.append(value)
-        self.balance.update((int(value),))
-        yield pd.DataFrame({"user_id": key[0], "id": batch["id"], "kind": batch["kind"],
-                            "balance": after, "bankrupt": broke})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.balance = handle.getValueState("balance", _long("value"))
 
-    def close(self) -> None:
-        pass
+    def _frame(self, key, batch: pd.DataFrame, balance, bankrupt, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": key[0], "id": batch["id"], "kind": batch["kind"], "balance": pd.array(balance, "Int64"),
+                             "bankrupt": pd.array(bankrupt, "boolean"), "late": late})
+
+    def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        return self._frame(key, batch, [None] * len(batch), [None] * len(batch), True)
 
+    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        start = self.balance.get()[0] if self.balance.exists() else L.START_CREDITS
+        after, broke = L.replay(start, batch["delta"].to_numpy())
+        self.balance.update((int(after[-1]),))
+        return self._frame(key, batch, after, broke, False)
 
-class SavedWord(StatefulProcessor):
-    """Is the word saved after the event, and did the event newly save it?"""
 
-    OUT = "user_id long, word_id long, id long, saved boolean, newly boolean"
+class SavedWord(InTime):
+    """Is the word saved after the event, and did the event newly save it? Late events come out unapplied."""
+
+    OUT = "user_id long, word_id long, id long, saved boolean, newly boolean, late boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.saved = handle.getValueState("saved", StructType([StructField("value", BooleanType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, "ts", "id")
-        now = bool(self.saved.get()[0]) if self.saved.exists() else False
-        saved, newly = [], []
-        for action in batch["action"].tolist():
-            want = action == "save"
-            newly.append(want and not now)
-            now = want
-            saved.append(now)
-        self.saved.update((now,))
-        yield pd.DataFrame({"user_id": key[0], "word_id": key[1], "id": batch["id"], "saved": saved, "newly": newly})
+    def _frame(self, key, batch: pd.DataFrame, saved, newly, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": key[0], "word_id": key[1], "id": batch["id"], "saved": pd.array(saved, "boolean"), "newly": newly, "late": late})
 
-    def close(self) -> None:
-        pass
+    def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        return self._frame(key, batch, [None] * len(batch), False, True)
+
+    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        now = bool(self.saved.get()[0]) if self.saved.exists() else False
+        saved = (batch["action"] == "save").to_numpy()
+        newly = saved & ~np.r_[now, saved[:-1]]
+        self.saved.update((bool(saved[-1]),))
+        return self._frame(key, batch, saved, newly, False)

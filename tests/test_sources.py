@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from lexspan.operators import cells as C
 from lexspan.sources import lexicon as X, stores as T, tables as R
-from lexspan.streaming import jobs as J
 from tests.conftest import rows
 
 DATA = """  1 licence | text
@@ -66,16 +65,3 @@ def test_writing_a_run_again_replaces_only_that_run(spark, tmp_path):
     T.write_run(res("a", 1), run("a", "3"), path)
     runs, results = T.read_runs(spark, path)
     assert rows(runs, "tag", "ran_at") == [("a", "3")] and rows(results, "tag", "id") == [("a", "0")]
-
-
-def test_late_lookups_are_marked(spark, tmp_path):
-    import datetime as dt
-
-    day = lambda n, h: dt.datetime(2024, 1, n, h)
-    schema = "user_id long, ts timestamp, id long"
-    path = str(tmp_path / "in")
-    state, out = str(tmp_path / "state"), str(tmp_path / "out")
-    for batch in ([(1, day(3, 5), 1), (1, day(3, 6), 2)], [(1, day(2, 1), 3), (1, day(4, 1), 4)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
-        got = J.drain(J.daily_streaks(spark.readStream.schema(schema).parquet(path)), out, state)
-    assert rows(got, "id", "award", "late") == [(1, 15, False), (2, 0, False), (3, 0, True), (4, 20, False)]
