@@ -8,10 +8,11 @@ the vectors are scanned where they lie: no shuffle of the large side. A larger q
 matched block against block: both sides are salted into bounded blocks, and each pair of
 blocks meets in one task.
 
-Alone, each task returns k rows per query. Where that is much, the search goes over growing
-shares of the rows, chosen by hash: the k-th best of what has been seen is a lower bound of
-the final k-th best, so only rows that reach it leave a task of the next share. A share
-`r` times the one before returns about r * k rows per query, however many tasks scan it.
+Alone, each task returns k rows per query. Where all cores together would thus send much, the
+search goes over growing shares of the rows, chosen by hash: the k-th best of what has been seen
+is a lower bound of the final k-th best, so only rows that reach it leave a task of the next
+share. A share `r` times the one before returns about r * k rows per query, however many tasks
+scan it. The vectors are read once per share and scored once in all; give a stored table.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ VECTORS_PER_BLOCK = 100_000
 QUERIES_PER_BLOCK = 8192
 # Rows that one task may hold for its queries.
 HELD_ROWS = 2_000_000
-# Rows per task from which bounds pay: about 2 % of what a task reads.
-FLOOR_ROWS = 50_000
+# Rows that one wave of tasks, a task per core, may send before bounds pay for more passes.
+FLOOR_ROWS = 10_000_000
 # Ends of the shares, in 64ths of all rows.
 SHARES = (2, 16, 64)
 
@@ -172,6 +173,10 @@ def bounded_queries(queries: DataFrame, k: int) -> pa.Table | None:
 
 def _candidates(queries: DataFrame, vectors: DataFrame, k: int, by_word: bool) -> DataFrame:
     schema = _hit_schema(queries)
+
+    def sends_much(asked: int) -> bool:
+        return asked * k * vectors.sparkSession.sparkContext.defaultParallelism > FLOOR_ROWS
+
     head = bounded_queries(queries, k)
     if head is not None:
         block = _block(head)
@@ -184,7 +189,7 @@ def _candidates(queries: DataFrame, vectors: DataFrame, k: int, by_word: bool) -
             floor = np.append(known["floor"].to_numpy(), -np.inf)[at]
             return _scan(part, replace(block, floor=floor), k, by_word, schema)
 
-        return _by_shares(vectors, k, by_word, scan) if head.num_rows * k > FLOOR_ROWS else scan(vectors, None)
+        return _by_shares(vectors, k, by_word, scan) if sends_much(head.num_rows) else scan(vectors, None)
     one = F.lit(0).cast("long").alias("list_id")
     asked = queries.select("*", one)
 
@@ -192,7 +197,7 @@ def _candidates(queries: DataFrame, vectors: DataFrame, k: int, by_word: bool) -
         bounded = asked if floors is None else asked.join(floors, "qid", "left").fillna(float("-inf"), ["floor"])
         return _meet(part.select("*", one), bounded, k, by_word, schema)
 
-    return _by_shares(vectors, k, by_word, meet)
+    return _by_shares(vectors, k, by_word, meet) if sends_much(QUERIES_PER_BLOCK) else meet(vectors, None)
 
 
 def rank_hits(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:

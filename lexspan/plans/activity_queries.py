@@ -220,7 +220,7 @@ def i15(spark, d):
 # -- streams --------------------------------------------------------------------------------
 
 
-_SLICES = 4
+_SLICES = 3
 
 
 def _stream(spark, df, at=None):

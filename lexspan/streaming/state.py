@@ -22,52 +22,62 @@ from lexspan.operators.limits import DAY_US, allow
 MICROS_PER_DAY = 86_400_000_000
 
 
-def _long(name: str) -> StructType:
-    return StructType([StructField(name, LongType())])
-
-
 class InTime(StatefulProcessor):
     """Splits the rows of a key into late ones and the rest, in time order; `at` is in microseconds.
 
-    `seen` holds the time of the last row applied. Subclasses say how to apply rows.
+    The state of a key is one value: the time of the last row applied, and what the subclass keeps.
+    A subclass that says how long its state matters gets a timer per key, which is set again while
+    newer rows have come and drops the state otherwise.
     """
 
     ORDER = ("at", "id")
     GRAIN = 1  # rows of the same grain of time may come in any order
+    FIELDS: tuple[StructField, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", _long("at"))
+        self.state = handle.getValueState("state", StructType([StructField("at", LongType()), *self.FIELDS]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # A row per event of one key in one micro-batch, whose size the source's options bound.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.ORDER), ignore_index=True)
-        seen = self.seen.get()[0] if self.seen.exists() else -(1 << 62)
-        late = ((batch["at"] < seen // self.GRAIN * self.GRAIN) | (batch["at"] < timerValues.getCurrentWatermarkInMs() * 1000)).to_numpy()
-        fresh = batch[~late].reset_index(drop=True)
+        held = self.state.get()
+        seen = held[0] if held else -(1 << 62)
+        at = batch["at"].to_numpy()
+        late = (at < seen // self.GRAIN * self.GRAIN) | (at < timerValues.getCurrentWatermarkInMs() * 1000)
         if late.any():
             yield self.refused(key, batch[late].reset_index(drop=True))
-        if len(fresh):
-            out = self.apply(key, fresh)
-            self.seen.update((int(fresh["at"].iloc[-1]),))
-            self.keep(int(fresh["at"].iloc[-1]))
+        if not late.all():
+            out, kept = self.apply(key, batch[~late].reset_index(drop=True) if late.any() else batch, held[1:] if held else None)
+            last = max(int(at[-1]), seen)
+            self.state.update((last, *kept))
+            if held is None and self.matters_until(last) is not None:
+                self.handle.registerTimer(self.matters_until(last))
             yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        until = self.matters_until(held[0]) if held else None
+        if until is not None and until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+        else:
+            self.clear()
+        return iter(())
+
+    def matters_until(self, last: int) -> int | None:
+        """The millisecond after which the state no longer matters; None if it always does."""
+        return None
+
+    def clear(self) -> None:
+        self.state.clear()
+
     def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
-    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+    def apply(self, key, batch: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """Output for rows in time order, and what to keep."""
         raise NotImplementedError
 
-    def keep(self, last: int) -> None:
-        """Set a timer for when the state no longer matters; by default it always does."""
-
-    def expire_at(self, at: int) -> None:
-        """One timer per key: at the given microsecond, rounded up to a millisecond."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(-(-at // 1000))
-
     def close(self) -> None:
         pass
 
@@ -85,7 +95,7 @@ class RequestLimiter(InTime):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.times = handle.getListState("times", _long("at"))
+        self.times = handle.getListState("times", StructType([StructField("at", LongType())]))
 
     def _frame(self, key, batch: pd.DataFrame, allowed, late: bool) -> pd.DataFrame:
         return pd.DataFrame({"key": key[0], "id": batch["id"], "at": batch["at"], "allowed": pd.array(allowed, "boolean"), "late": late})
@@ -93,25 +103,23 @@ class RequestLimiter(InTime):
     def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         return self._frame(key, batch, [None] * len(batch), True)
 
-    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        at = batch["at"].to_numpy()
+    def apply(self, key, batch: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        at, caps = batch["at"].to_numpy(), batch["cap"].to_numpy()
         recent = deque(t[0] for t in self.times.get())
         allowed = np.zeros(len(at), dtype=bool)
-        caps = batch["cap"].to_numpy()
         starts = np.flatnonzero(np.r_[True, caps[1:] != caps[:-1]])
         for lo, hi in zip(starts, np.r_[starts[1:], len(at)]):
             allowed[lo:hi] = allow(at[lo:hi], int(caps[lo]), self.span_us, recent)
         live = [(int(t),) for t in recent if t > at[-1] - self.span_us]
         self.times.put(live) if live else self.times.clear()
-        return self._frame(key, batch, allowed, False)
+        return self._frame(key, batch, allowed, False), ()
 
-    def keep(self, last: int) -> None:
-        self.expire_at(last + self.span_us)
+    def matters_until(self, last: int) -> int:
+        return -(-(last + self.span_us) // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def clear(self) -> None:
+        super().clear()
         self.times.clear()
-        self.seen.clear()
-        return iter(())
 
 
 class DailyStreak(InTime):
@@ -122,10 +130,7 @@ class DailyStreak(InTime):
 
     OUT = "user_id long, id long, day date, streak int, award int, late boolean"
     GRAIN = MICROS_PER_DAY
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", StructType([StructField("day", LongType()), StructField("streak", IntegerType())]))
+    FIELDS = (StructField("day", LongType()), StructField("streak", IntegerType()))
 
     def _frame(self, key, days: np.ndarray, ids, streak, award, late: bool) -> pd.DataFrame:
         dates = pd.to_datetime(pd.Series(days), unit="D").dt.date
@@ -135,29 +140,22 @@ class DailyStreak(InTime):
         days = batch["at"].to_numpy() // MICROS_PER_DAY
         return self._frame(key, days, batch["id"], [None] * len(batch), 0, True)
 
-    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+    def apply(self, key, batch: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
         days = batch["at"].to_numpy() // MICROS_PER_DAY
-        before, streak = self.last.get() if self.last.exists() else (None, 0)
         own, place = np.unique(days, return_inverse=True)
-        news = own != before if before is not None else np.ones(len(own), dtype=bool)
+        before, streak = kept or (own[0], 0)
         # A run of following days counts up from the streak it continues, or from one.
-        follows = np.r_[before is not None and own[0] - before <= 1, np.diff(own) == 1]
+        follows = np.r_[kept is not None and own[0] - before <= 1, np.diff(own) == 1]
         heads = np.maximum.accumulate(np.where(follows, 0, np.arange(len(own))))
-        lead = streak + own - (before if before is not None else own[0])
-        length = np.where(follows[0] & (heads == 0), lead, np.arange(len(own)) - heads + 1)
-        length = length.astype(np.int64)
+        length = np.where(follows[0] & (heads == 0), streak + own - before, np.arange(len(own)) - heads + 1).astype(np.int64)
+        news = own != before if kept else np.ones(len(own), dtype=bool)
         first = np.r_[True, days[1:] != days[:-1]] & news[place]
         reward = L.DAILY_BASE + np.minimum(L.STREAK_STEP * length, L.STREAK_CAP)
-        self.last.update((int(own[-1]), int(length[-1])))
-        return self._frame(key, days, batch["id"], length[place], np.where(first, reward[place], 0), False)
+        out = self._frame(key, days, batch["id"], length[place], np.where(first, reward[place], 0), False)
+        return out, (int(own[-1]), int(length[-1]))
 
-    def keep(self, last: int) -> None:
-        self.expire_at((last // MICROS_PER_DAY + 2) * MICROS_PER_DAY)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        self.seen.clear()
-        return iter(())
+    def matters_until(self, last: int) -> int:
+        return (last // MICROS_PER_DAY + 2) * (MICROS_PER_DAY // 1000)
 
 
 class CreditLedger(InTime):
@@ -168,10 +166,7 @@ class CreditLedger(InTime):
 
     OUT = "user_id long, id long, kind string, balance long, bankrupt boolean, late boolean"
     ORDER = ("at", "id", "kind")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.balance = handle.getValueState("balance", _long("value"))
+    FIELDS = (StructField("balance", LongType()),)
 
     def _frame(self, key, batch: pd.DataFrame, balance, bankrupt, late: bool) -> pd.DataFrame:
         return pd.DataFrame({"user_id": key[0], "id": batch["id"], "kind": batch["kind"], "balance": pd.array(balance, "Int64"),
@@ -180,21 +175,16 @@ class CreditLedger(InTime):
     def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         return self._frame(key, batch, [None] * len(batch), [None] * len(batch), True)
 
-    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        start = self.balance.get()[0] if self.balance.exists() else L.START_CREDITS
-        after, broke = L.replay(start, batch["delta"].to_numpy())
-        self.balance.update((int(after[-1]),))
-        return self._frame(key, batch, after, broke, False)
+    def apply(self, key, batch: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        after, broke = L.replay(kept[0] if kept else L.START_CREDITS, batch["delta"].to_numpy())
+        return self._frame(key, batch, after, broke, False), (int(after[-1]),)
 
 
 class SavedWord(InTime):
     """Is the word saved after the event, and did the event newly save it? Late events come out unapplied."""
 
     OUT = "user_id long, word_id long, id long, saved boolean, newly boolean, late boolean"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.saved = handle.getValueState("saved", StructType([StructField("value", BooleanType())]))
+    FIELDS = (StructField("saved", BooleanType()),)
 
     def _frame(self, key, batch: pd.DataFrame, saved, newly, late: bool) -> pd.DataFrame:
         return pd.DataFrame({"user_id": key[0], "word_id": key[1], "id": batch["id"], "saved": pd.array(saved, "boolean"), "newly": newly, "late": late})
@@ -202,9 +192,7 @@ class SavedWord(InTime):
     def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         return self._frame(key, batch, [None] * len(batch), False, True)
 
-    def apply(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        now = bool(self.saved.get()[0]) if self.saved.exists() else False
+    def apply(self, key, batch: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
         saved = (batch["action"] == "save").to_numpy()
-        newly = saved & ~np.r_[now, saved[:-1]]
-        self.saved.update((bool(saved[-1]),))
-        return self._frame(key, batch, saved, newly, False)
+        newly = saved & ~np.r_[bool(kept[0]) if kept else False, saved[:-1]]
+        return self._frame(key, batch, saved, newly, False), (bool(saved[-1]),)

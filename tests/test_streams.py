@@ -75,14 +75,14 @@ def test_state_of_a_silent_key_is_dropped(spark, tmp_path):
     us = lambda m: int(at(m).timestamp() * 1e6)
     feed(("silent", 1, us(0), 2), ("busy", 2, us(0), 2))
     feed(("busy", 3, us(50), 2))
-    assert feed.held("seen") == 2
+    assert feed.held("state") == 2
     feed(("busy", 4, us(200), 2))
     feed(("busy", 5, us(201), 2))
-    assert feed.held("seen") == 1 and feed.held("times") == 2
+    assert feed.held("state") == 1 and feed.held("times") == 2
     # What is older than the watermark comes out late, and leaves no state behind.
     got = feed(("silent", 6, us(1), 2), ("busy", 7, us(202), 2))
     assert rows(got.filter("id >= 5"), "id", "allowed", "late") == [(5, True, False), (6, None, True), (7, False, False)]
-    assert feed.held("seen") == 1
+    assert feed.held("state") == 1
 
 
 def test_ledger_and_saves_hand_on_late_events(spark, tmp_path):
