@@ -130,11 +130,19 @@ def backfill_verdicts(meta: DataFrame, expected: DataFrame, pool_rows: DataFrame
     return joined.withColumn("verdict", verdict)
 
 
-def apply_backfill(verdicts: DataFrame) -> DataFrame:
-    """Metadata to write: mismatches are left out and never overwritten."""
-    kept = verdicts.filter("verdict <> 'mismatch'")
+def apply_backfill(verdicts: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Metadata with input hashes filled in and, from `vectors` (cell, sha256), the hash of the vector bytes.
+
+    A mismatch keeps what it has. The input hash is a check; the vector hash pins the bytes from now on.
+    """
     filled = F.when(F.col("verdict").isin("backfilled", "matches"), F.col("want")).otherwise(F.col("inputs_sha256"))
-    return kept.withColumn("inputs_sha256", filled)
+    out = verdicts.withColumn("inputs_sha256", filled)
+    if vectors is not None:
+        before = F.col("vectors_sha256") if "vectors_sha256" in verdicts.columns else F.lit(None).cast("string")
+        found = vectors.select("cell", F.col("sha256").alias("_found"))
+        out = out.withColumn("_before", before).join(found, "cell", "left").withColumn(
+            "vectors_sha256", F.when(F.col("verdict") == "mismatch", F.col("_before")).otherwise(F.coalesce("_found", "_before"))).drop("_before", "_found")
+    return out.drop("want", "want_rows")
 
 
 def pool_identity(cells: DataFrame, meta: DataFrame, pool: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lexspan.operators.pool import cell_text
 
 DIM = 384
+_WORD = re.compile("[A-Za-z0-9]+")
+_KNOWN_WORDS = 100_000
 
 
 class Encoder(Protocol):
@@ -39,6 +44,33 @@ class HashingEncoder:
         return out / np.where(lengths > 0, lengths, 1.0)
 
 
+class DigestEncoder:
+    """Stand-in without weights that SQL can repeat: signed counts of words at the places their MD5 names."""
+
+    def __init__(self, dim: int = 64, salt: str = ""):
+        self.dim, self.salt = dim, salt
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def _place(self, word: str) -> tuple[int, int]:
+        found = self.known.get(word)
+        if found is None:
+            digest = hashlib.md5((self.salt + word).encode()).hexdigest()
+            found = int(digest[:4], 16) % self.dim, 1 if int(digest[4], 16) < 8 else -1
+            if len(self.known) < _KNOWN_WORDS:
+                self.known[word] = found
+        return found
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        for row, text in zip(out, texts):
+            for word, n in Counter(_WORD.findall(text)).items():
+                place, sign = self._place(word)
+                row[place] += sign * n
+        lengths = np.sqrt((out**2).sum(axis=1))
+        out[lengths == 0, 0] = 1
+        return out / np.where(lengths > 0, lengths, 1)[:, None]
+
+
 def encode_column(text: Column, load: Callable[[], Encoder]) -> Column:
     """Vector of each text. `load` runs once per task, on the executor."""
 

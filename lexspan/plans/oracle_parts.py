@@ -148,3 +148,13 @@ SELECT c.*, n.rows, 'set1' AS set_name, 10 AS k, {DEPTH} AS rank_depth, 10 AS pr
        CASE WHEN c.pool_scale IS NOT NULL THEN 'note' END AS note
 FROM ({CONFIG_SQL}) c JOIN (SELECT tag, count(*) AS rows FROM {{results}} GROUP BY tag) n ON n.tag = c.tag
 """
+
+
+def digest_encoding(rows: str, salt: str) -> str:
+    """Components other than zero of encoded texts: k, i (from 0), x as a 32-bit float. `rows`: k, text."""
+    return f"""(WITH rows_in AS ({rows}), placed AS (
+ SELECT k, CAST('0x' || h[1:4] AS INT) % 64 AS i, sum(CASE WHEN CAST('0x' || h[5:5] AS INT) < 8 THEN 1 ELSE -1 END) AS c
+ FROM (SELECT k, md5('{salt}' || u) AS h FROM (SELECT k, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS u FROM rows_in)) GROUP BY ALL),
+ long AS (SELECT k, sqrt(CAST(sum(c * c) AS DOUBLE)) AS len FROM placed GROUP BY k HAVING sum(c * c) > 0)
+ SELECT k, i, CAST(c / len AS FLOAT) AS x FROM placed JOIN long USING (k) WHERE c <> 0
+ UNION ALL SELECT k, 0, CAST(1 AS FLOAT) FROM rows_in ANTI JOIN long USING (k))"""

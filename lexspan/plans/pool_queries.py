@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from lexspan.functions import text as X
 from lexspan.operators import cells as C, encode as E, fingerprint as H, pool as P
 from lexspan.plans import frames as R, oracle_parts as O
 from lexspan.plans.fixtures import table
 from lexspan.plans.registry import SHARED, query
+from lexspan.session import freeze
+from lexspan.sources import stores as T
+from lexspan.streaming.jobs import scratch
 
 SEED, LAYOUT = "7:", "8:"
 
@@ -194,12 +199,24 @@ def d14_meta(spark, d):
     return C.derived_meta(meta, 32, True).withColumn("payload_mb", F.round("payload_mb", 6))
 
 
-@query("d15_encode_cells")
+def _cell_sql(name: str) -> str:
+    """Row, key and a weighted sum of the rounded components of one encoded cell."""
+    encoder, representation, variant = E.CELLS[name]
+    rows = "{vocab_rows}" if representation == "lemma" else "{sense_rows}"
+    coded = O.digest_encoding(f"SELECT row AS k, {'word' if representation == 'lemma' else variant} AS text FROM {rows}", encoder)
+    return f"""SELECT '{name}' AS cell, r.row, r.word, r.sense_key, CAST(v.mark AS BIGINT) AS mark FROM {rows} r
+ JOIN (SELECT k, sum((i + 1) * round(CAST(x AS DOUBLE) * 10000)) AS mark FROM {coded} GROUP BY k) v ON v.k = r.row"""
+
+
+@query("d15_encode_cells", " UNION ALL ".join(map(_cell_sql, E.CELLS)), {
+    "vocab_rows": "SELECT id AS row, word, 'lemma' AS sense_key FROM {vocab}",
+    "sense_rows": """SELECT row_id AS row, word, sense_key, gloss, concat_ws('; ', gloss, ex1, ex2) AS gloss_examples, concat(word, ': ', gloss) AS lemma_gloss FROM {senses}"""})
 def d15(spark, d):
-    rows = R.glosses(spark, d)
-    inputs = E.cell_inputs("gloss-base-lem", rows, rows)
-    cell = E.build_cell("gloss-base-lem", inputs, {"base": lambda: E.HashingEncoder(64)})
-    return cell.select("cell", "row", "word", "sense_key", F.size("vec").alias("dim"))
+    words, glosses = R.vectors(spark, d).select("row", "word"), R.glosses(spark, d)
+    encoders = {name: (lambda salt=name: E.DigestEncoder(64, salt)) for name in ("tuned", "base")}
+    cells = [E.build_cell(name, E.cell_inputs(name, words, glosses), encoders) for name in E.CELLS]
+    mark = F.aggregate(F.transform("vec", lambda x, i: (i + 1) * F.round(x.cast("double") * 10000)), F.lit(0.0), lambda a, x: a + x)
+    return reduce(DataFrame.unionByName, cells).select("cell", "row", "word", "sense_key", mark.cast("long").alias("mark"))
 
 
 # Input hashes of each language's texts stand for the expected hash of a variant.
@@ -238,20 +255,69 @@ def d16(spark, d):
     return C.backfill_verdicts(_cell_meta(spark, d, expected), expected.select("variant", "want"), pool_rows).select("cell", "verdict")
 
 
-@query("d17_pool_identity", """SELECT c.cell, w.words, w.pooled, p.n AS pool_words, CASE WHEN w.words IS NULL THEN 'missing' WHEN w.words <> w.pooled OR w.pooled <> p.n THEN 'stale: different pool'
- WHEN c.cell = 'src0' THEN 'stale: no input hash' WHEN c.cell = 'src1' THEN 'stale: input hash mismatch' ELSE 'fresh' END AS verdict
- FROM (SELECT DISTINCT source AS cell FROM {documents}) c
- LEFT JOIN (SELECT d.source AS cell, count(DISTINCT v.word) AS words, count(DISTINCT CASE WHEN d.source = 'src0' THEN v.word END) AS pooled FROM {documents} d JOIN {vocab} v ON v.id = d.doc_id GROUP BY d.source) w ON w.cell = c.cell
- CROSS JOIN (SELECT count(DISTINCT v.word) AS n FROM {documents} d JOIN {vocab} v ON v.id = d.doc_id WHERE d.source = 'src0') p""")
+SHARED["doc_vectors"] = "SELECT concat(d.source, '-', d.lang) AS cell, d.doc_id AS row, e.embedding FROM {documents} d JOIN {embeddings} e ON e.vec_id = d.doc_id % (SELECT count(*) FROM {embeddings})"
+
+
+def _doc_vectors(spark, d):
+    """A vector for every document, by cell of source and language."""
+    e = table(spark, d, "embeddings")
+    docs = table(spark, d, "documents").withColumn("vec_id", F.col("doc_id") % e.agg(F.count("*")).scalar())
+    return docs.join(e, "vec_id").select(F.concat_ws("-", "source", "lang").alias("cell"), F.col("doc_id").alias("row"), F.col("embedding").alias("vec"))
+
+
+def _grouped_tree(source: str, key: str, alias: str) -> str:
+    """Digest of `text` in the order of `row`, for each `key`."""
+    dense = f"SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY row) - 1 AS pos, text FROM ({source})"
+    block = f"SELECT {key}, pos // 4096 AS block, sha256(string_agg(text || chr(0), '' ORDER BY pos)) AS piece FROM ({dense}) GROUP BY {key}, pos // 4096"
+    return f"SELECT {key}, sha256(string_agg(piece, '' ORDER BY block)) AS {alias} FROM ({block}) GROUP BY {key}"
+
+
+_VERDICT = """CASE WHEN c.rows <> r.want_rows THEN 'different pool' WHEN e.want IS NULL THEN 'unknown variant'
+ WHEN c.inputs_sha256 IS NULL THEN 'backfilled' WHEN c.inputs_sha256 = e.want THEN 'matches' ELSE 'mismatch' END"""
+
+
+@query("d16_applied", f"""SELECT j.cell, j.verdict, CASE WHEN j.verdict IN ('backfilled', 'matches') THEN j.want ELSE j.inputs_sha256 END AS inputs_sha256,
+ CASE WHEN j.verdict <> 'mismatch' THEN v.vectors_sha256 END AS vectors_sha256
+ FROM (SELECT c.cell, c.inputs_sha256, e.want, {_VERDICT} AS verdict FROM {{cell_meta}} c JOIN {{expected}} r ON r.variant = c.representation LEFT JOIN {{expected}} e ON e.variant = c.variant) j
+ JOIN ({_grouped_tree(f"SELECT cell, row, {_VECTOR_HASH} AS text FROM {{doc_vectors}}", "cell", "vectors_sha256")}) v ON v.cell = j.cell""")
+def d16_applied(spark, d):
+    """Cells stored with their metadata; the backfill is published as its next version and read back."""
+    expected = freeze(_expected(spark, d))
+    path = scratch(spark)
+    T.publish_meta(_cell_meta(spark, d, expected), path)
+    pool_rows = expected.select(F.col("variant").alias("representation"), "want_rows")
+    verdicts = C.backfill_verdicts(T.read_meta(spark, path), expected.select("variant", "want"), pool_rows)
+    filled = freeze(C.apply_backfill(verdicts, H.vectors_digest(_doc_vectors(spark, d), ["cell"])))
+    T.publish_meta(filled, path)
+    return T.read_meta(spark, path).select("cell", "verdict", "inputs_sha256", "vectors_sha256")
+
+
+# A cell per source. Sources with an even number hold the words of src0, the others their own; src0 has no
+# hash, src4 that of other texts, and all others that of their documents.
+_SOURCE_WORDS = """SELECT DISTINCT c.source AS cell, v.word FROM (SELECT DISTINCT source FROM {documents}) c
+ JOIN {documents} d ON d.source = CASE WHEN CAST(substr(c.source, 4) AS INT) % 2 = 0 THEN 'src0' ELSE c.source END
+ JOIN {vocab} v ON v.id = d.doc_id % (SELECT count(*) FROM {embeddings})"""
+
+
+@query("d17_pool_identity", """SELECT w.cell, w.words, w.pooled, p.n AS pool_words, CASE WHEN w.words <> w.pooled OR w.pooled <> p.n THEN 'stale: different pool'
+ WHEN m.recorded IS NULL THEN 'stale: no input hash' WHEN m.recorded = h.want THEN 'fresh' ELSE 'stale: input hash mismatch' END AS verdict
+ FROM (SELECT c.cell, count(*) AS words, count(o.word) AS pooled FROM {source_words} c LEFT JOIN (SELECT word FROM {source_words} WHERE cell = 'src0') o ON o.word = c.word GROUP BY c.cell) w
+ JOIN {text_hashes} h ON h.cell = w.cell
+ JOIN (SELECT cell, CASE WHEN cell = 'src4' THEN other WHEN cell <> 'src0' THEN want END AS recorded FROM {text_hashes} JOIN {upper_hashes} USING (cell)) m ON m.cell = w.cell
+ CROSS JOIN (SELECT count(*) AS n FROM {source_words} WHERE cell = 'src0') p""",
+       {"source_words": _SOURCE_WORDS, "text_hashes": _grouped_tree("SELECT source AS cell, doc_id AS row, text FROM {documents}", "cell", "want"),
+        "upper_hashes": _grouped_tree("SELECT source AS cell, doc_id AS row, concat('x', text) AS text FROM {documents}", "cell", "other")})
 def d17(spark, d):
-    docs = table(spark, d, "documents")
-    vocab = table(spark, d, "vocab")
-    cells = docs.join(vocab, docs["doc_id"] == vocab["id"]).select(F.col("source").alias("cell"), "word")
-    pool = cells.filter("cell = 'src0'").select("word")
-    meta = docs.select(F.col("source").alias("cell")).distinct().withColumn(
-        "inputs_sha256", F.when(F.col("cell") == "src0", None).when(F.col("cell") == "src1", "bad").otherwise("good"))
-    expected = meta.select("cell", F.lit("good").alias("want"))
-    return C.pool_identity(cells, meta, pool, expected)
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", (F.col("doc_id") % table(spark, d, "embeddings").agg(F.count("*")).scalar()).alias("id"))
+    even = F.substring("cell", F.lit(4), F.length("cell")).cast("int") % 2 == 0
+    sources = docs.select(F.col("source").alias("cell")).distinct().withColumn("source", F.when(even, "src0").otherwise(F.col("cell")))
+    cells = freeze(sources.join(docs, "source").join(table(spark, d, "vocab").select("id", "word"), "id").select("cell", "word").distinct())
+    texts = docs.select(F.col("source").alias("cell"), F.col("doc_id").alias("row"), "text")
+    want = H.texts_digest(texts, ["cell"]).withColumnRenamed("sha256", "want")
+    other = H.texts_digest(texts.withColumn("text", F.concat(F.lit("x"), "text")), ["cell"]).withColumnRenamed("sha256", "other")
+    recorded = F.when(F.col("cell") == "src4", F.col("other")).when(F.col("cell") != "src0", F.col("want"))
+    meta = want.join(other, "cell").select("cell", recorded.alias("inputs_sha256"))
+    return C.pool_identity(cells, meta, cells.filter("cell = 'src0'").select("word"), want)
 
 
 @query("d17_targets_present", "SELECT count(*) AS targets, count(v.word) AS present FROM (SELECT DISTINCT target FROM {eval_set}) t LEFT JOIN {vocab} v ON v.word = t.target")

@@ -25,11 +25,12 @@ def _pairs(spark, d):
     return e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, F.col("b") == F.col("a") + 1)
 
 
-@query("b1_encode")
+@query("b1_encode", f"SELECT k AS doc_id, CAST(i AS INT) AS i, CAST(x AS DOUBLE) AS x FROM {O.digest_encoding('SELECT doc_id AS k, text FROM {documents}', 'base')}")
 def b1(spark, d):
     docs = table(spark, d, "documents")
-    vec = E.encode_column(F.col("text"), lambda: E.HashingEncoder(64))
-    return docs.select("doc_id", vec.alias("vec")).select("doc_id", F.size("vec").alias("dim"), F.round(V.norm(F.col("vec")), 4).alias("length"))
+    vec = E.encode_column(F.col("text"), lambda: E.DigestEncoder(64, "base"))
+    parts = docs.select("doc_id", vec.alias("vec")).select("doc_id", F.posexplode("vec").alias("i", "x"))
+    return parts.filter("x <> 0").select("doc_id", "i", F.col("x").cast("double").alias("x"))
 
 
 @query("b2_cosine", f"SELECT a, b, round(list_cosine_similarity(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])), 9) AS sim FROM ({_PAIRS})")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from lexspan.operators import pool as Q, saves as V, vocab_audit as U
 from lexspan.plans import audit_queries as AQ, frames as P, oracle_parts as O, pool_queries as PQ
@@ -35,20 +37,26 @@ def a3(spark, d):
     return R.read_set(spark, path).select("id", "target", "token_count", "zipf")
 
 
-@query("a4_set_fingerprint", """SELECT sha256(string_agg(piece, '' ORDER BY row)) AS sha256 FROM (
- SELECT pos // 4096 AS row, sha256(string_agg(text || chr(0), '' ORDER BY pos)) AS piece FROM (
- SELECT row_number() OVER (ORDER BY id) - 1 AS pos, concat_ws('|', id, query, target, source, reachable) AS text FROM {eval_core}) GROUP BY pos // 4096)""")
-def a4(spark, d):
-    from lexspan.operators.fingerprint import texts_digest
+_FIELDS = """SELECT id, query, target, 'authored' AS source, sense_hint, zipf, token_count, style, lexical_overlap, reachable, acceptable, CAST(NULL AS VARCHAR) AS leakage
+ FROM (SELECT a.*, e.sense_hint FROM {authored} a JOIN (SELECT sense_hint, row_number() OVER (ORDER BY qvec_id) AS n FROM {eval_core}) e ON e.n = CAST(substr(a.id, 10) AS INT))
+ UNION ALL SELECT id, query, target, 'gloss_tripwire', NULL, zipf, token_count, NULL, NULL, true, [], 'paraphrase' FROM {tripwire}"""
 
-    text = F.concat_ws("|", "id", "query", "target", "source", F.col("reachable").cast("string"))
-    return texts_digest(table(spark, d, "eval_core").select(F.col("id").alias("row"), text.alias("text")))
+
+@query("a4_set_fingerprint", """SELECT sha256(string_agg(piece, '' ORDER BY block)) AS sha256, CAST(sum(n) AS BIGINT) AS rows FROM (
+ SELECT pos // 4096 AS block, count(*) AS n, sha256(string_agg(text || chr(0), '' ORDER BY pos)) AS piece FROM (
+ SELECT row_number() OVER (ORDER BY id) - 1 AS pos, concat_ws(chr(31), id, query, target, source, coalesce(sense_hint, '-'), coalesce(format('{:,.6f}', zipf), '-'),
+  token_count, coalesce(style, '-'), coalesce(lexical_overlap, '-'), CASE WHEN reachable THEN 'true' ELSE 'false' END,
+  array_to_string(acceptable, ','), coalesce(leakage, '-')) AS text FROM {fields}) GROUP BY pos // 4096)""", {"fields": _FIELDS})
+def a4(spark, d):
+    path = scratch(spark)
+    R.write_set(_rows(spark, d), path)
+    return R.set_digest(spark, path)
 
 
 def _draft_lines(spark, d):
-    """A reviewed file: comments, a header, rows cut short after the style."""
+    """A reviewed file: comments, a header, rows cut short after the style; no line breaks in a cell."""
     rows = AQ.draft_table(spark, d)
-    line = F.concat_ws("\t", F.concat(F.lit(" "), "target"), "query", "sense_hint", F.when(F.col("position") % 2 == 0, F.col("style")))
+    line = F.concat_ws("\t", F.concat(F.lit(" "), "target"), F.regexp_replace("query", "[\n\r\t]", " "), "sense_hint", F.when(F.col("position") % 2 == 0, F.col("style")))
     body = rows.select((F.col("position") * 2 + 10).alias("position"), line.alias("line"))
     notes = rows.select((F.col("position") * 2 + 11).alias("position"),
                         F.when(F.col("position") % 3 == 0, F.lit('"# note')).when(F.col("position") % 3 == 1, F.lit("# note")).otherwise("").alias("line"))
@@ -56,9 +64,14 @@ def _draft_lines(spark, d):
     return head.unionByName(body).unionByName(notes)
 
 
-@query("a5_read_draft", "SELECT qvec_id * 2 + 10 AS position, target, query, sense_hint, CASE WHEN qvec_id % 2 = 0 THEN style ELSE '' END AS style FROM {eval_core}")
+# Three lines come before the rows, and every row is followed by a note or a blank line.
+@query("a5_read_draft", """SELECT 3 + 2 * (row_number() OVER (ORDER BY qvec_id) - 1) AS position, target, trim(regexp_replace(query, '[\n\r\t]', ' ', 'g')) AS query, sense_hint,
+ CASE WHEN qvec_id % 2 = 0 THEN style ELSE '' END AS style FROM {eval_core}""")
 def a5(spark, d):
-    return R.parse_draft(_draft_lines(spark, d)).select("position", "target", "query", "sense_hint", "style")
+    path = scratch(spark)
+    lines = _draft_lines(spark, d)
+    lines.repartitionByRange(4, "position").sortWithinPartitions("position").select("line").write.text(path)
+    return R.parse_draft(R.read_numbered_lines(spark, path)).select("position", "target", "query", "sense_hint", "style")
 
 
 @query("a6_write_draft", "SELECT target, md5(query) AS query, coalesce(printf('%.3f', zipf), '') AS zipf, band AS freq_band, CASE WHEN reachable THEN 'true' ELSE 'false' END AS reachable FROM {annotated}")
@@ -125,12 +138,16 @@ def _cells(spark, d):
     return v, meta
 
 
-@query("a11_cell_store", "SELECT row, word, rows, distinct_words FROM (SELECT id AS row, word, count(*) OVER () AS rows, count(*) OVER () AS distinct_words FROM {vocab} WHERE label = 3)")
+@query("a11_cell_store", """SELECT concat('label', CAST(label AS VARCHAR)) AS cell, id AS row, word, count(*) OVER (PARTITION BY label) AS rows,
+ count(*) OVER (PARTITION BY label) AS distinct_words FROM {vocab}""")
 def a11(spark, d):
     path = scratch(spark)
-    T.write_cell(*_cells(spark, d), path)
-    vectors, meta = T.read_cell(spark, path, "label3")
-    return vectors.join(meta, "cell").select("row", "word", "rows", "distinct_words")
+    cells, meta = _cells(spark, d)
+    T.write_cell(cells, meta, path)
+    # Every cell is read back by name: the test data have ten.
+    names = [r["cell"] for r in meta.select("cell").collect()]
+    parts = [vectors.join(about, "cell") for vectors, about in (T.read_cell(spark, path, name) for name in names)]
+    return reduce(DataFrame.unionByName, parts).select("cell", "row", "word", "rows", "distinct_words")
 
 
 @query("a12_run_store", "SELECT tag, id, rank FROM {results} WHERE tag <> 'lemma'")

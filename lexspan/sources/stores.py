@@ -32,6 +32,35 @@ def read_cell(spark: SparkSession, path: str, cell: str) -> tuple[DataFrame, Dat
     return vectors, meta
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a metadata table that were written to the end, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta_versions")
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    named = [s.getPath() for s in store.listStatus(root)]
+    done = [p for p in named if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
+def publish_meta(meta: DataFrame, path: str) -> int:
+    """Write metadata beside what is there, as the next version; readers see it once it is complete.
+
+    No version is ever overwritten: two writers that race for one fail instead.
+    """
+    version = max(_versions(meta.sparkSession, path), default=-1) + 1
+    meta.write.mode("errorifexists").parquet(f"{path}/meta_versions/version={version}")
+    return version
+
+
+def read_meta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last complete version of the metadata, or the one asked for."""
+    found = _versions(spark, path)
+    if not found or (version is not None and version not in found):
+        raise ValueError("no such version of the metadata")
+    return spark.read.parquet(f"{path}/meta_versions/version={found[-1] if version is None else version}")
+
+
 def write_run(results: DataFrame, runs: DataFrame, path: str) -> None:
     """Results and configuration by tag; writing a tag again replaces that tag only."""
     for name, df in (("results", results), ("runs", runs)):

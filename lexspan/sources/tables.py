@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lexspan.functions.text import strip
+from lexspan.operators.fingerprint import texts_digest
+from lexspan.session import freeze
 
 # Columns of a draft, in file order.
 DRAFT_COLUMNS = ["target", "query", "sense_hint", "zipf", "freq_band", "token_count", "style",
@@ -19,9 +21,20 @@ EVAL_SCHEMA = (
 META = ["sense_hint", "zipf", "token_count", "style", "lexical_overlap", "reachable", "acceptable", "leakage"]
 
 
-def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file with an increasing `position`."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"))
+def read_numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Lines with their dense number `position`, from 0, in the order of files and of lines in them.
+
+    A file is read in splits, and a split is read front to back by one task. So a line's number is
+    the number of lines in earlier files and splits, plus its place in its split: only a row per
+    split is sorted. The lines are written once, so that a place cannot move on a retry.
+    """
+    lines = freeze(spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")))
+    splits = lines.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return lines.join(offsets, ["_file", "_start"]).select((F.col("_at") + F.col("_offset")).alias("position"), "line")
 
 
 def parse_draft(lines: DataFrame) -> DataFrame:
@@ -93,3 +106,11 @@ def write_set(rows: DataFrame, path: str) -> None:
 def read_set(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation rows; blank lines are skipped by the reader."""
     return flat(spark.read.schema(EVAL_SCHEMA).json(path))
+
+
+def set_digest(spark: SparkSession, path: str) -> DataFrame:
+    """`sha256`, `rows` of a written evaluation set: read back, every field as text, in the order of ids."""
+    fields = [F.coalesce(F.array_join(c, ",") if c == "acceptable" else F.format_number(c, 6) if c == "zipf" else F.col(c).cast("string"), F.lit("-"))
+              for c in ("id", "query", "target", "source", *META)]
+    text = read_set(spark, path).select(F.col("id").alias("row"), F.concat_ws("\x1f", *fields).alias("text"))
+    return texts_digest(text).withColumn("rows", text.agg(F.count("*")).scalar())

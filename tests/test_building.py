@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspan.operators import acceptable as A, cells as C, coverage as V, encode as E, evalset as G, fingerprint as H, frequency as Z, pool as P, vocab_audit as U
+from lexspan.sources import stores as T
 from tests.conftest import rows
 
 CELL = "word string, sense_key string, row long, vec array<float>"
@@ -91,14 +92,27 @@ def test_derived_vectors_and_drift(spark):
     assert "rounded" not in full.columns
 
 
-def test_backfill_never_overwrites_a_mismatch(spark):
+def test_backfill_never_overwrites_a_mismatch(spark, tmp_path):
     meta = spark.createDataFrame([("a", "gloss", "gloss", 5, None), ("b", "gloss", "gloss", 5, "w"), ("c", "gloss", "gloss", 5, "x"), ("d", "gloss", "odd", 5, None), ("e", "gloss", "gloss", 4, None)],
                                  "cell string, representation string, variant string, rows long, inputs_sha256 string")
     want = spark.createDataFrame([("gloss", "w")], "variant string, want string")
     pool = spark.createDataFrame([("gloss", 5)], "representation string, want_rows long")
     verdicts = C.backfill_verdicts(meta, want, pool)
     assert rows(verdicts, "cell", "verdict") == [("a", "backfilled"), ("b", "matches"), ("c", "mismatch"), ("d", "unknown variant"), ("e", "different pool")]
-    assert rows(C.apply_backfill(verdicts), "cell", "inputs_sha256") == [("a", "w"), ("b", "w"), ("d", None), ("e", None)]
+    assert rows(C.apply_backfill(verdicts), "cell", "inputs_sha256") == [("a", "w"), ("b", "w"), ("c", "x"), ("d", None), ("e", None)]
+    path, vectors = str(tmp_path / "store"), spark.createDataFrame([(c, f"v{c}") for c in "abcd"], "cell string, sha256 string")
+    assert T.publish_meta(meta, path) == 0
+    again = C.backfill_verdicts(T.read_meta(spark, path), want, pool)
+    assert T.publish_meta(C.apply_backfill(again, vectors), path) == 1
+    assert rows(T.read_meta(spark, path), "cell", "inputs_sha256", "vectors_sha256") == [
+        ("a", "w", "va"), ("b", "w", "vb"), ("c", "x", None), ("d", None, "vd"), ("e", None, None)]
+    assert rows(T.read_meta(spark, path, 0), "cell", "inputs_sha256") == rows(meta, "cell", "inputs_sha256")
+    # A write that broke off is not a version, and a second run changes nothing.
+    (tmp_path / "store" / "meta_versions" / "version=7").mkdir()
+    once_more = C.apply_backfill(C.backfill_verdicts(T.read_meta(spark, path).drop("verdict"), want, pool), vectors)
+    assert rows(once_more, "cell", "inputs_sha256", "vectors_sha256") == rows(T.read_meta(spark, path), "cell", "inputs_sha256", "vectors_sha256")
+    with pytest.raises(ValueError, match="no such version"):
+        T.read_meta(spark, path, 7)
 
 
 def test_self_retrieval_finds_shifted_rows(spark):

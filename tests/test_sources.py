@@ -65,3 +65,40 @@ def test_writing_a_run_again_replaces_only_that_run(spark, tmp_path):
     T.write_run(res("a", 1), run("a", "3"), path)
     runs, results = T.read_runs(spark, path)
     assert rows(runs, "tag", "ran_at") == [("a", "3")] and rows(results, "tag", "id") == [("a", "0")]
+
+
+def test_lines_of_several_files_and_splits_are_numbered_in_file_order(spark, tmp_path):
+    lines = []
+    for i, n in enumerate((700, 0, 1, 400)):
+        mine = [f"file {i} line {j} " + "x" * (j % 50) if j % 7 else "" for j in range(n)]
+        (tmp_path / f"part-{i}.txt").write_text("".join(x + "\n" for x in mine))
+        lines += mine
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        got = R.read_numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((r["position"], r["line"]) for r in got) == list(enumerate(lines))
+
+
+def test_the_first_line_of_the_first_file_is_the_header(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("# note\n\ntarget\tquery\n" + "".join(f"t{i}\tq{i}\n" for i in range(50)))
+    (tmp_path / "b.tsv").write_text("u\tlast\n")
+    got = R.parse_draft(R.read_numbered_lines(spark, str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")))
+    assert rows(got, "position", "target") == [(3 + i, f"t{i}") for i in range(50)] + [(53, "u")]
+
+
+def test_the_digest_of_a_written_set_follows_every_field(spark, tmp_path):
+    def digest(name, **change):
+        row = dict(id="a", query="q", target="t", source="s", sense_hint=None, zipf=1.5, token_count="one", style=None, lexical_overlap="none",
+                   reachable=True, acceptable=["x"], leakage=None) | change
+        schema = "id string, query string, target string, source string, sense_hint string, zipf double, token_count string, style string, lexical_overlap string, reachable boolean, acceptable array<string>, leakage string"
+        R.write_set(spark.createDataFrame([tuple(row.values())], schema), str(tmp_path / name))
+        return R.set_digest(spark, str(tmp_path / name)).first()["sha256"]
+
+    base = digest("base")
+    assert digest("same") == base
+    assert len({base, *(digest(f"d{i}", **c) for i, c in enumerate(({"zipf": 2.0}, {"acceptable": ["y"]}, {"reachable": False}, {"leakage": "p"})))}) == 5
