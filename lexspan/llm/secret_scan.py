@@ -3,8 +3,8 @@
 Candidates are found in every whole text: the base kinds of the contract, and wider kinds
 (vendor keys, tokens, private keys, address passwords, mixed opaque strings). The value of
 each candidate is hashed, and the hashes are counted over the corpus by distinct repository
-and distinct owner. A value that many owners hold is a copied example; one that belongs to
-few owners looks live. Base spans are always reported; a wider candidate only if it looks
+and distinct owner. A value that many owners or many repositories hold is a copied example; one
+that belongs to few of both looks live. Base spans are always reported; a wider candidate only if it looks
 live and overlaps no base span.
 
 Only DataFrame functions are used. Regular expressions run once, into narrow rows that are
@@ -36,11 +36,13 @@ WIDER = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     "pem": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END", 0, 1),
     "login": (r"[a-z]{2,12}://[^\x20\x09-\x0D:/@]{1,64}:([^\x20\x09-\x0D:/@]{4,128})@", 1, 4),
-    # 24 or more characters with a digit, a capital and a small letter.
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[a-z0-9+/_=-]{0,60}[A-Z])(?=[A-Z0-9+/_=-]{0,60}[a-z])[A-Za-z0-9+/_=-]{24,}", 0, 24),
+    # 24 or more characters; OPAQUE says what the whole run must hold.
+    "opaque": (r"[A-Za-z0-9+/_=-]{24,}", 0, 24),
 }
+OPAQUE = ("[0-9]", "[A-Z]", "[a-z]")
 KINDS = [*BASE, *WIDER]
 MAX_OWNERS = 2
+MAX_REPOS = 4
 
 
 def _candidates(text: str, kind: str) -> Column:
@@ -57,6 +59,8 @@ def _candidates(text: str, kind: str) -> Column:
         found = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"),
                          end.cast("long").alias("end"), x["value"].alias("value"))
         keep = F.length(x["value"]) >= least
+        for needed in OPAQUE if kind == "opaque" else ():
+            keep = keep & x["value"].rlike(needed)
         return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
@@ -97,22 +101,22 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Spans of every row: doc_id, base and all spans as arrays, n_live, n_copied, max_owners_seen."""
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """Spans of every row: doc_id, base and all spans as arrays, n_live, n_copied, most_owners, most_repos."""
     found = landed(find(docs), "secrets")
     counts = ownership(found)
     # Rows with equal candidates share one verdict, so copies of a document are judged once.
     rows = found.withColumn("key", F.when(F.size("base") + F.size("more") > 0, F.sha2(F.to_json(F.struct("base", "more")), 256)))
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     judged = (
         rows.filter(F.col("key").isNotNull()).select("key", "base", "more").dropDuplicates(["key"])
         .select("key", F.explode(F.concat("base", "more")).alias("c"))
         .withColumn("hash", F.col("c.hash")).join(counts, "hash")
         .groupBy("key").agg(
-            F.collect_list(F.when((F.col("owners") <= max_owners) | F.col("c.kind").isin(*BASE),
+            F.collect_list(F.when(live | F.col("c.kind").isin(*BASE),
                                   F.struct("c.start", "c.order", "c.kind", "c.end", "owners", "repos"))).alias("kept"),
-            F.count(F.when(F.col("owners") <= max_owners, 1)).alias("live"),
-            F.count(F.when(F.col("owners") > max_owners, 1)).alias("copied"),
-            F.max("owners").alias("seen"))
+            F.count(F.when(live, 1)).alias("live"), F.count(F.when(~live, 1)).alias("copied"),
+            F.max("owners").alias("owners"), F.max("repos").alias("repos"))
     )
     # Rows without a candidate carry their own key, so that they spread over the join.
     spread = rows.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("doc_id", "owner", "repo").cast("string"))))
@@ -120,7 +124,7 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     return out.select(
         "doc_id", "base", F.array_sort(F.coalesce("kept", F.array())).alias("spans"),
         F.coalesce("live", F.lit(0)).alias("n_live"), F.coalesce("copied", F.lit(0)).alias("n_copied"),
-        F.coalesce("seen", F.lit(0)).alias("most_owners"))
+        F.coalesce("owners", F.lit(0)).alias("most_owners"), F.coalesce("repos", F.lit(0)).alias("most_repos"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def digest(scanned: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return scanned.select("doc_id", *map(count, BASE), F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
-                          _text_of(F.col("spans")).alias("spans"), "n_live", "n_copied", "most_owners")
+                          _text_of(F.col("spans")).alias("spans"), "n_live", "n_copied", "most_owners", "most_repos")
 
 
 def _sql() -> str:
@@ -140,9 +144,8 @@ def _sql() -> str:
 
     # Letters in either case are spelt out: folding here would go beyond ASCII.
     names = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
-    patterns = {k: p for k, (p, _, _) in {**BASE, **WIDER}.items() if k != "opaque"}
+    patterns = {k: p for k, (p, _, _) in {**BASE, **WIDER}.items()}
     patterns["assign"] = "(" + names + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    patterns["opaque"] = r"[A-Za-z0-9+/_=-]{24,}"
     parts = []
     for i, kind in enumerate(KINDS):
         _, group, least = {**BASE, **WIDER}[kind]
@@ -153,28 +156,27 @@ def _sql() -> str:
         + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
     FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
       SELECT rid, string_split_regex(t, {p}) AS p, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v FROM docs)))
-  WHERE length(v[i]) >= {least}""" + ("""
-    AND regexp_matches(left(v[i], 61), '^[A-Za-z+/_=-]*[0-9]') AND regexp_matches(left(v[i], 61), '^[a-z0-9+/_=-]*[A-Z]')
-    AND regexp_matches(left(v[i], 61), '^[A-Z0-9+/_=-]*[a-z]')""" if kind == "opaque" else ""))
+  WHERE length(v[i]) >= {least}""" + ("".join(f" AND regexp_matches(v[i], '{x}')" for x in OPAQUE) if kind == "opaque" else ""))
     base = ", ".join(f"'{k}'" for k in BASE)
+    live = f"owners <= {MAX_OWNERS} AND repos <= {MAX_REPOS}"
     name = """kind || ':' || "start" || ':' || "end" """
     return f"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, source || '/' || lang AS repo, coalesce(text, '') AS t FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(parts)}),
 kept AS (
-  SELECT f.*, d.owner, f.kind IN ({base}) AS is_base FROM found f JOIN docs d USING (rid)
+  SELECT f.*, d.owner, d.repo, f.kind IN ({base}) AS is_base FROM found f JOIN docs d USING (rid)
   WHERE f.kind IN ({base}) OR NOT EXISTS (SELECT 1 FROM found b WHERE b.rid = f.rid AND (b.kind IN ({base}) OR (f.kind = 'opaque' AND b.kind <> 'opaque'))
     AND b."start" < f."end" AND f."start" < b."end")),
-owned AS (SELECT value, count(DISTINCT owner) + max((owner IS NULL)::INT) AS owners FROM kept GROUP BY value),
+owned AS (SELECT value, count(DISTINCT owner) + max((owner IS NULL)::INT) AS owners, count(DISTINCT {{'o': owner, 'r': repo}}) AS repos FROM kept GROUP BY value),
 spans AS (
   SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
     string_agg({name}, ',' ORDER BY "start", o) FILTER (is_base) AS base,
-    string_agg({name}, ',' ORDER BY "start", o) FILTER (is_base OR owners <= {MAX_OWNERS}) AS spans,
-    count(*) FILTER (owners <= {MAX_OWNERS}) AS n_live, count(*) FILTER (owners > {MAX_OWNERS}) AS n_copied, max(owners) AS most_owners
+    string_agg({name}, ',' ORDER BY "start", o) FILTER (is_base OR {live}) AS spans,
+    count(*) FILTER ({live}) AS n_live, count(*) FILTER (NOT ({live})) AS n_copied, max(owners) AS most_owners, max(repos) AS most_repos
   FROM kept JOIN owned USING (value) GROUP BY rid)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied,
-  coalesce(most_owners, 0)::BIGINT AS most_owners
+  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos
 FROM docs LEFT JOIN spans USING (rid)
 """
 

@@ -1,6 +1,7 @@
 """Secrets by ownership and personal data."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,36 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert found[10].spans == f"vendor:3:{3 + len(live)}" and found[10].n_live == 1 and found[11].most_owners == 1
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    value = "ghp_" + "Q1w2" * 9
+    rows = [(i, f"key {value}", f"r{i}", "s1") for i in range(6)]
+    found = scanned(spark, rows)
+    assert found[0].spans == "" and (found[0].n_copied, found[0].most_owners, found[0].most_repos) == (1, 1, 6)
+    found = scanned(spark, rows[:4])
+    assert found[0].n_live == 1 and found[0].most_repos == 4
+
+
+def test_opaque_runs_are_looked_at_as_a_whole(spark):
+    late, plain = "A" * 70 + "b" * 10 + "7" + "c" * 10, "A" * 90
+    found = scanned(spark, [(1, f"x {late} y", "en", "a"), (2, f"x {plain} y", "en", "a")])
+    assert found[1].spans == f"opaque:2:{2 + len(late)}" and found[2].spans == ""
+
+
+def test_long_texts_of_digits_take_linear_time():
+    """A megabyte of digits, of dots and digits, and twenty thousand candidates in one text."""
+    start = time.perf_counter()
+    assert pii.base_spans("7" * 1_000_000) == [] and pii.base_spans("0" * 5000 + ".1.2.3")[0] == (0, "ip", 5006)
+    assert len(pii.base_spans("1.2.3.4 " * 40_000)) == 40_000
+    crowded = "call (212) 555-0142, " * 20_000
+    found = pii.candidates(crowded)
+    assert len(found) >= 20_000 and len(pii.crowd(found)) == len(found)
+    model = pii.Trees()
+    inside = pii.Overlaps(found)
+    assert sum(inside.any(s, e) for s, _, e in found) == len(found) and not inside.any(0, 5)
+    assert pii.spans(crowded, model) == ([], [])
+    assert time.perf_counter() - start < 20
+
+
 PLAIN = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
