@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ PRECISION = 0.98
 ROUNDS, DEPTH, BINS = 60, 3, 16
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A run of digits is entered at its first digit or not at all: the look-behind changes no match.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -88,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
                 last = m.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = _digits(m.group())
@@ -115,6 +118,25 @@ def candidates(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+class Overlaps:
+    """Whether spans overlap any of a fixed set, by bisection."""
+
+    def __init__(self, spans: list[tuple[int, str, int]]):
+        order = sorted((s, e) for s, _, e in spans)
+        self.starts = [s for s, _ in order]
+        self.ends = list(accumulate((e for _, e in order), max))
+
+    def any(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
+def crowd(spans: list[tuple[int, str, int]]) -> list[int]:
+    """Of each span, how many others begin less than 60 characters away."""
+    starts = np.sort([s for s, _, _ in spans])
+    return [int(np.searchsorted(starts, s + 60) - np.searchsorted(starts, s - 59)) - 1 for s, _, _ in spans]
+
+
 def features(text: str, span: tuple[int, str, int], near: int) -> list[float]:
     """Format and context of a candidate; `near` is the number of other candidates close by."""
     start, kind, end = span
@@ -222,30 +244,27 @@ def _examples(text: str) -> Iterator[tuple[list[float], int]]:
     """Features and label of every candidate of a text and of its rewritten base spans."""
     base = base_spans(text)
 
-    def near(spans: list[tuple[int, str, int]], span: tuple[int, str, int]) -> int:
-        return sum(abs(s - span[0]) < 60 and (e <= span[0] or s >= span[2]) for s, _, e in spans)
-
-    found = candidates(text)
-    for c in found:
-        inside = any(s < c[2] and c[0] < e for s, _, e in base)
-        matches = any(s < c[2] and c[0] < e and WIDER[c[1]][1] == k for s, k, e in base)
-        if matches or not inside:
-            yield features(text, c, near(found, c)), int(matches)
+    found, inside = candidates(text), Overlaps(base)
+    same = {k: Overlaps([b for b in base if b[1] == k]) for k in BASE}
+    for c, near in zip(found, crowd(found)):
+        matches = same[WIDER[c[1]][1]].any(c[0], c[2])
+        if matches or not inside.any(c[0], c[2]):
+            yield features(text, c, near), int(matches)
     for s, kind, e in base:
         for form in rewritten(kind, text[s:e]):
             changed = text[max(0, s - 80) : s] + form + text[e : e + 80]
             start, end = min(s, 80), min(s, 80) + len(form)
             spans = candidates(changed)
-            for c in spans:
+            for c, near in zip(spans, crowd(spans)):
                 if WIDER[c[1]][1] == kind and c[0] < end and start < c[2]:
-                    yield features(changed, c, near(spans, c)), 1
+                    yield features(changed, c, near), 1
         for form in ordinary(text[s:e]) if _digits(text[s:e]) else ():
             changed = text[max(0, s - 80) : s] + form + text[e : e + 80]
             start, end = min(s, 80), min(s, 80) + len(form)
             spans, plain = candidates(changed), base_spans(changed)
-            for c in spans:
+            for c, near in zip(spans, crowd(spans)):
                 if c[0] < end and start < c[2] and not any(b[0] < c[2] and c[0] < b[2] for b in plain):
-                    yield features(changed, c, near(spans, c)), 0
+                    yield features(changed, c, near), 0
 
 
 def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,17 +351,21 @@ def spans(text: str, model: Trees) -> tuple[list[tuple[int, str, int]], list[tup
     if not model.trees:
         return base, base
     found = candidates(text)
-    free = [c for c in found if not any(s < c[2] and c[0] < e for s, _, e in base)]
-    if not free:
+    inside = Overlaps(base)
+    kept = [(c, n) for c, n in zip(found, crowd(found)) if not inside.any(c[0], c[2])]
+    if not kept:
         return base, base
-    starts = np.sort([c[0] for c in found])
-    near = [int(np.searchsorted(starts, c[0] + 60) - np.searchsorted(starts, c[0] - 60)) - 1 for c in free]
-    p = model.score(np.array([features(text, c, n) for c, n in zip(free, near)], dtype=float))
+    free = [c for c, _ in kept]
+    p = model.score(np.array([features(text, c, n) for c, n in kept], dtype=float))
     added: list[tuple[int, str, int]] = []
+    taken: list[tuple[int, int]] = []  # of `added`, in order; they do not overlap
     for i in np.argsort(-p, kind="stable"):
         c = free[i]
-        if c[1] in model.threshold and p[i] >= model.threshold[c[1]] and not any(s < c[2] and c[0] < e for s, _, e in added):
+        at = bisect_left(taken, (c[0], c[2]))
+        apart = (at == 0 or taken[at - 1][1] <= c[0]) and (at == len(taken) or taken[at][0] >= c[2])
+        if c[1] in model.threshold and p[i] >= model.threshold[c[1]] and apart:
             added.append(c)
+            taken.insert(at, (c[0], c[2]))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
