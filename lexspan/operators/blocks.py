@@ -49,6 +49,17 @@ def sound(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return (lengths == dim) & ~spoilt
 
 
+def scorable(table: pa.Table, dim: int) -> pa.Table:
+    """Rows whose `vec` can be scored; a block in which no vector has the queries' length is refused."""
+    fine = sound(table["vec"], dim)
+    if fine.all():
+        return table
+    lengths = table["vec"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    if not (lengths == dim).any():
+        raise ValueError(f"vectors have {lengths[0]} components, queries {dim}")
+    return table.filter(pa.array(fine))
+
+
 def left_to_right(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise dot products, each summed in component order."""
     out = np.empty(len(a))
@@ -93,15 +104,9 @@ class TopK:
         """
         if table.num_rows == 0 or len(self.queries.vectors) == 0:
             return
-        dim = self.queries.vectors.shape[1]
-        fine = sound(table["vec"], dim)
-        if not fine.all():
-            lengths = table["vec"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-            if not (lengths == dim).any():
-                raise ValueError(f"vectors have {lengths[0]} components, queries {dim}")
-            table = table.filter(pa.array(fine))
-            if table.num_rows == 0:
-                return
+        table = scorable(table, self.queries.vectors.shape[1])
+        if table.num_rows == 0:
+            return
         if self.queries.lists is None:
             self._add(table, np.arange(len(self.queries.vectors)))
             return
@@ -111,32 +116,35 @@ class TopK:
             if probing is not None:
                 self._add(table.filter(pa.array(ids == list_id)), probing)
 
-    def _thin(self, table: pa.Table, x: np.ndarray) -> tuple[pa.Table, np.ndarray]:
-        """Of many copies of one vector, only the first k by the tie keys can be returned."""
+    def thinned(self, table: pa.Table, x: np.ndarray) -> np.ndarray | None:
+        """Of many copies of one vector, only the first k by the tie keys can be returned: their positions."""
         if len(x) <= self.k or self.queries.exclude is not None:
-            return table, x
+            return None
         x = np.ascontiguousarray(x)
         _, code, count = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True, return_counts=True)
         if count.max() <= self.k:
-            return table, x
+            return None
         keyed = table.append_column("code", pa.array(code)).append_column("at", pa.array(np.arange(len(x))))
         keyed = keyed.select(["code", "word", "sense_key", "row", "at"]).sort_by(
             [(c, "ascending") for c in ("code", "word", "sense_key", "row")])
         if self.by_word:
             keyed = _leading(keyed, ["code", "word"], 1)
-        at = np.sort(_leading(keyed, ["code"], self.k)["at"].to_numpy())
-        return table.take(pa.array(at)), x[at]
+        return np.sort(_leading(keyed, ["code"], self.k)["at"].to_numpy())
 
     def _add(self, table: pa.Table, chosen: np.ndarray) -> None:
-        table, x = self._thin(table, matrix(table["vec"]))
+        x = matrix(table["vec"])
+        at = self.thinned(table, x)
+        if at is not None:
+            table, x = table.take(pa.array(at)), x[at]
         if x.shape[1] != self.queries.vectors.shape[1]:
             raise ValueError(f"vectors have {x.shape[1]} components, queries {self.queries.vectors.shape[1]}")
         for i in range(0, len(chosen), _QUERIES_AT_ONCE):
             self._match(table, x, chosen[i : i + _QUERIES_AT_ONCE])
 
-    def _match(self, table: pa.Table, x: np.ndarray, chosen: np.ndarray) -> None:
+    def _match(self, table: pa.Table, x: np.ndarray, chosen: np.ndarray, scores: np.ndarray | None = None) -> None:
+        """The chosen queries against rows `x`; `scores` are their products, if they are known."""
         q = self.queries.vectors[chosen]
-        scores = q @ x.T
+        scores = q @ x.T if scores is None else scores
         if self.queries.exclude is not None:
             # The excluded word must not take one of the k places.
             names = self.queries.exclude.take(pa.array(chosen)).dictionary_encode()
@@ -203,3 +211,29 @@ class TopK:
             "qid": ids, "word": self.kept["word"], "sense_key": self.kept["sense_key"],
             "row": self.kept["row"], "sim": self.kept["sim"],
         })
+
+
+def add_to_all(tops: list[TopK], table: pa.Table, flags: list[str]) -> None:
+    """Rows of a block for several searches of the same queries, each over the rows its flag marks; scored once."""
+    queries = tops[0].queries
+    if table.num_rows == 0 or len(queries.vectors) == 0:
+        return
+    table = scorable(table, queries.vectors.shape[1])
+    x = matrix(table["vec"]) if table.num_rows else np.zeros((0, queries.vectors.shape[1]))
+    parts = []
+    for top, flag in zip(tops, flags):
+        at = np.flatnonzero(table[flag].to_numpy(zero_copy_only=False))
+        mine = table.take(pa.array(at))
+        kept = top.thinned(mine, x[at]) if len(at) else None
+        parts.append((top, at, mine) if kept is None else (top, at[kept], mine.take(pa.array(kept))))
+    needed = np.unique(np.concatenate([at for _, at, _ in parts]))
+    if len(needed) == 0:
+        return
+    place = np.zeros(len(x), dtype=np.int64)
+    place[needed] = np.arange(len(needed))
+    for i in range(0, len(queries.vectors), _QUERIES_AT_ONCE):
+        chosen = np.arange(i, min(i + _QUERIES_AT_ONCE, len(queries.vectors)))
+        scores = queries.vectors[chosen] @ x[needed].T
+        for top, at, mine in parts:
+            if len(at):
+                top._match(mine, x[at], chosen, scores[:, place[at]])

@@ -9,6 +9,9 @@ from lexspan.session import freeze
 _HASH_PREFIX = 5
 _POSITION_BITS = 33
 _SKETCH = 10_000
+# Values that one bracket may order; a wider one is narrowed again, by steps of a grid.
+_WINDOW = 1_000_000
+_GRID = 256
 
 
 def number_by_hash(df: DataFrame, hashed: Column, ties: list[str], out: str = "row") -> DataFrame:
@@ -53,7 +56,8 @@ def order_statistics(
 
     `picks` maps an output name to (fraction, position), the 0-based position being an
     expression of the group size `n`. A quantile sketch with a guaranteed rank error
-    brackets each position; only values inside the bracket are counted and ordered.
+    brackets each position; a bracket that could hold many values is narrowed by further
+    sketches of its inside; only values inside the bracket are counted and ordered.
     """
     eps = 4.0 / _SKETCH
     bounds = [b for f, _ in picks.values() for b in (max(0.0, f - eps), min(1.0, f + eps))]
@@ -61,10 +65,10 @@ def order_statistics(
     named = df.filter(F.col(value).isNotNull()).select(
         F.struct(*groups, F.lit(0).alias("_")).alias(key), F.col(value).alias("_v")
     )
-    stats = named.groupBy(key).agg(
+    stats = freeze(named.groupBy(key).agg(
         F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", bounds, _SKETCH).alias("_q"),
-    )
+    ))
 
     def bracket(i: int, name: str, position: Column) -> Column:
         small = F.col("n") <= _SKETCH
@@ -74,16 +78,18 @@ def order_statistics(
             F.when(small, F.col("_max")).otherwise(F.element_at("_q", 2 * i + 2)).alias("hi"),
         )
 
-    wanted = stats.select(key, "n", F.array(
+    wanted = stats.select(key, "n", F.explode(F.array(
         *[bracket(i, name, pos) for i, (name, (_, pos)) in enumerate(picks.items())]
-    ).alias("_w"))
-    marked = named.join(wanted, key).select(key, "_v", "n", F.explode("_w").alias("w"))
-    below = F.col("_v") < F.col("w.lo")
-    inside = (F.col("_v") >= F.col("w.lo")) & (F.col("_v") <= F.col("w.hi"))
+    )).alias("w")).select(key, "n", "w.*")
+    # A bracket takes up 2 * eps of its group, and the sketch errs by eps / 4 on both sides.
+    if not stats.filter(F.col("n") > max(_SKETCH, _WINDOW / (2.5 * eps))).isEmpty():
+        wanted = _narrowed(named, wanted, key)
+    marked = named.join(wanted, key)
+    below = F.col("_v") < F.col("lo")
+    inside = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
     counted = (
         marked.filter(below | inside)
-        .groupBy(key, "n", F.col("w.pick").alias("pick"), F.col("w.position").alias("position"),
-                 F.when(inside, F.col("_v")).alias("v"))
+        .groupBy(key, "n", "pick", "position", F.when(inside, F.col("_v")).alias("v"))
         .agg(F.count("*").alias("c"))
     )
     # The null value stands for everything below the bracket and sorts first.
@@ -100,6 +106,28 @@ def order_statistics(
     return checked.select(*[F.col(f"{key}.{g}").alias(g) for g in groups], "n", *found)
 
 
+def _narrowed(named: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Brackets that hold at most _WINDOW different values each, or one value."""
+    inside = F.when((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")), F.col("_v"))
+    grid = [i / _GRID for i in range(_GRID + 1)]
+    wide = F.col("values") > _WINDOW
+    while True:
+        seen = named.join(wanted, key).groupBy(key, "pick").agg(
+            F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count(inside).alias("inside"),
+            F.approx_count_distinct(inside).alias("values"), F.percentile_approx(inside, grid, 10_000).alias("_q"))
+        # The rank error of a sketch is far below a step of the grid, so a step on both sides is safe.
+        part = (F.col("position") - F.col("below")) / F.col("inside") * _GRID
+        low = F.element_at("_q", (F.greatest(F.lit(0), F.floor(part) - 1) + 1).cast("int"))
+        high = F.element_at("_q", (F.least(F.lit(_GRID), F.ceil(part) + 1) + 1).cast("int"))
+        found = wanted.join(seen, [key, "pick"])
+        smaller = wide & ((low > F.col("lo")) | (high < F.col("hi")))
+        after = freeze(found.select(key, "n", "pick", "position", F.when(wide, low).otherwise(F.col("lo")).alias("lo"),
+                                    F.when(wide, high).otherwise(F.col("hi")).alias("hi"), smaller.alias("smaller")))
+        wanted = after.drop("smaller")
+        if after.filter("smaller").isEmpty():
+            return wanted
+
+
 def percentile_pick(p: float) -> tuple[float, Column]:
     """Position min(n - 1, floor(p / 100 * n))."""
     return p / 100, F.least(F.col("n") - 1, F.floor(F.lit(p / 100) * F.col("n")))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lexspan.functions import vectors as V
-from lexspan.operators.blocks import QueryBlock, TopK, matrix
+from lexspan.operators.blocks import QueryBlock, TopK, add_to_all, matrix
 from lexspan.session import freeze
 
 DEFAULT_K = 10
@@ -48,7 +49,7 @@ FLOOR_ROWS = 10_000_000
 SHARES = (2, 16, 64)
 
 
-def _vectors(df: DataFrame, lists: bool) -> DataFrame:
+def _vectors(df: DataFrame, lists: bool, more: list[str] | None = None) -> DataFrame:
     cols = [
         F.col("word"),
         (F.coalesce(F.col("sense_key"), F.lit("")) if "sense_key" in df.columns else F.lit("")).alias("sense_key"),
@@ -57,7 +58,7 @@ def _vectors(df: DataFrame, lists: bool) -> DataFrame:
     ]
     if lists:
         cols.append(F.col("list_id").cast("long").alias("list_id"))
-    return df.filter("vec is not null").select(*cols)
+    return df.filter("vec is not null").select(*cols, *(more or []))
 
 
 def unusable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -200,6 +201,43 @@ def _candidates(queries: DataFrame, vectors: DataFrame, k: int, by_word: bool) -
     return _by_shares(vectors, k, by_word, meet) if sends_much(QUERIES_PER_BLOCK) else meet(vectors, None)
 
 
+def runs_topk(queries: DataFrame, vectors: DataFrame, runs: dict[str, tuple[Column, bool]], k: int = DEFAULT_K) -> DataFrame:
+    """Several runs over one table in one scan: tag, qid, rank, word, sense_key, row, sim.
+
+    `runs`: by tag, which rows take part, and whether a word is scored by its nearest row. Every
+    block of vectors is read once and scored once for all runs.
+    """
+    asked = _queries(queries)
+    head = bounded_queries(asked, k)
+    tags, flags = list(runs), [f"_run{i}" for i in range(len(runs))]
+    marked = vectors.select("*", *[F.coalesce(part, F.lit(False)).alias(f) for f, (part, _) in zip(flags, runs.values())])
+    if head is None:
+        parts = [_candidates(asked, _vectors(marked.filter(f), False), k, by_word).withColumn("tag", F.lit(t))
+                 for t, f, (_, by_word) in zip(tags, flags, runs.values())]
+        found = reduce(DataFrame.unionByName, parts)
+    else:
+        by_words = [by_word for _, by_word in runs.values()]
+        schema = T.StructType([T.StructField("tag", T.StringType()), *_hit_schema(asked).fields])
+        shared = vectors.sparkSession.sparkContext.broadcast(_block(head))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops = [TopK(shared.value, k, by_word) for by_word in by_words]
+            for batch in batches:
+                add_to_all(tops, pa.Table.from_batches([batch]), flags)
+            for tag, top in zip(tags, tops):
+                out = top.result()
+                if out is not None:
+                    yield from out.add_column(0, "tag", pa.array([tag] * len(out), pa.string())).to_batches()
+
+        kept = marked.filter("vec is not null")
+        found = _vectors(kept, False, flags).mapInArrow(run, schema)
+    by_word = F.col("tag").isin([t for t, (_, w) in runs.items() if w])
+    unit = F.when(by_word, F.struct(F.col("word"), F.lit("").alias("sense_key"), F.lit(0).cast("long").alias("row"))).otherwise(F.struct("word", "sense_key", "row"))
+    best = found.groupBy("tag", "qid", unit.alias("unit")).agg(F.max("sim").alias("sim")).select("tag", "qid", "unit.*", "sim")
+    rank = F.row_number().over(W.partitionBy("tag", "qid").orderBy(*_order()))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def rank_hits(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """Keep k per query. The filter on the rank lets Spark prune before its shuffle."""
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
@@ -244,7 +282,12 @@ def synset_topk(
     `cell`: sense_key, word (the first member), vec. `members`: sense_key, member_pos, word.
     Only the first k members of a synset can be reached, so the rest never leave the scan.
     """
-    hits = exact_rows(queries, cell, k).select("qid", "rank", "sense_key", "sim")
+    return expanded(exact_rows(queries, cell, k), members, k)
+
+
+def expanded(hits: DataFrame, members: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """Synset hits as words: members in their given order, first mention kept, k words per query."""
+    hits = hits.select("qid", "rank", "sense_key", "sim")
     reachable = first_members(members, k)
     words = hits.join(reachable, "sense_key").groupBy("qid", "word").agg(
         F.min(F.struct("rank", "member_pos", "sim")).alias("first")

@@ -382,6 +382,16 @@ def g12(spark, d):
     return A.merge_accepted(rows, proposals(spark, d), "id")
 
 
+@query("g12_entries", f"""SELECT e.id, CAST(0 AS INT) AS part, CAST(u.i - 1 AS BIGINT) AS place, e.old[u.i] AS entry
+ FROM (SELECT id, {O.split_csv('acceptable_csv')} AS old FROM {{eval_core}}) e, LATERAL (SELECT unnest(range(1, len(e.old) + 1)) AS i) u
+ UNION ALL SELECT e.id, 1, p.position, p.candidate FROM (SELECT id, target, list_transform({O.split_csv('acceptable_csv')}, lambda a: lower(a)) AS low FROM {{eval_core}}) e
+ JOIN (SELECT target, arg_min(candidate, position) AS candidate, CAST(min(position) AS BIGINT) AS position FROM {{proposals}} GROUP BY target, lower(candidate)) p ON p.target = e.target
+ WHERE NOT list_contains(e.low, lower(p.candidate))""")
+def g12_entries(spark, d):
+    rows = table(spark, d, "eval_core").select("id", "target", F.col("acceptable_csv").alias("acceptable"))
+    return A.merge_entries(rows, proposals(spark, d), "id")
+
+
 @query("g12_unmatched", "SELECT DISTINCT target FROM {proposals} WHERE target NOT IN (SELECT target FROM {eval_core})")
 def g12_unmatched(spark, d):
     return A.unmatched_targets(table(spark, d, "eval_core"), proposals(spark, d))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lexspan.functions import text as X
 from lexspan.operators import cells as C, ranks as R, search as S
@@ -81,10 +81,31 @@ def run_hits(spark: SparkSession, d: str, tag: str, k: int = DEPTH, asked: DataF
 TAGS = ["lemma", "filtered", "sense", "synset"]
 
 
+def all_hits(spark: SparkSession, d: str, tags: list[str], k: int = DEPTH, asked: DataFrame | None = None) -> DataFrame:
+    """tag, qid, rank, word, sim of several runs: one scan of the words, and one of the senses."""
+    q = query_vectors(spark, d) if asked is None else asked.select("qid", "qvec")
+    parts = []
+    words = {"lemma": (F.lit(True), False), "filtered": (~X.junk(F.col("word")), False)}
+    wanted = {t: how for t, how in words.items() if t in tags}
+    if wanted:
+        parts.append(S.runs_topk(q, vectors(spark, d), wanted, k).select("tag", "qid", "rank", "word", "sim"))
+    senses = sense_cell(spark, d)
+    # The first row of a synset stands for it.
+    first = F.row_number().over(W.partitionBy("sense_key").orderBy("row")) == 1
+    wanted = {t: how for t, how in {"sense": (F.lit(True), True), "synset": (F.col("first"), False)}.items() if t in tags}
+    if wanted:
+        found = freeze(S.runs_topk(q, senses.withColumn("first", first), wanted, k))
+        parts += [found.filter(F.col("tag") == "sense").select("tag", "qid", "rank", "word", "sim")] if "sense" in wanted else []
+        if "synset" in wanted:
+            words_of = S.expanded(found.filter(F.col("tag") == "synset"), C.synset_members(senses), k)
+            parts.append(words_of.withColumn("tag", F.lit("synset")).select("tag", "qid", "rank", "word", "sim"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def results(spark: SparkSession, d: str, tags: list[str] = TAGS) -> DataFrame:
     """Every run scored in one pass over the union of their hits."""
     asked = freeze(queries(spark, d))
-    hits = reduce(DataFrame.unionByName, [run_hits(spark, d, t, asked=asked).withColumn("tag", F.lit(t)) for t in tags])
+    hits = all_hits(spark, d, tags, asked=asked)
     rows = asked.drop("qvec").withColumn("tag", F.explode(F.array(*[F.lit(t) for t in tags])))
     return R.score_hits(hits, rows, ["tag", "qid"]).drop("qid")
 

@@ -251,21 +251,25 @@ SHARED["ties"] = f"""SELECT tag, qid, source, reachable, returned, g, strict, le
  FROM (SELECT *, max(sim) OVER (PARTITION BY tag, qid) AS best FROM {{hits_all}} WHERE rank <= 10) h JOIN {{queries}} k ON k.qid = h.qid GROUP BY h.tag, h.qid, k.source, k.reachable)"""
 
 
-def _ties(spark, d, tag):
-    return B.tie_groups(P.run_hits(spark, d, tag, 10), P.queries(spark, d)).withColumn("tag", F.lit(tag))
+def _ties(spark, d):
+    """Ties of all four runs, told apart by a query key that carries the run."""
+    key = F.struct("tag", "qid")
+    hits = P.all_hits(spark, d, P.TAGS, 10).withColumn("qid", key)
+    asked = P.queries(spark, d).withColumn("tag", F.explode(F.array(*map(F.lit, P.TAGS)))).withColumn("qid", key)
+    return B.tie_groups(hits, asked).select("qid.tag", F.col("qid.qid").alias("qid"), "g", "strict", "lenient", "strict_neutral", "lenient_neutral", "tied", "saturated")
 
 
-@query("h21_tie_groups", "SELECT tag, qid, g, strict, lenient, round(strict_neutral, 9) AS strict_neutral, round(lenient_neutral, 9) AS lenient_neutral, g > 1 AS tied, g = returned AS saturated FROM {ties} WHERE tag IN ('sense', 'lemma')")
+@query("h21_tie_groups", "SELECT tag, qid, g, strict, lenient, round(strict_neutral, 9) AS strict_neutral, round(lenient_neutral, 9) AS lenient_neutral, g > 1 AS tied, g = returned AS saturated FROM {ties}")
 def h21(spark, d):
-    return _round(_ties(spark, d, "sense").unionByName(_ties(spark, d, "lemma")), "strict_neutral", "lenient_neutral")
+    return _round(_ties(spark, d), "strict_neutral", "lenient_neutral")
 
 
 @query("h22_tie_audit", f"""SELECT tag, count(*) AS n, sum(strict) AS strict, round(sum(strict_neutral), 6) AS strict_neutral, sum(lenient) AS lenient, round(sum(lenient_neutral), 6) AS lenient_neutral, count(*) FILTER (g > 1) AS tied,
  count(*) FILTER (g = returned) AS saturated, round(greatest(sum(strict) - sum(strict_neutral), sum(lenient) - sum(lenient_neutral)) / count(*), 6) AS worst,
- greatest(sum(strict) - sum(strict_neutral), sum(lenient) - sum(lenient_neutral)) / count(*) > 0.05 AS fails FROM {{ties}} WHERE tag IN ('sense', 'lemma') AND {_HEAD} GROUP BY tag""")
+ greatest(sum(strict) - sum(strict_neutral), sum(lenient) - sum(lenient_neutral)) / count(*) > 0.05 AS fails FROM {{ties}} WHERE {_HEAD} GROUP BY tag""")
 def h22(spark, d):
     head = P.queries(spark, d).filter(M.is_headline()).select("qid")
-    rows = _ties(spark, d, "sense").unionByName(_ties(spark, d, "lemma")).join(head, "qid", "left_semi")
+    rows = _ties(spark, d).join(head, "qid", "left_semi")
     return _round(B.tie_audit(rows, ["tag"]), "strict_neutral", "lenient_neutral", "worst", digits=6)
 
 

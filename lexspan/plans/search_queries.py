@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as X, vectors as V
-from lexspan.operators import cells as C, encode as E, lists as L, ranks as R, search as S
+from lexspan.operators import cells as C, encode as E, lists as L, neighbours as N, ranks as R, search as S
 from lexspan.plans import frames as P, oracle_parts as O
 from lexspan.plans.fixtures import table
 from lexspan.plans.registry import query
@@ -16,6 +16,12 @@ def _q(spark, d):
     return P.query_vectors(spark, d)
 
 
+def _mark(vec):
+    """Every component weighted by its place: any change of one shows."""
+    weighted = F.transform(vec, lambda x, i: (i + 1) * x)
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 6).alias("mark")
+
+
 _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1"
 
 
@@ -96,10 +102,13 @@ def b7(spark, d):
     return e.agg(F.round(F.max(err), 12).alias("max_component_error"), F.count("*").alias("rows"))
 
 
-@query("b8_prepare_query", f"""
-SELECT e.id AS qid, c.label, round(list_sum(list_transform(CASE WHEN c.label % 2 = 0 THEN {_cut('e.qvec', 32)} ELSE {_cut('e.qvec', 64)} END, lambda x: x * x)), 9) AS unit,
-       CASE WHEN c.label % 2 = 0 THEN 32 ELSE 64 END AS dim
-FROM {{eval_set}} e JOIN (SELECT DISTINCT label FROM {{embeddings}}) c ON c.label = e.qvec_id % 10""")
+_B8_CUT = "CAST(e.qvec AS DOUBLE[])[1:CASE WHEN c.label % 2 = 0 THEN 32 ELSE 64 END]"
+
+
+@query("b8_prepare_query", f"""SELECT qid, label, dim, round(list_sum(list_transform(range(1, dim + 1), lambda i: i * v[i] / sqrt(list_inner_product(v, v)))), 6) AS mark FROM (
+ SELECT e.id AS qid, c.label, CASE WHEN c.label % 2 = 0 THEN 32 ELSE 64 END AS dim,
+  CASE WHEN c.label % 3 = 0 THEN list_transform({_B8_CUT}, lambda x: {_half('x')}) ELSE {_B8_CUT} END AS v
+ FROM {{eval_set}} e JOIN (SELECT DISTINCT label FROM {{embeddings}}) c ON c.label = e.qvec_id % 10)""")
 def b8(spark, d):
     q = table(spark, d, "eval_set").select("id", "qvec_id", "qvec")
     meta = table(spark, d, "embeddings").select("label").distinct().select(
@@ -107,15 +116,15 @@ def b8(spark, d):
         F.when(F.col("label") % 3 == 0, "float16").otherwise("float32").alias("precision"))
     rows = q.join(meta, F.col("qvec_id") % 10 == F.col("label"))
     vec = V.prepare_query(F.col("qvec"), F.col("dim"), F.col("precision"))
-    return rows.select(F.col("id").alias("qid"), "label", F.round(V.dot(vec, vec), 9).alias("unit"), F.size(vec).alias("dim"))
+    return rows.select(F.col("id").alias("qid"), "label", F.size(vec).alias("dim"), _mark(vec))
 
 
-@query("b9_parse_literal", "SELECT vec_id, 64 AS n, CAST(true AS BOOLEAN) AS same FROM {embeddings}")
+@query("b9_parse_literal", """SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * CAST(embedding[i] AS DOUBLE))), 6) AS mark FROM {embeddings}""")
 def b9(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
     text = F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x.cast("string")), ","), F.lit("]"))
     back = V.parse_literal(text)
-    return e.select("vec_id", F.size(back).alias("n"), (back == F.col("v")).alias("same"))
+    return e.select("vec_id", F.size(back).alias("n"), _mark(back))
 
 
 @query("b10_same_vector", "SELECT sense_key, count(DISTINCT embedding) = 1 AS same FROM {senses} GROUP BY sense_key")
@@ -224,7 +233,7 @@ def c8_lexicon(spark, d):
     f"SELECT a.word AS qid, v.word, {O.dot('v.embedding', 'a.embedding')} AS sim FROM {{vocab}} a JOIN {{vocab}} v ON v.word <> a.word WHERE a.word = lower(trim(a.word))", 12) + ")")
 def c9(spark, d):
     slugs = P.vectors(spark, d).select(X.slug(F.col("word")).alias("slug")).distinct()
-    return S.neighbours(slugs, P.vectors(spark, d))
+    return N.all_neighbours(slugs, P.vectors(spark, d))
 
 
 @query("c10_similarity_to_target", f"SELECT e.id AS qid, e.target, {O.dot('e.qvec', 'v.embedding')} AS sim FROM {{eval_set}} e LEFT JOIN {{vocab}} v ON v.word = e.target")

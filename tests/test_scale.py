@@ -40,6 +40,26 @@ def test_order_statistics(spark, monkeypatch, sketch):
         assert got[g]["third"] == s[n // 3]
 
 
+def test_wide_brackets_are_narrowed_until_they_fit(spark, monkeypatch):
+    """Fifty thousand different values and a hot one, with a window of 40."""
+    monkeypatch.setattr(N, "_SKETCH", 200)
+    monkeypatch.setattr(N, "_WINDOW", 40)
+    rnd = random.Random(6)
+    data = [("a", rnd.random() ** 3) for _ in range(50_000)] + [("hot", rnd.choice([0.5, rnd.random()])) for _ in range(20_000)] + [("few", 1.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    passes = []
+    narrowed = N._narrowed
+    monkeypatch.setattr(N, "_narrowed", lambda *a: passes.append(narrowed(*a)) or passes[-1])
+    picks = {"p0": N.percentile_pick(0), "p50": N.percentile_pick(50), "p95": N.percentile_pick(95), "p100": N.percentile_pick(100)}
+    got = {r["g"]: r for r in N.order_statistics(df, ["g"], "v", picks).collect()}
+    for g in ("a", "hot", "few"):
+        s = sorted(v for h, v in data if h == g)
+        assert [got[g][f"p{p}"] for p in (0, 50, 95, 100)] == [s[min(len(s) - 1, int(p / 100 * len(s)))] for p in (0, 50, 95, 100)]
+    values = {g: sorted({v for h, v in data if h == g}) for g in ("a", "hot")}
+    for r in passes[0].select("_g.g", "lo", "hi").collect():
+        assert r["g"] == "few" or sum(r["lo"] <= v <= r["hi"] for v in values[r["g"]]) <= 50
+
+
 def test_counts_in_span(spark):
     rnd = random.Random(9)
     ev = [("hot" if i % 3 else f"k{i % 5}", rnd.randrange(0, 5000)) for i in range(1500)]

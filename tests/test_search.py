@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.operators import lists as L, search as S
+from lexspan.operators import lists as L, neighbours as N, search as S
 from tests.conftest import rows
 
 
@@ -128,6 +129,38 @@ def test_neighbours_leave_out_the_word_itself(spark):
     assert [r["word"] for r in S.neighbours(slugs, v, 2).orderBy("rank").collect()] == ["A", "b"]
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 16])
+def test_all_neighbours_equal_the_search(spark, monkeypatch, blocks):
+    """Ties, words of several rows, words that are not asked for; few and many blocks."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", -(-700 // blocks))
+    monkeypatch.setattr(N, "LEAST_ROWS", 10_000)
+    rng = np.random.default_rng(2)
+    vec = rng.normal(size=(700, 8))
+    vec[:150] = vec[0]
+    data = [(f"w{i % 640}", i, [float(x) for x in v]) for i, v in enumerate(vec)]
+    v = spark.createDataFrame(data, "word string, row long, vec array<double>")
+    slugs = spark.createDataFrame([(f"w{i}",) for i in range(0, 700, 3)], "slug string")
+    # A word of several rows is asked with all of them, so only words of one row are compared.
+    once = v.groupBy("word").count().filter("count = 1").select(F.col("word").alias("qid"))
+    got, want = N.all_neighbours(slugs, v, 5), S.neighbours(slugs, v, 5)
+    assert rows(got.join(once, "qid")) == rows(want.join(once, "qid"))
+    assert rows(got.select("qid").distinct()) == rows(want.select("qid").distinct())
+
+
+def test_each_pair_of_words_is_scored_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    n, b = 3000, 2
+    done = []
+    product = N._product
+    monkeypatch.setattr(N, "_product", lambda x, y: done.append(len(x) * len(y)) or product(x, y))
+    table = pa.table({"word": [f"w{i}" for i in range(n)], "sense_key": [""] * n, "row": list(range(n)), "vec": rng.normal(size=(n, 8)).tolist(),
+                      "asked": [True] * n, "own": [i % b for i in range(n)], "floor": [-np.inf] * n})
+    own = np.arange(n) % b
+    for pair in ([0], [1], [0, 1]):
+        N.pair_hits(table.filter(pa.array(np.isin(own, pair))), 3)
+    assert n * (n - 1) / 2 <= sum(done) <= 0.55 * n * n
+
+
 def test_synset_expansion_stops_at_k_and_keeps_first_mention(spark):
     cell = spark.createDataFrame([("s1", "a", [1.0, 0.0]), ("s2", "b", [0.9, 0.1]), ("s3", "z", [0.1, 0.9])], "sense_key string, word string, vec array<double>")
     members = spark.createDataFrame([("s1", "a", 0), ("s1", "b", 1), ("s2", "b", 0), ("s2", "c", 1), ("s2", "d", 2), ("s3", "z", 0)], "sense_key string, word string, member_pos long")
