@@ -207,31 +207,39 @@ def _edges(bounds: dict[int, int] | None):
     return run
 
 
-def _bounds(edges: list) -> dict[int, int]:
-    """The largest balance with which each partition's first user can enter it."""
-    out: dict[int, int] = {}
-    user, most = None, START_CREDITS
-    for row in sorted(edges, key=lambda r: (r["part"], r["place"])):
-        if row["user_id"] != user:
-            user, most = row["user_id"], START_CREDITS
-        if row["place"] == 0:
-            out[row["part"]] = most
-        # A reset can lift a balance, but never above BANKRUPT_CREDITS.
-        most = max(most, BANKRUPT_CREDITS) + row["gains"]
-    return out
-
-
-def _carry(edges: list) -> dict[int, tuple[int, int]]:
-    """Balance with which each partition's first user enters it, when earlier events exist."""
-    starts: dict[int, tuple[int, int]] = {}
+def _bounds(edges: DataFrame) -> dict[int, int]:
+    """The largest balance with which each partition's first user can enter it: a number per partition.
+
+    A reset can lift a balance, but never above BANKRUPT_CREDITS, which is below the start.
+    """
+    before = W.partitionBy("user_id").orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)
+    most = F.coalesce(F.sum("gains").over(before), F.lit(0)) + START_CREDITS
+    rows = edges.select("part", "place", most.alias("most")).filter("place = 0").select("part", "most").collect()
+    return {r["part"]: r["most"] for r in rows}
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Balances at the entries of partitions, from the maps of each user in turn; one map is held at a time."""
     user, balance = None, START_CREDITS
-    for row in sorted(edges, key=lambda r: (r["part"], r["place"])):
-        if row["user_id"] == user:
-            starts[row["part"]] = (user, balance)
-        else:
-            user, balance = row["user_id"], START_CREDITS
-        balance = mapped(balance, row["limits"], row["ends"], row["shift"])
-    return starts
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples():
+            if r.user_id == user:
+                rows.append((r.part, user, balance))
+            else:
+                user, balance = r.user_id, START_CREDITS
+            balance = mapped(balance, r.limits, r.ends, r.shift)
+        yield pd.DataFrame(rows, columns=["part", "user_id", "balance"])
+
+
+def _carry(edges: DataFrame) -> dict[int, tuple[int, int]]:
+    """User and balance with which a partition is entered, where earlier events exist: a number per partition.
+
+    The maps stay rows of Spark: those of a user are sorted and streamed through one task.
+    """
+    ordered = edges.repartition("user_id").sortWithinPartitions("user_id", "part", "place")
+    rows = ordered.mapInPandas(_chain, "part int, user_id long, balance long").collect()
+    return {r["part"]: (r["user_id"], r["balance"]) for r in rows}
 
 
 def settle(events: DataFrame) -> DataFrame:
@@ -240,8 +248,8 @@ def settle(events: DataFrame) -> DataFrame:
     Events are sorted by user and time over range partitions, so a busy user spans many
     partitions. One pass adds up the gains of each partition's first and last user, which
     bounds the balance it can be entered with; the next sums up what it does to balances up
-    to that bound (two rows per partition reach the driver each time); the last replays with
-    known starts.
+    to that bound, and these maps are chained user by user; the last replays with known starts.
+    Only a number per partition reaches the driver.
     """
     slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["user_id", "ts", "id", "kind"]
@@ -250,8 +258,8 @@ def settle(events: DataFrame) -> DataFrame:
         .repartitionByRange(slots, *order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
     )
-    bounds = _bounds(placed.mapInPandas(_edges(None), _EDGE).collect())
-    starts = _carry(placed.mapInPandas(_edges(bounds), _EDGE).collect())
+    bounds = _bounds(placed.mapInPandas(_edges(None), _EDGE))
+    starts = _carry(placed.mapInPandas(_edges(bounds), _EDGE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, balance = None, START_CREDITS

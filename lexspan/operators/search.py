@@ -231,10 +231,14 @@ def runs_topk(queries: DataFrame, vectors: DataFrame, runs: dict[str, tuple[Colu
 
         kept = marked.filter("vec is not null")
         found = _vectors(kept, False, flags).mapInArrow(run, schema)
+    rank = F.row_number().over(W.partitionBy("tag", "qid").orderBy(*_order()))
+    if not any(by_word for _, by_word in runs.values()):
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    # One shuffle serves the best row of each word and the ranking.
+    found = found.repartition("tag", "qid")
     by_word = F.col("tag").isin([t for t, (_, w) in runs.items() if w])
     unit = F.when(by_word, F.struct(F.col("word"), F.lit("").alias("sense_key"), F.lit(0).cast("long").alias("row"))).otherwise(F.struct("word", "sense_key", "row"))
     best = found.groupBy("tag", "qid", unit.alias("unit")).agg(F.max("sim").alias("sim")).select("tag", "qid", "unit.*", "sim")
-    rank = F.row_number().over(W.partitionBy("tag", "qid").orderBy(*_order()))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 

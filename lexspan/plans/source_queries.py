@@ -121,14 +121,20 @@ def _data_lines(spark, d):
     words = F.transform("words", lambda w: F.concat(F.replace(w, F.lit(" "), F.lit("_")), F.lit(" 0")))
     head = F.concat_ws(" ", "offset", F.lit("03"), F.lit("n"), F.lpad(F.lower(F.hex(F.size("words"))), 2, "0"), F.array_join(words, " "), F.lit("000"))
     shown = F.transform("examples", lambda e: F.concat(F.lit('; "'), e, F.lit('"')))
-    flat = F.regexp_replace("gloss", "[\n\r]", " ")
+    # The files are Latin-1.
+    flat = F.regexp_replace(F.regexp_replace("gloss", "[\n\r]", " "), r"[^\x00-\xFF]", "?")
     return s.select("pos", F.concat(head, F.lit(" | "), flat, F.array_join(shown, ""), F.lit("; after")).alias("line"))
 
 
-@query("a10_data_synsets", """SELECT s.pos, s.off AS "offset", md5(array_to_string(list_transform(string_split(trim(replace(s.gloss, chr(10), ' ')), ';'), lambda p: trim(p)), '; ') || CASE WHEN s.ex1 IS NULL AND s.ex2 IS NULL THEN '; after' ELSE '' END) AS gloss,
+@query("a10_data_synsets", """SELECT s.pos, s.off AS "offset", md5(array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(s.gloss, '[\n\r]', ' ', 'g'), '[^\\x00-\\xFF]', '?', 'g')), ';'), lambda p: trim(p)), '; ') || CASE WHEN s.ex1 IS NULL AND s.ex2 IS NULL THEN '; after' ELSE '' END) AS gloss,
  concat_ws('|', s.ex1, s.ex2) AS examples, m.words FROM {synsets} s JOIN (SELECT sense_key, string_agg(word, '|' ORDER BY member_pos) AS words FROM {senses} GROUP BY sense_key) m ON m.sense_key = concat(s.pos, ':', s.off)""")
 def a10(spark, d):
-    out = X.parse_data(_data_lines(spark, d))
+    path = scratch(spark)
+    lines = _data_lines(spark, d)
+    for pos in X.PARTS_OF_SPEECH:
+        lines.filter(F.col("pos") == pos).select("line").write.option("encoding", "ISO-8859-1").text(f"{path}/data.{pos}")
+        _index_lines(spark, d).write.option("encoding", "ISO-8859-1").text(f"{path}/index.{pos}")
+    out = X.read_lexicon(spark, path)[1]
     return out.select("pos", "offset", F.md5("gloss").alias("gloss"), F.array_join("examples", "|").alias("examples"), F.array_join("words", "|").alias("words"))
 
 

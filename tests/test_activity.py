@@ -137,6 +137,15 @@ def test_limits_count_allowed_requests_only(spark):
     assert got.filter("not allowed and message is null").count() == 0
 
 
+def test_a_million_events_of_one_user(spark):
+    """Gains and losses of equal size: the maps grow with the gains, and stay off the driver."""
+    df = spark.range(1_000_000).selectExpr(
+        "7 AS user_id", "timestamp_seconds(id) AS ts", "id", "'round' AS kind", "CAST(pmod(xxhash64(id), 81) - 40 AS bigint) AS delta")
+    got = L.settle(df).select("id", "delta", "balance", "bankrupt").toPandas().sort_values("id")
+    after, broke = L.replay(L.START_CREDITS, got["delta"].to_numpy())
+    assert (got["balance"].to_numpy() == after).all() and (got["bankrupt"].to_numpy() == broke).all() and broke.sum() > 100
+
+
 @pytest.mark.parametrize("gap", [0, 40, 400])
 def test_stretches_of_a_busy_key_decide_as_one_stream(spark, gap):
     """Quiet times of several lengths, equal instants, and two requests at the edge of the span."""

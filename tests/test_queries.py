@@ -10,9 +10,9 @@ import __spark_entry__ as entry
 from lexspan.plans.fixtures import RAW
 
 SOME = [
-    "a5_read_draft", "a10_data_synsets", "b6_round_half", "c1_exact_topk", "c2_list_topk", "c4_best_sense", "c7_synset_topk",
-    "d5_layout", "d10_texts_digest", "d12_synset_collapse", "e1_content_tokens", "e6_overlap", "e18_derived_base", "f1_category_counts",
-    "f15_joinable_pairs", "g5_violations", "g9_stratified_targets", "g12_merged", "h3_percentiles", "h4_mcnemar", "h21_tie_groups",
+    "a4_set_fingerprint", "a5_read_draft", "a10_data_synsets", "b1_encode", "b6_round_half", "b8_prepare_query", "c1_exact_topk", "c2_list_topk", "c4_best_sense", "c7_synset_topk", "c9_neighbours",
+    "d5_layout", "d10_texts_digest", "d12_synset_collapse", "d16_applied", "d17_pool_identity", "e1_content_tokens", "e6_overlap", "e18_derived_base", "f1_category_counts",
+    "f15_joinable_pairs", "g5_violations", "g9_stratified_targets", "g12_merged", "h3_percentiles", "h4_mcnemar", "h9_lenient_comparison", "h22_tie_audit",
     "i4_settled_rounds", "i5_daily_awards", "i11_decisions_tight", "i12_saved_set", "j1_stream_limits", "j3_stream_ledger", "j5_stream_pairs",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("LEXSPAN_ALL") else SOME

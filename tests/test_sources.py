@@ -102,3 +102,15 @@ def test_the_digest_of_a_written_set_follows_every_field(spark, tmp_path):
     base = digest("base")
     assert digest("same") == base
     assert len({base, *(digest(f"d{i}", **c) for i, c in enumerate(({"zipf": 2.0}, {"acceptable": ["y"]}, {"reachable": False}, {"leakage": "p"})))}) == 5
+
+
+def test_a_database_table_is_read_in_key_ranges(spark, tmp_path):
+    """Over the embedded database that comes with Spark."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.range(1000).selectExpr("id", "concat('w', id) AS word", "CAST(id % 7 AS double) AS score")
+    df.write.jdbc(url, "WORDS", properties={"createTableColumnTypes": "word VARCHAR(20)"})
+    got = T.read_jdbc(spark, url, "WORDS", "id", 0, 1000, 4)
+    assert got.rdd.getNumPartitions() == 4
+    assert rows(got) == rows(df)
+    ranged = got.filter("id >= 990").select("word")
+    assert "PushedFilters" in ranged._jdf.queryExecution().executedPlan().toString() and ranged.count() == 10
