@@ -111,7 +111,7 @@ def _index_lines(spark, d):
 @query("a9_index_lemmas", "SELECT word AS lemma FROM {vocab}")
 def a9(spark, d):
     path = scratch(spark)
-    _index_lines(spark, d).write.option("encoding", "ISO-8859-1").text(path)
+    X.write_lines(_index_lines(spark, d), path)
     return X.parse_index(X.read_lines(spark, path))
 
 
@@ -132,8 +132,8 @@ def a10(spark, d):
     path = scratch(spark)
     lines = _data_lines(spark, d)
     for pos in X.PARTS_OF_SPEECH:
-        lines.filter(F.col("pos") == pos).select("line").write.option("encoding", "ISO-8859-1").text(f"{path}/data.{pos}")
-        _index_lines(spark, d).write.option("encoding", "ISO-8859-1").text(f"{path}/index.{pos}")
+        X.write_lines(lines.filter(F.col("pos") == pos), f"{path}/data.{pos}")
+        X.write_lines(_index_lines(spark, d), f"{path}/index.{pos}")
     out = X.read_lexicon(spark, path)[1]
     return out.select("pos", "offset", F.md5("gloss").alias("gloss"), F.array_join("examples", "|").alias("examples"), F.array_join("words", "|").alias("words"))
 

@@ -18,6 +18,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_WHOLE_LINE).schema("line string").csv(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines in Latin-1; the text writer knows UTF-8 only."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "escape": ""}
+    lines.select("line").write.options(**_WHOLE_LINE, **kept).csv(path)
+
+
 def _content(lines: DataFrame) -> DataFrame:
     """Blank lines and licence lines, which start with two spaces, are no content."""
     return lines.filter((F.length("line") > 0) & ~F.startswith("line", F.lit("  ")))
