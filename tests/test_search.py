@@ -260,3 +260,18 @@ def test_wide_queries_go_by_blocks(data, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(S, "HELD_ROWS", 50)
     assert rows(S.exact_rows(q, v, 5), *COLS) == brute(out, queries, 5)
+
+
+def test_runs_of_one_table_share_a_scan(data, path):
+    """A third of all rows tie; one run has a filter, one goes by words, one has no rows."""
+    _, _, v, q = data
+    some = F.col("row") % 3 != 1
+    runs = {"all": (F.lit(True), False), "some": (some, False), "words": (F.lit(True), True), "none": (F.col("row") < 0, False)}
+    got = S.runs_topk(q, v, runs, 10)
+    want = {"all": S.exact_topk(q, v, 10), "some": S.exact_topk(q, v.filter(some), 10), "words": S.best_sense_topk(q, v, 10)}
+    for tag, plain in want.items():
+        assert rows(got.filter(F.col("tag") == tag), "qid", "rank", "word", "sim") == rows(plain, "qid", "rank", "word", "sim"), tag
+    assert got.filter("tag = 'none'").count() == 0
+    if S.BROADCAST_QUERIES > 5:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
