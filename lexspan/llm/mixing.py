@@ -1,16 +1,22 @@
 """Mixing sources to target weights by highest quotients (Sainte-Laguë).
 
-Sources are given integer numbers of equal-token blocks: each block goes to the source with
-the highest quotient target / (2 * held + 1). The sequence of awards is cut into shards, so
-every shard has an integer quota per source and any run of shards is mixed to the weights.
-Whole blocks are too coarse for small sources: one whose cap is under WHOLE_BLOCKS blocks gets
-its target to the word, as one block of its own length, and the others share what is left.
-Inside a source the documents stand in a seeded order; its blocks are consecutive words of
-that order, which starts again from the front when it has been used up. Shard after shard
-takes the next blocks of the order.
-
-Only DataFrame functions are used. Nothing is collected: the per-source and per-shard
-tables have a row per source and shard, and a hot source is numbered in hash buckets.
+Sources are given integer numbers of equal-token blocks. A block of a source covers the next
+words of its allotment, and its quotient is the target over twice the middle of these words,
+which for whole blocks is target / (2 * held + 1). The blocks with the highest quotients are
+awarded. One rule holds for all sources: a block has PARTS-th of the least target that no cap
+binds, and where the cap of a source is no multiple of it, its last block is shorter, so a
+source that is taken up to its cap is taken whole. The length follows the targets, so there
+are at most some thousand blocks per source whatever the corpus.
+
+The sequence of awards is cut into shards of equal numbers of blocks, which gives every shard
+an integer quota per source and mixes any run of shards to the weights. Inside a source the
+documents stand in a seeded order, which starts again from the front when it has been used
+up; shard after shard takes its quota of blocks as the next words of that order. A use of a
+document belongs to the shard in which it begins, so only the end of a source cuts one.
+
+Only DataFrame functions are used. Nothing is collected: targets are a table with a row per
+source, awards are numbered by a range-partitioned sort, and a hot source is numbered in hash
+buckets.
 
 Defined cases: a null text has size 0; null sources form one source, ordered last; a source
 without words has target 0; repeated rows are separate rows; an empty table gives no rows;
@@ -22,14 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lexspan.llm.common import SPACE, WORD, landed, query, table
+from lexspan.operators.scale import number_by_order
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BLOCK_WORDS = 1024
-LEAST_BLOCKS = 4096
-WHOLE_BLOCKS = 128
-SHARD_BLOCKS = 4096
+PARTS = 2048  # blocks of the least target that no cap binds
+SHARDS = 16
 _BUCKET_DIGITS = 3
 
 
@@ -42,7 +47,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per source: source, source_size, all_words, target.
+    """One row per source: source, source_size, all_words, cap, level (of one weight), target.
 
     A target is the weighted part of `share` of all words, at most `most` times the source.
     The excess goes to the others by weight until none is above: with the sources in order
@@ -60,66 +65,53 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rows = rows.withColumn("level", level).withColumn("at", F.row_number().over(order))
     free = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct("at", "level"))).over(everything)["level"]
     target = F.least(F.col("cap").cast("double"), F.coalesce(free * F.col("weight"), F.col("cap").cast("double")))
-    return rows.select("source", "source_size", "all_words", target.alias("target"))
+    return rows.select("source", "source_size", "all_words", "cap", free.alias("level"), target.alias("target"))
 
 
-def block_words(all_words: Column) -> Column:
-    """Words of a block: at most BLOCK_WORDS, and small enough for LEAST_BLOCKS blocks."""
-    return F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(all_words / LEAST_BLOCKS)))
+def seats(goals: DataFrame, share: float = SHARE) -> DataFrame:
+    """The awarded blocks: source, seat (from 1 in its source), words, place (from 0), blocks (of all sources).
 
-
-def quotas(goals: DataFrame, share: float = SHARE, most: int = MOST, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """Seats of each source at the end of each shard: shard, source, block, seats, quota.
-
-    Exact highest quotients without a row per block: the divisor total / house bounds every
-    source's seats within its part of twice the number of sources, so only quotients in that
-    window are ranked. A source has no more seats than its words allow. Goals with a column
-    `block` keep their block.
-    """
-    k = F.count("*").over(W.partitionBy())
-    rows = goals.withColumn("k", k)
-    if "block" not in goals.columns:
-        rows = rows.withColumn("block", block_words(F.col("all_words")))
-    rows = rows.withColumn("room", F.floor(most * F.col("source_size") / F.col("block")))
-    rows = rows.withColumn("blocks", F.floor(share * F.col("all_words") / F.col("block") + 0.5))
-    last = F.ceil(F.col("blocks") / shard_blocks)
-    rows = rows.filter("blocks > 0").withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), last)))
-    rows = rows.withColumn("house", F.least(F.col("blocks"), F.col("shard") * shard_blocks))
-    part = F.col("target") / (share * F.col("all_words"))
-    rows = rows.withColumn("low", F.least("room", F.greatest(F.lit(0), F.floor(part * (F.col("house") - 2 * F.col("k"))) - 2)))
-    rows = rows.withColumn("high", F.least("room", F.ceil(part * (F.col("house") + 2 * F.col("k"))) + 2))
-    shard = W.partitionBy("shard")
-    rows = rows.withColumn("open", F.col("house") - F.sum("low").over(shard))
-    seat = F.explode_outer(F.when(F.col("high") > F.col("low"), F.sequence(F.col("low") + 1, F.col("high"))))
-    asked = rows.withColumn("seat", seat)
-    quotient = F.col("target") / (2 * F.col("seat") - 1)
-    rank = F.row_number().over(shard.orderBy(F.desc_nulls_last(quotient), F.asc_nulls_last("source")))
-    won = asked.withColumn("won", (F.col("seat").isNotNull() & (rank <= F.col("open"))).cast("long"))
-    held = won.groupBy("shard", "source").agg(
-        F.first("block").alias("block"), (F.first("low") + F.sum("won")).alias("seats"))
-    earlier = F.lag("seats", 1, 0).over(W.partitionBy("source").orderBy("shard"))
-    return held.withColumn("quota", F.col("seats") - earlier)
-
-
-def owed(goals: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """source, source_size, target and the words that the mix takes of each source.
-
-    A small source gets its target, rounded to a word; the others get whole blocks by highest
-    quotients, in a house of the words that the small ones leave.
+    There are as many blocks as fill the sources that are taken up to their caps, and the
+    rest of all words for the others. A source is offered its target and a 64th more.
     """
-    rows = goals.withColumn("block", block_words(F.col("all_words")))
-    rows = rows.withColumn("small", most * F.col("source_size") < WHOLE_BLOCKS * F.col("block"))
-    rows = rows.withColumn("spared", F.sum(F.when(F.col("small"), F.col("target")).otherwise(0)).over(W.partitionBy()))
-    large = rows.filter(~F.col("small")).withColumn("all_words", F.col("all_words") - F.col("spared") / share)
-    awarded = quotas(large, share, most).groupBy(F.col("source").alias("_s")).agg(
-        (F.max("block") * F.max("seats")).alias("_awarded"))
-    words = F.when(F.col("small"), F.floor(F.col("target") + 0.5)).otherwise(F.coalesce("_awarded", F.lit(0)))
-    return rows.join(awarded, F.equal_null("source", F.col("_s")), "left").select(
-        "source", "source_size", "target", words.cast("long").alias("words"))
+    rows = goals.withColumn("block", F.greatest(F.lit(1), F.floor(F.col("level") / PARTS)))
+    rows = rows.withColumn("room", F.ceil(F.col("cap") / F.col("block")))
+    capped, everything = F.col("target") == F.col("cap"), W.partitionBy()
+    full = F.coalesce(F.sum(F.when(capped, F.col("cap"))).over(everything), F.lit(0))
+    full_room = F.coalesce(F.sum(F.when(capped, F.col("room"))).over(everything), F.lit(0))
+    rows = rows.withColumn("blocks", F.floor((share * F.col("all_words") - full) / F.col("block") + 0.5) + full_room)
+    offered = F.least(F.col("room"), F.ceil(F.col("target") * 65 / 64 / F.col("block")) + 1)
+    rows = rows.withColumn("offered", offered).filter("offered > 0")
+    asked = rows.withColumn("seat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("offered"))))
+    start, end = (F.col("seat") - 1) * F.col("block"), F.least(F.col("seat") * F.col("block"), F.col("cap"))
+    asked = asked.select("source", "seat", "blocks", (end - start).alias("words"), (-F.col("target") / (start + end)).alias("_falling"),
+                         F.col("source").isNull().alias("_last"))
+    placed = number_by_order(asked, ["_falling", "_last", "source", "seat"], "place")
+    return placed.filter("place < blocks").select("source", "seat", "words", "place", "blocks")
+
+
+def quotas(goals: DataFrame, share: float = SHARE, shards: int = SHARDS) -> DataFrame:
+    """Blocks and words of each source in each shard: shard (from 1), source, quota, words."""
+    shard = (F.floor(F.col("place") * shards / F.col("blocks")) + 1).cast("int")
+    return seats(goals, share).groupBy(shard.alias("shard"), "source").agg(F.count("*").alias("quota"), F.sum("words").alias("words"))
+
+
+def owed(goals: DataFrame, share: float = SHARE, shards: int = SHARDS) -> DataFrame:
+    """source, source_size, target, words that the mix takes, and ends: of them, those up to the end of each shard."""
+    def up_to(n: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("shard") <= n, F.col("words"))), F.lit(0))
+
+    awarded = quotas(goals, share, shards).groupBy(F.col("source").alias("_s")).agg(
+        F.sum("words").alias("words"), F.array(*[up_to(n) for n in range(1, shards + 1)]).alias("ends"))
+    return goals.join(awarded, F.equal_null("source", F.col("_s")), "left").select(
+        "source", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("words"), "ends")
 
 
 def take(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of doc_id, source, text."""
+    """doc_id, source, size, source_size, target, taken, shards of every row of doc_id, source, text.
+
+    `shards` has the shard of each use of the document.
+    """
     sized = landed(sizes(docs), "sizes")
     return taken(sized, seed)
 
@@ -130,7 +122,7 @@ def taken(sized: DataFrame, seed: int = 0, ties: tuple[str, ...] = ()) -> DataFr
     Rows of a source with equal id and size are ordered by `ties`.
     """
     plan = owed(targets(sized)).select(
-        F.col("source").alias("_source"), "source_size", "target", F.col("words").alias("_words"))
+        F.col("source").alias("_source"), "source_size", "target", F.col("words").alias("_words"), F.col("ends").alias("_ends"))
 
     # Words of the source before each row in the seeded order, by totals of hash buckets.
     code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
@@ -149,7 +141,11 @@ def taken(sized: DataFrame, seed: int = 0, ties: tuple[str, ...] = ()) -> DataFr
     begin = F.col("_base") + F.col("_local")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - begin))
     out = rows.withColumn("taken", F.when(F.col("size") > 0, passes * F.col("size") + part).otherwise(0).cast("long"))
-    return out.select(*sized.columns, "source_size", "target", "taken")
+    out = out.withColumn("_begin", begin)
+    uses = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1)
+    ended = F.transform(uses, lambda i: F.size(F.filter("_ends", lambda end: end <= i * F.col("source_size") + F.col("_begin"))) + 1)
+    shards = F.when(F.col("taken") > 0, ended).otherwise(F.array().cast("array<int>"))
+    return out.select(*sized.columns, "source_size", "target", "taken", shards.alias("shards"))
 
 
 def leading_words(text: Column, n: Column) -> Column:
@@ -158,27 +154,33 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n), "")
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, shard: str | None = None) -> DataFrame:
     """The mixed documents, with the columns of the input: a row for every use of a document.
 
+    With `shard`, a column of that name says which shard the use belongs to.
+
     A document at the cut of its source is shortened to the words that the mix takes;
     `n_chars`, where present, follows the text. Documents without words are left out.
     """
+    if shard in docs.columns:
+        raise ValueError(f"the documents have a column {shard}")
     numbered = landed(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), "numbered")
     sized = landed(numbered.select(
         "id", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"),
         word_count(F.col("row.text")).alias("size"), F.md5("row.text").alias("tie")), "sizes")
     plan = taken(sized, seed, ("tie", "id")).filter("taken > 0").select(
-        "id", F.floor(F.col("taken") / F.col("size")).cast("int").alias("full"), (F.col("taken") % F.col("size")).cast("int").alias("rest"))
+        "id", F.floor(F.col("taken") / F.col("size")).cast("int").alias("full"), (F.col("taken") % F.col("size")).cast("int").alias("rest"), "shards")
     used = numbered.join(plan, "id")
     part = F.when(F.col("rest") > 0, F.array(leading_words(F.col("row.text"), F.col("rest")))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat(F.col("row.text"), F.col("full")), part)
-    rows = used.select("row", F.explode(texts).alias("text"))
+    rows = used.select("row", F.explode(F.arrays_zip(texts.alias("text"), F.col("shards").alias("shard"))).alias("use")).select("row", "use.text", "use.shard")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return rows.select(*[(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    kept = [(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return rows.select(*kept, *([F.col("shard").alias(shard)] if shard else []))
 
 
-_SQL = r"""
+_ENDS = ", ".join(f"coalesce(sum(words) FILTER (shard <= {n}), 0)" for n in range(1, SHARDS + 1))
+_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -190,31 +192,39 @@ levels AS (
     / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level,
     row_number() OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST) AS pos
   FROM weighed WINDOW b AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+free AS (SELECT arg_min(level, pos) AS level FROM levels WHERE cap > level * weight),
 goals AS (
-  SELECT source, source_size, all_words, least(cap::DOUBLE, coalesce((SELECT arg_min(level, pos) FROM levels
-    WHERE cap > level * weight) * weight, cap::DOUBLE)) AS target FROM levels),
+  SELECT source, source_size, all_words, cap, free.level AS level,
+    least(cap::DOUBLE, coalesce(free.level * weight, cap::DOUBLE)) AS target FROM levels LEFT JOIN free ON true),
 house AS (
-  SELECT *, greatest(1, least(1024, floor(all_words / 4096)))::BIGINT AS block FROM goals),
--- Every seat of every source, ranked by its quotient.
-seats AS (
-  SELECT source, block, all_words, seat, target / (2 * seat - 1) AS quotient
-  FROM (SELECT *, unnest(range(1, (2 * source_size // block)::BIGINT + 1)) AS seat FROM house)),
+  SELECT *, greatest(1, floor(level / {PARTS}))::BIGINT AS block, ceil(cap / greatest(1, floor(level / {PARTS}))::BIGINT)::BIGINT AS room FROM goals),
+whole AS (
+  SELECT *, (floor((1.5::DOUBLE * all_words - coalesce(sum(cap) FILTER (target = cap::DOUBLE) OVER (), 0)::DOUBLE) / block + 0.5)
+    + coalesce(sum(room) FILTER (target = cap::DOUBLE) OVER (), 0))::BIGINT AS blocks FROM house),
+-- Every block that a source is offered, ranked by its quotient.
+offered AS (
+  SELECT *, least(seat * block, cap) AS last, (seat - 1) * block AS start
+  FROM (SELECT *, unnest(range(1, least(room, ceil(target * 65 / 64 / block)::BIGINT + 1) + 1)) AS seat FROM whole)),
 ranked AS (
-  SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST) AS place,
-    floor(1.5::DOUBLE * all_words / block + 0.5) AS blocks FROM seats),
-won AS (SELECT source, count(*) * any_value(block) AS words FROM ranked WHERE place <= blocks GROUP BY source),
+  SELECT *, row_number() OVER (ORDER BY target / (start + last) DESC, source NULLS LAST, seat) - 1 AS place FROM offered),
+awarded AS (SELECT source, last - start AS words, place * {SHARDS} // blocks + 1 AS shard FROM ranked WHERE place < blocks),
+won AS (SELECT source, sum(words)::BIGINT AS words, [{_ENDS}] AS ends FROM awarded GROUP BY source),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || size), size
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM sized)
-SELECT p.doc_id, p.size, h.source_size, h.target,
-  CASE WHEN p.size = 0 THEN 0 ELSE coalesce(w.words, 0) // h.source_size * p.size
-    + greatest(0, least(p.size, coalesce(w.words, 0) % h.source_size - p.begin)) END::BIGINT AS taken
-FROM placed p JOIN house h ON p.source IS NOT DISTINCT FROM h.source
-LEFT JOIN won w ON p.source IS NOT DISTINCT FROM w.source
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM sized),
+taken AS (
+  SELECT p.doc_id, p.size, h.source_size, h.target, p.begin, w.ends,
+    CASE WHEN p.size = 0 THEN 0 ELSE coalesce(w.words, 0) // h.source_size * p.size
+      + greatest(0, least(p.size, coalesce(w.words, 0) % h.source_size - p.begin)) END::BIGINT AS taken
+  FROM placed p JOIN house h ON p.source IS NOT DISTINCT FROM h.source
+  LEFT JOIN won w ON p.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN 1 + len(list_filter(ends, lambda e: e <= begin)) END::INT AS shard
+FROM taken
 """
 
 
 @query("op3_mixing", _SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes from every document."""
-    return take(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Words that the mix takes from every document, and the shard of their first use."""
+    taken_rows = take(table(spark, sf_dir, "documents"))
+    return taken_rows.select("doc_id", "size", "source_size", "target", "taken", F.get("shards", F.lit(0)).alias("shard"))

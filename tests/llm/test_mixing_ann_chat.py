@@ -11,19 +11,19 @@ from lexspan.llm.common import landed, table
 from llm_helpers import docs_of
 
 
-def plain_seats(targets, rooms, blocks):
-    """Highest quotients, one block at a time."""
-    held = dict.fromkeys(targets, 0)
-    for _ in range(blocks):
-        able = [s for s in targets if held[s] < rooms[s]]
-        if not able:
-            break
-        best = max(able, key=lambda s: (targets[s] / (2 * held[s] + 1), [-ord(c) for c in s]))
-        held[best] += 1
-    return held
-
-
-def test_targets_are_reshared_and_quotas_are_highest_quotients(spark):
+def plain_awards(targets, caps, block, blocks):
+    """The sources of the blocks with the highest quotients, one block at a time."""
+    held, order = dict.fromkeys(targets, 0), []
+    while len(order) < blocks:
+        able = [s for s in targets if held[s] < caps[s]]
+        best = max(able, key=lambda s: (targets[s] / (held[s] + min(held[s] + block, caps[s])), [-ord(c) for c in s or "~"]))
+        n = min(block, caps[best] - held[best])
+        held[best] += n
+        order.append((best, n))
+    return order
+
+
+def test_targets_are_reshared_and_quotas_are_highest_quotients(spark, monkeypatch):
     words = {"a": 1000, "b": 90_000, "c": 40_000, "d": 7}
     rows = [(i, "w " * (n // 10), "en", s) for s, n in words.items() for i in range(10)] + [(99, "w " * 7, "en", "d"), (100, None, "en", None)]
     sized = mixing.sizes(docs_of(spark, rows))
@@ -43,16 +43,37 @@ def test_targets_are_reshared_and_quotas_are_highest_quotients(spark):
         free -= over
     want |= {s: weights[s] * level for s in free}
     assert {s: pytest.approx(r.target) for s, r in goals.items()} == want
-    block = max(1, min(1024, total // 4096))
-    seats = {r.source: r.seats for r in mixing.quotas(mixing.targets(sized), shard_blocks=500).groupBy("source").agg({"seats": "max"}).withColumnRenamed("max(seats)", "seats").collect()}
-    named = {s: t for s, t in want.items() if s is not None}
-    assert {s: seats[s] for s in named} == plain_seats(named, {s: 2 * goals[s].source_size // block for s in named}, int(1.5 * total / block + 0.5))
-    shards = mixing.quotas(mixing.targets(sized), shard_blocks=500).collect()
-    per = defaultdict(int)
-    for r in shards:
-        assert r.quota >= 0
-        per[r.shard] += r.quota
-    assert all(per[s] == 500 for s in list(sorted(per))[:-1])
+    monkeypatch.setattr(mixing, "PARTS", 100)
+    level = min(want[s] / weights[s] for s in free)
+    block = int(level / 100)
+    full = [s for s in want if s not in free]
+    assert block > 100 and {"a", "d"} <= set(full)
+    blocks = sum(-(-caps[s] // block) for s in full) + int((1.5 * total - sum(caps[s] for s in full)) / block + 0.5)
+    named = {s: t for s, t in want.items() if t}
+    order = plain_awards(named, caps, block, blocks)
+    plain, words = defaultdict(int), defaultdict(int)
+    for place, (s, n) in enumerate(order):
+        plain[place * 7 // blocks + 1, s] += 1
+        words[place * 7 // blocks + 1, s] += n
+    shards = mixing.quotas(mixing.targets(sized), shards=7).collect()
+    assert {(r.shard, r.source): r.quota for r in shards} == plain
+    assert {(r.shard, r.source): r.words for r in shards} == words
+
+
+def test_shards_take_their_quotas(spark, small):
+    docs = table(spark, small, "documents")
+    quota = defaultdict(int, {(r.shard, r.source): r.words for r in mixing.quotas(mixing.targets(mixing.sizes(docs))).collect()})
+    rows = mixing.mix(docs, shard="part").select("source", "part", "text").collect()
+    assert {r.part for r in rows} == set(range(1, mixing.SHARDS + 1))
+    got, longest = defaultdict(int), defaultdict(int)
+    for r in rows:
+        n = len(r.text.split())
+        got[r.part, r.source] += n
+        longest[r.source] = max(longest[r.source], n)
+    # A use that spans the end of a shard belongs to the one in which it begins.
+    assert all(abs(got[k] - quota[k]) <= longest[k[1]] for k in got.keys() | quota.keys())
+    with pytest.raises(ValueError):
+        mixing.mix(docs, shard="text")
 
 
 def test_small_sources_get_their_targets_beside_millions_of_words(spark):
@@ -67,7 +88,7 @@ def test_small_sources_get_their_targets_beside_millions_of_words(spark):
             assert 0 <= r.taken <= 2 * r.size
             got[r.source] += r.taken
             want[r.source], whole[r.source] = r.target, r.source_size
-        small = [s for s in want if 2 * whole[s] < mixing.WHOLE_BLOCKS * 1024]
+        small = [s for s in want if 2 * whole[s] < 128 * 1024]
         assert {"b", "c", "d", "e", None} <= set(small) and all(abs(got[s] - want[s]) <= 0.5 for s in small)
         assert got["b"] == 600 and got["d"] == 6002
         assert all(abs(got[s] - want[s]) <= 1024 for s in want)
