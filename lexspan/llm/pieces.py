@@ -9,8 +9,9 @@ so decoding gives back the text exactly. With a rate of 0 this is the model's ow
 
 No piece holds a blank mark after another character, so the agenda of one word never meets
 that of the next: words of a block of texts are rows of one matrix per length class and all
-advance together, one merge per word and step. Words longer than the widest class use a
-heap with the same keys. Encoding is one scan in Arrow batches without a shuffle; the tables
+advance together, one merge per word and step. Longer runs without a blank are first cut
+where two characters stand together in no piece, which no merge can cross; what is still
+longer than the widest class uses a heap with the same keys, at a cost of n log n. Encoding is one scan in Arrow batches without a shuffle; the tables
 of the vocabulary (fixed size) are read once and travel with the task.
 
 Defined cases: null and empty texts have no ids; equal texts get equal ids; repeated rows
@@ -37,6 +38,8 @@ DROPOUT = 0.1
 SEED = 7
 _MARK = 0x2581
 _WIDTHS = (4, 8, 12, 16, 32, 64)
+_LONG = 64
+_POINTS = 0x110000
 _NONE = np.iinfo(np.int32).max
 _GOLDEN, _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _M64 = 0xFFFFFFFFFFFFFFFF
@@ -52,6 +55,7 @@ class Vocabulary:
     slots: np.ndarray  # open-addressed table of pairs: key left * size + right, or -1
     joined: np.ndarray  # id of the joint piece
     mark: int
+    together: np.ndarray  # pairs of code points next to each other in a piece, sorted
 
     @property
     def size(self) -> int:
@@ -80,7 +84,9 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
     pairs = [(ids[n[:k]] * len(names) + ids[n[k:]], i) for n, i in ids.items() for k in range(1, len(n)) if n[:k] in ids and n[k:] in ids]
     key, joined = (np.array(v, dtype=np.int64) for v in zip(*pairs))
     slots, values = _table(key, joined)
-    return Vocabulary(raw, np.array([p for p, _ in single]), np.array([i for _, i in single], np.int32), rank, byte_ids, slots, values, ids["▁"])
+    together = {ord(a) * _POINTS + ord(b) for n in ids for a, b in zip(n.replace("▁", " "), n.replace("▁", " ")[1:])}
+    return Vocabulary(raw, np.array([p for p, _ in single]), np.array([i for _, i in single], np.int32), rank, byte_ids, slots, values, ids["▁"],
+                      np.array(sorted(together), dtype=np.int64))
 
 
 def _slot(key: np.ndarray, bits: int) -> np.ndarray:
@@ -100,6 +106,14 @@ def _table(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slots, values
 
 
+def _mixed(x: int) -> int:
+    """`textkit.mix` of one number."""
+    x &= _M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M64
+    return x ^ x >> 31
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.seed = vocabulary, seed
@@ -113,6 +127,8 @@ class Encoder:
         self.flat = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
         self.ends = np.cumsum([len(p) for p in vocabulary.pieces])
         self.lengths = np.diff(self.ends, prepend=0)
+        self._pairs: dict[int, int] = {}  # the table of joint pieces and the ranks, for the heap
+        self._ranks: list[int] = []
 
     def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id of the joint piece, or -1."""
@@ -181,34 +197,53 @@ class Encoder:
         return out
 
     def _agenda(self, symbols: np.ndarray, key: int) -> np.ndarray:
-        """The agenda of one word of any length, with a heap."""
-        symbols, n = symbols.tolist(), len(symbols)
+        """The agenda of one word of any length, with a heap of rank and place."""
+        if not self._ranks:
+            used = self.v.slots >= 0
+            self._pairs, self._ranks = dict(zip(self.v.slots[used].tolist(), self.v.joined[used].tolist())), self.v.rank.tolist()
+        pairs, size, below, rank_of = self._pairs, self.v.size, int(self.below), self._ranks
+        n = len(symbols)
+        piece = self._candidates(np.full(n - 1, key, np.uint64), np.arange(n - 1), symbols[:-1], symbols[1:])
+        first = np.flatnonzero(piece >= 0)
+        heap = ((self.v.rank[piece[first]].astype(np.int64) << 32) + first).tolist()
+        heapq.heapify(heap)
+        piece, symbols = [*piece.tolist(), -1], symbols.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a < 0 or b >= n:
-                return
-            pair = np.array([symbols[a]]), np.array([symbols[b]])
-            piece = int(self._candidates(np.array([key], np.uint64), np.array([a]), *pair)[0])
-            if piece >= 0:
-                heapq.heappush(heap, (int(self.v.rank[piece]), a, b, symbols[a], symbols[b]))
-
-        for a in range(n - 1):
-            offer(a, a + 1)
         while heap:
-            _, a, b, left, right = heapq.heappop(heap)
-            if symbols[a] != left or symbols[b] != right or after[a] != b:
+            top = heapq.heappop(heap)
+            a = top & 0xFFFFFFFF
+            # What stands there now may be another pair than when it was offered.
+            if piece[a] < 0 or rank_of[piece[a]] != top >> 32:
                 continue
-            symbols[a] = int(self._join(np.array([left]), np.array([right]))[0])
-            symbols[b] = _NONE
+            b = after[a]
+            symbols[a], symbols[b] = piece[a], _NONE
+            piece[a] = piece[b] = -1
             after[a] = after[b]
             if after[a] < n:
                 before[after[a]] = a
-            offer(before[a], a)
-            offer(a, after[a])
+            for left, right in ((before[a], a), (a, after[a])):
+                if left < 0 or right >= n:
+                    continue
+                piece[left] = -1
+                if symbols[left] < 0 or symbols[right] < 0:
+                    continue
+                new = pairs.get(symbols[left] * size + symbols[right], -1)
+                if new >= 0 and not (below and _mixed(key + left * _ODD + new * _GOLDEN) >> 11 < below):
+                    piece[left] = new
+                    heapq.heappush(heap, (rank_of[new] << 32) + left)
         return np.array(symbols)
 
+    def _cut(self, start: np.ndarray, length: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The starts, with long runs cut where no piece holds both neighbours."""
+        long = np.flatnonzero(length > _LONG)
+        if len(long) == 0:
+            return start
+        n = length[long] - 1
+        at = np.repeat(start[long] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = points[at - 1] * _POINTS + points[at]
+        found = np.minimum(np.searchsorted(self.v.together, pair), len(self.v.together) - 1)
+        return np.sort(np.concatenate([start, at[self.v.together[found] != pair]]))
+
     def encode_block(self, block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and the bounds of each text in them."""
         points, bounds = tk.chars(block)
@@ -223,6 +258,7 @@ class Encoder:
         first = np.zeros(len(points), dtype=bool)
         first[bounds[:-1][filled]] = True
         start = np.flatnonzero(first | (blank & ~np.append(False, blank[:-1])))
+        start = self._cut(start, np.diff(np.append(start, len(points))), points)
         length = np.diff(np.append(start, len(points)))
         text = np.searchsorted(bounds, start, side="right") - 1
         whole = tk.span_hash(block.data, block.bounds[:-1], block.bounds[1:]) + np.uint64(self.seed)

@@ -1,6 +1,7 @@
 """Encoding against the library, against a plain agenda, and as a round trip."""
 
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -56,3 +57,20 @@ def test_equal_texts_get_equal_ids_wherever_they_stand(vocabulary):
     encoder = pieces.Encoder(vocabulary, 0.2)
     a, b, c = encoded(encoder, ["same words here", "something else", "same words here"])
     assert a == c and [a] == encoded(encoder, ["same words here"]) and b
+
+
+def test_unbroken_megabytes_take_seconds(vocabulary):
+    """Text without blanks: Latin, where most neighbours stand together in a piece, and others."""
+    rng = random.Random(3)
+    words = "theinternationaloforganisationrepresentingquicklybrownfoxes"
+    latin = "".join(words[i : i + rng.randrange(1, 9)] for i in rng.choices(range(len(words)), k=250_000))[:1_000_000]
+    texts = [latin, "".join(map(chr, rng.choices(range(0x4E00, 0x5200), k=350_000))), "w" * 1_000_000, "0" * 1_000_000, "가나다라" * 90_000]
+    encoder = pieces.Encoder(vocabulary, 0.1)
+    begun = time.monotonic()
+    for text in texts:
+        ids, = encoded(encoder, [text])
+        assert encoder.decode(pieces.np.array(ids, dtype=int)) == text
+    assert time.monotonic() - begun < 100
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    some = [t[:20_000] for t in texts]
+    assert encoded(pieces.Encoder(vocabulary, 0.0), some) == library.encode(some)
