@@ -49,8 +49,8 @@ def event_log(turns: DataFrame, delta: int = DELTA) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     copy = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
     rows = rows.withColumn("message", F.struct(F.col("turn").alias("turn"), copy.alias("copy")))
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / delta).cast("int")),
-                         lambda i: F.substring("text", i * delta + 1, F.lit(delta)))
+    # One pass over the text, whatever its length.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0))
 
     def event(kind: str, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
@@ -59,7 +59,7 @@ def event_log(turns: DataFrame, delta: int = DELTA) -> DataFrame:
     deltas = F.transform(pieces, lambda p: event("delta", p))
     draft = F.array(event("start", none), event("delta", F.substring("text", 1, delta // 2)))
     redone = F.concat(draft, F.array(event("regenerate", none)), deltas)
-    edited = F.concat(draft, F.array(event("edit", F.element_at(pieces, 1))), F.slice(deltas, F.lit(2), F.size(deltas)))
+    edited = F.concat(draft, F.array(event("edit", F.coalesce(F.get(pieces, F.lit(0)), none))), F.slice(deltas, F.lit(2), F.size(deltas)))
     log = rows.select("conv_id", "message", "role", F.posexplode(F.when(F.col("role") == "assistant", redone).otherwise(edited)).alias("seq", "e"))
     return log.select("conv_id", "message", "seq", "e.kind", F.when(F.col("e.kind") == "start", F.col("role")).alias("role"), "e.text")
 

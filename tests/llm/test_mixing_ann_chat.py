@@ -1,5 +1,6 @@
 """Mixing, nearest neighbours, chat logs and the pipeline."""
 
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -194,6 +195,15 @@ def test_control_strings_come_back(spark):
         assert not any(mark in body for mark in ("<s>", "</s>", "[INST]", "[/INST]"))
 
 
+def test_long_messages_are_read_in_linear_time(spark):
+    texts = ["a[INST]é\U0001f600\n\\" * 250_000, "x" * 3_000_000, "y" * 399, "y" * 400, "y" * 401, ""]
+    turns = spark.createDataFrame([(1, i, r, t) for i, t in enumerate(texts) for r in ("user", "assistant")], "conv_id long, turn long, role string, text string")
+    begun = time.monotonic()
+    got = {(r.message.turn, r.role): r.text for r in chat_format.fold(chat_format.event_log(turns)).collect()}
+    assert time.monotonic() - begun < 30
+    assert got == {(i, r): t for i, t in enumerate(texts) for r in ("user", "assistant")}
+
+
 def test_pipeline_equals_its_operators_one_by_one(spark, small):
     """Every stage against a plain form of it on the rows that it was given."""
     docs = table(spark, small, "documents")
