@@ -1,15 +1,19 @@
 """Quality classifier: random-indexing word vectors, pooled, and a small network.
 
-Every word has a slot (by hash) and a sparse random index vector of a few +1 and -1. The
-vector of a slot is the sum of the index vectors of the words within two places of its words,
-over all documents. A document is pooled as the mean and the spread of its words' vectors. A
+Every word has a sparse random index vector of a few +1 and -1, drawn from its hash. The
+vector of a word is the sum of the index vectors of the words within two places of it, over
+all documents. A document is pooled as the mean and the spread of its words' vectors. A
 two-layer network, trained in numpy on at most `max_rows` labelled documents outside the
 held-out fold, scores it; its logits are divided by a temperature fitted on labelled rows
 kept out of the training.
 
-Word vectors are counted over all texts: each task adds up a table of fixed size (slots x
-dimensions), the tables are added by slot, and the sum has that same size whatever the
-corpus. Training rows are pooled inside the tasks. Scoring is one scan without a shuffle.
+The most frequent words, as many as `vocabulary` allows (whole classes of frequency, so no tie
+is broken), have vectors of their own. Of rarer words, which are usually most of the different
+words but few of the occurrences, those with equal leading bits of the hash share the sum of
+their contexts in one of 2 ** TAIL_BITS rows; none is left out. Words and contexts are counted
+over all texts: tasks add up hashes and a table of fixed size, the tables are added by row, and
+the sum has that same size whatever the corpus. Training rows are pooled inside the tasks.
+Scoring is one scan without a shuffle.
 
 Defined cases: a null text has no words and pools to zeros, and is scored like any other;
 with no labelled rows of both classes every score is 0.5; labels of ids that are null or
@@ -27,83 +31,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.llm import textkit as tk
-from lexspan.llm.common import learn_fold, query, table, training_rows
+from lexspan.llm.common import landed, learn_fold, query, table, training_rows
 
-SLOT_BITS, DIMENSIONS, NONZERO, REACH = 12, 64, 4, 2
-SLOTS = 1 << SLOT_BITS
+VOCABULARY, TAIL_BITS = 1 << 17, 17
+DIMENSIONS, NONZERO, REACH = 64, 4, 2
+_FINENESS = 4  # classes of frequency per factor of two
+_HELD_WORDS = 1_000_000
+_ROWS_AT_ONCE = 16_384
 HIDDEN = 32
 MAX_ROWS = 4000
-_TEXTS_AT_ONCE = 128
 
 
-def slots(found: tk.Words) -> np.ndarray:
-    return (found.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+@dataclass(frozen=True)
+class Vectors:
+    """Unit context vectors: of the words in `head`, in order, then of the shared rows."""
 
+    head: np.ndarray  # hashes of the words with a row of their own, sorted
+    table: np.ndarray
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero components of every slot's index vector."""
-    rng = np.random.default_rng(11)
-    return rng.integers(0, DIMENSIONS, (SLOTS, NONZERO)), rng.choice([-1.0, 1.0], (SLOTS, NONZERO))
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        return rows_of(self.head, hashes)
 
 
-def _add_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of index vectors of neighbours by slot, over one task."""
-    place, sign = index_vectors()
-    total = np.zeros(SLOTS * DIMENSIONS)
-    for batch in batches:
-        for _, _, block in tk.blocks(batch["text"]):
-            found = tk.words(block)
-            slot = slots(found)
-            for away in range(1, REACH + 1):
-                near = found.text[:-away] == found.text[away:]
-                a, b = slot[:-away][near], slot[away:][near]
-                for mine, other in ((a, b), (b, a)):
-                    at = mine * DIMENSIONS
-                    for k in range(NONZERO):
-                        total += np.bincount(at + place[other, k], weights=sign[other, k], minlength=len(total))
-    rows = total.reshape(SLOTS, DIMENSIONS)
-    used = np.flatnonzero(rows.any(axis=1))
-    yield _vector_rows(used, rows[used])
-
-
-def _vector_rows(slot: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    bounds = pa.array(np.arange(len(slot) + 1) * DIMENSIONS, pa.int32())
-    return pa.record_batch({"slot": pa.array(slot, pa.int32()), "vec": pa.ListArray.from_arrays(bounds, pa.array(rows.ravel().astype(np.float64)))})
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the vectors of each slot; a task holds one table of fixed size."""
-    total = np.zeros((SLOTS, DIMENSIONS))
-    for batch in batches:
-        if batch.num_rows:
-            np.add.at(total, batch["slot"].to_numpy(), batch["vec"].flatten().to_numpy().reshape(-1, DIMENSIONS))
-    used = np.flatnonzero(total.any(axis=1))
-    yield _vector_rows(used, total[used])
+def rows_of(head: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The row of each word: its own, or the one that it shares."""
+    shared = len(head) + (hashes >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
+    if len(head) == 0:
+        return shared
+    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
+    return np.where(head[at] == hashes, at, shared)
+
+
+def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero components of each word's index vector."""
+    code = tk.mix(hashes ^ tk.number(0xA0761D6478BD642F))
+    bits = np.stack([code >> np.uint64(16 * k) for k in range(NONZERO)], axis=1).astype(np.int64)
+    return bits & (DIMENSIONS - 1), np.where(bits & 0x8000, -1, 1).astype(np.int32)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors of all slots, from every row of `text`; unseen slots are zero."""
-    schema = "slot int, vec array<double>"
-    parts = docs.select("text").mapInArrow(_add_contexts, schema)
-    rows = parts.repartition("slot").mapInArrow(_add_up, schema).toArrow()  # at most SLOTS rows
-    out = np.zeros((SLOTS, DIMENSIONS))
-    if rows.num_rows:
-        out[rows["slot"].to_numpy()] = rows["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
-    length = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return (out / np.maximum(length, 1e-12)).astype(np.float32)
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def pool(block: tk.Block, vectors: np.ndarray) -> np.ndarray:
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences by word hash, added up over as many words as a task may hold."""
+    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"word": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for _, _, block in tk.blocks(batch["text"]):
+            found, n = np.unique(tk.words(block).hash, return_counts=True)
+            keys.append(found), counts.append(n.astype(np.int64))
+            if sum(map(len, keys[1:])) > _HELD_WORDS:
+                k, c = _summed(np.concatenate(keys), np.concatenate(counts))
+                if len(k) > _HELD_WORDS:
+                    yield rows(k, c)
+                    k, c = k[:0], c[:0]
+                keys, counts = [k], [c]
+    yield rows(*_summed(np.concatenate(keys), np.concatenate(counts)))
+
+
+def frequent_words(docs: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
+    """Sorted hashes of the most frequent words, at most `vocabulary`, in whole classes of frequency."""
+    counts = docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    classed = landed(counts.select("word", F.floor(F.log2("n") * _FINENESS).cast("int").alias("frequency")), "words")
+    # One row per class: there are 63 x _FINENESS at most.
+    sizes = sorted(((r.frequency, r["count"]) for r in classed.groupBy("frequency").count().collect()), reverse=True)
+    least, total = None, 0
+    for frequency, size in sizes:
+        total += size
+        if total > vocabulary:
+            break
+        least = frequency
+    if least is None:
+        return np.zeros(0, np.uint64)
+    words = classed.filter(F.col("frequency") >= least).select("word").toArrow()  # at most `vocabulary` rows
+    return np.sort(words["word"].to_numpy().view(np.uint64))
+
+
+def _vector_rows(table: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The rows of a table that are not zero, in batches."""
+    used = np.flatnonzero(table.any(axis=1))
+    for i in range(0, len(used), _ROWS_AT_ONCE):
+        some = used[i : i + _ROWS_AT_ONCE]
+        bounds = pa.array(np.arange(len(some) + 1) * DIMENSIONS, pa.int32())
+        yield pa.record_batch({"row": pa.array(some, pa.int32()), "vec": pa.ListArray.from_arrays(bounds, pa.array(table[some].ravel(), kind))})
+
+
+def _context_adder(head: np.ndarray) -> Callable:
+    def add_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of index vectors of neighbours by row, over one task."""
+        total = np.zeros((len(head) + (1 << TAIL_BITS)) * DIMENSIONS, dtype=np.int32)
+        for batch in batches:
+            for _, _, block in tk.blocks(batch["text"]):
+                found = tk.words(block)
+                start = rows_of(head, found.hash) * DIMENSIONS
+                place, sign = index_vectors(found.hash)
+                for away in range(1, REACH + 1):
+                    near = np.flatnonzero(found.text[:-away] == found.text[away:])
+                    for mine, other in ((near, near + away), (near + away, near)):
+                        for k in range(NONZERO):
+                            np.add.at(total, start[mine] + place[other, k], sign[other, k])
+        yield from _vector_rows(total.reshape(-1, DIMENSIONS), pa.int32())
+
+    return add_contexts
+
+
+def _adder_up(rows: int) -> Callable:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add the vectors of each row and scale them to unit length; a task holds one table of fixed size."""
+        total = np.zeros(rows * DIMENSIONS, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                at = batch["row"].to_numpy().astype(np.int64)[:, None] * DIMENSIONS + np.arange(DIMENSIONS)
+                np.add.at(total, at.ravel(), batch["vec"].flatten().to_numpy().astype(np.int64))
+        total = total.reshape(rows, DIMENSIONS)
+        used = np.flatnonzero(total.any(axis=1))
+        unit = np.zeros((rows, DIMENSIONS), dtype=np.float32)
+        some = total[used].astype(np.float64)
+        unit[used] = some / np.sqrt((some**2).sum(axis=1, keepdims=True))
+        yield from _vector_rows(unit, pa.float32())
+
+    return add_up
+
+
+def word_vectors(docs: DataFrame, vocabulary: int = VOCABULARY) -> Vectors:
+    """Unit context vectors from every row of `text`; rows without a context are zero."""
+    head = frequent_words(docs, vocabulary)
+    rows = len(head) + (1 << TAIL_BITS)
+    parts = docs.select("text").mapInArrow(_context_adder(head), "row int, vec array<int>")
+    found = parts.repartition("row").mapInArrow(_adder_up(rows), "row int, vec array<float>").toArrow()  # at most `rows` rows
+    out = np.zeros((rows, DIMENSIONS), dtype=np.float32)
+    if found.num_rows:
+        out[found["row"].to_numpy()] = found["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
+    return Vectors(head, out)
+
+
+def pool(block: tk.Block, vectors: Vectors) -> np.ndarray:
     """Mean and standard deviation of the word vectors of each text."""
     found = tk.words(block)
-    key = found.text * SLOTS + slots(found)
-    both = np.concatenate([vectors, vectors**2], axis=1)
-    out = np.zeros((block.texts, 2 * DIMENSIONS), dtype=np.float64)
-    for i in range(0, block.texts, _TEXTS_AT_ONCE):
-        j = min(i + _TEXTS_AT_ONCE, block.texts)
-        mine = key[found.first[i] : found.first[j]] - i * SLOTS
-        counts = np.bincount(mine, minlength=(j - i) * SLOTS).reshape(j - i, SLOTS)
-        out[i:j] = counts.astype(np.float32) @ both
+    row = vectors.rows(found.hash)
+    out = np.zeros((block.texts, 2 * DIMENSIONS))
+    for i in range(0, len(row), _ROWS_AT_ONCE):
+        x = vectors.table[row[i : i + _ROWS_AT_ONCE]].astype(np.float64)
+        text = found.text[i : i + _ROWS_AT_ONCE]
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        out[text[first], :DIMENSIONS] += np.add.reduceat(x, first, axis=0)
+        out[text[first], DIMENSIONS:] += np.add.reduceat(x**2, first, axis=0)
     out /= np.maximum(np.diff(found.first), 1)[:, None]
     mean = out[:, :DIMENSIONS]
     out[:, DIMENSIONS:] = np.sqrt(np.maximum(out[:, DIMENSIONS:] - mean**2, 0))
@@ -112,7 +190,7 @@ def pool(block: tk.Block, vectors: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Network:
-    vectors: np.ndarray
+    vectors: Vectors
     centre: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -133,7 +211,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(vectors: np.ndarray, pooled: np.ndarray, label: np.ndarray, calibrates: np.ndarray, rounds: int = 400) -> Network:
+def train(vectors: Vectors, pooled: np.ndarray, label: np.ndarray, calibrates: np.ndarray, rounds: int = 400) -> Network:
     """Adam on the whole batch with both classes weighing the same, then the temperature."""
     rng = np.random.default_rng(3)
     inputs = 2 * DIMENSIONS
@@ -165,7 +243,7 @@ def train(vectors: np.ndarray, pooled: np.ndarray, label: np.ndarray, calibrates
     return Network(vectors, centre, scale, p[0], p[1], p[2], float(p[3][0]), float(grid[int(np.argmin(loss))]))
 
 
-def _pooler(vectors: np.ndarray) -> Callable:
+def _pooler(vectors: Vectors) -> Callable:
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, block in tk.blocks(batch["text"]):

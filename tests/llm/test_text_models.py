@@ -69,20 +69,49 @@ def test_network_on_held_out_rows(spark, marked):
     assert len(mine) > 50 and np.mean(mine) > 0.95
 
 
-def test_word_vectors_equal_a_plain_sum(spark):
-    texts = ["a b c a", "b b d", None, "e"]
-    found = quality_network.word_vectors(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
-    place, sign = quality_network.index_vectors()
-    total = np.zeros((quality_network.SLOTS, quality_network.DIMENSIONS))
+@pytest.mark.parametrize("vocabulary, own", [(1000, 5), (4, 2), (0, 0)])
+def test_word_vectors_equal_a_plain_sum(spark, vocabulary, own):
+    texts = ["a b c a", "b b d", None, "e", "a"]
+    found = quality_network.word_vectors(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)]), vocabulary)
+    assert len(found.head) == own  # a and b occur three times, the others once
+    total = np.zeros(found.table.shape)
     for text in texts:
-        block = next(tk.blocks(pa.array([text])))[2]
-        slot = quality_network.slots(tk.words(block))
-        for i in range(len(slot)):
-            for j in range(max(0, i - 2), min(len(slot), i + 3)):
+        hashes = tk.words(next(tk.blocks(pa.array([text])))[2]).hash
+        row, (place, sign) = found.rows(hashes), quality_network.index_vectors(hashes)
+        for i in range(len(row)):
+            for j in range(max(0, i - 2), min(len(row), i + 3)):
                 if i != j:
-                    np.add.at(total[slot[i]], place[slot[j]], sign[slot[j]])
+                    np.add.at(total[row[i]], place[j], sign[j])
     total /= np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-12)
-    assert np.allclose(found, total, atol=1e-6)
+    assert np.allclose(found.table, total, atol=1e-6)
+
+
+def test_words_are_counted_whole_in_bounded_steps(spark, small, monkeypatch):
+    docs = table(spark, small, "documents")
+    count = Counter(w for r in docs.collect() for w in WORD.findall(r.text or ""))
+    monkeypatch.setattr(quality_network, "_HELD_WORDS", 50)
+    batches = [pa.record_batch({"text": pa.array([r.text for r in docs.collect()] * 2, pa.string())})] * 2
+    parts = [b.to_pydict() for b in quality_network._count_words(iter(batches))]
+    assert sum(n for b in parts for n in b["n"]) == 4 * sum(count.values()) and len(parts) > 1
+    assert len({w for b in parts for w in b["word"]}) == len(count)
+    # Whole classes of frequency, the most frequent first.
+    classes = Counter(int(np.floor(np.log2(n) * 4)) for n in count.values())
+    least = [c for c in sorted(classes, reverse=True) if sum(m for d, m in classes.items() if d >= c) <= 500][-1]
+    assert len(quality_network.frequent_words(docs, 500)) == sum(m for d, m in classes.items() if d >= least)
+
+
+def test_pooling_long_and_short_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = quality_network.Vectors(np.zeros(0, np.uint64), rng.normal(size=(1 << quality_network.TAIL_BITS, 64)).astype(np.float32))
+    texts = ["", "one", "a b " * 3000, None, "c d e"]
+    block = next(tk.blocks(pa.array(texts)))[2]
+    whole = quality_network.pool(block, vectors)
+    monkeypatch.setattr(quality_network, "_ROWS_AT_ONCE", 7)
+    assert np.allclose(whole, quality_network.pool(block, vectors))
+    for text, got in zip(texts, whole):
+        x = vectors.table[vectors.rows(tk.words(next(tk.blocks(pa.array([text])))[2]).hash)].astype(float)
+        want = np.concatenate([x.mean(axis=0), x.std(axis=0)]) if len(x) else np.zeros(128)
+        assert np.allclose(got, want)
 
 
 def plain_ngrams(text):
