@@ -12,11 +12,13 @@ costs little more than one point per shingle.
 Signatures are cut into bands. Equal texts are one node. In every bucket of a band each node
 is first paired with the bucket's pivot, a linear number of pairs; pairs that the signatures
 do not rule out are checked exactly on the whole bags. Links make components. Buckets that
-still hold several components are compared block against block across components: texts
+still hold several components are compared block against block across components, the largest
+one with the others only: texts
 that have a close signature in another component are brought together by block and compared
 exactly, and only links that join components are written. So no bucket is capped, no pair is
-written that is not a link, and a hot group of copies around one text costs linear work. (A
-group of texts that are all close but not similar enough has to be compared in full.)
+written that is not a link, and a hot group of copies around one text, or one with some
+strays in its buckets, costs linear work, with what belongs to a pivot repeated for every
+part of its pairs, so that they spread over tasks. (A group of texts that are all close but not similar enough has to be compared in full.)
 
 Defined cases: a null text equals an empty one; texts without words are only alike if equal;
 texts of one to four words are one shingle; repeated rows are copies; a class is named by the
@@ -42,7 +44,7 @@ REGISTERS = BANDS * ROWS
 # Signatures estimate with a deviation of 0.032 at 0.8; a pair this far below is ruled out.
 FLOOR = SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 BLOCK_NODES = 1024
-NARROW = 16  # rows of keys and numbers against rows of texts
+PAIRS_AT_ONCE, LABELS_AT_ONCE = 64, 1024  # pairs with whole texts, or with labels, that a pivot sends to one place
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -167,7 +169,7 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
         close = pa.array((a == b).mean(axis=1) >= FLOOR)
-        yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(close)
+        yield pa.record_batch({"a": batch["a"], "b": batch["b"], "n": batch["n"]}).filter(close)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, m, b in tk.blocks(batch["text_b"].slice(i, j - i)):
                 part = tk.Block(a.data[a.bounds[k] : a.bounds[m]], a.bounds[k : m + 1] - a.bounds[k])
                 alike = similarity(part, b)
-                rows = pa.record_batch({"a": batch["a"], "b": batch["b"]}).slice(i + k, m - k)
+                rows = pa.record_batch({"a": batch["a"], "b": batch["b"], "n": batch["n"]}).slice(i + k, m - k)
                 yield rows.append_column("similarity", pa.array(alike)).filter(pa.array(alike >= SIMILAR))
 
 
@@ -185,26 +187,39 @@ def texts_of(keys: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = keys.join(nodes.select("key", "doc_id"), "key")
     found = rows.withColumnRenamed("key", "k").withColumnRenamed("doc_id", "d").join(
         wanted, (F.col("k") == F.col("key")) & F.equal_null("d", F.col("doc_id")))
-    return landed(found.select("key", "text").dropDuplicates(["key"]), "texts", 4)
+    return landed(found.select("key", "text").dropDuplicates(["key"]), "texts")
+
+
+def _salted(pairs: DataFrame, at_once: int) -> DataFrame:
+    """The pairs with a part of `b`: about `at_once` of the at most `n` pairs of a hot `b` have the same."""
+    return pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / at_once)))
+
+
+def _parts(salted: DataFrame, values: DataFrame) -> DataFrame:
+    """b, part and the values of `b` (rows key and others), once for every part of it."""
+    wanted = salted.select("b", "part").distinct()
+    return wanted.join(values.withColumnRenamed("key", "b"), "b")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs a, b of text keys whose bags have a similarity of SIMILAR or more.
+    """Pairs a, b of text keys, and their n, whose bags have a similarity of SIMILAR or more.
 
-    `nodes` has key, doc_id, sig; `rows` has key, doc_id, text.
+    `pairs` is written and has a, b and a bound n on the pairs of `b`; `nodes` has key, doc_id,
+    sig; `rows` has key, doc_id, text. What belongs to a hot `b` is repeated for its parts.
     """
     sig = nodes.select("key", "sig")
+    salted = _salted(pairs, PAIRS_AT_ONCE)
     close = (
-        pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate, "a binary, b binary")
+        salted.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(_parts(salted, sig.withColumnRenamed("sig", "sig_b")), ["b", "part"])
+        .select("a", "b", "n", "sig_a", "sig_b").mapInArrow(_estimate, "a binary, b binary, n long")
     )
-    close = landed(close, "close", NARROW)
+    close = _salted(landed(close, "close"), PAIRS_AT_ONCE)
     texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, rows)
     return (
         close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary, similarity double")
+        .join(_parts(close, texts.withColumnRenamed("text", "text_b")), ["b", "part"])
+        .select("a", "b", "n", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary, n long, similarity double")
     )
 
 
@@ -212,17 +227,22 @@ def components(links: DataFrame) -> DataFrame:
     """key, top: the smallest key of the component of every linked key.
 
     Each round takes the smallest neighbouring label and then the label's own label; labels
-    are written, so no round repeats the ones before.
+    are written, so no round repeats the ones before. A key with many links, and a label of
+    many keys, are joined in parts.
     """
-    ends = landed(links.select("a", "b").union(links.select("b", "a")), "ends", NARROW)
-    labels = landed(ends.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("top")), "labels", NARROW)
+    ends = landed(_salted(links.select("a", "b", "n").union(links.select("b", "a", "n")), LABELS_AT_ONCE).drop("n"), "ends")
+    parts = landed(ends.select("b", "part").distinct(), "parts")
+    labels = landed(ends.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("top")), "labels")
     while True:
-        near = ends.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("top").alias("near"))
+        seen = parts.join(labels.withColumnRenamed("key", "b"), "b")
+        near = ends.join(seen, ["b", "part"]).groupBy(F.col("a").alias("key")).agg(F.min("top").alias("near"))
         lower = labels.join(near, "key").select("key", F.col("top").alias("was"), F.least("top", "near").alias("top"))
-        up = labels.select(F.col("key").alias("k"), F.col("top").alias("over"))
-        jumped = lower.join(up, F.col("top") == F.col("k"), "left").select(
+        lower = landed(lower.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(BANDS))), "lower")
+        up = labels.select(F.col("key").alias("top"), F.col("top").alias("over"))
+        over = lower.select("top", "part").distinct().join(up, "top")
+        jumped = lower.join(over, ["top", "part"], "left").select(
             "key", "was", F.least("top", F.coalesce("over", F.col("top"))).alias("top"))
-        moved = landed(jumped, "labels", NARROW)
+        moved = landed(jumped, "labels")
         labels = moved.select("key", "top")
         if moved.filter("top <> was").isEmpty():
             return labels
@@ -304,15 +324,22 @@ def _residual(members: DataFrame, labels: DataFrame, nodes: DataFrame, rows: Dat
     Blocks of signatures say which nodes have a pair to check; only their texts are brought
     together, and no pair is written that is not a link.
     """
-    marked = members.filter("n > 2").join(labels, "key", "left").withColumn("top", F.coalesce("top", "key"))
-    mixed = marked.groupBy("h").agg(F.min("top").alias("least"), F.max("top").alias("most")).filter("least <> most").select("h")
-    held = marked.join(mixed, "h").join(nodes.select("key", "sig", "bands"), "key")
-    chunks = F.ceil(F.col("n") / BLOCK_NODES)
-    held = held.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    marked = landed(members.filter("n > 2").join(labels, "key", "left").withColumn("top", F.coalesce("top", "key")), "marked")
+    sizes = marked.groupBy("h", "top").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    # The largest component of a bucket meets the others, never itself.
+    mixed = sizes.groupBy("h").agg(F.max(F.struct("c", "top")).alias("main"), F.max("n").alias("n"), F.count("*").alias("tops")).filter("tops > 1")
+    mixed = mixed.select("h", F.col("main.top").alias("main"), F.ceil(F.col("main.c") / BLOCK_NODES).alias("own"),
+                         F.ceil((F.col("n") - F.col("main.c")) / BLOCK_NODES).alias("rest"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / LABELS_AT_ONCE) - 1)).alias("part"))
+    held = marked.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / LABELS_AT_ONCE))).join(mixed, ["h", "part"])
+    held = held.join(nodes.select("key", "sig", "bands"), "key")
+    # Chunks of the main component are numbered first.
+    is_main, code, every = F.col("top") == F.col("main"), F.xxhash64("key", F.lit(1)), F.col("own") + F.col("rest")
+    held = held.withColumn("chunk", F.when(is_main, F.pmod(code, "own")).otherwise(F.col("own") + F.pmod(code, "rest")))
+    other = F.explode(F.sequence(F.when(is_main, F.col("own")).otherwise(0), every - 1))
     held = held.withColumn("other", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     held = held.select("h", "i", "j", "chunk", "key", "top", "sig", "bands")
-    asked = landed(held.groupBy("h", "i", "j").applyInArrow(_involved, held.schema), "asked", 4)
+    asked = landed(held.groupBy("h", "i", "j").applyInArrow(_involved, held.schema), "asked")
     texts = texts_of(asked.select("key").distinct(), nodes, rows)
     return asked.join(texts, "key").groupBy("h", "i", "j").applyInArrow(_linked, "a binary, b binary, similarity double")
 
@@ -322,19 +349,20 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     signed = landed(rows.mapInArrow(_sign, "doc_id long, key binary, bands array<long>, sig binary"), "signed")
     nodes = landed(signed.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes", 4)
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     banded = nodes.select("key", F.explode("bands").alias("h"))
     pivots = banded.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = landed(banded.join(pivots, "h"), "members", 4)
-    starred = members.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    members = landed(banded.join(pivots, "h"), "members")
+    pairs = members.filter("key <> pivot").groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n"))
+    starred = landed(pairs, "starred")
     links = landed(confirmed(starred, nodes, rows), "links")
     labels = components(links)
     more = landed(_residual(members, labels, nodes, rows), "links")
     if not more.isEmpty():
-        links = links.union(more)
+        links = links.union(more.select("a", "b", F.lit(1).cast("long").alias("n"), "similarity"))
         labels = components(links)
     classed = nodes.select("key", "doc_id", "copies").join(labels, "key", "left").withColumn("top", F.coalesce("top", "key"))
-    classed = landed(classed, "classed", NARROW)
+    classed = landed(classed, "classed")
     per = classed.groupBy("top").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     named = classed.join(per, "top").join(degree, "key", "left").select(
@@ -357,7 +385,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     _, named = _analysed(docs)
     # Of a class: its smallest id, and of several texts with that id the smallest key.
     best = named.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("b"))
-    stays = landed(named.join(best, "class_key").filter(F.col("key") == F.col("b.key")).select("key", F.col("doc_id").alias("id"), "copies"), "stays", NARROW)
+    stays = landed(named.join(best, "class_key").filter(F.col("key") == F.col("b.key")).select("key", F.col("doc_id").alias("id"), "copies"), "stays")
     packed = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("k"))
     kept = packed.join(stays, (F.col("k") == F.col("key")) & F.equal_null(F.col("row.doc_id").cast("long"), F.col("id")))
     # Only a text with copies can still have several rows here.

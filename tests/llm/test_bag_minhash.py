@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexspan.llm import bag_minhash, textkit as tk
 from lexspan.llm.common import table
@@ -53,8 +54,12 @@ def test_classes_equal_all_pairs(spark, small):
     assert classes_of(spark, texts) == groups_of(texts)
 
 
-def test_hot_group_around_the_threshold(spark, monkeypatch):
-    """Many changed copies of one text: some linked by a chain, some not at all."""
+@pytest.mark.parametrize("at_once", [None, 8])
+def test_hot_group_around_the_threshold(spark, monkeypatch, at_once):
+    """Many changed copies of one text: some linked by a chain, some not at all; also in small parts."""
+    if at_once:
+        for name in ("BLOCK_NODES", "PAIRS_AT_ONCE", "LABELS_AT_ONCE"):
+            monkeypatch.setattr(bag_minhash, name, at_once)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(120)]
     texts = []
