@@ -28,6 +28,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexspan.llm import textkit as tk
@@ -35,6 +37,7 @@ from lexspan.llm.common import landed, learn_fold, query, table, training_rows
 
 VOCABULARY, TAIL_BITS = 1 << 17, 17
 DIMENSIONS, NONZERO, REACH = 64, 4, 2
+UNIT = 32767
 _FINENESS = 4  # classes of frequency per factor of two
 _HELD_WORDS = 1_000_000
 _ROWS_AT_ONCE = 16_384
@@ -47,7 +50,7 @@ class Vectors:
     """Unit context vectors: of the words in `head`, in order, then of the shared rows."""
 
     head: np.ndarray  # hashes of the words with a row of their own, sorted
-    table: np.ndarray
+    table: np.ndarray  # whole numbers, UNIT for 1
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         return rows_of(self.head, hashes)
@@ -113,13 +116,27 @@ def frequent_words(docs: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
     return np.sort(words["word"].to_numpy().view(np.uint64))
 
 
-def _vector_rows(table: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The rows of a table that are not zero, in batches."""
-    used = np.flatnonzero(table.any(axis=1))
-    for i in range(0, len(used), _ROWS_AT_ONCE):
-        some = used[i : i + _ROWS_AT_ONCE]
-        bounds = pa.array(np.arange(len(some) + 1) * DIMENSIONS, pa.int32())
-        yield pa.record_batch({"row": pa.array(some, pa.int32()), "vec": pa.ListArray.from_arrays(bounds, pa.array(table[some].ravel(), kind))})
+def _packed(table: np.ndarray) -> list[bytes]:
+    """The rows of whole numbers in 4, 8 or 32 bits a number, as they need."""
+    most = np.abs(table).max(axis=1, initial=0)
+    four = (table + 8).astype(np.uint8)
+    narrow = [(four[:, ::2] | four[:, 1::2] << 4), table.astype(np.int8), table.astype(np.int32)]
+    kind = np.where(most <= 7, 0, np.where(most <= 127, 1, 2))
+    return [narrow[k][i].tobytes() for i, k in enumerate(kind.tolist())]
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    out = np.zeros((len(column), DIMENSIONS), dtype=np.int64)
+    lengths = np.array(pc.binary_length(column))
+    for length in np.unique(lengths):
+        raw = b"".join(column.filter(pa.array(lengths == length)).to_pylist())
+        if length == DIMENSIONS // 2:
+            pairs = np.frombuffer(raw, np.uint8).reshape(-1, DIMENSIONS // 2)
+            rows = np.stack([pairs & 15, pairs >> 4], axis=2).reshape(-1, DIMENSIONS).astype(np.int64) - 8
+        else:
+            rows = np.frombuffer(raw, np.int8 if length == DIMENSIONS else np.int32).reshape(-1, DIMENSIONS)
+        out[lengths == length] = rows
+    return out
 
 
 def _context_adder(head: np.ndarray) -> Callable:
@@ -136,7 +153,11 @@ def _context_adder(head: np.ndarray) -> Callable:
                     for mine, other in ((near, near + away), (near + away, near)):
                         for k in range(NONZERO):
                             np.add.at(total, start[mine] + place[other, k], sign[other, k])
-        yield from _vector_rows(total.reshape(-1, DIMENSIONS), pa.int32())
+        total = total.reshape(-1, DIMENSIONS)
+        used = np.flatnonzero(total.any(axis=1))
+        for i in range(0, len(used), _ROWS_AT_ONCE):
+            some = used[i : i + _ROWS_AT_ONCE]
+            yield pa.record_batch({"row": pa.array(some, pa.int32()), "vec": pa.array(_packed(total[some]), pa.binary())})
 
     return add_contexts
 
@@ -148,13 +169,15 @@ def _adder_up(rows: int) -> Callable:
         for batch in batches:
             if batch.num_rows:
                 at = batch["row"].to_numpy().astype(np.int64)[:, None] * DIMENSIONS + np.arange(DIMENSIONS)
-                np.add.at(total, at.ravel(), batch["vec"].flatten().to_numpy().astype(np.int64))
+                np.add.at(total, at.ravel(), _unpacked(batch["vec"]).ravel())
         total = total.reshape(rows, DIMENSIONS)
         used = np.flatnonzero(total.any(axis=1))
-        unit = np.zeros((rows, DIMENSIONS), dtype=np.float32)
-        some = total[used].astype(np.float64)
-        unit[used] = some / np.sqrt((some**2).sum(axis=1, keepdims=True))
-        yield from _vector_rows(unit, pa.float32())
+        for i in range(0, len(used), _ROWS_AT_ONCE):
+            some = used[i : i + _ROWS_AT_ONCE]
+            x = total[some].astype(np.float64)
+            unit = np.rint(x / np.sqrt((x**2).sum(axis=1, keepdims=True)) * UNIT).astype(np.int16)
+            bounds = pa.array(np.arange(len(some) + 1) * DIMENSIONS, pa.int32())
+            yield pa.record_batch({"row": pa.array(some, pa.int32()), "vec": pa.ListArray.from_arrays(bounds, pa.array(unit.ravel()))})
 
     return add_up
 
@@ -163,9 +186,9 @@ def word_vectors(docs: DataFrame, vocabulary: int = VOCABULARY) -> Vectors:
     """Unit context vectors from every row of `text`; rows without a context are zero."""
     head = frequent_words(docs, vocabulary)
     rows = len(head) + (1 << TAIL_BITS)
-    parts = docs.select("text").mapInArrow(_context_adder(head), "row int, vec array<int>")
-    found = parts.repartition("row").mapInArrow(_adder_up(rows), "row int, vec array<float>").toArrow()  # at most `rows` rows
-    out = np.zeros((rows, DIMENSIONS), dtype=np.float32)
+    parts = docs.select("text").mapInArrow(_context_adder(head), "row int, vec binary")
+    found = parts.repartition("row").mapInArrow(_adder_up(rows), "row int, vec array<smallint>").toArrow()  # at most `rows` rows
+    out = np.zeros((rows, DIMENSIONS), dtype=np.int16)
     if found.num_rows:
         out[found["row"].to_numpy()] = found["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
     return Vectors(head, out)
@@ -177,7 +200,7 @@ def pool(block: tk.Block, vectors: Vectors) -> np.ndarray:
     row = vectors.rows(found.hash)
     out = np.zeros((block.texts, 2 * DIMENSIONS))
     for i in range(0, len(row), _ROWS_AT_ONCE):
-        x = vectors.table[row[i : i + _ROWS_AT_ONCE]].astype(np.float64)
+        x = vectors.table[row[i : i + _ROWS_AT_ONCE]] / UNIT
         text = found.text[i : i + _ROWS_AT_ONCE]
         first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         out[text[first], :DIMENSIONS] += np.add.reduceat(x, first, axis=0)
@@ -190,7 +213,7 @@ def pool(block: tk.Block, vectors: Vectors) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Network:
-    vectors: Vectors
+    vectors: Broadcast
     centre: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -211,7 +234,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(vectors: Vectors, pooled: np.ndarray, label: np.ndarray, calibrates: np.ndarray, rounds: int = 400) -> Network:
+def train(vectors: Broadcast, pooled: np.ndarray, label: np.ndarray, calibrates: np.ndarray, rounds: int = 400) -> Network:
     """Adam on the whole batch with both classes weighing the same, then the temperature."""
     rng = np.random.default_rng(3)
     inputs = 2 * DIMENSIONS
@@ -243,11 +266,11 @@ def train(vectors: Vectors, pooled: np.ndarray, label: np.ndarray, calibrates: n
     return Network(vectors, centre, scale, p[0], p[1], p[2], float(p[3][0]), float(grid[int(np.argmin(loss))]))
 
 
-def _pooler(vectors: Vectors) -> Callable:
+def _pooler(vectors: Broadcast) -> Callable:
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, block in tk.blocks(batch["text"]):
-                rows = pool(block, vectors)
+                rows = pool(block, vectors.value)
                 yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "label": batch["label"].slice(i, j - i),
                                        "x": pa.array(list(rows), pa.list_(pa.float64()))})
 
@@ -255,7 +278,8 @@ def _pooler(vectors: Vectors) -> Callable:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
-    vectors = word_vectors(docs)
+    # A table of fixed size, sent out once for fitting and scoring.
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     rows = training_rows(docs, labels, max_rows).mapInArrow(_pooler(vectors), "doc_id long, label int, x array<double>").toPandas()
     rows = rows.assign(v=rows.x.map(tuple)).sort_values(["doc_id", "label", "v"])
     pooled = np.array(rows.v.tolist()).reshape(-1, 2 * DIMENSIONS)
@@ -267,7 +291,7 @@ def _scorer(network: Network) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, block in tk.blocks(batch["text"]):
-                p = network.probability(pool(block, network.vectors))
+                p = network.probability(pool(block, network.vectors.value))
                 yield pa.record_batch({"doc_id": batch["doc_id"].slice(i, j - i), "held_out": batch["held_out"].slice(i, j - i),
                                        "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 

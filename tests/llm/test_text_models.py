@@ -83,7 +83,7 @@ def test_word_vectors_equal_a_plain_sum(spark, vocabulary, own):
                 if i != j:
                     np.add.at(total[row[i]], place[j], sign[j])
     total /= np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-12)
-    assert np.allclose(found.table, total, atol=1e-6)
+    assert np.allclose(found.table / quality_network.UNIT, total, atol=0.51 / quality_network.UNIT)
 
 
 def test_words_are_counted_whole_in_bounded_steps(spark, small, monkeypatch):
@@ -100,16 +100,24 @@ def test_words_are_counted_whole_in_bounded_steps(spark, small, monkeypatch):
     assert len(quality_network.frequent_words(docs, 500)) == sum(m for d, m in classes.items() if d >= least)
 
 
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([rng.integers(-n, n + 1, (40, 64)) for n in (1, 7, 8, 127, 128, 2**31 - 1)]).astype(np.int32)
+    packed = quality_network._packed(rows)
+    assert {len(p) for p in packed} == {32, 64, 256}
+    assert (quality_network._unpacked(pa.array(packed, pa.binary())) == rows).all()
+
+
 def test_pooling_long_and_short_texts(monkeypatch):
     rng = np.random.default_rng(5)
-    vectors = quality_network.Vectors(np.zeros(0, np.uint64), rng.normal(size=(1 << quality_network.TAIL_BITS, 64)).astype(np.float32))
+    vectors = quality_network.Vectors(np.zeros(0, np.uint64), rng.integers(-32767, 32768, (1 << quality_network.TAIL_BITS, 64)).astype(np.int16))
     texts = ["", "one", "a b " * 3000, None, "c d e"]
     block = next(tk.blocks(pa.array(texts)))[2]
     whole = quality_network.pool(block, vectors)
     monkeypatch.setattr(quality_network, "_ROWS_AT_ONCE", 7)
     assert np.allclose(whole, quality_network.pool(block, vectors))
     for text, got in zip(texts, whole):
-        x = vectors.table[vectors.rows(tk.words(next(tk.blocks(pa.array([text])))[2]).hash)].astype(float)
+        x = vectors.table[vectors.rows(tk.words(next(tk.blocks(pa.array([text])))[2]).hash)] / quality_network.UNIT
         want = np.concatenate([x.mean(axis=0), x.std(axis=0)]) if len(x) else np.zeros(128)
         assert np.allclose(got, want)
 
