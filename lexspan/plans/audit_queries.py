@@ -180,12 +180,12 @@ def f19(spark, d):
 
 # -- evaluation sets ------------------------------------------------------------------------
 
-_TRIP = f"""SELECT concat('tripwire-', lpad(CAST(n AS VARCHAR), 4, '0')) AS id, trim(definition) AS query, word AS target, token_count, zipf FROM (
+_TRIP = f"""SELECT {O.row_id('tripwire', 'n')} AS id, trim(definition) AS query, word AS target, token_count, zipf FROM (
  SELECT p.word, p.definition, row_number() OVER (ORDER BY p.word) AS n, {O.token_class('p.word')} AS token_count, z.zipf
  FROM (SELECT * FROM {{profiles}} WHERE {TQ._USABLE} AND {_IN}) p LEFT JOIN {{zipf}} z ON z.word = lower(p.word))"""
 SHARED["tripwire"] = _TRIP
-SHARED["authored"] = f"""SELECT concat('authored-', lpad(CAST(row_number() OVER (ORDER BY qvec_id) AS VARCHAR), 4, '0')) AS id, query, target, zipf, {O.token_class('target')} AS token_count,
- style, {O.overlap('query', 'target')} AS lexical_overlap, reachable, {O.split_csv('acceptable_csv')} AS acceptable FROM {{eval_set}}"""
+SHARED["authored"] = f"""SELECT {O.row_id('authored', 'n')} AS id, query, target, zipf, {O.token_class('target')} AS token_count,
+ style, {O.overlap('query', 'target')} AS lexical_overlap, reachable, {O.split_csv('acceptable_csv')} AS acceptable FROM (SELECT *, row_number() OVER (ORDER BY qvec_id) AS n FROM {{eval_set}})"""
 
 
 def tripwire(spark, d):
