@@ -56,14 +56,14 @@ def f6(spark, d):
 @query("f7_pollution", f"""SELECT h.qid, count(*) AS results, count(*) FILTER ({O.junk('h.word')}) AS junk,
  count(*) FILTER (list_has_any({O.stems_w('h.word')}, k.stems)) AS echo FROM {{hits_lemma}} h JOIN {{queries}} k ON k.qid = h.qid WHERE h.rank <= 10 GROUP BY h.qid""")
 def f7(spark, d):
-    return U.pollution(P.run_hits(spark, d, "lemma", 10), P.queries(spark, d))
+    return U.pollution(P.run_hits(spark, d, "lemma", 10), P.asked(spark, d))
 
 
 @query("f8_reachability", """SELECT k.qid, k.target AS answer, min(h.rank) AS rank, CASE WHEN NOT bool_or(v.known) THEN 'not in vocab' WHEN min(h.rank) IS NULL THEN 'not in top-10' ELSE 'retrieved' END AS status
  FROM {queries} k JOIN (SELECT q.qid, lower(q.target) IN (SELECT lower(word) FROM {vocab}) AS known FROM {queries} q) v ON v.qid = k.qid
  LEFT JOIN {hits_lemma} h ON h.qid = k.qid AND h.rank <= 10 AND lower(h.word) = lower(k.target) GROUP BY k.qid, k.target""")
 def f8(spark, d):
-    return U.reachability(P.run_hits(spark, d, "lemma", 10), P.queries(spark, d), table(spark, d, "vocab"))
+    return U.reachability(P.run_hits(spark, d, "lemma", 10), P.asked(spark, d), table(spark, d, "vocab"))
 
 
 SHARED["lemmas"] = """SELECT DISTINCT pos, lemma FROM (SELECT pos, lower(word) AS lemma FROM {senses} UNION ALL

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexspan.plans.fixtures import RAW
@@ -50,3 +51,25 @@ def test_every_query_is_named_once_and_has_a_form():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
     assert rows_only - {n for n in rows_only if n == "pipeline" or n.startswith("op")} == set()
+
+
+def test_searches_ask_for_ids_divisible_by_fifty(spark, small):
+    from lexspan.plans import frames as P
+
+    words = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").toPandas()["vec_id"]
+    wanted = {int(i) for i in words if i % 50 == 0}
+    assert {int(r.qid[-6:]) for r in P.query_vectors(spark, small).collect()} == wanted
+    assert {int(r.qid[-6:]) for r in P.asked(spark, small).collect()} == wanted
+    assert P.queries(spark, small).count() == len(words)
+
+
+def test_ids_past_four_digits_equal_sql(spark):
+    """Ten thousand rows and more: the ids keep all their digits on both sides."""
+    from lexspan.functions import text as X
+    from lexspan.plans import oracle_parts as O
+
+    numbers = [1, 999, 1000, 9999, 10000, 102564]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(X.row_id("authored", F.col("n"))).collect()]
+    assert got == [duckdb.sql(f"SELECT {O.row_id('authored', str(n))} AS id").fetchall()[0][0] for n in numbers]
+    assert got[-2:] == ["authored-10000", "authored-102564"]
+    assert "lpad(CAST(n" not in entry.oracle_sql()["g1_tripwire"] and "lpad(CAST(row_number" not in entry.oracle_sql()["g2_authored"]
