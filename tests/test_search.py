@@ -275,3 +275,16 @@ def test_runs_of_one_table_share_a_scan(data, path):
     if S.BROADCAST_QUERIES > 5:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1
+
+
+def test_runs_over_shares_equal_one_scan(spark, data, monkeypatch):
+    """Several runs that would send much go over growing shares, with a bound per run and query."""
+    _, _, vectors, queries = data
+    runs = {"rows": (F.lit(True), False), "words": (F.lit(True), True), "some": (F.col("row") % 2 == 0, False)}
+    plain = rows(S.runs_topk(queries, vectors, runs, 5), "tag", "qid", "rank", "word", "sim")
+    passes = []
+    by_shares = S._by_shares
+    monkeypatch.setattr(S, "FLOOR_ROWS", 10)
+    monkeypatch.setattr(S, "_by_shares", lambda *a: passes.append(1) or by_shares(*a))
+    assert rows(S.runs_topk(queries, vectors, runs, 5), "tag", "qid", "rank", "word", "sim") == plain
+    assert passes
