@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,46 @@ def test_runs_over_shares_equal_one_scan(spark, data, monkeypatch):
     monkeypatch.setattr(S, "_by_shares", lambda *a: passes.append(1) or by_shares(*a))
     assert rows(S.runs_topk(queries, vectors, runs, 5), "tag", "qid", "rank", "word", "sim") == plain
     assert passes
+
+
+def test_many_queries_hold_bounded_scores_and_merge_seldom(monkeypatch):
+    """Scores in memory do not grow with the queries, and a block alone does not sort what all queries keep."""
+    from lexspan.operators import blocks as B
+
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(8000, 16)).astype(np.float32), rng.normal(size=(3000, 16)).astype(np.float32).astype(float)
+    x[5000:6000] = x[:1000]
+    table = pa.table({"word": [f"w{i % 7000}" for i in range(len(x))], "sense_key": [f"s{i}" for i in range(len(x))],
+                      "row": pa.array(np.arange(len(x))), "vec": pa.array(list(x), pa.list_(pa.float32()))})
+    cells, merges, match, merge = [], [], B.TopK._match, B.TopK._merge
+    monkeypatch.setattr(B.TopK, "_match", lambda self, t, x, chosen, *a: cells.append(len(x) * len(chosen)) or match(self, t, x, chosen, *a))
+    monkeypatch.setattr(B.TopK, "_merge", lambda self, *a: merges.append(1) or merge(self, *a))
+    top = B.TopK(B.QueryBlock(pa.array(np.arange(len(q))), q), 5, False)
+    for i in range(0, len(x), 250):
+        top.add(table.slice(i, 250))
+    assert max(cells) <= 1 << 20 and len(merges) < 32
+    got = B.TopK(B.QueryBlock(pa.array(np.arange(len(q))), q), 5, False)
+    got.add(table)
+    got = got.result().to_pandas().sort_values(["qid", "sim", "word", "sense_key", "row"], ascending=[True, False, True, True, True])
+    for i in range(0, len(q), 97):
+        exact = np.cumsum(x.astype(float) * q[i], axis=1)[:, -1]
+        order = sorted(range(len(x)), key=lambda r: (-exact[r], f"w{r % 7000}", f"s{r}"))[:5]
+        assert got[got["qid"] == i]["row"].tolist() == order
+
+
+def test_lengths_beyond_single_precision_keep_their_order(spark):
+    """Products that would overflow or vanish in single precision are made in double precision."""
+    for scale in (1e-30, 1e25):
+        v = spark.createDataFrame([(f"w{i}", i, [scale * (1 + i), scale]) for i in range(9)], "word string, row long, vec array<double>")
+        q = spark.createDataFrame([(1, [scale, 0.0]), (2, [1.0, 0.0])], "qid long, qvec array<double>")
+        assert [r["word"] for r in S.exact_topk(q, v, 2).orderBy("qid", "rank").collect()] == ["w8", "w7"] * 2
+
+
+def test_many_queries_deal_a_single_partition_to_all_cores(spark):
+    v = spark.range(400).select(F.concat(F.lit("w"), "id").alias("word"), F.col("id").alias("row"),
+                                F.array(F.rand(1), F.rand(2)).alias("vec")).coalesce(1)
+    q = spark.range(300).select(F.col("id").alias("qid"), F.array(F.rand(3), F.rand(4)).alias("qvec"))
+    found = S._candidates(S._queries(q), S._vectors(v, False), 3, False)
+    assert found.rdd.getNumPartitions() == S._tasks(v)
+    few = S._candidates(S._queries(q.limit(5)), S._vectors(v, False), 3, False)
+    assert few.rdd.getNumPartitions() == 1
