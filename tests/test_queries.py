@@ -73,3 +73,19 @@ def test_ids_past_four_digits_equal_sql(spark):
     assert got == [duckdb.sql(f"SELECT {O.row_id('authored', str(n))} AS id").fetchall()[0][0] for n in numbers]
     assert got[-2:] == ["authored-10000", "authored-102564"]
     assert "lpad(CAST(n" not in entry.oracle_sql()["g1_tripwire"] and "lpad(CAST(row_number" not in entry.oracle_sql()["g2_authored"]
+
+
+def test_word_sums_equal_the_plain_text_and_join_a_row_per_word(spark, small):
+    """Copies of a line item, missing amounts and missing parts included; `freq` joins sums, not line items."""
+    from lexspan.plans import fixtures as X
+
+    raw = {t: X.table(spark, small, t) for t in ("embeddings", "lineitem", "part")}
+    few = raw["lineitem"].limit(50).select("l_partkey", "l_quantity")
+    odd = few.unionByName(few).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS l_partkey, 3.0D AS l_quantity UNION ALL SELECT 7, NULL"))
+    vocab = X.table(spark, small, "vocab")
+    plain = spark.sql(X.SQL["freq"], vocab=vocab, embeddings=raw["embeddings"], part=raw["part"], lineitem=odd)
+    summed = X._per_word(odd, raw["embeddings"])
+    got = spark.sql(X.SQL["freq"], vocab=vocab, embeddings=raw["embeddings"], part=raw["part"], lineitem=summed)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert summed.count() == odd.select(F.col("l_partkey") % raw["embeddings"].count()).distinct().count()
+    assert X.table(spark, small, "freq")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > plain._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
