@@ -153,3 +153,17 @@ def test_limits_of_one_busy_batch():
     allowed = M.allow(times, 50, M.DAY_US, M.deque())
     assert time.perf_counter() - start < 5 and 450 <= allowed.sum() <= 550
     assert P.RequestLimiter.OUT.endswith("late boolean")
+
+
+def test_rows_of_a_timed_stream_are_made_once_by_all_tasks(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(90, numPartitions=3).mapInArrow(count, "id long")
+    J.write_in_time(df, str(tmp_path / "rows"), F.col("id"), 3)
+    assert seen.value == 90
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == list(range(90))
