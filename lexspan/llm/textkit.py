@@ -27,7 +27,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the hash base and of its inverse, mod 2 ** 64."""
     global _power, _inverse
     if len(_power) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
+        size = max(n + 1, 2 * len(_power))
         for name, base in (("_power", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -74,3 +75,19 @@ def test_unbroken_megabytes_take_seconds(vocabulary):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
     some = [t[:20_000] for t in texts]
     assert encoded(pieces.Encoder(vocabulary, 0.0), some) == library.encode(some)
+
+
+def test_memory_of_the_agendas_is_bounded(vocabulary):
+    """A batch of many texts is encoded in small blocks: what a task holds does not follow the batch."""
+    texts = pa.array(["international organisation of uncommon representations " * 40] * 3000)
+    batch = pa.record_batch({"text": texts})
+    encode_all = pieces._encoder(vocabulary, 0.1, 7)
+    list(encode_all([batch.slice(0, 60)]))
+    tracemalloc.start()
+    try:
+        rows = sum(len(out) for out in encode_all([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 40e6
