@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexspan.functions import text as X
@@ -17,6 +17,9 @@ DAY_US = 24 * 3600 * 1_000_000
 HOUR_US = 3600 * 1_000_000
 GUEST_LIMIT, USER_LIMIT, GAME_LIMIT = 50, 200, 60
 NO_ADDRESS = "127.0.0.1"
+# Times that are handed on as one row; a batch of 10,000 such rows has 80 MB.
+RUN = 1024
+_RUN = ["key", "cut", "bucket", "run"]
 
 # What a refused caller is told.
 GUEST_MESSAGE = "Daily limit of 50 free lookups reached. Sign in for 200 lookups/day."
@@ -70,27 +73,47 @@ def allow(at: np.ndarray, cap: int, span_us: int, recent: deque) -> np.ndarray:
 
 
 def _fold(span_us: int):
-    """Decisions of sorted stretches; `known` rows only tell what was allowed before a stretch."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decisions of sorted stretches, a run of times a row; the `known` times of a run only tell what was allowed before a stretch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, recent = None, deque()
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            keys, cuts, known = batch["key"].to_numpy(), batch["cut"].to_numpy(), batch["known"].to_numpy()
-            at, caps = batch["at"].to_numpy(), batch["cap"].to_numpy()
-            allowed = np.zeros(len(batch), dtype=bool)
+            keys, cuts, known, caps = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "cut", "known", "cap"))
+            ends = np.append(0, np.cumsum(batch["times"].value_lengths().to_numpy()))
+            at = batch["times"].flatten().to_numpy()
+            allowed = np.zeros(len(at), dtype=bool)
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (cuts[1:] != cuts[:-1])])
-            for lo, hi in zip(starts, np.r_[starts[1:], len(batch)]):
+            for lo, hi in zip(starts, np.r_[starts[1:], len(keys)]):
                 if (keys[lo], cuts[lo]) != current:
                     current, recent = (keys[lo], cuts[lo]), deque()
-                first = lo + int(np.count_nonzero(known[lo:hi]))
-                recent.extend(at[lo:first].tolist())
-                allowed[first:hi] = allow(at[first:hi], int(caps[lo]), span_us, recent)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[~known], "allowed": allowed[~known]})
+                first = ends[lo] + known[lo:hi].sum()
+                recent.extend(at[ends[lo]:first].tolist())
+                allowed[first:ends[hi]] = allow(at[first:ends[hi]], int(caps[lo]), span_us, recent)
+            flags = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(allowed))
+            yield pa.record_batch({**{c: batch[c] for c in _RUN}, "flags": flags})
 
     return run
 
 
+def _folded(rows: DataFrame, span_us: int) -> DataFrame:
+    """id, allowed of all requests of stretches.
+
+    Requests are numbered inside a bucket of time, and only runs of times, eight bytes a request,
+    are sorted through a whole stretch: the busiest key is a narrow stream, and its requests
+    stay dealt by bucket.
+    """
+    place = F.row_number().over(W.partitionBy("key", "cut", "bucket").orderBy("at", "id")) - 1
+    rows = rows.withColumn("bucket", F.floor(F.col("at") / max(1, span_us // 24))).withColumn("place", place)
+    rows = freeze(rows.withColumn("run", F.floor(F.col("place") / RUN)))
+    runs = rows.groupBy(*_RUN).agg(
+        F.array_sort(F.collect_list("at")).alias("times"), F.count_if("known").alias("known"), F.max("cap").alias("cap"))
+    flags = runs.repartition("key", "cut").sortWithinPartitions(*_RUN).mapInArrow(
+        _fold(span_us), "key string, cut long, bucket long, run long, flags array<boolean>")
+    return rows.filter(~F.col("known")).join(flags, _RUN).select(
+        "id", F.get("flags", (F.col("place") % RUN).cast("int")).alias("allowed"))
+
+
 def stretches(counted: DataFrame, span_us: int = DAY_US) -> DataFrame:
     """Rolling counts as requests key, at, id, cap with the `cut` that their stretch begins at and `known`.
 
@@ -131,15 +154,14 @@ def decide(keyed: DataFrame, span_us: int = DAY_US) -> DataFrame:
     A key that never has more requests in a span than its limit is allowed throughout, which
     rolling counts settle without a fold. Any other key is cut into stretches that are folded
     side by side; a stretch is a sorted stream of times of which a task remembers at most `cap`,
-    and it jumps over what it must refuse.
+    and it jumps over what it must refuse. A request that no stretch holds is allowed.
     """
-    counted = freeze(rolling_counts(keyed, span_us))
-    busy = freeze(counted.filter(F.col("in_span") > F.col("cap")).select("key").distinct())
-    folded = (
-        stretches(counted.join(busy, "key", "left_semi"), span_us).repartition("key", "cut")
-        .sortWithinPartitions("key", "cut", F.desc("known"), "at", "id")
-        .mapInPandas(_fold(span_us), "id long, allowed boolean")
-    )
-    decided = folded.unionByName(keyed.join(busy, "key", "left_anti").select("id", F.lit(True).alias("allowed")))
-    return keyed.join(decided, "id").select(
-        "id", "key", "at", "allowed", F.when(~F.col("allowed"), F.col("message")).alias("message"))
+    counted = freeze(rolling_counts(keyed, span_us).withColumn("slot", F.floor(F.col("at") / span_us)))
+    busy = counted.filter(F.col("in_span") > F.col("cap")).select("key").distinct()
+    # Busy keys are looked up by key and span of time, so the requests of one key stay with many tasks.
+    slots = counted.select("key", "slot").distinct().join(busy, "key", "left_semi")
+    unsure = freeze(counted.join(slots, ["key", "slot"], "left_semi").drop("slot"))
+    decided = _folded(stretches(unsure, span_us), span_us)
+    allowed = F.coalesce("allowed", F.lit(True))
+    return keyed.join(decided, "id", "left").select(
+        "id", "key", "at", allowed.alias("allowed"), F.when(~allowed, F.col("message")).alias("message"))

@@ -198,3 +198,26 @@ def test_profiles(spark):
     got = V.resolve_profiles(spark.createDataFrame([(" ALPHA ",), ("beta",), ("nope",)], "slug string"), profiles, vocab)
     assert rows(got, "word", "outcome", "definition") == [("alpha", "stored", "text"), ("beta", "created", ""), ("nope", "not found", None)]
     assert rows(V.new_profiles(got), "word", "obscurity_score") == [("beta", 50)]
+
+
+def test_a_busy_key_is_folded_as_runs_of_times(spark, monkeypatch):
+    """All requests of one key that is never quiet: its one task gets runs of times, not a row per request."""
+    day, n = 86_400_000_000, 60_000
+    reqs = [(i, "a", (i * 7919 % n) * 3_000_000, 50) for i in range(n)]
+    keyed = spark.createDataFrame(reqs, "id long, key string, at long, cap int").withColumn("message", F.lit("no"))
+    fold = M._fold
+
+    def few_rows(span_us):
+        inner = fold(span_us)
+
+        def run(batches):
+            for batch in batches:
+                assert batch.num_rows * 100 < len(batch["times"].flatten())
+                yield from inner([batch])
+        return run
+
+    monkeypatch.setattr(M, "_fold", few_rows)
+    got = {r.id for r in M.decide(keyed, day).filter("allowed").collect()}
+    times = np.array(sorted(r[2] for r in reqs))
+    order = sorted(reqs, key=lambda r: (r[2], r[0]))
+    assert got == {order[i][0] for i in np.flatnonzero(M.allow(times, 50, day, M.deque()))}
