@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from lexspan.functions import text as X
 from lexspan.operators import cells as C, encode as E, fingerprint as H, pool as P
@@ -214,9 +212,9 @@ def _cell_sql(name: str) -> str:
 def d15(spark, d):
     words, glosses = R.vectors(spark, d).select("row", "word"), R.glosses(spark, d)
     encoders = {name: (lambda salt=name: E.DigestEncoder(64, salt)) for name in ("tuned", "base")}
-    cells = [E.build_cell(name, E.cell_inputs(name, words, glosses), encoders) for name in E.CELLS]
+    cells = E.build_cells(list(E.CELLS), words, glosses, encoders)
     mark = F.aggregate(F.transform("vec", lambda x, i: (i + 1) * F.round(x.cast("double") * 10000)), F.lit(0.0), lambda a, x: a + x)
-    return reduce(DataFrame.unionByName, cells).select("cell", "row", "word", "sense_key", mark.cast("long").alias("mark"))
+    return cells.select("cell", "row", "word", "sense_key", mark.cast("long").alias("mark"))
 
 
 # Input hashes of each language's texts stand for the expected hash of a variant.

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -213,3 +214,37 @@ def test_encoder_is_loaded_per_task_and_gives_unit_vectors(spark):
     got = [r[0] for r in df.select(E.encode_column(F.col("text"), lambda: E.HashingEncoder(16))).collect()]
     lengths = sorted(round(float(np.linalg.norm(v)), 5) for v in got)
     assert lengths == [0.0, 1.0, 1.0]
+
+
+def test_digest_encoder_counts_words_in_bytes():
+    texts = ["", "a", "aéb c a", "日本 x1", ".", "A\0B a", "word " * 50, "x" * 3]
+    got = E.DigestEncoder(8, "s").encode(texts)
+    for text, vec in zip(texts, got):
+        want = np.zeros(8)
+        for word in re.findall("[A-Za-z0-9]+", text):
+            digest = hashlib.md5(("s" + word).encode()).hexdigest()
+            want[int(digest[:4], 16) % 8] += 1 if int(digest[4], 16) < 8 else -1
+        want[0] = want[0] if want.any() else 1
+        assert np.array_equal(vec, want / np.sqrt((want**2).sum()))
+    assert E.DigestEncoder(8).encode([]).shape == (0, 8)
+
+
+def test_all_cells_in_one_pass_equal_cells_one_by_one(spark):
+    class Once(E.DigestEncoder):
+        def encode(self, texts):
+            assert len(set(texts)) == len(texts)
+            return E.DigestEncoder.encode(self, texts)
+
+    pool = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "row long, word string")
+    glosses = spark.createDataFrame(
+        [(i, f"w{i}", f"k{i // 3}", f"gloss {i // 3}", ["x"] if i % 4 == 0 else []) for i in range(40)] + [(40, "w", "k", None, [])],
+        "row long, word string, sense_key string, gloss string, examples array<string>").coalesce(1)
+    names = list(E.CELLS)
+    loads = {n: (lambda n=n: Once(16, n)) for n in ("tuned", "base")}
+    together = E.build_cells(names, pool, glosses, loads)
+    plain = {n: (lambda n=n: E.DigestEncoder(16, n)) for n in ("tuned", "base")}
+    for name in names:
+        alone = E.build_cell(name, E.cell_inputs(name, pool, glosses), plain)
+        key = lambda r: (r.row, r.sense_key)
+        assert sorted(together.filter(F.col("cell") == name).collect(), key=key) == sorted(alone.collect(), key=key)
+    assert together.columns == alone.columns
