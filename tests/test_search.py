@@ -332,3 +332,17 @@ def test_many_queries_deal_a_single_partition_to_all_cores(spark):
     assert found.rdd.getNumPartitions() == S._tasks(v)
     few = S._candidates(S._queries(q.limit(5)), S._vectors(v, False), 3, False)
     assert few.rdd.getNumPartitions() == 1
+
+
+def test_a_task_holds_the_rows_of_all_runs_or_each_run_has_its_scan(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(f"w{i % 30}", f"k{i}", i, [float(x) for x in rng.normal(size=4)]) for i in range(60)],
+                                    "word string, sense_key string, row long, vec array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(8)], "qid long, qvec array<double>")
+    runs = {"all": (F.lit(True), True), "even": (F.col("row") % 2 == 0, False)}
+    want = sorted(map(tuple, S.runs_topk(queries, vectors, runs, 5).select("tag", "qid", "rank", "word", "sim").collect()))
+    asked, alone = [], S._candidates
+    monkeypatch.setattr(S, "_candidates", lambda *a: asked.append(1) or alone(*a))
+    monkeypatch.setattr(S, "HELD_ROWS", 8 * 5)  # enough for one run, not for two
+    got = S.runs_topk(queries, vectors, runs, 5).select("tag", "qid", "rank", "word", "sim").collect()
+    assert len(asked) == 2 and sorted(map(tuple, got)) == want
