@@ -89,3 +89,14 @@ def test_word_sums_equal_the_plain_text_and_join_a_row_per_word(spark, small):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     assert summed.count() == odd.select(F.col("l_partkey") % raw["embeddings"].count()).distinct().count()
     assert X.table(spark, small, "freq")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > plain._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+
+
+def test_searches_ask_for_every_word(spark, small):
+    """The whole set is searched for, in Spark and in SQL; nothing picks queries by their number."""
+    from lexspan.plans import frames as P
+
+    words = {int(r.vec_id) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect()}
+    assert {int(r.qid[-6:]) for r in P.query_vectors(spark, small).collect()} == words
+    found = {n: entry.queries()[n](spark, small).select("qid").distinct().collect() for n in ("c1_exact_topk", "c12_answers", "f8_reachability", "h24_miss_classes")}
+    assert all({int(r.qid[-6:]) for r in got} == words for got in found.values())
+    assert not [n for n, text in entry.oracle_sql().items() if "qvec_id % 50" in text]
