@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from lexspan.operators import ledger as L
 from lexspan.operators.limits import DAY_US, allow
@@ -180,19 +180,63 @@ class CreditLedger(InTime):
         return self._frame(key, batch, after, broke, False), (int(after[-1]),)
 
 
-class SavedWord(InTime):
-    """Is the word saved after the event, and did the event newly save it? Late events come out unapplied."""
+class SavedWords(StatefulProcessor):
+    """Is the word saved after the event, and did the event newly save it? Late events come out unapplied.
 
-    OUT = "user_id long, word_id long, id long, saved boolean, newly boolean, late boolean"
-    FIELDS = (StructField("saved", BooleanType()),)
+    A key is a share of all pairs of user and word, and its state one value that holds them packed:
+    most pairs have few events, and calls for each of them would cost more than their work. Bits of
+    `gaps` tell which of user, word and id are null; an event without a time is late.
+    """
 
-    def _frame(self, key, batch: pd.DataFrame, saved, newly, late: bool) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": key[0], "word_id": key[1], "id": batch["id"], "saved": pd.array(saved, "boolean"), "newly": newly, "late": late})
+    OUT = "user_id long, word_id long, id long, gaps int, saved boolean, newly boolean, late boolean"
+    HELD = np.dtype([("gap", "u1"), ("user", "i8"), ("word", "i8"), ("at", "i8"), ("saved", "?")])
+    NEVER = -(1 << 62)
 
-    def refused(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        return self._frame(key, batch, [None] * len(batch), False, True)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", StructType([StructField("pairs", BinaryType())]))
 
-    def apply(self, key, batch: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        saved = (batch["action"] == "save").to_numpy()
-        newly = saved & ~np.r_[bool(kept[0]) if kept else False, saved[:-1]]
-        return self._frame(key, batch, saved, newly, False), (bool(saved[-1]),)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch["at"] = batch["at"].fillna(self.NEVER).astype("int64")
+        batch["gap"] = batch["gaps"] & 3
+        order = np.lexsort([batch[c].to_numpy() for c in ("id", "gaps", "at", "word_id", "user_id", "gap")])
+        gap, user, word, at, save = (batch[c].to_numpy()[order] for c in ("gap", "user_id", "word_id", "at", "save"))
+        first = np.r_[True, (gap[1:] != gap[:-1]) | (user[1:] != user[:-1]) | (word[1:] != word[:-1])]
+        pair, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        value = self.state.get()
+        held = np.frombuffer(bytes(value[0]), self.HELD).copy() if value else np.zeros(0, self.HELD)
+        mine = np.zeros(len(starts), self.HELD)
+        mine["gap"], mine["user"], mine["word"] = gap[starts], user[starts], word[starts]
+        mine["at"] = self.NEVER
+        place = self._places(held, mine)
+        known = place >= 0
+        mine[known] = held[place[known]]
+
+        late = (at < mine["at"][pair]) | (at < timerValues.getCurrentWatermarkInMs() * 1000)
+        applied = np.flatnonzero(~late)
+        of, saved = pair[applied], save[applied]
+        turn = of[1:] != of[:-1]
+        before = np.where(np.r_[True, turn], mine["saved"][of], np.r_[False, saved[:-1]]) if len(of) else saved
+        newly = np.zeros(len(at), dtype=bool)
+        newly[applied] = saved & ~before
+        if len(of):
+            last = np.r_[turn, True]
+            mine["at"][of[last]], mine["saved"][of[last]] = at[applied[last]], saved[last]
+            held[place[known]] = mine[known]
+            self.state.update((np.r_[held, mine[~known & (mine["at"] > self.NEVER)]].tobytes(),))
+        out = batch[["user_id", "word_id", "id", "gaps"]].iloc[order].reset_index(drop=True)
+        yield out.assign(saved=pd.arrays.BooleanArray(save.astype(bool), late), newly=newly, late=late)
+
+    @staticmethod
+    def _places(held: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Where each of these pairs, all different, is held; -1 if it is not."""
+        gap, user, word = (np.r_[held[c], mine[c]] for c in ("gap", "user", "word"))
+        order = np.lexsort((word, user, gap))
+        here, there = order[:-1], order[1:]
+        same = (gap[here] == gap[there]) & (user[here] == user[there]) & (word[here] == word[there])
+        place = np.full(len(mine), -1)
+        place[there[same] - len(held)] = here[same]
+        return place
+
+    def close(self) -> None:
+        pass

@@ -167,3 +167,30 @@ def test_rows_of_a_timed_stream_are_made_once_by_all_tasks(spark, tmp_path):
     J.write_in_time(df, str(tmp_path / "rows"), F.col("id"), 3)
     assert seen.value == 90
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == list(range(90))
+
+
+def test_saves_over_batches_equal_the_whole_table(spark, tmp_path):
+    """Many pairs of few events share their calls; null users and words are pairs of their own."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(P.SavedWords):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    rnd = random.Random(8)
+    some = lambda n: rnd.choice([None, *range(n)])
+    events = sorted(((some(6), some(60), 2**60 + i, at(rnd.randrange(60 * 24)), rnd.choice(["save", "unsave", None])) for i in range(900)), key=lambda e: e[3])
+    columns = "user_id long, word_id long, id long, ts timestamp, action string"
+    feed = Feed(spark, tmp_path, columns, lambda s: J.saved_words(s, shares=8))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(P, "SavedWords", Counted)
+        for i in range(0, 900, 300):
+            got = feed(*events[i : i + 300])
+    held, want = {}, []
+    for user, word, i, _, action in events:
+        saved = action == "save"
+        want.append((i, user, word, saved, saved and not held.get((user, word), False), False))
+        held[user, word] = saved
+    assert sorted((tuple(r) for r in got.select("id", "user_id", "word_id", "saved", "newly", "late").collect())) == sorted(want)
+    assert 0 < calls.value <= 3 * 8 and feed.held("state") == 8
