@@ -346,3 +346,42 @@ def test_a_task_holds_the_rows_of_all_runs_or_each_run_has_its_scan(spark, monke
     monkeypatch.setattr(S, "HELD_ROWS", 8 * 5)  # enough for one run, not for two
     got = S.runs_topk(queries, vectors, runs, 5).select("tag", "qid", "rank", "word", "sim").collect()
     assert len(asked) == 2 and sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("by_word", [False, True])
+def test_copies_of_a_vector_are_scored_once_by_blocks(spark, monkeypatch, by_word):
+    """Forty rows share each vector: a block has the vector once, and the rows found are those of a plain sort."""
+    from lexspan.operators import blocks as B
+
+    rng = np.random.default_rng(12)
+    apart = rng.integers(-3, 4, size=(50, 4)).astype(float)
+    apart[10] = -0.0
+    data = [(f"w{(i * 7) % 90}", f"s{i % 11}", i, [float(x) for x in apart[i % 50]]) for i in range(2000)]
+    asked = [(i, [float(x) for x in rng.integers(-3, 4, size=4)]) for i in range(30)]
+    v = spark.createDataFrame(data, "word string, sense_key string, row long, vec array<double>").repartition(5)
+    q = spark.createDataFrame(asked, "qid long, qvec array<double>")
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 5)
+    for k in (3, 60):
+        found = []
+        for qid, qvec in asked:
+            scored = [(-sum(a * b for a, b in zip(qvec, vec)), word, key, row) for word, key, row, vec in data]
+            if by_word:
+                best = sorted({w: min(s for s, x, *_ in scored if x == w) for w in {x[1] for x in scored}}.items(), key=lambda e: (e[1], e[0]))
+                found += [(qid, rank, w, -s + 0.0) for rank, (w, s) in enumerate(best[:k], 1)]
+            else:
+                found += [(qid, rank, w, key, row, -s + 0.0) for rank, (s, w, key, row) in enumerate(sorted(scored)[:k], 1)]
+        if by_word:
+            assert rows(S.best_sense_topk(q, v, k)) == sorted(found)
+        else:
+            assert rows(S.exact_rows(q, v, k), "qid", "rank", "word", "sense_key", "row", "sim") == sorted(found)
+        kept = S._folded(S._vectors(v, False).withColumn("list_id", F.lit(0)), k, by_word, False).collect()
+        assert len(kept) == len({tuple(x + 0.0) for x in apart}) and max(len(r["rows"]) for r in kept) <= k
+        assert len(S._folded(S._vectors(v, False).withColumn("list_id", F.lit(0)), k, by_word, True).collect()) == len(data)
+    # Many copies in a block that sets its own floor.
+    one = pa.table({"vec": pa.array([list(x) for x in apart]), "rows": pa.array([[{"word": f"w{i}", "sense_key": "", "row": i}, {"word": f"x{i}", "sense_key": "", "row": i}] for i in range(50)])})
+    top = B.TopK(B.QueryBlock(pa.array([a for a, _ in asked]), np.array([b for _, b in asked])), 2, by_word)
+    top.add(one)
+    got = sorted(zip(*(top.result()[c].to_pylist() for c in ("qid", "sim", "word"))))
+    for qid, qvec in asked:
+        scored = sorted((-float(np.dot(qvec, x)) , w) for i, x in enumerate(apart) for w in (f"w{i}", f"x{i}"))[:2]
+        assert sorted((s, w) for a, s, w in got if a == qid) == sorted((-s + 0.0, w) for s, w in scored)
