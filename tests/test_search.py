@@ -385,3 +385,12 @@ def test_copies_of_a_vector_are_scored_once_by_blocks(spark, monkeypatch, by_wor
     for qid, qvec in asked:
         scored = sorted((-float(np.dot(qvec, x)) , w) for i, x in enumerate(apart) for w in (f"w{i}", f"x{i}"))[:2]
         assert sorted((s, w) for a, s, w in got if a == qid) == sorted((-s + 0.0, w) for s, w in scored)
+
+
+def test_a_pair_of_blocks_keeps_bounded_rows(data, monkeypatch):
+    assert S._at_once(10) == S.QUERIES_PER_BLOCK and S._at_once(10**9) == 1
+    assert all(k * S._at_once(k) <= 500_000 for k in (100, 120, 1000))
+    out, queries, v, q = data
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 1)
+    monkeypatch.setattr(S, "KEPT_PER_BLOCK", 10)
+    assert rows(S.exact_rows(q, v, 5), *COLS) == brute(out, queries, 5)
